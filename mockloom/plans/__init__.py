@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "fidelity_queries",
+    "generation_queries",
 ]
 
 
