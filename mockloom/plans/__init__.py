@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "fidelity_queries",
     "generation_queries",
+    "catalog_queries",
 ]
 
 
