@@ -90,3 +90,24 @@ def lookup_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], weight:
     on_hot = rows.join(F.broadcast(hot), keys)
     on_cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return on_hot.unionByName(on_cold)
+
+
+def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``lag(value)`` within ``keys`` by ``order``, without sorting a key in one task.
+
+    Rows are range-sorted by key and order together, so even one key spreads
+    over all partitions; only the last row of each partition is handed to the
+    next one. The sorted rows are checkpointed to keep the layout fixed.
+    """
+    shared_dir(df.sparkSession)
+    placed = df.orderBy(*keys, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    here = F.struct(*keys, F.col(value).alias("_v"))
+    tails = placed.groupBy("_part").agg(F.max_by(here, F.struct(*keys, *order)).alias("_tail"))
+    carried = tails.select("_part", F.lag("_tail").over(Window.orderBy("_part")).alias("_carry"))
+    within = Window.partitionBy("_part").orderBy(*keys, *order)
+    before = F.coalesce(F.lag(here).over(within), F.col("_carry"))
+    joined = placed.join(F.broadcast(carried), "_part").withColumn("_before", before)
+    same = reduce(lambda a, b: a & b, [F.col(f"_before.{k}").eqNullSafe(F.col(k)) for k in keys])
+    return joined.withColumn(name, F.when(F.col("_before").isNotNull() & same, F.col("_before._v"))).drop(
+        "_part", "_carry", "_before"
+    )

@@ -8,6 +8,8 @@ MODULES = [
     "fidelity_queries",
     "generation_queries",
     "catalog_queries",
+    "source_queries",
+    "job_queries",
 ]
 
 
