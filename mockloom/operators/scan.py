@@ -92,22 +92,28 @@ def lookup_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], weight:
     return on_hot.unionByName(on_cold)
 
 
-def previous_value(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """``lag(value)`` within ``keys`` by ``order``, without sorting a key in one task.
+def with_neighbours(
+    df: DataFrame, keys: list[str], order: list[str], value: str, before: str | None = None, after: str | None = None
+) -> DataFrame:
+    """``lag`` and ``lead`` of a value within ``keys`` by ``order``, without sorting a key in one task.
 
     Rows are range-sorted by key and order together, so even one key spreads
-    over all partitions; only the last row of each partition is handed to the
-    next one. The sorted rows are checkpointed to keep the layout fixed.
+    over all partitions; only the outer rows of each partition are handed to
+    its neighbours. The sorted rows are checkpointed to keep the layout fixed.
     """
     shared_dir(df.sparkSession)
     placed = df.orderBy(*keys, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
     here = F.struct(*keys, F.col(value).alias("_v"))
-    tails = placed.groupBy("_part").agg(F.max_by(here, F.struct(*keys, *order)).alias("_tail"))
-    carried = tails.select("_part", F.lag("_tail").over(Window.orderBy("_part")).alias("_carry"))
+    place = F.struct(*keys, *order)
+    edges = placed.groupBy("_part").agg(F.max_by(here, place).alias("_tail"), F.min_by(here, place).alias("_head"))
+    parts = Window.orderBy("_part")  # one row per partition
+    handed = edges.select("_part", F.lag("_tail").over(parts).alias("_left"), F.lead("_head").over(parts).alias("_right"))
     within = Window.partitionBy("_part").orderBy(*keys, *order)
-    before = F.coalesce(F.lag(here).over(within), F.col("_carry"))
-    joined = placed.join(F.broadcast(carried), "_part").withColumn("_before", before)
-    same = reduce(lambda a, b: a & b, [F.col(f"_before.{k}").eqNullSafe(F.col(k)) for k in keys])
-    return joined.withColumn(name, F.when(F.col("_before").isNotNull() & same, F.col("_before._v"))).drop(
-        "_part", "_carry", "_before"
-    )
+    out = placed.join(F.broadcast(handed), "_part")
+    for name, near, far in ((before, F.lag(here), "_left"), (after, F.lead(here), "_right")):
+        if name is None:
+            continue
+        out = out.withColumn("_near", F.coalesce(near.over(within), F.col(far)))
+        same = reduce(lambda a, b: a & b, [F.col(f"_near.{k}").eqNullSafe(F.col(k)) for k in keys], F.lit(True))
+        out = out.withColumn(name, F.when(F.col("_near").isNotNull() & same, F.col("_near._v"))).drop("_near")
+    return out.drop("_part", "_left", "_right")

@@ -10,6 +10,7 @@ MODULES = [
     "catalog_queries",
     "source_queries",
     "job_queries",
+    "privacy_queries",
 ]
 
 

@@ -103,7 +103,7 @@ def dash_overview(spark, sf_dir):
 @query(
     "dash_activity",
     f"""WITH {SCHEMAS}, {JOBS}, u AS (SELECT 'schema_parsed' AS type, schema_id AS id, coalesce(source, 'sql_upload') AS source, filename, NULL AS message,
-   TIMESTAMP '2000-01-01' + to_seconds((created_at - 1.7e9)::BIGINT * 60 * 24 * 60) AS "at" FROM schemas
+   TIMESTAMP '2000-01-01' + to_seconds((created_at - 1.7e9)::BIGINT * 60 * 24 * 3600) AS "at" FROM schemas
  UNION ALL (SELECT 'job_' || status, job_id::VARCHAR, 'synthetic_generation', NULL, coalesce(error_message, ''), created_at FROM jobs ORDER BY created_at DESC, job_id DESC LIMIT 100))
 SELECT * FROM u ORDER BY "at" DESC, type, id DESC LIMIT 120""",
 )
