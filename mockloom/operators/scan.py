@@ -26,9 +26,7 @@ def running_totals(counts: DataFrame, group: str, order: str, measures: list[str
     )
     points = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = live.groupBy(group).agg(F.percentile_approx(order, points, F.lit(10_000)).alias("_cuts"))
-    sliced = live.join(F.broadcast(cuts), group).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    ).drop("_cuts")
+    sliced = _count_below(live.join(F.broadcast(cuts), group), "_cuts", order, slices, "_slice").drop("_cuts")
 
     before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(group)
@@ -53,6 +51,17 @@ def running_totals(counts: DataFrame, group: str, order: str, measures: list[str
     )
 
 
+def _count_below(df: DataFrame, cuts: str, value: str, slices: int, name: str) -> DataFrame:
+    """Number of sorted cut points below a value, by halving; ``slices`` is a power of two."""
+    step = slices // 2
+    df = df.withColumn(name, F.lit(0))
+    while step:
+        probe = F.get(F.col(cuts), F.col(name) + (step - 1))
+        df = df.withColumn(name, F.col(name) + F.when(probe < F.col(value), step).otherwise(0))
+        step //= 2
+    return df
+
+
 def dense_index(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """0-based position of every row in the given total order, without one global window.
 

@@ -11,6 +11,7 @@ MODULES = [
     "source_queries",
     "job_queries",
     "privacy_queries",
+    "model_queries",
 ]
 
 
