@@ -1,4 +1,4 @@
-"""Normal distribution function and its inverse as column expressions.
+"""Normal distribution function as a column expression, and the constants of its inverse.
 
 Spark has neither; both are published rational approximations (Abramowitz and
 Stegun 26.2.17, error below 7.5e-8; Acklam's inverse, relative error 1.2e-9).
@@ -28,15 +28,3 @@ def cdf(z: Column) -> Column:
     t = F.lit(1.0) / (F.abs(z) * 0.2316419 + 1.0)
     tail = F.exp(-z * z / 2) * 0.3989422804014327 * t * _horner(CDF[::-1], t)
     return F.when(z >= 0, 1.0 - tail).otherwise(tail)
-
-
-def inverse(p: Column) -> Column:
-    """Quantile for 0 < p < 1."""
-    low = 0.02425
-    tail = lambda q: _horner(INV_C, q) / _horner(INV_D, q)
-    centre = p - 0.5
-    return (
-        F.when(p < low, tail(F.sqrt(-2.0 * F.log(p))))
-        .when(p > 1 - low, -tail(F.sqrt(-2.0 * F.log(1.0 - p))))
-        .otherwise(_horner(INV_A, centre * centre) * centre / _horner(INV_B, centre * centre))
-    )

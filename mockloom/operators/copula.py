@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from mockloom.functions import normal as gauss
 from mockloom.functions.rng import normal, uniform
-from mockloom.operators.fidelity import correlation_matrix, exact_quantiles
+from mockloom.operators.fidelity import exact_quantiles
 from mockloom.operators.generate import Draws, semantic_string
 from mockloom.operators.scan import dense_index
 
@@ -122,13 +122,7 @@ def fit(df: DataFrame, steps: int = GRID) -> CopulaModel:
     modelled = [c for c in df.columns if c in grids or c in categories]
     factor = np.eye(len(modelled))
     if len(modelled) > 1:
-        scores = _scores(df, modelled, grids, categories)
-        at = {c: i for i, c in enumerate(modelled)}
-        matrix = np.eye(len(modelled))
-        for a, b, r in correlation_matrix(scores, modelled).collect():
-            if a != b:
-                matrix[at[a], at[b]] = r or 0.0
-        factor = _factor(matrix)
+        factor = _factor(_score_correlation(df, modelled, grids, categories))
     return CopulaModel(df.schema, grids, categories, many, null_rates(df), modelled, factor)
 
 
@@ -139,30 +133,64 @@ def _rank(x: Column, points: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= x))
 
 
-def _scores(df: DataFrame, modelled: list[str], grids: dict, categories: dict) -> DataFrame:
-    """Normal scores: the place of a number between grid points, or the middle of its category's share.
+def _score_correlation(df: DataFrame, modelled: list[str], grids: dict, categories: dict) -> np.ndarray:
+    """Correlation of the normal scores over pairwise complete rows.
 
-    Each step is its own projection, so no part is computed twice.
+    Each Arrow batch is scored with NumPy and leaves only its d x d sums, which
+    Spark adds up; rows never leave their task.
     """
-    numbers = [c for c in modelled if c in grids]
-    plain = df.select(*[F.col(c).cast("double" if c in grids else "string").alias(c) for c in modelled])
-    placed = plain.withColumns(
-        {f"_at_{c}": F.least(F.greatest(_rank(F.col(c), grids[c]), F.lit(1)), F.lit(len(grids[c]) - 1)) for c in numbers}
-    )
-
-    def share(c: str) -> Column:
+    d = len(modelled)
+    spans = {c: np.asarray(grids[c], dtype=float) for c in modelled if c in grids}
+    middles = {}
+    for c in modelled:
         if c in categories:
             ends = np.cumsum([s for _, s in categories[c]])
-            pairs = [F.lit(x) for (v, s), e in zip(categories[c], ends) for x in (v, float(e - s / 2))]
-            return F.try_element_at(F.create_map(*pairs), F.col(c))
-        points, at = F.array(*[F.lit(float(v)) for v in grids[c]]), F.col(f"_at_{c}")
-        low, high = F.element_at(points, at), F.element_at(points, at + 1)
-        inside = F.coalesce(F.try_divide(F.col(c) - low, high - low), F.lit(0.5))
-        return F.when(F.col(c).isNotNull(), (at - 1 + inside) / (len(grids[c]) - 1))
-
-    # least and greatest skip nulls, so a missing value has to stay missing explicitly
-    known = placed.select(*[F.when(F.col(c).isNotNull(), F.least(F.greatest(share(c), F.lit(EDGE)), F.lit(1 - EDGE))).alias(c) for c in modelled])
-    return known.select(*[F.when(F.col(c).isNotNull(), gauss.inverse(F.col(c))).alias(c) for c in modelled])
+            middles[c] = {v: float(e - s / 2) for (v, s), e in zip(categories[c], ends)}
+    coefficients = (gauss.INV_A, gauss.INV_B, gauss.INV_C, gauss.INV_D)
+    edge = EDGE
+
+    def sums(batches):
+        import numpy
+        import pandas
+
+        a, b, c, e = coefficients
+
+        def inverse(p):
+            q = p - 0.5
+            middle = numpy.polyval(a, q * q) * q / numpy.polyval(b, q * q)
+            t = numpy.sqrt(-2 * numpy.log(numpy.minimum(p, 1 - p)))
+            tail = numpy.polyval(c, t) / numpy.polyval(e, t)
+            return numpy.where(numpy.abs(q) <= 0.47575, middle, numpy.where(q < 0, tail, -tail))
+
+        for frame in batches:
+            z = numpy.full((len(frame), d), numpy.nan)
+            for i, name in enumerate(modelled):
+                if name in spans:
+                    x = frame[name].to_numpy(dtype=float, na_value=numpy.nan)
+                    p = numpy.interp(x, spans[name], numpy.linspace(0, 1, len(spans[name])))
+                    p[numpy.isnan(x)] = numpy.nan
+                else:
+                    p = frame[name].map(middles[name]).to_numpy(dtype=float)
+                z[:, i] = inverse(numpy.clip(p, edge, 1 - edge))
+            known = (~numpy.isnan(z)).astype(float)
+            z = numpy.nan_to_num(z)
+            parts = [known.T @ known, z.T @ known, (z * z).T @ known, z.T @ z]
+            yield pandas.DataFrame(
+                {"cell": numpy.arange(d * d), **{k: m.ravel() for k, m in zip(("n", "s", "q", "x"), parts)}}
+            )
+
+    typed = df.select(*[F.col(c).cast("double" if c in grids else "string").alias(c) for c in modelled])
+    partial = typed.mapInPandas(sums, "cell int, n double, s double, q double, x double")
+    rows = partial.groupBy("cell").agg(*[F.sum(k).alias(k) for k in ("n", "s", "q", "x")]).orderBy("cell").collect()  # d x d rows
+    if not rows:
+        return np.eye(d)
+    n, s, q, x = (np.array([r[k] for r in rows]).reshape(d, d) for k in ("n", "s", "q", "x"))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = np.sqrt(n * q - s * s)
+        r = (n * x - s * s.T) / (spread * spread.T)
+    r = np.where(np.isfinite(r), np.clip(r, -1, 1), 0.0)
+    np.fill_diagonal(r, 1.0)
+    return r
 
 
 def _factor(matrix: np.ndarray) -> np.ndarray:

@@ -63,7 +63,7 @@ def payloads(spark, sf_dir):
     """Uploads as JSON text, every other one wrapped in ``{"schema": ...}``."""
     doc = _document()
     text = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(doc.alias("schema")))).otherwise(F.to_json(doc))
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", heavy=True).select(
         "doc_id",
         cat.schema_id(F.col("doc_id").cast("string")).alias("schema_id"),
         cat.content_hash(F.col("doc_id").cast("string")).alias("content_hash"),

@@ -33,7 +33,7 @@ def copula_marginals(spark, sf_dir):
 
 
 def _model_table(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(*MODEL_COLUMNS, "l_linenumber", "l_returnflag")
+    return table(spark, sf_dir, "lineitem", heavy=True).select(*MODEL_COLUMNS, "l_linenumber", "l_returnflag")
 
 
 @query("copula_sample")

@@ -144,7 +144,7 @@ def _pii_sql(of: str) -> str:
 
 @query("pii_scan", _pii_sql("(SELECT text FROM documents UNION ALL SELECT text FROM conversations)"))
 def pii_scan(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
+    texts = table(spark, sf_dir, "documents", heavy=True).select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
     return privacy.pii_scan(texts, "text")
 
 
@@ -156,7 +156,7 @@ def _mask_sql(text: str) -> str:
 
 @query("pii_mask", f"SELECT doc_id, md5({_mask_sql('text')}) AS masked_md5, length({_mask_sql('text')})::INT AS masked_length FROM documents")
 def pii_mask(spark, sf_dir):
-    masked = table(spark, sf_dir, "documents").withColumn("masked", privacy.pii_mask(F.col("text")))
+    masked = table(spark, sf_dir, "documents", heavy=True).withColumn("masked", privacy.pii_mask(F.col("text")))
     return masked.select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked_md5"), F.length("masked").alias("masked_length"))
 
 

@@ -143,7 +143,7 @@ def _ddl(spark, sf_dir):
         F.lit("(id),\n FOREIGN KEY (a, b) REFERENCES pairs (x, y),\n FOREIGN KEY (`user_id`) REFERENCES `owners` (`id`),\n INDEX idx_u (user_id),\n KEY k2 (kind)\n)"),
         F.when(F.col("p_size") % 2 == 0, ";\n").otherwise(""),
     )
-    return table(spark, sf_dir, "part").select(p.alias("path"), text.alias("value"))
+    return table(spark, sf_dir, "part", heavy=True).select(p.alias("path"), text.alias("value"))
 
 
 def _ddl_sql(users: list[tuple], posts: list[tuple]) -> str:
@@ -224,7 +224,7 @@ def _docs(spark, sf_dir):
         kind.isin("purchase", "signup"),
         F.concat(F.lit(',"user":{"id":'), F.col("user_id").cast("string"), F.lit(',"a":{"b":{"c":{"d":{"e":1}},"x":true}}}')),
     ).otherwise(F.lit(""))
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events", heavy=True).select(
         "event_id",
         F.concat(
             F.lit('{"_id":'), F.col("event_id").cast("string"), F.lit(',"props":'), F.col("props"), F.lit(',"value":'), value, nested,
