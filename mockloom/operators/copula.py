@@ -46,14 +46,15 @@ def category_table(df: DataFrame, cols: list[str]) -> tuple[dict[str, list[tuple
     """Category shares of the text columns that have few categories, and the names of the others."""
     if not cols:
         return {}, []
-    sizes = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
+    # one pass for all columns; the estimate only decides how a column is treated
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
     small = [c for c in cols if 0 < sizes[c] <= MAX_CATEGORIES]
     many = [c for c in cols if sizes[c] > MAX_CATEGORIES]
     if not small:
         return {}, many
     counts = df.select(*[F.col(c).cast("string").alias(c) for c in small]).unpivot([], small, "c", "v").dropna().groupBy("c", "v").count()
     table: dict[str, list[tuple[str, float]]] = {c: [] for c in small}
-    for c, v, n in counts.orderBy("c", F.col("count").desc(), "v").collect():  # at most MAX_CATEGORIES per column
+    for c, v, n in counts.orderBy("c", F.col("count").desc(), "v").collect():  # about MAX_CATEGORIES per column
         table[c].append((v, n))
     for c, rows in table.items():
         total = sum(n for _, n in rows)

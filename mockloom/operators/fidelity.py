@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from mockloom.functions.tests_math import chi2_pvalue, ks_pvalue
 from mockloom.operators.scan import lookup_by_key, running_totals
+from mockloom.session import shared_dir
 
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -77,6 +78,12 @@ def value_counts(real: DataFrame, synth: DataFrame, cols: list[str], as_text: bo
     )
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder once, for results that several later steps read."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def _empty(spark, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -318,7 +325,7 @@ def correlation_preservation(real: DataFrame, synth: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation of two columns with average ranks for ties."""
     whole = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
-    joint = whole.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+    joint = settled(whole.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
 
     def ranks(name: str) -> DataFrame:
         counts = joint.groupBy(F.lit(name).alias("axis"), F.col(name)).agg(
@@ -330,7 +337,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
             name, "entries", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2 - middle).alias(f"r_{name}")
         )
 
-    on_a = lookup_by_key(joint, ranks("a"), ["a"], "entries").drop("entries")
+    on_a = settled(lookup_by_key(joint, ranks("a"), ["a"], "entries").drop("entries"))
     on_b = lookup_by_key(on_a, ranks("b"), ["b"], "entries").drop("entries")
     w, ra, rb = F.col("w"), F.col("r_a"), F.col("r_b")
     return on_b.agg(
@@ -419,20 +426,38 @@ def quality_label(score: Column) -> Column:
     )
 
 
+def _tests(real: DataFrame, synth: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """KS, chi-square and correlation results, each absent where no column qualifies."""
+    numeric = numeric_columns(real, synth)
+    return (
+        ks_test(real, synth) if numeric else None,
+        chi_square_test(real, synth) if text_columns(real, synth) else None,
+        correlation_preservation(real, synth) if len(numeric) > 1 else None,
+    )
+
+
 def quality_score(real: DataFrame, synth: DataFrame) -> DataFrame:
     """Mean of the KS pass rate, chi-square pass rate and correlation score that exist."""
+    return _score(real.sparkSession, *_tests(real, synth))
+
+
+def _score(spark, ks: DataFrame | None, chi: DataFrame | None, corr: DataFrame | None) -> DataFrame:
     passed = F.avg(F.col("similar_distribution").cast("double"))
     parts = []
-    if numeric_columns(real, synth):
-        parts.append(ks_test(real, synth).agg(passed.alias("score")).select(F.lit("ks").alias("part"), "score"))
-    if text_columns(real, synth):
-        parts.append(chi_square_test(real, synth).agg(passed.alias("score")).select(F.lit("chi2").alias("part"), "score"))
-    if len(numeric_columns(real, synth)) > 1:
+    if ks is not None:
+        parts.append(ks.agg(passed.alias("score")).select(F.lit("ks").alias("part"), "score"))
+    if chi is not None:
+        parts.append(chi.agg(passed.alias("score")).select(F.lit("chi2").alias("part"), "score"))
+    if corr is not None:
         kept = F.greatest(F.lit(0.0), 1.0 - F.col("max_correlation_difference"))
+        # undefined throughout: the score component is 0
         parts.append(
-            correlation_preservation(real, synth).select(F.lit("corr").alias("part"), F.coalesce(kept, F.lit(0.0)).alias("score"))
+            corr.select(
+                F.lit("corr").alias("part"),
+                F.when(F.col("max_correlation_difference").isNull(), 0.0).otherwise(kept).alias("score"),
+            )
         )
-    scores = parts[0] if parts else _empty(real.sparkSession, "part string, score double")
+    scores = parts[0] if parts else _empty(spark, "part string, score double")
     for more in parts[1:]:
         scores = scores.unionByName(more)
     of = lambda part: F.max(F.when(F.col("part") == part, F.col("score")))
@@ -465,19 +490,20 @@ def evaluate_table(name: str, real: DataFrame, synth: DataFrame) -> DataFrame:
         return df.select(F.lit(name).alias("table_name"), column.alias("column_name"), F.inline(cells))
 
     whole = F.lit("*")
+    # one row per column each: kept once, read by the report and by the score
+    ks, chi, corr = (settled(t) if t is not None else None for t in _tests(real, synth))
     rows = melt(row_ratio(real, synth), ["real_data_rows", "synthetic_data_rows", "generation_ratio"], whole)
-    if numeric_columns(real, synth):
-        ks = ks_test(real, synth).withColumnsRenamed({"statistic": "ks_statistic", "p_value": "ks_p_value"})
-        rows = rows.unionByName(melt(ks, ["ks_statistic", "ks_p_value"], F.col("column_name")))
-        stats = basic_statistics(real, synth)
+    if ks is not None:
+        named = ks.withColumnsRenamed({"statistic": "ks_statistic", "p_value": "ks_p_value"})
+        rows = rows.unionByName(melt(named, ["ks_statistic", "ks_p_value"], F.col("column_name")))
+        stats = settled(basic_statistics(real, synth))
         rows = rows.unionByName(melt(stats, [c for c in stats.columns if c != "column_name"], F.col("column_name")))
-    if text_columns(real, synth):
-        chi = chi_square_test(real, synth).withColumnRenamed("p_value", "chi2_p_value")
-        rows = rows.unionByName(melt(chi, ["chi2_statistic", "degrees_of_freedom", "chi2_p_value"], F.col("column_name")))
-    if len(numeric_columns(real, synth)) > 1:
-        corr = correlation_preservation(real, synth)
+    if chi is not None:
+        named = chi.withColumnRenamed("p_value", "chi2_p_value")
+        rows = rows.unionByName(melt(named, ["chi2_statistic", "degrees_of_freedom", "chi2_p_value"], F.col("column_name")))
+    if corr is not None:
         rows = rows.unionByName(melt(corr, ["max_correlation_difference", "mean_correlation_difference"], whole))
-    return rows.unionByName(melt(quality_score(real, synth), ["overall_score"], whole))
+    return rows.unionByName(melt(_score(real.sparkSession, ks, chi, corr), ["overall_score"], whole))
 
 
 def evaluate_tables(real: dict[str, DataFrame], synth: dict[str, DataFrame]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mockloom.operators.catalog import all_attributes, with_counts
-from mockloom.operators.scan import with_neighbours
+from mockloom.operators.scan import lookup_by_key, with_neighbours
 
 STATUSES = ["pending", "running", "completed", "failed", "cancelled"]
 TERMINAL = ["completed", "failed", "cancelled"]
@@ -45,10 +45,11 @@ def fold_updates(updates: DataFrame, key: str, order: list[str], columns: list[s
 
 def audit_steps(jobs: DataFrame, logs: DataFrame) -> DataFrame:
     """Audit rows of known jobs with the seconds since the job's previous step."""
-    timed = with_neighbours(logs, ["job_id"], ["logged_at", "log_id"], "logged_at", before="previous_at")
-    known = timed.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
+    sizes = logs.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
+    known = lookup_by_key(logs, jobs.select("job_id").distinct().join(sizes, "job_id"), ["job_id"], "_n").drop("_n")
+    timed = with_neighbours(known, ["job_id"], ["logged_at", "log_id"], "logged_at", before="previous_at")
     seconds = F.timestamp_diff("MICROSECOND", F.col("previous_at"), F.col("logged_at")) / 1e6
-    return known.withColumn("seconds_since_previous", seconds)
+    return timed.withColumn("seconds_since_previous", seconds)
 
 
 # --- dashboard --------------------------------------------------------------------------

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mockloom.functions import typemaps
+from mockloom.operators.fidelity import settled
 from mockloom.operators.scan import lookup_by_key
-from mockloom.session import shared_dir
 
 MAX_DEPTH = 5  # path components that are followed
 # fixed values: variant type -> document value type / graph property type
@@ -129,12 +129,6 @@ def _tagged(edges: DataFrame, nodes: DataFrame, end: str, label: Column, name: s
     return lookup_by_key(edges, per_node, [end], "_degree").drop("_degree")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder once, since the next lookup reads it several times."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _head(labels: str = "labels") -> Column:
     return F.get(F.col(labels), F.lit(0))
 
@@ -142,7 +136,7 @@ def _head(labels: str = "labels") -> Column:
 def node_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (label, relationship type, label of the target), 'Unknown' for unlabelled targets."""
     to_target = _tagged(edges.select("src", "dst", "type"), nodes, "dst", _head(), "target", "_degree")
-    shrunk = _settled(to_target.select("src", "type", F.coalesce("target", F.lit("Unknown")).alias("target")).distinct())
+    shrunk = settled(to_target.select("src", "type", F.coalesce("target", F.lit("Unknown")).alias("target")).distinct())
     from_source = _tagged(shrunk, nodes, "src", F.col("labels"), "_labels", "_degree")
     return from_source.select(F.explode("_labels").alias("label"), "type", "target").distinct()
 
@@ -150,7 +144,7 @@ def node_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def relationship_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (type, source label, target label), first labels only."""
     to_target = _tagged(edges.select("src", "dst", "type"), nodes, "dst", _head(), "target", "_degree")
-    shrunk = _settled(to_target.select("src", "type", "target").distinct())
+    shrunk = settled(to_target.select("src", "type", "target").distinct())
     return _tagged(shrunk, nodes, "src", _head(), "source", "_degree").select("type", "source", "target").distinct()
 
 
