@@ -410,6 +410,14 @@ def quality_report(real: dict[str, DataFrame], synth: dict[str, DataFrame]) -> D
     return out
 
 
+def quality_overall(report: DataFrame) -> DataFrame:
+    """Mean scores over the tables of ``quality_report``."""
+    return report.agg(
+        F.count(F.lit(1)).alias("tables"),
+        *[F.avg(c).alias(c) for c in ("shape_score", "pair_score", "overall_score")],
+    )
+
+
 # --- scores -------------------------------------------------------------------
 
 
@@ -517,6 +525,13 @@ def evaluate_tables(real: dict[str, DataFrame], synth: dict[str, DataFrame]) ->
     return out
 
 
+def evaluate_named(name: str, real: dict[str, DataFrame], synth: dict[str, DataFrame]) -> DataFrame:
+    """Metrics of one table of the two sets."""
+    if name not in real or name not in synth:
+        raise ValueError(f"Table {name} not found in both datasets")
+    return evaluate_table(name, real[name], synth[name])
+
+
 def overall_summary(evaluation: DataFrame) -> DataFrame:
     """Totals and the mean table score over the rows of ``evaluate_tables``."""
     of = lambda metric: F.when(F.col("metric") == metric, F.col("value"))

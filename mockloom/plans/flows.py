@@ -10,6 +10,20 @@ from mockloom.operators import copula
 from mockloom.operators.fidelity import evaluate_tables
 from mockloom.operators.generate import TableSet
 
+# fixed values: request templates, with the scale and the synthesizer they name
+TEMPLATES = {
+    "quick": {"scale_factor": 2.0, "synthesizer_type": "HMA"},
+    "balanced": {"scale_factor": 5.0, "synthesizer_type": "HMA"},
+    "high_quality": {"scale_factor": 10.0, "synthesizer_type": "CTGAN"},
+}
+
+
+def from_template(spark: SparkSession, template: str, schema: Mapping, rows: Mapping[str, int], seed=42):
+    """Complete flow at a template's scale. Sampling uses the copula whatever synthesizer is named."""
+    if template not in TEMPLATES:
+        raise ValueError(f"Unknown template {template}")
+    return complete(spark, schema, rows, TEMPLATES[template]["scale_factor"], seed)
+
 
 def quick(spark: SparkSession, schema: Mapping, rows: Mapping[str, int], seed=42) -> dict[str, DataFrame]:
     """Seed tables, each scaled up by a copula fitted on it."""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -11,6 +13,8 @@ from pyspark.sql.types import StructType
 SYNTHETIC_SUFFIX = "_synthetic"
 FORMATS = ("csv", "parquet", "json", "orc")
 
+log = logging.getLogger(__name__)
+
 
 def read_json_column(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
@@ -31,6 +35,35 @@ def read_csv_set(spark: SparkSession, directory: str, schemas: dict[str, StructT
     }
 
 
+def csv_table_names(spark: SparkSession, directory: str, synthetic: bool = False) -> list[str]:
+    """Names of the tables of a folder, whether files or folders of part files. Contents are not read."""
+    suffix = SYNTHETIC_SUFFIX if synthetic else ""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path")
+    below = F.split(F.element_at(F.split("path", f"/{directory.rstrip('/').rsplit('/', 1)[-1]}/", 2), -1), "/")[0]
+    names = files.select(below.alias("entry")).filter(F.col("entry").endswith(f"{suffix}.csv")).distinct()
+    return sorted(r[0] for r in names.select(table_name(F.col("entry"), synthetic)).collect())  # one row per table
+
+
+def load_datasets(
+    spark: SparkSession, real_dir: str, synth_dir: str, schemas: dict[str, StructType | str] | None = None
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Both table sets. Tables without a given schema are inferred; an unreadable one is logged and left out."""
+
+    def load(directory: str, synthetic: bool) -> dict[str, DataFrame]:
+        found = {}
+        suffix = SYNTHETIC_SUFFIX if synthetic else ""
+        for name in csv_table_names(spark, directory, synthetic):
+            reader = spark.read.option("header", True)
+            reader = reader.schema(schemas[name]) if name in (schemas or {}) else reader.option("inferSchema", True)
+            try:
+                found[name] = reader.csv(f"{directory}/{name}{suffix}.csv")
+            except AnalysisException as problem:
+                log.error("Error loading %s: %s", name, problem)
+        return found
+
+    return load(real_dir, False), load(synth_dir, True)
+
+
 def common_tables(real: dict[str, DataFrame], synth: dict[str, DataFrame]) -> list[str]:
     """Tables present in both sets; without any, an evaluation has nothing to compare."""
     return [t for t in real if t in synth]

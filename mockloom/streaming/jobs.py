@@ -59,7 +59,11 @@ def latest_status(events: DataFrame, name: str = "latest-status") -> DataFrame:
 
 
 def ingest_once(events: DataFrame, key: str = "event_id", delay: str = "1 hour", name: str = "ingest") -> DataFrame:
-    """Events delivered at least once, each kept once."""
+    """Events delivered at least once, each kept once.
+
+    ``delay`` bounds the state: it has to exceed how late an event may arrive
+    after newer ones of an earlier batch.
+    """
     fresh = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
     return events.sparkSession.read.parquet(_run(fresh, "append", name)).drop("batch")
 

@@ -341,6 +341,33 @@ def test_first_terminal_status_ends_a_job(spark, tmp_path):
     assert streams.ingest_once(stream.unionByName(stream)).count() == 4
 
 
+def test_csv_folders_are_discovered(spark, tmp_path):
+    real, synth = tmp_path / "real", tmp_path / "made"
+    users = spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string")
+    io.write_set({"users": users, "only_real": users}, str(real))
+    io.write_table(users, f"{synth}/users_synthetic.csv")
+    (real / "plain.csv").write_text("a,b\n1,2\n")
+    left, right = io.load_datasets(spark, str(real), str(synth), {"users": users.schema})
+    assert sorted(left) == ["only_real", "plain", "users"] and list(right) == ["users"]
+    assert io.common_tables(left, right) == ["users"] and left["plain"].columns == ["a", "b"]
+    assert rows(fidelity.evaluate_named("users", left, right).filter("metric = 'generation_ratio'").select("value")) == [(1.0,)]
+    with pytest.raises(ValueError):
+        fidelity.evaluate_named("plain", left, right)
+    report = fidelity.quality_report(left, right)
+    assert fidelity.quality_overall(report).first()["tables"] == 1
+
+
+def test_unknown_template(spark):
+    from mockloom.plans import flows
+
+    with pytest.raises(ValueError):
+        flows.from_template(spark, "huge", {}, {})
+    made, report = flows.from_template(
+        spark, "balanced", {"databases": [{"tables": [{"name": "t", "attributes": [{"name": "id", "type": "INT"}, {"name": "e", "type": "ENUM"}]}]}]}, {"t": 200}
+    )
+    assert made["t"].count() == 1000 and report.filter("metric = 'generation_ratio'").first()["value"] == 5.0
+
+
 # --- plans --------------------------------------------------------------------------------------------
 
 
