@@ -372,10 +372,11 @@ def generation_levels(schemas: DataFrame, *keep: str) -> DataFrame:
             F.array_except(state.left, ready).alias("left"),
         )
 
-    prepared = schemas.select(*keep, nodes.alias("_nodes")).filter(F.size("_nodes") > 0)
-    rounds = F.sequence(F.lit(1), F.size("_nodes"))
+    prepared = schemas.select(*keep, F.coalesce(nodes, F.expr("array()")).alias("_nodes"))
+    rounds = F.when(F.size("_nodes") > 0, F.sequence(F.lit(1), F.size("_nodes"))).otherwise(F.array().cast("array<int>"))
     done = prepared.select(*keep, F.aggregate(rounds, start, step, lambda s: s.placed).alias("_placed"))
-    return done.select(*keep, F.inline("_placed").alias("table_name", "level"))
+    # the outer form: a plain inline adds a size filter that is pushed down and works everything out twice
+    return done.select(*keep, F.inline_outer("_placed").alias("table_name", "level")).filter(F.col("table_name").isNotNull())
 
 
 def column_roles(attributes: DataFrame, *keep: str) -> DataFrame:
