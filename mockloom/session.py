@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,13 +28,15 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, a laptop) a temporary folder is
-    made and remembered for the life of the session.
+    Only in local mode, where driver and executors are one process, a temporary
+    folder serves if none is named; anywhere else that is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     root = configured or sc.getCheckpointDir()
     if root is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="mockloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
