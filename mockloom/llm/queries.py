@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mockloom.llm import tokens
+from mockloom.llm import lines, mixing, pii, shards, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -15,11 +16,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    taken = (F.col("mix.size") * F.col("mix.copies")).cast("long").alias("taken")
+    return mixed.select("doc.doc_id", "mix.size", "mix.source_size", "mix.target", taken)
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shards.shard(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_source_mix": op6_source_mix,
+    "op10_shards": op10_shards,
 }
 ORACLES: dict[str, str] = {}
