@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is taken this many times at most (fixed value).
 MOST = 3
-#: Steps in which the drawing threshold of a source is set.
+#: Steps in which the drawing threshold of a source is set: three hex digits of a hash.
 STEPS = 4096
+#: Draws of each document, from one hash; a source uses the one that meets its target best.
+DRAWS = 10
 
 
 def words(text: Column) -> Column:
@@ -18,10 +20,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(seed: str, key: Column) -> Column:
-    """Uniform step 0..STEPS-1 of a row, a function of seed and id alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("null"))))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % STEPS).cast("int")
+def digest(seed: str, key: Column) -> Column:
+    """Hash of a row's id, from which its draws come: a function of seed and id alone."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("null"))))
+
+
+def step(digest: Column, draw: Column | int) -> Column:
+    """Uniform step 0..STEPS-1."""
+    return F.conv(F.substr(digest, F.lit(3) * draw + 1, F.lit(3)), 16, 10).cast("int")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -45,27 +51,28 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return s.select("source", "source_size", F.least("cap", level * F.col("weight")).alias("target"))
 
 
-def plan(rows: DataFrame, seed: str) -> DataFrame:
-    """(source, source_size, target, whole, steps) from (source, size, step): copies of every document, and the threshold under which one more is drawn.
+def plan(rows: DataFrame) -> DataFrame:
+    """(source, source_size, target, whole, draw, steps) from (source, size, digest): copies of every document, and the draw and threshold for one more.
 
     The rate of a source is target over size: floor(rate) copies each, and one
-    more with the probability of the fraction. The draw of a document is its
-    hash; the threshold is the step at which the drawn sizes come nearest to
-    what is still missing, about the fraction times STEPS, so a source with few
-    documents meets its target too. At most STEPS rows for each source.
+    more with the probability of the fraction, by the hash of the document. The
+    threshold is set at the step where the drawn sizes come nearest to what is
+    missing, about the fraction times STEPS, and of DRAWS hashes the nearest is
+    used, so that sources of few or very unequal documents meet their target
+    too. At most DRAWS x STEPS rows for each source.
     """
-    per_step = rows.groupBy("source", "step").agg(F.sum("size").alias("size"))
-    goal = targets(per_step.groupBy("source").agg(F.sum("size").alias("source_size")))
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = goal.withColumn("whole", whole.cast("int")).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
-    steps = Window.partitionBy("source").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = per_step.withColumn("upto", F.sum("size").over(steps))
+    drawn = rows.select("source", "size", "digest", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw"))
+    per_step = drawn.withColumn("step", step(F.col("digest"), F.col("draw"))).groupBy("source", "draw", "step").agg(F.sum("size").alias("size"))
+    upto = Window.partitionBy("source", "draw").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    sums = per_step.withColumn("upto", F.sum("size").over(upto))
     off = F.abs(F.col("upto") - F.col("missing"))
-    same = F.col("d.source").eqNullSafe(F.col("g.source"))
-    best = drawn.alias("d").join(goal.alias("g"), same).groupBy("g.source", "source_size", "target", "whole").agg(
-        F.min(F.struct(off.alias("off"), F.col("step"))).alias("best"), F.first("missing").alias("missing"))
-    steps_taken = F.when(F.col("missing") <= F.col("best.off"), 0).otherwise(F.col("best.step") + 1)
-    return best.select("source", "source_size", "target", "whole", steps_taken.alias("steps"))
+    best = sums.alias("s").join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).groupBy("g.source", "source_size", "target", "whole", "missing")
+    best = best.agg(F.min(F.struct(off.alias("off"), F.col("draw"), (F.col("step") + 1).alias("steps"))).alias("best"))
+    steps = F.when(F.col("missing") <= F.col("best.off"), 0).otherwise(F.col("best.steps"))
+    return best.select("source", "source_size", "target", "whole", "best.draw", steps.alias("steps"))
 
 
 def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -77,12 +84,11 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     and adds nothing; a source of size 0 has target 0 and no copies. Rows with equal
     ids draw alike. Other columns stay, also those named like the ones made here.
     """
-    step = draw(seed, docs[id_col])
-    rows = docs.select(docs[source_col].alias("source"), words(docs[text_col]).alias("size"), step.alias("step"))
-    p = plan(rows, seed)
+    rows = docs.select(docs[source_col].alias("source"), words(docs[text_col]).alias("size"), digest(seed, docs[id_col]).alias("digest"))
+    p = plan(rows)
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     joined = held.join(p, F.col(f"doc.`{source_col}`").eqNullSafe(p["source"]))
-    drawn = (draw(seed, F.col(f"doc.`{id_col}`")) < F.col("steps")).cast("int")
+    drawn = (step(digest(seed, F.col(f"doc.`{id_col}`")), F.col("draw")) < F.col("steps")).cast("int")
     made = F.struct(words(F.col(f"doc.`{text_col}`")).alias("size"), "source_size", "target", (F.col("whole") + drawn).alias("copies"))
     return joined.select("doc", made.alias("mix"))
 
