@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mockloom.llm import lines, mixing, near, pii, shards, tokens
+from mockloom.llm import decontaminate, lines, mixing, near, pii, quality, shards, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,12 +33,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     taken = (F.col("mix.size") * F.col("mix.copies")).cast("long").alias("taken")
     return mixed.select("doc.doc_id", "mix.size", "mix.source_size", "mix.target", taken)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shards.shard(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -49,7 +57,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_near_dedup": op3_near_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
     "op6_source_mix": op6_source_mix,
+    "op9_decontaminate": op9_decontaminate,
     "op10_shards": op10_shards,
 }
 ORACLES: dict[str, str] = {}
