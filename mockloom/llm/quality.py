@@ -17,13 +17,13 @@ from mockloom.llm.words import hashes, mixed, windows, words
 TRAIN_ROWS = 4000
 ROUNDS, DEPTH, RATE, CUTS, LEAST_WEIGHT, RIDGE = 30, 3, 0.3, 32, 2.0, 1.0
 #: Score (probability of good quality) under which a document is rejected.
-KEEP = 0.5
+KEEP = 0.35
 #: Base rules: least words, and the percentage of repeated words allowed.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: What the trees see; -1: the score may only fall as the value grows, 0: free.
 FEATURES = {
-    "symbol_share": -1, "dup_line_share": -1, "repeat_share": -1, "upper_share": -1, "digit_share": -1,
+    "symbol_share": -1, "dup_line_share": -1, "repeat_share": -1, "upper_share": -1,
     "mark_share": 0, "mean_word": 0, "words_per_line": 0, "comma_share": 0, "log_words": 0,
 }
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -37,7 +37,7 @@ def _flag(chars: str) -> np.ndarray:
 
 #: Symbols of the base statistics (fixed values).
 SYMBOLS = _flag("#*$%&|<>")
-_UPPER, _DIGIT = _flag("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _flag("0123456789")
+_UPPER = _flag("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _MARK, _COMMA = _flag("!?{}[]()=/\\_~^@+;:\"'"), _flag(",.")
 
 
@@ -74,7 +74,7 @@ def statistics(data: np.ndarray, bounds: np.ndarray) -> tuple[dict[str, np.ndarr
     base = dict(zip(BASE, (count, chars, per_text(SYMBOLS[data]), lines - distinct, np.bincount(text, weights=covered, minlength=n).astype(np.int64)), strict=True))
     total, several = np.maximum(chars, 1), np.maximum(count, 1)
     matrix = np.column_stack([
-        base["n_symbols"] / total, base["n_dup_lines"] / np.maximum(lines, 1), base["n_repeat_words"] / several, per_text(_UPPER[data]) / total, per_text(_DIGIT[data]) / total,
+        base["n_symbols"] / total, base["n_dup_lines"] / np.maximum(lines, 1), base["n_repeat_words"] / several, per_text(_UPPER[data]) / total,
         per_text(_MARK[data]) / total, chars / several, count / np.maximum(lines, 1), per_text(_COMMA[data]) / total, np.log1p(count)])
     return base, matrix
 

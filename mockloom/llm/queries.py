@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mockloom.llm import decontaminate, lines, mixing, near, pii, quality, shards, tokens
+from mockloom.llm import decontaminate, html, lines, mixing, near, pii, quality, shards, tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -43,6 +43,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "mix.size", "mix.source_size", "mix.target", taken)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
     "op6_source_mix": op6_source_mix,
+    "op7_main_text": op7_main_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_shards": op10_shards,
 }
