@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mockloom.llm import decontaminate, html, lines, mixing, near, pii, quality, shards, tokens
+from mockloom.llm import decontaminate, html, idfile, lines, mixing, near, pii, quality, shards, tokens
+from mockloom.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,12 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_id_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ids")
+    idfile.write_ids(table(spark, sf_dir, "documents"), path, TOKENIZER, END_ID)
+    return idfile.digest(idfile.read_ids(spark, path))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_source_mix": op6_source_mix,
     "op7_main_text": op7_main_text,
+    "op8_id_file": op8_id_file,
     "op9_decontaminate": op9_decontaminate,
     "op10_shards": op10_shards,
 }
