@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mockloom.llm.store import written
+
 #: What is stripped at both ends of a line (fixed values).
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -64,5 +66,6 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     enough = F.col("first") < F.col("last") if min_docs == 2 else F.col("docs") >= min_docs
     many = [F.count_distinct("doc_id").alias("docs")] if min_docs > 2 else []
     repeated = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), *many).where(enough).select("key", "first")
+    repeated = written(repeated, "line-keys")  # so that both sides of the join are dealt by it, and a hot key's rows can be split
     gone = found.join(repeated, "key").where("doc_id != first").groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
     return source.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(rebuild, "doc_id long, text string, n_lines long, n_dropped long")

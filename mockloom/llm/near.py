@@ -189,3 +189,14 @@ def _across(members: DataFrame) -> DataFrame:
     rows = members.join(mixed_keys, "key").select("key", "id", "component")
     other = rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
     return rows.join(other, "key").where("id < b and component != cb").select(F.col("id").alias("a"), "b").distinct()
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns as they are; of kept rows that share an id, one.
+
+    Rows with a null id all stay.
+    """
+    kept = near_duplicates(docs, n, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    held = docs.select(docs[id_col].cast("long").alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    one = held.join(kept, "_id", "left_semi").groupBy("_id").agg(F.min_by("doc", F.coalesce(F.col("doc")[text_col], F.lit(""))).alias("doc"))
+    return one.select("doc.*").union(held.where("_id is null").select("doc.*"))

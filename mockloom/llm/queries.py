@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mockloom.llm import decontaminate, html, idfile, lines, mixing, near, pii, quality, shards, tokens
+from mockloom.llm import decontaminate, html, idfile, lines, mixing, near, pii, quality, shards, sql, tokens
 from mockloom.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_shards": op10_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_near_dedup": sql.NEAR_DEDUP, "op4_line_dedup": sql.LINE_DEDUP, "op6_source_mix": sql.SOURCE_MIX}
