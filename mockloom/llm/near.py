@@ -23,6 +23,8 @@ SLACK = 5.2
 _RANDOM = np.random.default_rng(20_24)
 _FACTOR = _RANDOM.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
+#: Documents of one bucket that are compared side by side.
+BUCKET_BLOCK = 512
 #: Hashes of one set taken in one go.
 BLOCK = 4096
 
@@ -110,8 +112,78 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _with_component(members: DataFrame, linked: DataFrame) -> DataFrame:
-    return members.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.array(column.combine_chunks().flatten(), np.int64).reshape(-1, width).view(np.uint64)
+
+
+def _candidates(percent: int, cut: float):
+    """Of two blocks of a bucket: documents of different components that sizes and estimate allow, as lists of partners."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, component, n, block = (np.array(rows.column(c), np.int64) for c in ("id", "component", "n", "block"))
+        bands, sig = _matrix(rows.column("bands"), BANDS), _matrix(rows.column("sig"), BANDS * ROWS * BITS // 64)
+        i, j, key = rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), np.array(rows.column("key")[:1], np.int64).view(np.uint64)[0]
+        partners: dict[int, list[int]] = {}
+        fold = np.uint64(int("01" * 32, 2))
+        right = np.flatnonzero(block == j)
+        for x in np.flatnonzero(block == i):
+            y = right[(component[right] != component[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+            y = y[ids[y] > ids[x]] if i == j else y
+            unlike = sig[y] ^ sig[x]
+            unlike = np.bitwise_count((unlike | unlike >> np.uint64(1)) & fold).sum(axis=1)
+            y = y[(1 - unlike / (BANDS * ROWS) - 2.0**-BITS) / (1 - 2.0**-BITS) >= cut]
+            same = bands[y] == bands[x]
+            # a pair belongs to the first band it shares, so that no other bucket takes it again
+            y = y[bands[x][same.argmax(axis=1)] == key] if len(y) else y
+            if len(y):
+                partners[int(x)] = ids[y].tolist()
+                for k in y.tolist():
+                    partners.setdefault(k, [])
+        columns = [pa.array([ids[k] for k in partners], pa.int64()), pa.array(list(partners.values()), pa.list_(pa.int64()))]
+        group = [pa.array([rows.column(c)[0].as_py()] * len(partners), rows.column(c).type) for c in ("key", "i", "j")]
+        return pa.Table.from_arrays(group + columns, names=["key", "i", "j", "id", "partners"])
+
+    return run
+
+
+def _links(percent: int):
+    """Partners in a group whose whole sets are similar enough."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids = rows.column("id").to_pylist()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
+        every, code = np.unique(np.concatenate(sets), return_inverse=True)
+        cuts = np.cumsum([0, *map(len, sets)])
+        at, here, found = {d: k for k, d in enumerate(ids)}, np.zeros(len(every), bool), []
+        for x, others in enumerate(rows.column("partners").to_pylist()):
+            if others:
+                here[code[cuts[x]:cuts[x + 1]]] = True
+                for other in others:
+                    y = at[other]
+                    both = int(here[code[cuts[y]:cuts[y + 1]]].sum())
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        found.append((ids[x], other))
+                here[code[cuts[x]:cuts[x + 1]]] = False
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
+def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, cut: float) -> DataFrame:
+    """Links (a, b) between components, of all buckets that hold several.
+
+    ``members`` is (key, id, component). A bucket is cut in blocks of about
+    BUCKET_BLOCK; two blocks at a time are compared by signature, and the lists
+    of possible partners are confirmed on the whole sets. No pair becomes a row
+    but a link, and no task holds more than two blocks.
+    """
+    stats = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high"))
+    several = written(stats.where("low < high").select("key", F.ceil(F.col("c") / BUCKET_BLOCK).cast("int").alias("blocks")), "near-several")
+    rows = members.join(several, "key").join(classes.select("id", "n", "bands", "sig"), "id")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+    maybe = rows.groupBy("key", "i", "j").applyInArrow(_candidates(percent, cut), "key long, i int, j int, id long, partners array<long>")
+    return written(maybe, "near-partners").join(sets, "id").groupBy("key", "i", "j").applyInArrow(_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,11 +196,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     1. One pass makes band keys and 2-bit signatures. Equal sets are one class
        from here on, so copies are never paired.
     2. Members of a bucket (equal band key) are paired with its smallest member.
-       Every document is first linked to the partner with the best estimate,
-       and only pairs across components thus found are looked at again: first the
-       other pairs of that kind, then all pairs of a bucket that still join two
-       components. So a group of many near copies costs its size, not its square,
-       and no candidate pair is left out.
+       Every document is first linked to the partner with the best estimate.
+       Only documents of one bucket and different components are compared again,
+       in blocks (see ``_across``): the components of a large group of near copies
+       are few by then, and no candidate pair is left out.
     3. Estimates rule out pairs SLACK deviations under the threshold; all others
        are confirmed on the whole sets, which are made for bucket members only.
 
@@ -155,42 +226,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sets = written(source.join(wanted, "doc_id", "left_semi").mapInArrow(set_rows, "id long, shingles binary"), "near-sets")
     sig = classes.select("id", "n", "sig")
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that sizes and estimate allow, with the estimate."""
-        two = pairs.join(sig.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-        two = two.join(sig.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-        t = percent / 100
-        spread = ((t + (1 - t) * 2.0**-BITS) * (1 - t) / (BANDS * ROWS) / (1 - 2.0**-BITS)) ** 0.5
-        two = two.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).withColumn("est", estimate(F.col("sa"), F.col("sb")))
-        return two.where(F.col("est") >= t - SLACK * spread).select("a", "b", "est")
-
-    stars = written(likely(members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()), "near-stars")
-    first = stars.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
-    links = written(_confirmed(first, sets, percent), "near-links")
-    tried = first
-    for rest in (lambda linked: stars, lambda linked: _across(_with_component(members, linked))):
-        linked = components(links)
-        pairs = rest(linked).select("a", "b").join(tried, ["a", "b"], "left_anti")
-        ends = [linked.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-        pairs = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        pairs = written(likely(pairs).select("a", "b"), "near-pairs")
-        links = written(links.union(_confirmed(pairs, sets, percent)), "near-links")
-        tried = tried.union(pairs)
-    linked = components(links)
+    t = percent / 100
+    cut = t - SLACK * ((t + (1 - t) * 2.0**-BITS) * (1 - t) / (BANDS * ROWS) / (1 - 2.0**-BITS)) ** 0.5
+    stars = members.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    for x in "ab":
+        stars = stars.join(classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")), x)
+    stars = stars.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).withColumn("est", estimate(F.col("sa"), F.col("sb"))).where(F.col("est") >= cut)
+    nearest = stars.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
+    linked = components(written(_confirmed(nearest, sets, percent), "near-links"))
+    held = members.select("key", "id").join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    held = written(held, "near-held")
+    linked = components(linked.select("id", "component").union(_across(held, classes, sets, percent, cut)))
     of_class = classes.select("n", "s1", "s2", "id").join(linked, "id", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n", "s1", "s2").join(of_class, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """All pairs of one bucket and two components, from buckets that hold several components."""
-    mixed_keys = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rows = members.join(mixed_keys, "key").select("key", "id", "component")
-    other = rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return rows.join(other, "key").where("id < b and component != cb").select(F.col("id").alias("a"), "b").distinct()
-
-
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, all columns as they are; of kept rows that share an id, one.
 
