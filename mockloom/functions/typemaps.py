@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 # fixed values: declared SQL type -> seed strategy
 STRATEGY = {
-    **dict.fromkeys(["INT", "INTEGER", "BIGINT", "SMALLINT", "TINYINT"], "integer"),
-    **dict.fromkeys(["VARCHAR", "CHAR"], "string"),
-    **dict.fromkeys(["TIMESTAMP", "DATETIME"], "datetime"),
-    **dict.fromkeys(["BOOLEAN", "BOOL"], "boolean"),
-    "TEXT": "text", "DECIMAL": "decimal", "FLOAT": "float", "DOUBLE": "float",
-    "DATE": "date", "TIME": "time", "ENUM": "enum", "JSON": "json",
+    "INT": "integer", "INTEGER": "integer", "BIGINT": "integer", "SMALLINT": "integer", "TINYINT": "integer",
+    "VARCHAR": "string", "CHAR": "string", "TEXT": "text",
+    "DECIMAL": "decimal", "FLOAT": "float", "DOUBLE": "float",
+    "DATE": "date", "TIME": "time", "TIMESTAMP": "datetime", "DATETIME": "datetime",
+    "BOOLEAN": "boolean", "BOOL": "boolean", "ENUM": "enum", "JSON": "json",
 }
 # fixed values: declared SQL type -> modelling role
 ROLE = {
-    **dict.fromkeys(["INT", "INTEGER", "BIGINT", "SMALLINT", "TINYINT", "DECIMAL", "FLOAT", "DOUBLE"], "numerical"),
-    **dict.fromkeys(["VARCHAR", "TEXT", "CHAR", "ENUM", "JSON"], "categorical"),
-    **dict.fromkeys(["TIMESTAMP", "DATETIME", "DATE", "TIME"], "datetime"),
-    **dict.fromkeys(["BOOLEAN", "BOOL"], "boolean"),
+    "INT": "numerical", "INTEGER": "numerical", "BIGINT": "numerical", "SMALLINT": "numerical", "TINYINT": "numerical",
+    "DECIMAL": "numerical", "FLOAT": "numerical", "DOUBLE": "numerical",
+    "VARCHAR": "categorical", "TEXT": "categorical", "CHAR": "categorical", "ENUM": "categorical", "JSON": "categorical",
+    "TIMESTAMP": "datetime", "DATETIME": "datetime", "DATE": "datetime", "TIME": "datetime",
+    "BOOLEAN": "boolean", "BOOL": "boolean",
 }
 # fixed values: document value type -> catalogue type
 DOCUMENT = {

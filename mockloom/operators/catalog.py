@@ -268,9 +268,8 @@ def assemble(columns: DataFrame, pks: DataFrame, uniques: DataFrame, fks: DataFr
 
 def attach_policies(tables: DataFrame, policies: DataFrame) -> DataFrame:
     """Every table with its policies, one row each; tables without any keep one empty row."""
-    counts = policies.groupBy("table_name").agg(F.count(F.lit(1)).alias("_n"))
-    hits = lookup_by_key(policies, tables.join(counts, "table_name"), ["table_name"], "_n").drop("_n")
-    bare = tables.join(counts, "table_name", "left_anti")
+    hits = lookup_by_key(policies, tables, ["table_name"])
+    bare = tables.join(policies.select("table_name").distinct(), "table_name", "left_anti")
     return hits.unionByName(bare, allowMissingColumns=True)
 
 
@@ -392,3 +391,11 @@ def primary_keys(schemas: DataFrame, *keep: str) -> DataFrame:
         .select(*keep, "database", "table_name", F.try_element_at(F.transform(keyed, lambda a: a["name"]), F.lit(-1)).alias("primary_key"))
         .filter(F.col("primary_key").isNotNull())
     )
+
+
+def relationships(attributes: DataFrame, *keep: str) -> DataFrame:
+    """Parent, its key, child and foreign key of every reference to a table of the same document."""
+    known = attributes.select(*keep, F.col("table_name").alias("parent")).distinct()
+    return fk_edges(attributes, *keep).join(known, [*keep, "parent"], "left_semi").select(
+        *keep, "parent", F.col("parent_column").alias("parent_key"), "child", F.col("child_column").alias("foreign_key")
+    )

@@ -1,12 +1,14 @@
 """Gaussian copula: fit on a table, sample any number of rows; child counts per parent.
 
-The fit reads the table for its marginals and once more for the correlation of
-the normal scores. Only grids (columns x points) and a columns x columns
-matrix reach the driver; sampling is one ``range().select()``.
+Numbers, dates and timestamps are modelled by quantile grids, everything else by
+the shares of its values, however many there are: these stay a table, which
+fitting and sampling join. Only grids (columns x points) and a columns x columns
+matrix reach the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -17,17 +19,40 @@ from pyspark.sql import types as T
 
 from mockloom.functions import normal as gauss
 from mockloom.functions.rng import normal, uniform
-from mockloom.operators.fidelity import exact_quantiles
-from mockloom.operators.generate import Draws, semantic_string
-from mockloom.operators.scan import dense_index
+from mockloom.operators.fidelity import exact_quantiles, settled
+from mockloom.operators.generate import Draws
+from mockloom.operators.scan import dense_index, running_totals
 
 GRID = 32  # quantile steps per numeric column
-MAX_CATEGORIES = 1000  # above this a text column is regenerated, not modelled
+CELLS = 1 << 12  # slices of the unit interval by which a drawn share finds its value
 EDGE = 1e-6
 
 
-def _numeric(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _on_grid(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.NumericType, *TEMPORAL))
+
+
+def _plain(field: T.StructField) -> Column:
+    """The column as a number (days or microseconds for times) or as text."""
+    c = F.col(field.name)
+    if isinstance(field.dataType, T.DateType):
+        c = F.unix_date(c)
+    elif isinstance(field.dataType, TEMPORAL):
+        c = F.unix_micros(c.cast("timestamp"))
+    return c.cast("double" if _on_grid(field) else "string").alias(field.name)
+
+
+def _restored(value: Column, field: T.StructField) -> Column:
+    if isinstance(field.dataType, T.DateType):
+        value = F.date_from_unix_date(F.round(value).cast("int"))
+    elif isinstance(field.dataType, TEMPORAL):
+        value = F.timestamp_micros(F.round(value).cast("long"))
+    elif isinstance(field.dataType, T.IntegralType):
+        value = F.round(value)
+    return value.cast(field.dataType)
 
 
 def marginals(df: DataFrame, cols: list[str], steps: int = GRID) -> DataFrame:
@@ -42,24 +67,13 @@ def null_rates(df: DataFrame) -> dict[str, float]:
     return {c: row[c] or 0.0 for c in df.columns}
 
 
-def category_table(df: DataFrame, cols: list[str]) -> tuple[dict[str, list[tuple[str, float]]], list[str]]:
-    """Category shares of the text columns that have few categories, and the names of the others."""
-    if not cols:
-        return {}, []
-    # one pass for all columns; the estimate only decides how a column is treated
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    small = [c for c in cols if 0 < sizes[c] <= MAX_CATEGORIES]
-    many = [c for c in cols if sizes[c] > MAX_CATEGORIES]
-    if not small:
-        return {}, many
-    counts = df.select(*[F.col(c).cast("string").alias(c) for c in small]).unpivot([], small, "c", "v").dropna().groupBy("c", "v").count()
-    table: dict[str, list[tuple[str, float]]] = {c: [] for c in small}
-    for c, v, n in counts.orderBy("c", F.col("count").desc(), "v").collect():  # about MAX_CATEGORIES per column
-        table[c].append((v, n))
-    for c, rows in table.items():
-        total = sum(n for _, n in rows)
-        table[c] = [(v, n / total) for v, n in rows]
-    return table, many
+def category_shares(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, value, low, high): the stretch of [0, 1) that each text value takes, in hash order."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column_name", "value").dropna()
+    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.xxhash64("value"))
+    placed = running_totals(counts, "column_name", "place", ["n"])
+    low, high = F.col("cum_n") - F.col("n"), F.col("cum_n")
+    return placed.select("column_name", "value", (low / F.col("all_n")).alias("low"), (high / F.col("all_n")).alias("high"))
 
 
 @dataclass
@@ -68,14 +82,18 @@ class CopulaModel:
 
     schema: T.StructType
     grids: dict[str, list[float]]
-    categories: dict[str, list[tuple[str, float]]]
-    regenerated: list[str]
+    #: (column_name, value, low, high) of the columns named in ``texts``.
+    shares: DataFrame | None
+    texts: list[str]
     nulls: dict[str, float]
     modelled: list[str]
     factor: np.ndarray
 
-    def sample(self, spark: SparkSession, n: int, seed: int | str = 42, partitions: int | None = None) -> DataFrame:
-        row = F.col("_row")
+    def sample(
+        self, spark: SparkSession, n: int, seed: int | str = 42, partitions: int | None = None, keys: Mapping[str, Column] | None = None
+    ) -> DataFrame:
+        """``keys`` gives columns that are not drawn but computed from the row id ``_row`` (1, 2, ...)."""
+        row, keys = F.col("_row"), keys or {}
         base = spark.range(1, n + 1, 1, partitions).withColumnRenamed("id", "_row")
         draws = base.select("_row", *[normal(seed, "copula", c, row).alias(f"_g{i}") for i, c in enumerate(self.modelled)])
         mixed = [
@@ -84,57 +102,61 @@ class CopulaModel:
         ]
         share = lambda z: F.least(F.greatest(gauss.cdf(z), F.lit(0.0)), F.lit(1.0 - 1e-12))
         placed = draws.select("_row", *mixed).select("_row", *[share(F.col(f"_z{i}")).alias(f"_u{i}") for i in range(len(self.modelled))])
+        for c in self.texts:
+            if c not in keys:
+                placed = self._looked_up(placed, c)
         out = []
         for field in self.schema:
-            value = self._value(field, row, seed)
-            rate = self.nulls.get(field.name, 0.0)
-            if rate > 0:
-                value = F.when(uniform(seed, "copula-null", field.name, row) >= rate, value)
+            value = keys.get(field.name)
+            if value is None:
+                value = _restored(self._value(field), field)
+                rate = self.nulls.get(field.name, 0.0)
+                if rate > 0:
+                    value = F.when(uniform(seed, "copula-null", field.name, row) >= rate, value)
             out.append(value.cast(field.dataType).alias(field.name))
         return placed.select(*out)
 
-    def _value(self, field: T.StructField, row: Column, seed) -> Column:
+    def _looked_up(self, placed: DataFrame, name: str) -> DataFrame:
+        """Add ``_t_<name>``: the value in whose stretch the drawn share lies, met by equal slices."""
+        u = F.col(f"_u{self.modelled.index(name)}")
+        spans = self.shares.filter(F.col("column_name") == name)
+        cells = F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))
+        spans = spans.select(F.col("value").alias(f"_t_{name}"), "low", "high", F.explode(cells).alias("_cell"))
+        met = placed.withColumn("_cell", F.floor(u * CELLS)).join(spans, "_cell")
+        return met.filter((u >= F.col("low")) & (u < F.col("high"))).drop("_cell", "low", "high")
+
+    def _value(self, field: T.StructField) -> Column:
         name = field.name
-        if name in self.regenerated:
-            return semantic_string(name, Draws(seed, "copula-text", name, row), "en_US")
-        if name not in self.modelled:
+        if name in self.texts:
+            return F.col(f"_t_{name}")
+        if name not in self.grids:
             return F.lit(None)
-        u = F.col(f"_u{self.modelled.index(name)}")
-        if name in self.grids:
-            grid = self.grids[name]
-            steps = len(grid) - 1
-            points = F.array(*[F.lit(float(v)) for v in grid])
-            at = F.floor(u * steps).cast("int")
-            low, high = F.element_at(points, at + 1), F.element_at(points, at + 2)
-            value = low + (high - low) * (u * steps - at)
-            return F.round(value) if isinstance(field.dataType, T.IntegralType) else value
-        ends = np.cumsum([share for _, share in self.categories[name]])
-        words = F.array(*[F.lit(v) for v, _ in self.categories[name]])
-        below = _rank(u, [float(e) for e in ends])
-        return F.element_at(words, F.least(below + 1, F.lit(len(ends))))
-
-
-def fit(df: DataFrame, steps: int = GRID) -> CopulaModel:
-    """Fit marginals and correlation. Dates and booleans are modelled as categories or numbers of their text."""
-    numbers = _numeric(df)
-    texts = [c for c in df.columns if c not in numbers]
-    grids = {r["column_name"]: list(r["quantiles"]) for r in marginals(df, numbers, steps).collect()} if numbers else {}
-    categories, many = category_table(df, texts)
-    modelled = [c for c in df.columns if c in grids or c in categories]
+        u, grid = F.col(f"_u{self.modelled.index(name)}"), self.grids[name]
+        steps = len(grid) - 1
+        points = F.array(*[F.lit(float(v)) for v in grid])
+        at = F.floor(u * steps).cast("int")
+        low, high = F.element_at(points, at + 1), F.element_at(points, at + 2)
+        return low + (high - low) * (u * steps - at)
+
+
+def fit(df: DataFrame, steps: int = GRID, skip: Sequence[str] = ()) -> CopulaModel:
+    """Fit marginals and correlation of all columns but those in ``skip``, which are sampled as null."""
+    fields = [f for f in df.schema if f.name not in skip]
+    plain = df.select(*[_plain(f) for f in fields])
+    numbers = [f.name for f in fields if _on_grid(f)]
+    texts = [f.name for f in fields if not _on_grid(f)]
+    grids = {r["column_name"]: list(r["quantiles"]) for r in marginals(plain, numbers, steps).collect()} if numbers else {}
+    nulls = null_rates(plain) if fields else {}
+    texts = [c for c in texts if nulls[c] < 1.0 and plain.filter(F.col(c).isNotNull()).limit(1).count()]
+    shares = settled(category_shares(plain, texts)) if texts else None
+    modelled = [f.name for f in fields if f.name in grids or f.name in texts]
     factor = np.eye(len(modelled))
     if len(modelled) > 1:
-        factor = _factor(_score_correlation(df, modelled, grids, categories))
-    return CopulaModel(df.schema, grids, categories, many, null_rates(df), modelled, factor)
-
+        factor = _factor(_score_correlation(plain, modelled, grids, shares, texts))
+    return CopulaModel(df.schema, grids, shares, texts, nulls, modelled, factor)
 
-def _rank(x: Column, points: list[float]) -> Column:
-    """Number of sorted points at or below a value; long lists are searched as an array."""
-    if len(points) <= 64:
-        return sum((F.when(x >= p, 1).otherwise(0) for p in points), F.lit(0))
-    return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= x))
 
-
-def _score_correlation(df: DataFrame, modelled: list[str], grids: dict, categories: dict) -> np.ndarray:
+def _score_correlation(df: DataFrame, modelled: list[str], grids: dict, shares: DataFrame | None, texts: list[str]) -> np.ndarray:
     """Correlation of the normal scores over pairwise complete rows.
 
     Each Arrow batch is scored with NumPy and leaves only its d x d sums, which
@@ -142,11 +164,9 @@ def _score_correlation(df: DataFrame, modelled: list[str], grids: dict, categori
     """
     d = len(modelled)
     spans = {c: np.asarray(grids[c], dtype=float) for c in modelled if c in grids}
-    middles = {}
-    for c in modelled:
-        if c in categories:
-            ends = np.cumsum([s for _, s in categories[c]])
-            middles[c] = {v: float(e - s / 2) for (v, s), e in zip(categories[c], ends)}
+    for name in texts:  # a text stands for the middle of its stretch
+        middle = shares.filter(F.col("column_name") == name).select(F.col("value").alias(name), ((F.col("low") + F.col("high")) / 2).alias("_p"))
+        df = df.join(middle, name, "left").withColumn(name, F.col("_p")).drop("_p")
     coefficients = (gauss.INV_A, gauss.INV_B, gauss.INV_C, gauss.INV_D)
     edge = EDGE
 
@@ -171,7 +191,7 @@ def _score_correlation(df: DataFrame, modelled: list[str], grids: dict, categori
                     p = numpy.interp(x, spans[name], numpy.linspace(0, 1, len(spans[name])))
                     p[numpy.isnan(x)] = numpy.nan
                 else:
-                    p = frame[name].map(middles[name]).to_numpy(dtype=float)
+                    p = frame[name].to_numpy(dtype=float, na_value=numpy.nan)
                 z[:, i] = inverse(numpy.clip(p, edge, 1 - edge))
             known = (~numpy.isnan(z)).astype(float)
             z = numpy.nan_to_num(z)
@@ -180,8 +200,7 @@ def _score_correlation(df: DataFrame, modelled: list[str], grids: dict, categori
                 {"cell": numpy.arange(d * d), **{k: m.ravel() for k, m in zip(("n", "s", "q", "x"), parts)}}
             )
 
-    typed = df.select(*[F.col(c).cast("double" if c in grids else "string").alias(c) for c in modelled])
-    partial = typed.mapInPandas(sums, "cell int, n double, s double, q double, x double")
+    partial = df.select(*modelled).mapInPandas(sums, "cell int, n double, s double, q double, x double")
     rows = partial.groupBy("cell").agg(*[F.sum(k).alias(k) for k in ("n", "s", "q", "x")]).orderBy("cell").collect()  # d x d rows
     if not rows:
         return np.eye(d)
@@ -222,16 +241,21 @@ class CopulaPlugin:
 
     def generate(self, spark: SparkSession, n_rows: int) -> DataFrame:
         if getattr(self, "model", None) is None:
-            raise ValueError("Model must be trained before generation.")
+            raise ValueError("fit the copula before generating rows")
         return self.model.sample(spark, n_rows, self.seed)
 
 
 PLUGINS: dict[str, type] = {"copula": CopulaPlugin}
 
 
+def plugins() -> list[str]:
+    """Names of the registered generator plugins."""
+    return sorted(PLUGINS)
+
+
 def plugin(name: str) -> Generator:
     if name.lower() not in PLUGINS:
-        raise ValueError(f"Plugin {name} not found")
+        raise ValueError(f"no generator plugin is called {name}; there are {', '.join(plugins())}")
     return PLUGINS[name.lower()]()
 
 

@@ -124,6 +124,11 @@ def ks_test(real: DataFrame, synth: DataFrame) -> DataFrame:
     return _verdict(stats.withColumn("p_value", ks_pvalue(F.col("statistic"), F.col("n_real"), F.col("n_synth"))))
 
 
+def _deviation(c: Column) -> Column:
+    """Sample deviation, exactly zero for a constant."""
+    return F.when((F.count(c) > 1) & (F.min(c) == F.max(c)), F.lit(0.0)).otherwise(F.stddev_samp(c))
+
+
 def basic_statistics(real: DataFrame, synth: DataFrame) -> DataFrame:
     """Mean, sample deviation, range, exact median and count of both sides per numeric column."""
     cols = numeric_columns(real, synth)
@@ -133,7 +138,7 @@ def basic_statistics(real: DataFrame, synth: DataFrame) -> DataFrame:
             agg(F.when(side, F.col("value"))).alias(f"{name}_{label}")
             for name, side in sides.items()
             for label, agg in (
-                ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max), ("count", F.count),
+                ("mean", F.avg), ("std", _deviation), ("min", F.min), ("max", F.max), ("count", F.count),
             )
         ]
     )
@@ -279,7 +284,13 @@ def column_shapes(real: DataFrame, synth: DataFrame, csv_semantics: bool = True)
 def _pearson(a: Column, b: Column) -> Column:
     """Pairwise-complete Pearson coefficient; null where a side is constant."""
     left, right = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_samp(left, right), F.stddev_samp(left) * F.stddev_samp(right))
+    coefficient = F.try_divide(F.covar_samp(left, right), F.stddev_samp(left) * F.stddev_samp(right))
+    return F.when(_varies(left) & _varies(right), coefficient)
+
+
+def _varies(c: Column) -> Column:
+    """Whether a column has two values; merged variances of a constant need not be exactly zero."""
+    return F.min(c) < F.max(c)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -288,12 +299,12 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs = list(combinations(cols, 2))
     row = clean.agg(
         *[_pearson(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
-        *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)],
+        *[_varies(F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)],
     )
     cell = lambda a, b, v: F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), v.alias("corr"))
     cells = [cell(a, b, F.col(f"p{i}")) for i, (a, b) in enumerate(pairs)]
     cells += [cell(b, a, F.col(f"p{i}")) for i, (a, b) in enumerate(pairs)]
-    cells += [cell(c, c, F.when(F.col(f"s{i}") > 0, F.lit(1.0))) for i, c in enumerate(cols)]
+    cells += [cell(c, c, F.when(F.col(f"s{i}"), F.lit(1.0))) for i, c in enumerate(cols)]
     return row.select(F.inline(F.array(*cells)))
 
 
@@ -329,16 +340,15 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def ranks(name: str) -> DataFrame:
         counts = joint.groupBy(F.lit(name).alias("axis"), F.col(name)).agg(
-            F.sum("w").alias("n"), F.count(F.lit(1)).alias("entries")
+            F.sum("w").alias("n")
         )
         placed = running_totals(counts, "axis", name, ["n"])
         middle = (F.col("all_n") + 1) / 2
         return placed.select(
-            name, "entries", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2 - middle).alias(f"r_{name}")
+            name, (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2 - middle).alias(f"r_{name}")
         )
 
-    on_a = settled(lookup_by_key(joint, ranks("a"), ["a"], "entries").drop("entries"))
-    on_b = lookup_by_key(on_a, ranks("b"), ["b"], "entries").drop("entries")
+    on_b = lookup_by_key(lookup_by_key(joint, ranks("a"), ["a"]), ranks("b"), ["b"])
     w, ra, rb = F.col("w"), F.col("r_a"), F.col("r_b")
     return on_b.agg(
         F.try_divide(F.sum(w * ra * rb), F.sqrt(F.sum(w * ra * ra)) * F.sqrt(F.sum(w * rb * rb))).alias("spearman"),
@@ -589,6 +599,15 @@ def pk_duplicates(df: DataFrame, key: list[str]) -> DataFrame:
     return repeated.agg(F.count(F.lit(1)).alias("duplicate_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"))
 
 
+def unique_violations(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Repeated values, and the rows that carry them, of every column declared UNIQUE; nulls never collide."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column_name", "value")
+    counts = long.groupBy("column_name", "value").agg(F.count("value").alias("n"))
+    return counts.groupBy("column_name").agg(
+        F.count_if(F.col("n") > 1).alias("duplicate_values"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows")
+    )
+
+
 def not_null_violations(df: DataFrame, cols: list[str]) -> DataFrame:
     """Null count per column declared NOT NULL, in one pass."""
     counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])

@@ -224,12 +224,12 @@ def tables_of(schema: Mapping) -> dict[str, Mapping]:
     return {t["name"]: t for db in schema.get("databases", []) for t in db.get("tables", [])}
 
 
-def generation_order(schema: Mapping) -> list[str]:
+def generation_order(schema: Mapping, strict: bool = False) -> list[str]:
     """Tables of one schema document, parents first, ordered by (level, name).
 
     A table's level is its longest foreign-key path; an edge that closes a
-    cycle, or names an unknown table, is ignored. One document is small; whole
-    catalogues are levelled by ``catalog.generation_levels``.
+    cycle, or names an unknown table, is ignored; with ``strict`` a cycle is an
+    error. One document is small; whole catalogues are levelled by ``catalog.generation_levels``.
     """
     tables = tables_of(schema)
     parents = {
@@ -239,7 +239,10 @@ def generation_order(schema: Mapping) -> list[str]:
     level: dict[str, int] = {}
     left = set(tables)
     while left:
-        ready = {t for t in left if not (parents[t] & left)} or {min(left)}
+        ready = {t for t in left if not (parents[t] & left)}
+        if strict and not ready:
+            raise ValueError(f"foreign keys form a cycle among {', '.join(sorted(left))}")
+        ready = ready or {min(left)}
         for t in ready:
             level[t] = max((level[p] + 1 for p in parents[t] if p in level), default=0)
         left -= ready
@@ -307,11 +310,15 @@ def fk_from_table(child: DataFrame, row_id: str, parent: DataFrame, key: str, na
     """Foreign key drawn uniformly from the keys of an existing table.
 
     Keys are numbered without a global window; the join key is the drawn
-    number, uniform by construction, so no key is hot.
+    number, uniform by construction, so no key is hot. Without any parent row
+    the key is a whole number from 1 to 100, as for an unknown parent.
     """
     indexed = dense_index(parent.select(key), [key], "_n")
     size = indexed.count()
-    drawn = child.withColumn("_n", Draws(seed, "fk", name, F.col(row_id)).whole(max(size, 1)))
+    draws = Draws(seed, "fk", name, F.col(row_id))
+    if size == 0:
+        return child.withColumn(name, (draws.whole(100) + 1).cast(parent.schema[key].dataType))
+    drawn = child.withColumn("_n", draws.whole(size))
     return drawn.join(indexed.withColumnRenamed(key, name), "_n").drop("_n")
 
 
@@ -332,7 +339,7 @@ def plan_rows(tables: DataFrame, overrides: DataFrame, default_rows: int = 10, s
 
 
 def sample_priors(ids: DataFrame, row_id: str, priors: DataFrame, seed=42) -> DataFrame:
-    """One value per row and prior (column_name, dist_type, p1, p2); priors are few and are broadcast."""
+    """One value per row and prior (column_name, dist_type, p1, p2); the result holds every row with every prior."""
     key = F.concat_ws("|", "column_name", F.col(row_id).cast("string"))
     z = normal(seed, "prior", "z", key)
     u = uniform(seed, "prior", "u", key)
@@ -343,5 +350,5 @@ def sample_priors(ids: DataFrame, row_id: str, priors: DataFrame, seed=42) -> Da
         .when(kind == "uniform", p1 + (p2 - p1) * u)
         .when(kind == "exponential", -F.log(F.lit(1.0) - u) / p1)
     )
-    listed = priors.agg(F.collect_list(F.struct("column_name", "dist_type", "p1", "p2"))).scalar()
-    return ids.select(row_id, F.inline(listed)).select(row_id, "column_name", value.alias("value"))
+    pairs = ids.select(row_id).crossJoin(priors.select("column_name", "dist_type", "p1", "p2"))
+    return pairs.select(row_id, "column_name", value.alias("value"))

@@ -45,8 +45,7 @@ def fold_updates(updates: DataFrame, key: str, order: list[str], columns: list[s
 
 def audit_steps(jobs: DataFrame, logs: DataFrame) -> DataFrame:
     """Audit rows of known jobs with the seconds since the job's previous step."""
-    sizes = logs.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
-    known = lookup_by_key(logs, jobs.select("job_id").distinct().join(sizes, "job_id"), ["job_id"], "_n").drop("_n")
+    known = lookup_by_key(logs, jobs.select("job_id").distinct(), ["job_id"])
     timed = with_neighbours(known, ["job_id"], ["logged_at", "log_id"], "logged_at", before="previous_at")
     seconds = F.timestamp_diff("MICROSECOND", F.col("previous_at"), F.col("logged_at")) / 1e6
     return timed.withColumn("seconds_since_previous", seconds)

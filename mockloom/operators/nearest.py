@@ -15,10 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mockloom.operators.scan import dense_index, lookup_by_key
+from mockloom.operators.scan import dense_index
 
 FANOUT = 64
-BROADCAST_NODES = 4096
 
 
 Bounds = list[tuple[float, float]]
@@ -105,14 +104,9 @@ def closest(real: DataFrame, synth: DataFrame, cols: list[str], bounds: Bounds |
     reach = square([F.col(x) - F.col(f"p{i}") for i, x in enumerate(xs)])
 
     def visit(front: DataFrame, h: int, *keep: str) -> DataFrame:
-        """One row per child of the nodes at hand; upper levels have a proven size and are broadcast."""
+        """One row per child of the nodes at hand; one join at every height."""
         here = tree.filter(F.col("height") == h).select("node", "children")
-        if size <= BROADCAST_NODES * FANOUT**h:
-            met = front.join(F.broadcast(here), "node")
-        else:
-            front = front.checkpoint()
-            visits = front.groupBy("node").agg(F.count(F.lit(1)).alias("_visits"))
-            met = lookup_by_key(front, here.join(visits, "node"), ["node"], "_visits")
+        met = front.join(here, "node")  # Spark broadcasts a level whose measured bytes allow it
         return met.select(*xs, "weight", *keep, F.inline("children")).withColumns({"bound": bound, "reach": reach})
 
     root = F.lit(0).cast("bigint")

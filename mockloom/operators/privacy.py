@@ -36,13 +36,17 @@ def leakage_rate(real: DataFrame, synth: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: advice below and from the limit
+ADVICE = ("Proceed", "Use Differential Privacy")
+
+
 def privacy_audit(real: DataFrame, synth: DataFrame, limit: float = 0.05) -> DataFrame:
     """Leakage rate with status and advice."""
     safe = F.col("leakage_rate") < limit
     return leakage_rate(real, synth).select(
         "leakage_rate",
         F.when(safe, "safe").otherwise("risk").alias("status"),
-        F.when(safe, "Proceed").otherwise("Use Differential Privacy").alias("recommendation"),
+        F.when(safe, ADVICE[0]).otherwise(ADVICE[1]).alias("recommendation"),
     )
 
 
@@ -52,33 +56,26 @@ def generalise(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def k_anonymity(df: DataFrame, k: int, quasi: list[str]) -> DataFrame:
-    """Rows whose quasi-identifier group has at least k members.
+    """Rows whose quasi-identifier group has at least k members; nulls form groups.
 
-    Groups below k are few-rowed by definition, so large groups are told apart
-    first: a group above 1/1000 of the rows is one of at most 1000 and its rows
-    pass a broadcast check without being shuffled.
+    Groups below k are few-rowed by definition, so they are what is looked up;
+    the rows of a large group are dealt by the join alone, which the adaptive
+    skew join can split.
     """
-    sizes = df.groupBy(*quasi).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    marked = sizes.withColumn("_hot", (F.col("_n") * 1000 > total) & (F.col("_n") >= k))
-    same = lambda left, right: reduce(
-        lambda x, y: x & y, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in quasi]
-    )
-    hot = F.broadcast(marked.filter("_hot").select(*quasi)).alias("h")
-    small = marked.filter(F.col("_n") < k).select(*quasi).alias("s")
-    kept_hot = df.alias("d").join(hot, same("d", "h"), "left_semi")
-    kept_rest = df.alias("d").join(hot, same("d", "h"), "left_anti").alias("d").join(small, same("d", "s"), "left_anti")
-    return kept_hot.unionByName(kept_rest)
+    small = df.groupBy(*quasi).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < k).select(*quasi)
+    same = reduce(lambda x, y: x & y, [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in quasi])
+    return df.alias("d").join(small.alias("s"), same, "left_anti")
 
 
 def dp_counts(
-    df: DataFrame, user: str, group: str, epsilon: float, max_groups: int, seed: int | str = 42
+    df: DataFrame, user: str, group: str, epsilon: float, max_groups: int, seed: int | str
 ) -> DataFrame:
     """Users per group with Laplace noise of scale max_groups / epsilon.
 
     A user counts once per group and in at most ``max_groups`` groups, chosen by
     hash order. Distinct (user, group) pairs are formed first, so the window of
-    a user holds no more rows than there are groups.
+    a user holds no more rows than there are groups. Only the noisy number leaves;
+    ``seed`` must be kept secret, as the noise follows from it.
     """
     pairs = df.select(F.col(user).alias("u"), F.col(group).alias("g")).distinct()
     order = Window.partitionBy("u").orderBy(F.md5(F.concat_ws("|", F.col("u").cast("string"), F.col("g").cast("string"))))
@@ -90,7 +87,6 @@ def dp_counts(
     inner = F.greatest(F.lit(1.0) - F.abs(centred) * 2, F.lit(2.0**-32))
     return exact.select(
         F.col("g").alias("group_value"),
-        "bounded_users",
         (F.col("bounded_users") - F.signum(centred) * scale * F.log(inner)).alias("noisy_users"),
     )
 
@@ -126,27 +122,34 @@ def pii_mask(text: Column) -> Column:
 CIPHERS = {"AES-128": 16, "AES-256": 32}
 
 
-def encrypt_columns(df: DataFrame, cols: dict[str, str], key: str, mode: str = "GCM") -> DataFrame:
-    """Base64 of the AES-encrypted columns; other algorithms are refused."""
+def encrypt_columns(df: DataFrame, cols: dict[str, str], keys: DataFrame, mode: str = "GCM") -> DataFrame:
+    """Base64 of the AES-encrypted columns; other algorithms are refused.
+
+    ``keys`` is a table of one row and one text column. The key travels as data
+    and shows in no plan or event log.
+    """
     for algorithm in cols.values():
         if algorithm not in CIPHERS:
             raise ValueError(f"{algorithm} is not offered; choose one of {sorted(CIPHERS)}")
-    return df.withColumns(
-        {
-            c: F.base64(F.aes_encrypt(F.col(c).cast("string"), F.lit(_key(key, a)), F.lit(mode)))
-            for c, a in cols.items()
-        }
-    )
+    lock = lambda c, a: F.base64(F.aes_encrypt(F.col(c).cast("string"), _key(a), F.lit(mode)))
+    return _with_key(df, keys).withColumns({c: lock(c, a) for c, a in cols.items()}).drop(_SECRET)
 
 
-def decrypt_columns(df: DataFrame, cols: dict[str, str], key: str, mode: str = "GCM") -> DataFrame:
-    return df.withColumns(
-        {c: F.aes_decrypt(F.unbase64(c), F.lit(_key(key, a)), F.lit(mode)).cast("string") for c, a in cols.items()}
-    )
+def decrypt_columns(df: DataFrame, cols: dict[str, str], keys: DataFrame, mode: str = "GCM") -> DataFrame:
+    unlock = lambda c, a: F.aes_decrypt(F.unbase64(c), _key(a), F.lit(mode)).cast("string")
+    return _with_key(df, keys).withColumns({c: unlock(c, a) for c, a in cols.items()}).drop(_SECRET)
+
+
+_SECRET = "_secret"
+
+
+def _with_key(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Every row with the key beside it; one row is broadcast."""
+    return df.crossJoin(F.broadcast(keys.limit(1).toDF(_SECRET)))
 
 
-def _key(key: str, algorithm: str) -> str:
+def _key(algorithm: str) -> Column:
     size = CIPHERS[algorithm]
-    if len(key.encode()) < size:
-        raise ValueError(f"{algorithm} needs a key of at least {size} bytes")
-    return key.encode()[:size].decode()
+    raw = F.col(_SECRET).cast("binary")
+    short = F.raise_error(F.lit(f"{algorithm} needs a key of at least {size} bytes")).cast("binary")
+    return F.when(F.octet_length(raw) >= size, F.substring(raw, 1, size)).otherwise(short)

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mockloom.functions import typemaps
-from mockloom.operators.fidelity import settled
 from mockloom.operators.scan import lookup_by_key
 
-MAX_DEPTH = 5  # path components that are followed
+DEPTH = 5  # path components that are followed unless asked otherwise
 # fixed values: variant type -> document value type / graph property type
 VARIANT_TO_DOCUMENT = {
     "BIGINT": "int", "STRING": "str", "DOUBLE": "float", "DECIMAL": "float", "FLOAT": "float", "BOOLEAN": "bool",
@@ -43,24 +42,25 @@ def user_collections(collections: DataFrame) -> DataFrame:
     )
 
 
-def document_paths(docs: DataFrame, doc: str) -> DataFrame:
+def document_paths(docs: DataFrame, doc: str, depth: int = DEPTH) -> DataFrame:
     """(path, type) of every field of every document, in one pass.
 
-    Five outer explodes follow each path down; an inner field is reported on
+    Fields below ``depth`` components are not listed one by one; the object that
+    holds them is, as JSON. One outer explode for each level follows the paths down; an inner field is reported on
     the row of its first child only, so it counts once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.try_parse_json(doc).alias("v0"))
-    for i in range(1, MAX_DEPTH + 1):
+    for i in range(1, depth + 1):
         field = spark.tvf.variant_explode_outer(F.col(f"v{i - 1}").outer()).toDF(f"p{i}", f"k{i}", f"v{i}")
         rows = rows.lateralJoin(field)
         # arrays are not descended
         rows = rows.withColumn(f"v{i}x", F.when(F.schema_of_variant(f"v{i}").startswith("OBJECT"), F.col(f"v{i}")))
         rows = rows.withColumnsRenamed({f"v{i}": f"t{i}", f"v{i}x": f"v{i}"})
     cells = []
-    for i in range(1, MAX_DEPTH + 1):
+    for i in range(1, depth + 1):
         first = F.col(f"k{i}").isNotNull()
-        for j in range(i + 1, MAX_DEPTH + 1):
+        for j in range(i + 1, depth + 1):
             first = first & (F.coalesce(F.col(f"p{j}"), F.lit(0)) == 0)
         path = F.concat_ws(".", *[F.col(f"k{j}") for j in range(1, i + 1)])
         kind = typemaps.document_type(_kind(F.col(f"t{i}"), VARIANT_TO_DOCUMENT))
@@ -68,10 +68,10 @@ def document_paths(docs: DataFrame, doc: str) -> DataFrame:
     return rows.select(F.inline(F.array_compact(F.array(*cells))))
 
 
-def infer_documents(docs: DataFrame, doc: str) -> DataFrame:
+def infer_documents(docs: DataFrame, doc: str, depth: int = DEPTH) -> DataFrame:
     """Fields with dominant type and nullability. Equal counts go to the later type name."""
     total = docs.agg(F.count(F.lit(1))).scalar()
-    histogram = document_paths(docs, doc).groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
+    histogram = document_paths(docs, doc, depth).groupBy("path", "type").agg(F.count(F.lit(1)).alias("n"))
     fields = histogram.groupBy("path").agg(
         F.max_by("type", F.struct("n", "type")).alias("type"), F.sum("n").alias("seen")
     )
@@ -122,11 +122,9 @@ def node_attributes(nodes: DataFrame, constraints: DataFrame | None = None) -> D
     )
 
 
-def _tagged(edges: DataFrame, nodes: DataFrame, end: str, label: Column, name: str, weight: str) -> DataFrame:
-    """Attach a label of one end of each edge. Hubs are handled by their degree."""
-    degree = edges.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias("_degree"))
-    per_node = degree.join(nodes.select("id", label.alias(name)), "id").withColumnRenamed("id", end)
-    return lookup_by_key(edges, per_node, [end], "_degree").drop("_degree")
+def _tagged(edges: DataFrame, nodes: DataFrame, end: str, label: Column, name: str) -> DataFrame:
+    """Attach a label of one end of each edge."""
+    return lookup_by_key(edges, nodes.select(F.col("id").alias(end), label.alias(name)), [end])
 
 
 def _head(labels: str = "labels") -> Column:
@@ -135,17 +133,17 @@ def _head(labels: str = "labels") -> Column:
 
 def node_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (label, relationship type, label of the target), 'Unknown' for unlabelled targets."""
-    to_target = _tagged(edges.select("src", "dst", "type"), nodes, "dst", _head(), "target", "_degree")
-    shrunk = settled(to_target.select("src", "type", F.coalesce("target", F.lit("Unknown")).alias("target")).distinct())
-    from_source = _tagged(shrunk, nodes, "src", F.col("labels"), "_labels", "_degree")
+    to_target = _tagged(edges.select("src", "dst", "type"), nodes, "dst", _head(), "target")
+    shrunk = to_target.select("src", "type", F.coalesce("target", F.lit("Unknown")).alias("target")).distinct()
+    from_source = _tagged(shrunk, nodes, "src", F.col("labels"), "_labels")
     return from_source.select(F.explode("_labels").alias("label"), "type", "target").distinct()
 
 
 def relationship_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct (type, source label, target label), first labels only."""
-    to_target = _tagged(edges.select("src", "dst", "type"), nodes, "dst", _head(), "target", "_degree")
-    shrunk = settled(to_target.select("src", "type", "target").distinct())
-    return _tagged(shrunk, nodes, "src", _head(), "source", "_degree").select("type", "source", "target").distinct()
+    to_target = _tagged(edges.select("src", "dst", "type"), nodes, "dst", _head(), "target")
+    shrunk = to_target.select("src", "type", "target").distinct()
+    return _tagged(shrunk, nodes, "src", _head(), "source").select("type", "source", "target").distinct()
 
 
 def relationship_profile(edges: DataFrame) -> DataFrame:

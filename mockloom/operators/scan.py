@@ -84,21 +84,15 @@ def dense_index(df: DataFrame, order: list[Column | str], name: str) -> DataFram
     )
 
 
-def lookup_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, share: int = 1000) -> DataFrame:
-    """Inner join of many rows with one row per key, safe for hot keys.
+def lookup_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of many rows with one row per key, both read once.
 
-    ``weight`` is the number of rows behind each key. Keys holding more than
-    1/``share`` of all rows are at most ``share`` many, so that side has a
-    proven bound and is broadcast: their rows are never shuffled. The rest is
-    an ordinary shuffled join whose largest key is below that share.
+    ``per_key`` usually ends in a grouping by the same keys and would join in
+    place; then Spark cannot split a hot key's rows. Dealing it out evenly first
+    gives both sides an exchange of the join's own, which the adaptive skew join splits.
     """
-    total = per_key.agg(F.sum(weight)).scalar()
-    marked = per_key.withColumn("_hot", F.col(weight) * share > total)
-    hot = marked.filter("_hot").drop("_hot")
-    cold = marked.filter(~F.col("_hot")).drop("_hot")
-    on_hot = rows.join(F.broadcast(hot), keys)
-    on_cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
-    return on_hot.unionByName(on_cold)
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.join(per_key.repartition(slices), keys)
 
 
 def with_neighbours(

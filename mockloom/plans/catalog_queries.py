@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from mockloom.functions import typemaps
@@ -63,7 +65,7 @@ def payloads(spark, sf_dir):
     """Uploads as JSON text, every other one wrapped in ``{"schema": ...}``."""
     doc = _document()
     text = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(doc.alias("schema")))).otherwise(F.to_json(doc))
-    return table(spark, sf_dir, "documents", heavy=True).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         cat.schema_id(F.col("doc_id").cast("string")).alias("schema_id"),
         cat.content_hash(F.col("doc_id").cast("string")).alias("content_hash"),
@@ -426,3 +428,30 @@ def column_roles(spark, sf_dir):
 @query("table_primary_keys", f"WITH {SCHEMAS} SELECT schema_id, 'db' || i AS database, table_name, 'id' AS primary_key FROM tabs")
 def table_primary_keys(spark, sf_dir):
     return cat.primary_keys(schemas(spark, sf_dir), "schema_id")
+
+
+# --- lookups and relationships ------------------------------------------------------------------
+
+_FOUND = f"WITH {SCHEMAS} SELECT schema_id, filename, user_id FROM schemas WHERE"
+
+
+@query("schema_find_by_id", f"{_FOUND} schema_id = 'schema_' || md5('7')")
+def schema_find_by_id(spark, sf_dir):
+    stored = schemas(spark, sf_dir)
+    return cat.find(stored, "schema_id", "schema_" + hashlib.md5(b"7").hexdigest()).select("schema_id", "filename", "user_id")
+
+
+@query("schema_find_by_hash_owned", f"{_FOUND} content_hash = md5('7') AND user_id = 'en'")
+def schema_find_by_hash_owned(spark, sf_dir):
+    stored = schemas(spark, sf_dir)
+    return cat.find(stored, "content_hash", hashlib.md5(b"7").hexdigest(), "en").select("schema_id", "filename", "user_id")
+
+
+@query(
+    "schema_relationships",
+    f"""WITH {SCHEMAS}, refs AS (SELECT schema_id, table_name AS child, column_name AS foreign_key, unnest(tags) AS tag FROM attrs),
+edges AS (SELECT schema_id, child, foreign_key, regexp_extract(tag, '^{FK_TAG}(.+)[.]([^.]+)$', 1) AS parent, regexp_extract(tag, '^{FK_TAG}(.+)[.]([^.]+)$', 2) AS parent_key FROM refs)
+SELECT schema_id, parent, parent_key, child, foreign_key FROM edges WHERE (schema_id, parent) IN (SELECT (schema_id, table_name) FROM attrs)""",
+)
+def schema_relationships(spark, sf_dir):
+    return cat.relationships(cat.flatten(schemas(spark, sf_dir), "schema_id"), "schema_id")

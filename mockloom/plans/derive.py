@@ -12,16 +12,9 @@ from pyspark.sql import functions as F
 from mockloom.functions.rng import u32, uniform
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
-    """A given table. ``heavy`` spreads a scan with fewer splits than cores before costly row work.
-
-    A file with one row group is one split; a table of many files is left alone.
-    """
-    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if heavy and scan.rdd.getNumPartitions() < cores:
-        return scan.repartition(cores)
-    return scan
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sql_u32(seed, table: str, column: str, row: str) -> str:
@@ -58,7 +51,7 @@ def synth_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     draw = lambda c: uniform(7, "orders", c, key)
     fresh: Column = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (u32(7, "orders", "pick", key) % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "orders", heavy=True).select(
+    return table(spark, sf_dir, "orders").select(
         (F.floor(F.col("o_custkey") * draw("cust"))).cast("bigint").alias("o_custkey"),
         F.when(draw("null") >= 0.1, F.round(F.col("o_totalprice") * (0.8 + 0.4 * draw("price")), 2)).alias("o_totalprice"),
         F.when(draw("keep") < 0.8, F.col("o_orderstatus")).otherwise(fresh).alias("o_orderstatus"),
@@ -94,7 +87,7 @@ LINE_COLUMNS = [
 
 
 def lineitem_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = table(spark, sf_dir, "lineitem", heavy=True)
+    lines = table(spark, sf_dir, "lineitem")
     pick = lambda status: lines.filter(F.col("l_linestatus") == status).select(*LINE_COLUMNS)
     return pick("O"), pick("F")
 

@@ -226,6 +226,23 @@ def row_ratio(spark, sf_dir):
     return rounded(fid.row_ratio(*lineitem_pair(spark, sf_dir)), 9)
 
 
+# a constant spread over the partitions of a range sort: no merged variance may leave a residue
+_CONST = "SELECT o_custkey::DOUBLE AS k, 0.1::DOUBLE AS fixed FROM orders"
+
+
+@query(
+    "basic_stats_constant",
+    f"""WITH real_t AS ({_CONST}), synth_t AS (SELECT k, 0.2::DOUBLE AS fixed FROM ({_CONST}) WHERE k % 2 = 0)
+SELECT 'fixed' AS column_name, 0.1::DOUBLE AS real_mean, 0.0::DOUBLE AS real_std, 0.0::DOUBLE AS synth_std, round(0.2::DOUBLE, 6) AS synth_mean,
+ (SELECT count(*) FROM real_t) AS real_count, (SELECT count(*) FROM synth_t) AS synth_count, 0.0::DOUBLE AS relative_std_difference""",
+)
+def basic_stats_constant(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").repartition(16, "o_orderkey")
+    frame = lambda df, v: df.select(F.lit(v).alias("fixed"))
+    made = fid.basic_statistics(frame(orders, 0.1), frame(orders.filter("o_custkey % 2 = 0"), 0.2))
+    return rounded(made.select("column_name", "real_mean", "real_std", "synth_std", "synth_mean", "real_count", "synth_count", "relative_std_difference"))
+
+
 SCORES = f"""ks_rate AS (SELECT avg((p_value > 0.05)::INT) AS v FROM ks_p),
 chi_rate AS (SELECT avg((p_value > 0.05)::INT) AS v FROM chi_p),
 corr_score AS (SELECT greatest(0.0, 1.0 - max_diff) AS v FROM corr_sum),
@@ -261,7 +278,7 @@ def _evaluation(spark, sf_dir):
     )
 
 
-def _evaluate_sql(name: str, pair: str, nums: list[str], texts: list[str]) -> str:
+def evaluate_sql(name: str, pair: str, nums: list[str], texts: list[str]) -> str:
     """All metrics of one pair in long form, as a parenthesised query."""
     stats = ["mean", "std", "min", "max", "median"]
     fn = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "median": "median"}
@@ -290,9 +307,9 @@ SELECT '{name}' AS table_name, c AS column_name, m AS metric, v AS value FROM ({
 
 
 EVALUATION_SQL = (
-    _evaluate_sql("orders", ORDERS_PAIR, ORDER_NUMS, ORDER_TEXTS)
+    evaluate_sql("orders", ORDERS_PAIR, ORDER_NUMS, ORDER_TEXTS)
     + " UNION ALL "
-    + _evaluate_sql("accounts", ACCOUNTS_PAIR, ["nation", "balance"], ["segment"])
+    + evaluate_sql("accounts", ACCOUNTS_PAIR, ["nation", "balance"], ["segment"])
 )
 
 
@@ -391,6 +408,16 @@ def fk_orphans(spark, sf_dir):
     return fid.fk_orphans(shifted, "o_custkey", table(spark, sf_dir, "customer"), "c_custkey")
 
 
+@query(
+    "unique_violations",
+    """SELECT 'o_custkey' AS column_name, count(*) FILTER (n > 1) AS duplicate_values, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS duplicate_rows
+ FROM (SELECT count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey)
+UNION ALL SELECT 'o_orderkey', count(*) FILTER (n > 1), coalesce(sum(n) FILTER (n > 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey)""",
+)
+def unique_violations(spark, sf_dir):
+    return fid.unique_violations(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey"])
+
+
 @query(
     "pk_duplicates",
     """SELECT count(*) AS duplicate_keys, sum(n)::BIGINT AS duplicate_rows FROM

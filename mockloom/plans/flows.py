@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mockloom.operators import copula
 from mockloom.operators.fidelity import evaluate_tables
-from mockloom.operators.generate import TableSet
+from mockloom.operators.generate import TableSet, column_strategy
 
 # fixed values: request templates, with the scale and the synthesizer they name
 TEMPLATES = {
@@ -21,19 +22,27 @@ TEMPLATES = {
 def from_template(spark: SparkSession, template: str, schema: Mapping, rows: Mapping[str, int], seed=42):
     """Complete flow at a template's scale. Sampling uses the copula whatever synthesizer is named."""
     if template not in TEMPLATES:
-        raise ValueError(f"Unknown template {template}")
+        raise ValueError(f"no template is called {template}")
     return complete(spark, schema, rows, TEMPLATES[template]["scale_factor"], seed)
 
 
 def quick(spark: SparkSession, schema: Mapping, rows: Mapping[str, int], seed=42) -> dict[str, DataFrame]:
     """Seed tables, each scaled up by a copula fitted on it."""
-    return scale_up(spark, TableSet(spark, schema, rows, seed).all(), rows, 2.0, seed)
+    return scale_up(spark, schema, TableSet(spark, schema, rows, seed).all(), rows, 2.0, seed)
 
 
 def scale_up(
-    spark: SparkSession, seeds: Mapping[str, DataFrame], rows: Mapping[str, int], scale: float = 2.0, seed=42
+    spark: SparkSession, schema: Mapping, seeds: Mapping[str, DataFrame], rows: Mapping[str, int], scale: float = 2.0, seed=42
 ) -> dict[str, DataFrame]:
-    return {t: copula.fit(df).sample(spark, int(rows[t] * scale), seed) for t, df in seeds.items()}
+    """Each table from a copula fitted on its seed rows. Keys are not modelled: primary keys
+    number the new rows, foreign keys point at rows of the scaled parent."""
+    scaled = TableSet(spark, schema, {t: int(rows[t] * scale) for t in seeds}, seed)
+    out = {}
+    for t, df in seeds.items():
+        fields = [a for a in scaled.tables[t].get("attributes") or [] if a["name"] in df.columns and column_strategy(a) in ("primary_key", "foreign_key")]
+        keys = {a["name"]: scaled.value(t, a, F.col("_row")) for a in fields}
+        out[t] = copula.fit(df, skip=list(keys)).sample(spark, scaled.rows[t], seed, keys=keys)
+    return out
 
 
 def evaluation_only(real: Mapping[str, DataFrame], synth: Mapping[str, DataFrame]) -> DataFrame:
@@ -43,5 +52,5 @@ def evaluation_only(real: Mapping[str, DataFrame], synth: Mapping[str, DataFrame
 def complete(spark: SparkSession, schema: Mapping, rows: Mapping[str, int], scale: float = 2.0, seed=42) -> tuple[dict[str, DataFrame], DataFrame]:
     """Scaled tables and their evaluation against the seeds."""
     seeds = TableSet(spark, schema, rows, seed).all()
-    made = scale_up(spark, seeds, rows, scale, seed)
+    made = scale_up(spark, schema, seeds, rows, scale, seed)
     return made, evaluation_only(seeds, made)

@@ -9,6 +9,7 @@ from mockloom.plans.catalog_queries import SCHEMAS, schemas
 from mockloom.plans.derive import table
 from mockloom.plans.generation_queries import STAR
 from mockloom.plans.registry import query
+from mockloom.session import scratch_path
 from mockloom.streaming import jobs as streams
 
 # --- jobs from orders, updates and logs from events -----------------------------------------
@@ -169,13 +170,13 @@ SELECT job_id, coalesce(arg_min(status, (ts, event_id)) FILTER (status IN ('comp
  count(*) FILTER (status IN ('completed', 'failed')) > 0 AS finished FROM e GROUP BY job_id""",
 )
 def stream_latest_status(spark, sf_dir):
-    return streams.latest_status(_events(spark, sf_dir))
+    return streams.latest_status(_events(spark, sf_dir), scratch_path(spark, "latest-status"))
 
 
 @query("stream_ingest_dedup", f"SELECT event_id, user_id AS job_id, {EVENT_STATUS} AS status FROM events")
 def stream_ingest_dedup(spark, sf_dir):
     twice = _events(spark, sf_dir).unionByName(_events(spark, sf_dir))  # every event delivered twice
-    return streams.ingest_once(twice).select("event_id", "job_id", "status")
+    return streams.ingest_once(twice, scratch_path(spark, "ingest")).select("event_id", "job_id", "status")
 
 
 @query(
@@ -185,4 +186,4 @@ def stream_ingest_dedup(spark, sf_dir):
  round(count(*) FILTER (status = 'completed') / count(*) FILTER (status IN ('completed', 'failed')) * 100, 2) AS success_rate FROM e""",
 )
 def stream_job_stats(spark, sf_dir):
-    return streams.running_stats(_events(spark, sf_dir))
+    return streams.running_stats(_events(spark, sf_dir), scratch_path(spark, "job-stats"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from mockloom.functions.typemaps import FK_TAG
 from mockloom.operators import catalog as cat
 from mockloom.operators import copula
-from mockloom.operators.fidelity import audit_quality, correlation_difference
+from mockloom.operators.fidelity import audit_quality, correlation_difference, fk_orphans, pk_duplicates
 from mockloom.plans import flows
 from mockloom.plans.catalog_queries import SCHEMAS, schemas
 from mockloom.plans.derive import sql_u32, table
-from mockloom.plans.fidelity_queries import rounded
+from mockloom.plans.fidelity_queries import evaluate_sql, rounded
 from mockloom.plans.registry import query
 
 MODEL_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -32,23 +34,61 @@ def copula_marginals(spark, sf_dir):
     )
 
 
-def _model_table(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem", heavy=True).select(*MODEL_COLUMNS, "l_linenumber", "l_returnflag")
+WHOLE = ["orders", "lineitem"]
+
+
+def _synthetic(spark, sf_dir, name):
+    real = table(spark, sf_dir, name)
+    return real, copula.plugin("copula").fit(real).generate(spark, real.count())
+
+
+def _all_hold(frames):
+    """(table_name, measure, holds) of all tables in one frame."""
+    return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-@query("copula_sample")
+@query(
+    "copula_sample",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, unnest(['rows', 'null shares']) AS measure, true AS holds UNION ALL SELECT '{t}', 'known values', true" for t in WHOLE
+    ),
+)
 def copula_sample(spark, sf_dir):
-    real = _model_table(spark, sf_dir)
-    return copula.fit(real).sample(spark, real.count())
+    """Rows, null shares, and no text value that the real table lacks, over all columns."""
+    parts = []
+    for name in WHOLE:
+        real, made = _synthetic(spark, sf_dir, name)
+        size = lambda df, side: df.agg(
+            F.count(F.lit(1)).alias(f"n_{side}"), *[F.avg(F.col(c).isNull().cast("double")).alias(f"{c}_{side}") for c in real.columns]
+        )
+        gaps = F.greatest(*[F.abs(F.col(f"{c}_real") - F.col(f"{c}_made")) for c in real.columns])
+        both = size(real, "real").join(size(made, "made"))
+        cells = F.array(
+            F.struct(F.lit("rows").alias("measure"), (F.col("n_real") == F.col("n_made")).alias("holds")),
+            F.struct(F.lit("null shares").alias("measure"), (gaps < 0.02).alias("holds")),
+        )
+        parts.append(both.select(F.lit(name).alias("table_name"), F.inline(cells)))
+        texts = [c for c, t in real.dtypes if t == "string"]
+        long = lambda df: df.select(texts).unpivot([], texts, "c", "v")
+        strange = long(made).join(long(real).distinct(), ["c", "v"], "left_anti").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(strange.select(F.lit(name).alias("table_name"), F.lit("known values").alias("measure"), (F.col("n") == 0).alias("holds")))
+    return _all_hold(parts)
 
 
-@query("copula_fidelity")
+@query(
+    "copula_fidelity",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, unnest(['shapes', 'correlations']) AS measure, true AS holds" for t in WHOLE),
+)
 def copula_fidelity(spark, sf_dir):
-    real = _model_table(spark, sf_dir)
-    synth = copula.plugin("copula").fit(real).generate(spark, real.count())
-    shapes = audit_quality(real, synth).select(F.concat(F.lit("shape "), "column_name").alias("measure"), F.col("score").alias("distance"))
-    pairs = correlation_difference(real, synth, MODEL_COLUMNS).filter("col_a < col_b")
-    return rounded(shapes.unionByName(pairs.select(F.concat_ws(" ", F.lit("pair"), "col_a", "col_b").alias("measure"), F.col("diff").alias("distance"))))
+    """Largest distance of a column and of a correlation, times included, over all columns."""
+    parts = []
+    for name in WHOLE:
+        real, made = _synthetic(spark, sf_dir, name)
+        shapes = audit_quality(real, made, csv_semantics=False).agg((F.max("score") < 0.05).alias("holds"))
+        parts.append(shapes.select(F.lit(name).alias("table_name"), F.lit("shapes").alias("measure"), "holds"))
+        pairs = correlation_difference(real, made).agg((F.max("diff") < 0.06).alias("holds"))
+        parts.append(pairs.select(F.lit(name).alias("table_name"), F.lit("correlations").alias("measure"), "holds"))
+    return _all_hold(parts)
 
 
 @query(
@@ -85,35 +125,56 @@ def hma_children(spark, sf_dir):
     return copula.spread_children(copula.synthetic_counts(_counts(spark, sf_dir), "c_custkey", ids), chunk=5)
 
 
-@query("flow_complete")
+_SHOP = {
+    "databases": [{"name": "shop", "tables": [
+        {"name": "customer", "attributes": [{"name": "c_custkey", "type": "BIGINT", "constraints": ["PRIMARY_KEY"]}]},
+        {"name": "orders", "attributes": [
+            {"name": "o_orderkey", "type": "BIGINT", "constraints": ["PRIMARY_KEY"]},
+            {"name": "o_custkey", "type": "BIGINT", "constraints": [FK_TAG + "customer.c_custkey"]},
+        ]},
+    ]}]
+}
+
+
+@query(
+    "flow_complete",
+    """SELECT 'customer' AS table_name, 2 * (SELECT count(*) FROM customer) AS rows, 0 AS duplicate_keys, 0 AS orphan_rows
+UNION ALL SELECT 'orders', 2 * (SELECT count(*) FROM orders), 0, 0""",
+)
 def flow_complete(spark, sf_dir):
-    schema = {
-        "databases": [{"name": "shop", "tables": [
-            {"name": "buyers", "attributes": [
-                {"name": "id", "type": "BIGINT", "constraints": ["PRIMARY_KEY"]},
-                {"name": "score", "type": "DECIMAL", "constraints": []},
-                {"name": "state", "type": "ENUM", "constraints": []},
-            ]},
-            {"name": "carts", "attributes": [
-                {"name": "id", "type": "BIGINT", "constraints": ["PRIMARY_KEY"]},
-                {"name": "buyer_id", "type": "BIGINT", "constraints": [FK_TAG + "buyers.id"]},
-                {"name": "amount", "type": "DECIMAL", "constraints": []},
-            ]},
-        ]}]
-    }
-    rows = {"buyers": table(spark, sf_dir, "customer").count(), "carts": table(spark, sf_dir, "orders").count()}
-    return rounded(flows.complete(spark, schema, rows)[1])
-
-
-@query("flow_quick")
+    """The given tables scaled up twofold: rows, and the integrity of their keys."""
+    seeds = {t: table(spark, sf_dir, t) for t in ("customer", "orders")}
+    rows = {t: df.count() for t, df in seeds.items()}
+    made = flows.scale_up(spark, _SHOP, seeds, rows)
+    keys = {"customer": "c_custkey", "orders": "o_orderkey"}
+    orphans = fk_orphans(made["orders"], "o_custkey", made["customer"], "c_custkey").select("orphan_rows")
+    none = orphans.select(F.lit(0).cast("bigint").alias("orphan_rows")).limit(1)
+    parts = []
+    for t, df in made.items():
+        count = df.agg(F.count(F.lit(1)).alias("rows")).join(pk_duplicates(df, [keys[t]]).select("duplicate_keys"))
+        parts.append(count.join(orphans if t == "orders" else none).select(F.lit(t).alias("table_name"), "*"))
+    return _all_hold(parts)
+
+
+@query("flow_quick", "SELECT 2 * count(*) AS rows, 2 * count(*) AS keys, true AS known_kinds FROM orders")
 def flow_quick(spark, sf_dir):
     schema = {"databases": [{"tables": [{"name": "notes", "attributes": [
         {"name": "id", "type": "BIGINT", "constraints": ["PRIMARY_KEY"]}, {"name": "weight", "type": "FLOAT"}, {"name": "kind", "type": "ENUM"}]}]}]}
-    return flows.quick(spark, schema, {"notes": table(spark, sf_dir, "orders").count()})["notes"]
+    notes = flows.quick(spark, schema, {"notes": table(spark, sf_dir, "orders").count()})["notes"]
+    return notes.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("keys"), F.bool_and(F.col("kind").isNotNull() & F.col("weight").isNotNull()).alias("known_kinds")
+    )
+
+
+_LINES = """real_t AS (SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem WHERE l_linestatus = 'O'),
+synth_t AS (SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem WHERE l_linestatus = 'F')"""
 
 
-@query("flow_evaluation_only")
+@query(
+    "flow_evaluation_only",
+    f"SELECT table_name, column_name, metric, round(value, 5) AS value FROM ({evaluate_sql('lineitem', _LINES, ['l_quantity', 'l_extendedprice'], ['l_returnflag'])})",
+)
 def flow_evaluation_only(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     side = lambda s: lines.filter(F.col("l_linestatus") == s).select("l_quantity", "l_extendedprice", "l_returnflag")
-    return rounded(flows.evaluation_only({"lineitem": side("O")}, {"lineitem": side("F")}))
+    return rounded(flows.evaluation_only({"lineitem": side("O")}, {"lineitem": side("F")}), 5)

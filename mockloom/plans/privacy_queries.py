@@ -128,10 +128,10 @@ def privacy_report(spark, sf_dir):
     f"""WITH pairs AS (SELECT DISTINCT user_id AS u, event_type AS g FROM events),
 kept AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY u ORDER BY md5(u || '|' || g)) <= 3),
 c AS (SELECT g, count(*) AS n, {sql_uniform(42, 'dp', 'event_type', 'g')} - 0.5 AS z FROM kept GROUP BY g)
-SELECT g AS group_value, n AS bounded_users, round(n - sign(z) * (3 / 0.5) * ln(greatest(1 - abs(z) * 2, pow(2.0, -32))), 6) AS noisy_users FROM c""",
+SELECT g AS group_value, round(n - sign(z) * (3 / 0.5) * ln(greatest(1 - abs(z) * 2, pow(2.0, -32))), 6) AS noisy_users FROM c""",
 )
 def dp_counts(spark, sf_dir):
-    return rounded(privacy.dp_counts(table(spark, sf_dir, "events"), "user_id", "event_type", epsilon=0.5, max_groups=3))
+    return rounded(privacy.dp_counts(table(spark, sf_dir, "events"), "user_id", "event_type", epsilon=0.5, max_groups=3, seed=42))
 
 
 def _pii_sql(of: str) -> str:
@@ -144,7 +144,7 @@ def _pii_sql(of: str) -> str:
 
 @query("pii_scan", _pii_sql("(SELECT text FROM documents UNION ALL SELECT text FROM conversations)"))
 def pii_scan(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents", heavy=True).select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
+    texts = table(spark, sf_dir, "documents").select("text").unionByName(table(spark, sf_dir, "conversations").select("text"))
     return privacy.pii_scan(texts, "text")
 
 
@@ -156,7 +156,7 @@ def _mask_sql(text: str) -> str:
 
 @query("pii_mask", f"SELECT doc_id, md5({_mask_sql('text')}) AS masked_md5, length({_mask_sql('text')})::INT AS masked_length FROM documents")
 def pii_mask(spark, sf_dir):
-    masked = table(spark, sf_dir, "documents", heavy=True).withColumn("masked", privacy.pii_mask(F.col("text")))
+    masked = table(spark, sf_dir, "documents").withColumn("masked", privacy.pii_mask(F.col("text")))
     return masked.select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked_md5"), F.length("masked").alias("masked_length"))
 
 
@@ -170,5 +170,6 @@ _KEY = "0123456789abcdef0123456789abcdef"
 def column_encrypt(spark, sf_dir):
     cols = {"c_name": "AES-256", "c_mktsegment": "AES-128"}
     plain = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_name").alias("original"))
-    locked = privacy.encrypt_columns(plain, cols, _KEY, mode="ECB").withColumn("hidden", F.col("c_name") != F.col("original"))
-    return privacy.decrypt_columns(locked, cols, _KEY, mode="ECB").drop("original")
+    keys = spark.createDataFrame([(_KEY,)], "secret string")
+    locked = privacy.encrypt_columns(plain, cols, keys, mode="ECB").withColumn("hidden", F.col("c_name") != F.col("original"))
+    return privacy.decrypt_columns(locked, cols, keys, mode="ECB").drop("original")

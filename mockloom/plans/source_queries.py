@@ -72,17 +72,37 @@ def sink_partitioned(spark, sf_dir):
     return back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("file_inventory")
+_NOTES = "SELECT o_orderstatus AS name, o_orderstatus || ' ' || count(*) AS value FROM orders GROUP BY o_orderstatus"
+
+
+def _note_files(spark, sf_dir, name):
+    """One text file of known content for every order status, in a folder of its own."""
+    path = scratch_path(spark, name)
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    notes = counts.select(F.col("o_orderstatus").alias("status"), F.concat_ws(" ", "o_orderstatus", "n").alias("value"))
+    notes.coalesce(1).write.partitionBy("status").text(path)
+    return path
+
+
+@query("file_inventory", f"SELECT '.txt' AS extension, octet_length(encode(value || chr(10))) AS size, md5(value || chr(10)) AS hash FROM ({_NOTES})")
 def file_inventory(spark, sf_dir):
-    path = io.write_table(table(spark, sf_dir, "orders"), scratch_path(spark, "inventory"), "csv")
-    return io.file_inventory(spark, path, "*.csv")
+    files = io.file_inventory(spark, _note_files(spark, sf_dir, "inventory"), "*.txt", recursive=True)
+    return files.select("extension", "size", "hash")
 
 
-@query("storage_stats")
+@query(
+    "storage_stats",
+    f"""WITH n AS (SELECT sum(octet_length(encode(value)) + 1)::BIGINT AS size, count(*) AS files FROM ({_NOTES}))
+SELECT 'seed_data' AS directory, size, files FROM n UNION ALL SELECT 'synthetic_data', size, files FROM n UNION ALL SELECT '*', 2 * size, 2 * files FROM n""",
+)
 def storage_stats(spark, sf_dir):
-    seeds = io.write_table(table(spark, sf_dir, "customer"), scratch_path(spark, "seeds"), "csv")
-    made = io.write_table(table(spark, sf_dir, "orders"), scratch_path(spark, "made"), "csv")
-    return io.storage_stats(spark, {"seed_data": seeds, "synthetic_data": made})
+    return io.storage_stats(spark, {d: _note_files(spark, sf_dir, d) for d in ("seed_data", "synthetic_data")})
+
+
+@query("ddl_refused", f"SELECT octet_length(encode(value)) + 1 AS length, 'larger than 5 bytes' AS reason FROM ({_NOTES}) WHERE octet_length(encode(value)) + 1 > 5")
+def ddl_refused(spark, sf_dir):
+    path = _note_files(spark, sf_dir, "ddl")
+    return txt.refused_ddl(spark, f"{path}/*", 5, ".txt").select("length", "reason")
 
 
 @query("report_sink", "SELECT o_orderstatus AS column_name, 'rows' AS metric, count(*)::DOUBLE AS value FROM orders GROUP BY 1")
@@ -143,7 +163,7 @@ def _ddl(spark, sf_dir):
         F.lit("(id),\n FOREIGN KEY (a, b) REFERENCES pairs (x, y),\n FOREIGN KEY (`user_id`) REFERENCES `owners` (`id`),\n INDEX idx_u (user_id),\n KEY k2 (kind)\n)"),
         F.when(F.col("p_size") % 2 == 0, ";\n").otherwise(""),
     )
-    return table(spark, sf_dir, "part", heavy=True).select(p.alias("path"), text.alias("value"))
+    return table(spark, sf_dir, "part").select(p.alias("path"), text.alias("value"))
 
 
 def _ddl_sql(users: list[tuple], posts: list[tuple]) -> str:
@@ -224,7 +244,7 @@ def _docs(spark, sf_dir):
         kind.isin("purchase", "signup"),
         F.concat(F.lit(',"user":{"id":'), F.col("user_id").cast("string"), F.lit(',"a":{"b":{"c":{"d":{"e":1}},"x":true}}}')),
     ).otherwise(F.lit(""))
-    return table(spark, sf_dir, "events", heavy=True).select(
+    return table(spark, sf_dir, "events").select(
         "event_id",
         F.concat(
             F.lit('{"_id":'), F.col("event_id").cast("string"), F.lit(',"props":'), F.col("props"), F.lit(',"value":'), value, nested,

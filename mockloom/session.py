@@ -49,6 +49,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def parallelism(spark: SparkSession) -> int:
-    """Number of slices to cut a hot group into: a power of two from 32 to 1024."""
-    wanted = max(32, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """Number of slices to cut a hot group into: a power of two, 32 or the shuffle partitions at least."""
+    wanted = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return 1 << (wanted - 1).bit_length()

@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_DDL_BYTES = 50 * 1024 * 1024
 
+def _files(spark: SparkSession, path: str, extension: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(path)
 
-def read_ddl(spark: SparkSession, path: str, extension: str = ".sql", max_bytes: int = MAX_DDL_BYTES) -> DataFrame:
-    """(path, value) of whole DDL files: UTF-8, or Latin-1 where that fails; oversized files are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(path)
+
+def read_ddl(spark: SparkSession, path: str, extension: str = ".sql", max_bytes: int | None = None) -> DataFrame:
+    """(path, value) of whole DDL files: UTF-8, or Latin-1 where that fails. With ``max_bytes``, see ``refused_ddl`` for the rest."""
+    files = _files(spark, path, extension)
+    if max_bytes is not None:
+        files = files.filter(F.col("length") <= max_bytes)
     text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
-    return files.filter(F.col("length") <= max_bytes).select("path", text.alias("value"))
+    return files.select("path", text.alias("value"))
+
+
+def refused_ddl(spark: SparkSession, path: str, max_bytes: int, extension: str = ".sql") -> DataFrame:
+    """(path, length, reason) of the files that ``read_ddl`` with this limit leaves out."""
+    over = _files(spark, path, extension).filter(F.col("length") > max_bytes)
+    return over.select("path", "length", F.format_string("larger than %d bytes", F.lit(max_bytes)).alias("reason"))
 
 
 def unfence(raw: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mockloom.operators.jobs import TERMINAL, success_rate
-from mockloom.session import scratch_path
 
 
 def event_stream(spark: SparkSession, directory: str, schema, pattern: str) -> DataFrame:
@@ -19,10 +18,12 @@ def event_stream(spark: SparkSession, directory: str, schema, pattern: str) -> D
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(stream: DataFrame, mode: str, name: str) -> str:
-    """Process what is available and return the folder of batch outputs."""
-    spark = stream.sparkSession
-    root = scratch_path(spark, name)
+def _run(stream: DataFrame, mode: str, root: str) -> str:
+    """Process what is available and return the folder of batch outputs.
+
+    ``root`` belongs to the caller. A later run with the same folder goes on
+    where the last one ended, also after a crash.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
@@ -47,9 +48,9 @@ def _status_aggregates():
     ]
 
 
-def latest_status(events: DataFrame, name: str = "latest-status") -> DataFrame:
+def latest_status(events: DataFrame, root: str) -> DataFrame:
     """Current status per job; the first terminal status ends a job for good."""
-    path = _run(events.groupBy("job_id").agg(*_status_aggregates()), "update", name)
+    path = _run(events.groupBy("job_id").agg(*_status_aggregates()), "update", root)
     folded = events.sparkSession.read.parquet(path).groupBy("job_id").agg(
         F.min("ended").alias("ended"), F.max("latest").alias("latest")
     )
@@ -58,19 +59,19 @@ def latest_status(events: DataFrame, name: str = "latest-status") -> DataFrame:
     )
 
 
-def ingest_once(events: DataFrame, key: str = "event_id", delay: str = "1 hour", name: str = "ingest") -> DataFrame:
+def ingest_once(events: DataFrame, root: str, key: str = "event_id", delay: str = "1 hour") -> DataFrame:
     """Events delivered at least once, each kept once.
 
     ``delay`` bounds the state: it has to exceed how late an event may arrive
     after newer ones of an earlier batch.
     """
     fresh = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
-    return events.sparkSession.read.parquet(_run(fresh, "append", name)).drop("batch")
+    return events.sparkSession.read.parquet(_run(fresh, "append", root)).drop("batch")
 
 
-def running_stats(events: DataFrame, name: str = "job-stats") -> DataFrame:
+def running_stats(events: DataFrame, root: str) -> DataFrame:
     """Events per status with the success rate, from the last complete result."""
-    path = _run(events.groupBy("status").agg(F.count(F.lit(1)).alias("n")), "complete", name)
+    path = _run(events.groupBy("status").agg(F.count(F.lit(1)).alias("n")), "complete", root)
     results = events.sparkSession.read.parquet(path)
     newest = results.agg(F.max("batch")).scalar()
     counts = results.filter(F.col("batch") == newest)

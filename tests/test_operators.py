@@ -169,7 +169,7 @@ def test_dense_index_and_neighbours(spark):
 def test_lookup_keeps_hot_and_cold_rows(spark):
     df = spark.createDataFrame([("hot", i) for i in range(5000)] + [(f"c{i}", i) for i in range(3000)] + [("gone", 1)], "k string, i int")
     per_key = df.filter("k <> 'gone'").groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.upper("k"))
-    got = scan.lookup_by_key(df, per_key, ["k"], "n", share=100)
+    got = scan.lookup_by_key(df, per_key, ["k"])
     assert got.count() == 8000 and got.filter("v <> upper(k)").count() == 0
 
 
@@ -179,9 +179,10 @@ def test_k_anonymity_with_null_and_hot_group(spark):
     assert got["hot"] == 5000 and got[None] == 3 and "few" not in got and sum(got.values()) == 6503
 
 
-@pytest.mark.parametrize("broadcast_nodes", [4096, 0])
-def test_closest_record_is_exact(spark, monkeypatch, broadcast_nodes):
-    monkeypatch.setattr(nearest, "BROADCAST_NODES", broadcast_nodes)
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_closest_record_is_exact(spark, threshold, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
     rng = random.Random(5)
     cluster = [(0.5 + rng.random() * 1e-6, 0.5 + rng.random() * 1e-6, rng.random()) for _ in range(400)]
     real = cluster + [(rng.random(), rng.random(), rng.random()) for _ in range(300)] + [(0.0, 0.0, 0.0), (1.0, 1.0, 1.0)] + [cluster[0]] * 200
@@ -274,14 +275,26 @@ def test_document_depth_and_empty(spark):
 
 def test_encryption(spark):
     df = spark.createDataFrame([("secret", None)], "a string, b string")
-    key = "k" * 32
+    key = spark.createDataFrame([("k" * 32,)], "key string")
     locked = privacy.encrypt_columns(df, {"a": "AES-256", "b": "AES-128"}, key)
     assert locked.first()["a"] != "secret"
+    assert "kkkkkkkk" not in locked._jdf.queryExecution().toString()
     assert rows(privacy.decrypt_columns(locked, {"a": "AES-256", "b": "AES-128"}, key)) == [("secret", None)]
     with pytest.raises(ValueError):
         privacy.encrypt_columns(df, {"a": "Twofish"}, key)
 
 
+def test_encryption_gives_published_vectors(spark):
+    # ECB example vectors of NIST SP 800-38A, F.1.1 and F.1.5, key and text as bytes (fixed values)
+    text = "6bc1bee22e409f96e93d7e117393172a"
+    vectors = {"AES-128": ("2b7e151628aed2a6abf7158809cf4f3c", "3ad77bb40d7a3660a89ecaf32466ef97"),
+               "AES-256": ("603deb1015ca71be2b73aef0857d77811f352c073b6108d72d9810a30914dff4", "f3eed1bdb5d2a03c064b5a7e3db181f8")}
+    for algorithm, (key, locked) in vectors.items():
+        row = spark.range(1).select(F.unhex(F.lit(text)).alias("t"), F.unhex(F.lit(key)).alias("_secret"))
+        got = row.select(F.hex(F.aes_encrypt("t", privacy._key(algorithm), F.lit("ECB")))).first()[0]
+        assert got[:32].lower() == locked
+
+
 def test_mask_leaves_no_match(spark):
     text = spark.createDataFrame([("mail bob@example.com or 10.0.0.1",)], "t string")
     assert text.select(privacy.pii_mask(F.col("t"))).first()[0] == "mail <EMAIL> or <IPV4>"
@@ -337,8 +350,22 @@ def test_first_terminal_status_ends_a_job(spark, tmp_path):
     for i in range(4):  # one file, so one possible batch, per event
         df.filter(F.col("event_id") == i + 1).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
     stream = streams.event_stream(spark, f"{tmp_path}/part*", df.schema, "*.parquet")
-    assert sorted(rows(streams.latest_status(stream))) == [(7, "completed", True), (8, "pending", False)]
-    assert streams.ingest_once(stream.unionByName(stream)).count() == 4
+    assert sorted(rows(streams.latest_status(stream, f"{tmp_path}/status"))) == [(7, "completed", True), (8, "pending", False)]
+    assert streams.ingest_once(stream.unionByName(stream), f"{tmp_path}/ingest").count() == 4
+
+
+def test_streams_resume_in_their_folder(spark, tmp_path):
+    schema = "event_id bigint, ts timestamp_ntz, job_id bigint, status string"
+    event = lambda i, status: spark.sql(f"SELECT {i}L AS event_id, timestamp_ntz'2024-01-01 00:0{i}:00' AS ts, 7L AS job_id, '{status}' AS status").coalesce(1)
+    stream = lambda: streams.event_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, "*.parquet")
+    event(1, "running").write.mode("append").parquet(f"{tmp_path}/in")
+    assert rows(streams.latest_status(stream(), f"{tmp_path}/s")) == [(7, "running", False)]
+    assert streams.ingest_once(stream(), f"{tmp_path}/i").count() == 1
+    event(1, "running").write.mode("append").parquet(f"{tmp_path}/in")  # delivered again
+    event(2, "completed").write.mode("append").parquet(f"{tmp_path}/in")
+    assert rows(streams.latest_status(stream(), f"{tmp_path}/s")) == [(7, "completed", True)]
+    assert sorted(r["event_id"] for r in streams.ingest_once(stream(), f"{tmp_path}/i").collect()) == [1, 2]
+    assert sorted(r["event_id"] for r in streams.ingest_once(stream(), f"{tmp_path}/i").collect()) == [1, 2]
 
 
 def test_csv_folders_are_discovered(spark, tmp_path):
@@ -393,3 +420,56 @@ def test_scan_reads_two_columns(spark):
     pair = [lines.filter(F.col("l_linestatus") == s) for s in "OF"]
     plan = fidelity.ks_statistic(*pair, ["l_quantity"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_quantity:double,l_linestatus:string>" in plan and "EqualTo(l_linestatus,O)" in plan
+
+
+# --- constants, depth, keys ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("partitions", [2, 3, 7, 16])
+def test_constants_in_many_partitions(spark, partitions):
+    df = spark.range(49 * partitions).select(F.lit(0.1).alias("fixed"), F.col("id").cast("double").alias("x")).repartition(partitions)
+    cells = {(r["col_a"], r["col_b"]): r["corr"] for r in fidelity.correlation_matrix(df, ["fixed", "x"]).collect()}
+    assert cells["fixed", "fixed"] is None and cells["fixed", "x"] is None and cells["x", "x"] == 1.0
+    stats = {r["column_name"]: r for r in fidelity.basic_statistics(df, df).collect()}
+    assert stats["fixed"]["real_std"] == 0.0 and stats["fixed"]["relative_std_difference"] == 0.0
+
+
+def test_ddl_brackets_nest_to_any_depth(spark):
+    deep = "(" * 12 + "a > 0" + ")" * 12
+    text = f"CREATE TABLE t (a INT DEFAULT {deep}, b VARCHAR(10) NOT NULL, CHECK {deep});\nCREATE TABLE u (c INT;"
+    got = {r["column_name"]: r for r in ddl.attributes(spark.createDataFrame([("f", text)], "path string, value string")).collect()}
+    assert set(got) == {"a", "b"} and got["a"]["default_value"] == deep and got["b"]["type_params"] == "10"
+
+
+def test_strict_order_refuses_cycles():
+    tag = lambda t: {"name": "k", "type": "INT", "constraints": [f"{FK}{t}.id"]}
+    schema = {"databases": [{"tables": [{"name": "a", "attributes": [tag("b")]}, {"name": "b", "attributes": [tag("a")]}, {"name": "c"}]}]}
+    assert generate.generation_order(schema) == ["a", "c", "b"]
+    with pytest.raises(ValueError):
+        generate.generation_order(schema, strict=True)
+
+
+def test_foreign_key_without_parents(spark):
+    child, parent = spark.range(500), spark.createDataFrame([], "k long")
+    made = generate.fk_from_table(child, "id", parent, "k", "parent_id")
+    low, high = made.agg(F.min("parent_id"), F.max("parent_id")).first()
+    assert made.count() == 500 and low >= 1 and high <= 100 and dict(made.dtypes)["parent_id"] == "bigint"
+
+
+def test_copula_of_times_and_many_values(spark):
+    real = spark.range(4000).select(
+        F.timestamp_micros(F.col("id") * 3_600_000_000).alias("at"), F.timestamp_micros(F.col("id") * 1_000_000).cast("timestamp_ntz").alias("local"),
+        F.date_from_unix_date((F.col("id") % 700).cast("int")).alias("day"), (F.col("id") % 3 == 0).alias("flag"),
+        F.concat(F.lit("value "), (F.col("id") % 1500).cast("string")).alias("text"), F.lit(None).cast("string").alias("none"),
+    )
+    made = copula.fit(real).sample(spark, 3000)
+    assert made.dtypes == real.dtypes and made.count() == 3000
+    assert made.join(real, "text", "left_anti").count() == 0 and made.select("text").distinct().count() > 1000
+    assert abs(made.filter("flag").count() / 3000 - 1 / 3) < 0.04
+    first, last = made.agg(F.min("at"), F.max("at")).first()
+    edge = real.agg(F.min("at"), F.max("at")).first()
+    assert edge[0] <= first and last <= edge[1] and made.filter("none is not null").count() == 0
+
+
+def test_plugins_are_listed():
+    assert copula.plugins() == ["copula"]
