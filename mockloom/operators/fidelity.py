@@ -113,6 +113,7 @@ def ks_statistic(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFram
 
 def _verdict(frame: DataFrame) -> DataFrame:
     alike = F.col("p_value") > 0.05
+    # fixed values: the two readings of a test
     return frame.withColumn("similar_distribution", alike).withColumn(
         "interpretation", F.when(alike, "Similar distributions").otherwise("Different distributions")
     )
@@ -320,7 +321,7 @@ def correlation_preservation(real: DataFrame, synth: DataFrame) -> DataFrame:
     """Largest and mean coefficient difference with its label. Needs two numeric columns."""
     cols = numeric_columns(real, synth)
     if len(cols) < 2:
-        raise ValueError("Not enough numeric columns for correlation analysis")
+        raise ValueError("a correlation needs two numeric columns on both sides")
     per_column = correlation_difference(real, synth, cols).groupBy("col_b").agg(
         F.max("diff").alias("worst"), F.avg("diff").alias("typical")
     )
@@ -528,7 +529,7 @@ def evaluate_tables(real: dict[str, DataFrame], synth: dict[str, DataFrame]) ->
     """Metrics of every table present in both sets."""
     shared = [t for t in real if t in synth]
     if not shared:
-        raise ValueError("No common tables found for evaluation")
+        raise ValueError("the two sets share no table")
     out = evaluate_table(shared[0], real[shared[0]], synth[shared[0]])
     for name in shared[1:]:
         out = out.unionByName(evaluate_table(name, real[name], synth[name]))
@@ -538,7 +539,7 @@ def evaluate_tables(real: dict[str, DataFrame], synth: dict[str, DataFrame]) ->
 def evaluate_named(name: str, real: dict[str, DataFrame], synth: dict[str, DataFrame]) -> DataFrame:
     """Metrics of one table of the two sets."""
     if name not in real or name not in synth:
-        raise ValueError(f"Table {name} not found in both datasets")
+        raise ValueError(f"{name} is missing on one side")
     return evaluate_table(name, real[name], synth[name])
 
 

@@ -79,7 +79,7 @@ def scan_csv_folder(spark: SparkSession, directory: str, synthetic: bool = False
 def write_table(df: DataFrame, path: str, fmt: str = "csv", partition_by: list[str] | None = None) -> str:
     """Write one table in the chosen format; CSV gets a header."""
     if fmt not in FORMATS:
-        raise ValueError(f"Unknown format {fmt}; choose one of {FORMATS}")
+        raise ValueError(f"{fmt} is no format of this sink; it writes {FORMATS}")
     writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer = writer.option("header", True)

@@ -441,6 +441,14 @@ def test_ddl_brackets_nest_to_any_depth(spark):
     assert set(got) == {"a", "b"} and got["a"]["default_value"] == deep and got["b"]["type_params"] == "10"
 
 
+def test_ddl_knows_all_delimiters(spark):
+    text = 'CREATE TABLE "my db"."the table" ("id" INT PRIMARY KEY, [other id] INT REFERENCES [parent] ("id"), `n` INT, FOREIGN KEY fk1 ("n") REFERENCES x."p" ([k]));'
+    got = {r["column_name"]: r for r in ddl.attributes(spark.createDataFrame([("f", text)], "path string, value string")).collect()}
+    assert {(r["database"], r["table_name"]) for r in got.values()} == {("my db", "the table")}
+    assert set(got) == {"id", "other id", "n"} and got["other id"]["constraints"] == [FK + "parent.id"]
+    assert got["id"]["constraints"] == ["PRIMARY_KEY"] and got["n"]["constraints"] == [FK + "p.k"]
+
+
 def test_strict_order_refuses_cycles():
     tag = lambda t: {"name": "k", "type": "INT", "constraints": [f"{FK}{t}.id"]}
     schema = {"databases": [{"tables": [{"name": "a", "attributes": [tag("b")]}, {"name": "b", "attributes": [tag("a")]}, {"name": "c"}]}]}
