@@ -19,8 +19,8 @@ BLOCK_CHARS = 2_000_000
 
 
 def normal(text: bytes) -> str:
-    """A-Z lowered, runs of ASCII white space as one space, none at the ends."""
-    return b" ".join(text.lower().split()).decode()
+    """Lower case, runs of white space as one space, none at the ends."""
+    return " ".join(text.decode().lower().split())
 
 
 class Item(NamedTuple):
@@ -132,7 +132,7 @@ def _search(block: list[Item]) -> Callable[[], Finder]:
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance) for every document that holds an item with at most one edit in PER_EDIT characters.
 
-    Both sides are normalised (A-Z lowered, white space as one space). The benchmark
+    Both sides are normalised (lower case, white space as one space). The benchmark
     is the query set: it goes to all tasks in blocks of bounded text, one pass over
     all documents for each block, without a shuffle; whole texts are searched.
 
