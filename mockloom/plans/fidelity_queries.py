@@ -371,6 +371,20 @@ def quality_report(spark, sf_dir):
     return rounded(fid.quality_report({"orders": real}, {"orders": synth}))
 
 
+@query(
+    "quality_overall",
+    f"""WITH o AS (WITH {ORDERS_PAIR}, {sql_ks(ORDER_NUMS)}, {sql_categories(ORDER_TEXTS)}, {PAIR_TRENDS}
+ SELECT (SELECT avg(x) FROM (SELECT 1 - tvd AS x FROM tvds UNION ALL SELECT 1 - statistic FROM ks)) AS shape, (SELECT avg(pair_score) FROM trends) AS pair),
+a AS (WITH {ACCOUNTS_PAIR}, {sql_ks(['balance'])} SELECT 1 - statistic AS shape FROM ks)
+SELECT 2 AS tables, round((o.shape + a.shape) / 2, 6) AS shape_score, round(pair, 6) AS pair_score, round(((o.shape + pair) / 2 + a.shape) / 2, 6) AS overall_score FROM o, a""",
+)
+def quality_overall(spark, sf_dir):
+    """Scores over two tables; the second has one column and so no pair."""
+    orders, accounts = orders_pair(spark, sf_dir), [df.select("balance") for df in accounts_pair(spark, sf_dir)]
+    report = fid.quality_report({"orders": orders[0], "accounts": accounts[0]}, {"orders": orders[1], "accounts": accounts[1]})
+    return rounded(fid.quality_overall(report))
+
+
 # --- distribution views --------------------------------------------------------------
 
 
