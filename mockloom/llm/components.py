@@ -6,20 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mockloom.llm.store import written
+from mockloom.operators.scan import lookup_by_key
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of every node are tied to its smallest neighbour."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return lookup_by_key(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of every node, and the node, are tied to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return least.select("u", F.col("m").alias("v")).union(down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return least.select("u", F.col("m").alias("v")).union(lookup_by_key(down, least, ["u"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from mockloom.llm.batches import slices
 from mockloom.llm.components import components
 from mockloom.llm.store import written
 from mockloom.llm.words import hashes, lowered, mixed, windows, words
+from mockloom.operators.scan import lookup_by_key
 
 #: Hash functions: BANDS keys of ROWS minima each. A pair at similarity 0.8 shares no key once in 300,000.
 BANDS, ROWS = 32, 5
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = written(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-classes")
     keyed = classes.select(F.explode("bands").alias("key"), "id")
     buckets = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    members = written(keyed.join(buckets, "key").select("key", "id", "hub"), "near-members")
+    members = written(lookup_by_key(keyed, buckets, ["key"]).select("key", "id", "hub"), "near-members")
 
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
 
@@ -224,7 +225,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
                 yield pa.RecordBatch.from_arrays([rows.column(0), sets], names=["id", "shingles"])
 
     sets = written(source.join(wanted, "doc_id", "left_semi").mapInArrow(set_rows, "id long, shingles binary"), "near-sets")
-    sig = classes.select("id", "n", "sig")
 
     t = percent / 100
     cut = t - SLACK * ((t + (1 - t) * 2.0**-BITS) * (1 - t) / (BANDS * ROWS) / (1 - 2.0**-BITS)) ** 0.5
