@@ -23,7 +23,7 @@ LIMIT = 16
 #: Ids between two checkpoints, and ids after which a block ends.
 STRETCH, BLOCK_IDS = 256, 1 << 18
 #: Pieces one worker remembers before it starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 500_000
 
 
 class LibraryEncoder:
@@ -57,17 +57,31 @@ class LibraryEncoder:
         self.begin = np.append(self.begin, self.used + np.cumsum(sizes))
         self.used = need
 
+    def _numbers(self, raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of pieces among those known; new ones are learnt."""
+        pieces = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        new = list({p for p in pieces if p not in self.known})
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and the number of each text."""
         if len(self.known) > KEPT_PIECES:
             self._clear()
         begin, _ = self.split(data, bounds)
-        raw, ends = data.tobytes(), np.append(begin[1:], len(data)) if len(begin) else begin
-        pieces = [raw[a:b] for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
-        new = list({p for p in pieces if p not in self.known})
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        raw, end = data.tobytes(), np.append(begin[1:], len(data)) if len(begin) else begin
+        at = np.empty(len(begin), np.int64)
+        short = (end - begin <= 8) & (not (data == 0).any())
+        # pieces of up to 8 bytes, most of them, are told apart as one integer
+        packed = np.zeros(int(short.sum()), np.uint64)
+        b, size = begin[short], (end - begin)[short]
+        for k in range(8):
+            more = np.flatnonzero(size > k)
+            packed[more] |= data[b[more] + k].astype(np.uint64) << np.uint64(8 * k)
+        _, first, same = np.unique(packed, return_index=True, return_inverse=True)
+        at[short] = self._numbers(raw, b[first], (b + size)[first])[same]
+        at[~short] = self._numbers(raw, begin[~short], end[~short])
         count = self.begin[at + 1] - self.begin[at]
         until = np.cumsum(count)
         out = self.flat[np.repeat(self.begin[at] - (until - count), count) + np.arange(int(until[-1]) if len(until) else 0)]
@@ -276,7 +290,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2
 
     shape = "part int, block long, doc_ids array<long>, starts array<long>, sizes array<long>, offsets array<long>, bits binary"
     coded = rows.mapInArrow(encode, "doc_id long, n long, offsets array<long>, bits binary")
-    ordered = coded.orderBy("doc_id", "n", "bits").select(F.spark_partition_id().alias("part"), "doc_id", "n", "offsets", "bits")
+    ordered = coded.orderBy("doc_id", "n", F.xxhash64("bits")).select(F.spark_partition_id().alias("part"), "doc_id", "n", "offsets", "bits")
     ordered.mapInArrow(assemble, shape).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
