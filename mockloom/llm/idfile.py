@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
