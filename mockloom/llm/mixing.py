@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mockloom.llm.store import written
+
 #: Weights of the sources in code point order, repeated (fixed values).
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is taken this many times at most (fixed value).
@@ -85,7 +87,7 @@ def mix(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: st
     ids draw alike. Other columns stay, also those named like the ones made here.
     """
     rows = docs.select(docs[source_col].alias("source"), words(docs[text_col]).alias("size"), digest(seed, docs[id_col]).alias("digest"))
-    p = plan(rows)
+    p = written(plan(rows), "mix-plan")  # its size is known from here on: small enough, it is broadcast before any text is shuffled
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     joined = held.join(p, F.col(f"doc.`{source_col}`").eqNullSafe(p["source"]))
     drawn = (step(digest(seed, F.col(f"doc.`{id_col}`")), F.col("draw")) < F.col("steps")).cast("int")
