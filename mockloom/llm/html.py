@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -12,11 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Elements whose content is no text of the page.
-RAW = "script|style|noscript|template|svg|math|iframe|object|audio|video|canvas|textarea|select|title"
+#: Elements whose content is raw, or hidden whatever follows: without an end tag they reach to the end of the page.
+RAW = frozenset("script style iframe textarea title template".split())
+#: Elements whose content is no text of the page if they have an end tag.
+EMBEDDED = frozenset("noscript svg math object audio video canvas select".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-z][a-z0-9:-]*+)((?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-z][a-z0-9:-]*+)((?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>",
     re.S | re.I)
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for name in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: Elements inside a line of text; all others begin and end a block.
@@ -101,6 +105,57 @@ class Block(NamedTuple):
     heading: bool
 
 
+class Token(NamedTuple):
+    start: int
+    end: int
+    #: Lower-case name of a tag, "" for what has no text, "[" for a CDATA section.
+    name: str
+    closing: bool = False
+    attributes: str = ""
+
+
+def tokens(page: str) -> list[Token]:
+    """Tags and CDATA sections in order; an element without text of the page is one token without name.
+
+    An end tag closes the last open element of its name, so nested elements end
+    where they should. Of an EMBEDDED element without end tag, and of an empty
+    <svg/> or <math/>, only the tag is dropped.
+    """
+    out: list[Token] = []
+    opened: list[tuple[str, int]] = []
+    count: Counter[str] = Counter()
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        name, attributes = (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+        closing = bool(m[1] or m[4])
+        whole = not attributes or attributes[0] == "/" or attributes[0].isspace()
+        if not name:
+            out.append(Token(m.start(), at, "[" if m[0].startswith("<![CDATA[") else ""))
+        elif whole and name in RAW and not closing:
+            if not (attributes.endswith("/") and (count["svg"] or count["math"])):
+                end = _ENDS[name].search(page, at)
+                at = end.end() if end else len(page)
+            out.append(Token(m.start(), at, ""))
+        elif whole and name in EMBEDDED and not closing:
+            if not (name in ("svg", "math") and attributes.endswith("/")):
+                opened.append((name, len(out)))
+                count[name] += 1
+            out.append(Token(m.start(), at, ""))
+        elif whole and count[name]:
+            last, first = opened.pop()
+            count[last] -= 1
+            while last != name:
+                last, first = opened.pop()
+                count[last] -= 1
+            start = out[first].start
+            del out[first:]
+            out.append(Token(start, at, ""))
+        else:
+            out.append(Token(m.start(), at, name, closing, attributes))
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order: text between the tags that end a line, with what encloses it."""
     out: list[Block] = []
@@ -125,15 +180,14 @@ def blocks(page: str) -> list[Block]:
             if link:
                 linked += len(text.split())
 
-    for m in _TOKEN.finditer(page):
-        add(page[at:m.start()])
-        at = m.end()
-        name = (m[3] or m[6] or "").lower()
+    for start, end, name, closing, attributes in tokens(page):
+        add(page[at:start])
+        at = end
         if not name:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
             continue
-        closing, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
+        if name == "[":
+            add(page[start + 9:end - 3])
+            continue
         if name == "br":
             parts.append(" ")
             continue
@@ -225,8 +279,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages give an empty text. Broken markup is read as far as it
     goes: closing tags without an opening one are ignored, open elements end with
-    what encloses them. Repeated pages and null ids are kept as rows; an empty table gives no rows; no
-    page is cut short.
+    what encloses them. Repeated pages and null ids are kept as rows; an empty table gives no rows. No
+    page is cut short, but what follows a RAW element without end tag belongs to it, as in browsers.
     """
     source = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
 

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from mockloom.llm.html import blocks, extract, main_text
+from mockloom.llm.html import EMBEDDED, blocks, extract, main_text
 
 LONG = "Some long paragraph of text that goes on and on for many words in the article body to be kept."
 
@@ -32,6 +32,16 @@ def test_small_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("tag", [
+    "<video-js></video-js>", "<svg-icon></svg-icon>", "<select-menu>", "<title-bar></title-bar>", "<svg/>", "<svg class='a' />", "<math/>", "<svg><style/><title/></svg>",
+    "<svg><svg></svg>lost</svg>", "<object>a<object>b</object>c</object>", "<video>no <a>player</a></video>", "<noscript>off</noscript>", "<svg><title>icon</title></svg>",
+    *[f"<{name}>" for name in sorted(EMBEDDED)], "<select><script>'</select>'</script>", "<title>t</title >", "<script>s</script x>",
+])
+def test_elements_without_text_end_where_they_should(tag):
+    assert main_text(f"<article>{tag}<p>{LONG}</p><p>Last.</p></article>") == f"{LONG}\nLast."
+    assert main_text(f"<article>{tag}<p>{LONG}</p><video>x</video><svg>y</svg><select>z</select><title>t</title><p>Last.</p></article>") == f"{LONG}\nLast."
+
+
 def test_blocks_know_links():
     assert [(b.words, b.links) for b in blocks("<p>a <a>b c</a> d</p><p>x</p>")] == [(4, 0.5), (1, 0.0)]
 
