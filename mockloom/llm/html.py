@@ -21,7 +21,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-z][a-z0-9:-]*+)((?:[^'\">]|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][a-z0-9:-]*+)([^>]*+)>",
     re.S | re.I)
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for name in RAW}
-_NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_NAMES = re.compile(r"(?<![^\s\"'/])(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: Elements inside a line of text; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -31,9 +31,36 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HOLDERS = frozenset("html head body article main section div nav aside header footer form menu dialog ul ol dl table figure details fieldset button".split())
 _SIDE = frozenset("head nav aside footer form menu dialog button fieldset".split())
 _MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-?body|main|content|post|post-?body|entry|entry-?content|story|body-?text)(?:$|[\s_-])", re.I)
-_SIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side|aside|footer|foot|header|masthead|cookies?|consent|notice|alert|banner|ads?|advert|adverts|advertisement|promo|promotion|sponsor|sponsored|"
-    r"share|sharing|social|comments?|commentlist|disqus|reply|replies|respond|newsletter|subscribe|signup|login|search|popup|modal|overlay|breadcrumbs?|related|recommended|widget|toolbar|pagination|pager|tags|copyright|legal|gdpr)(?:$|[\s_-])", re.I)
+#: Words of names that say side matter wherever they stand.
+_STRONG = frozenset(
+    "nav navbar navigation sidebar footer masthead cookie cookies consent ad ads advert adverts advertisement promo promotion sponsor sponsored share sharing "
+    "comment comments commentlist disqus newsletter subscribe popup breadcrumb breadcrumbs related recommended pagination pager gdpr".split())
+#: Words that also occur in names of a text's own sections (side-effects, search-methods).
+_WEAK = frozenset("menu side aside foot header notice alert banner social reply replies respond signup login search modal overlay widget toolbar tags copyright legal".split())
+_SIDE_WORDS = _STRONG | _WEAK
+#: Words that win over main words in another name of the same element.
+_OVER_MAIN = frozenset(
+    "nav navbar navigation sidebar footer ad ads advert adverts advertisement promo promotion sponsored comment comments commentlist related newsletter breadcrumb breadcrumbs pagination".split())
+#: Words that name a place in table cells, where others name what a column holds.
+_CELL_WORDS = frozenset("nav navbar navigation menu sidebar footer ad ads advert adverts advertisement promo promotion sponsor sponsored newsletter breadcrumb breadcrumbs pagination pager".split())
+#: Words beside which a side word still stands for the whole name.
+_BOX_WORDS = frozenset("section list box container wrapper wrap area block button buttons link links post posts article articles bar form item items body inner content title site page top bottom left right main".split())
+_OWN_HEADER = frozenset("article post entry story".split())
+_NEGATION = re.compile(r"(?:^|(?<=[_-]))(?:no|not|has|with|without|hide)[_-]+[a-z0-9]+", re.I)
+_WRAP = re.compile(r"(?:content|main|post|article)[_-]sidebar[_-]?(?:wrap|wrapper|layout)", re.I)
+_MIXED = re.compile(r"comment|sidebar|footer|related|promo|advert", re.I)
+#: Elements that any next block ends; and table cells with what holds them.
+_LINES = frozenset("p h1 h2 h3 h4 h5 h6".split())
+_CELLS = frozenset("td th tr thead tbody tfoot caption".split())
+#: Open elements that a start tag ends, and the holders beyond which it and an end tag do not reach.
+_ENDS_OPEN = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr", "caption"},
+    **dict.fromkeys(("thead", "tbody", "tfoot"), {"td", "th", "tr", "thead", "tbody", "tfoot", "caption"}),
+}
+_SCOPE = {"li": {"ul", "ol", "menu", "table"}, "dt": {"dl", "table"}, "dd": {"dl", "table"}, **dict.fromkeys(_CELLS, {"table"})}
+_ANY_SCOPE = {"table", "td", "th"}
+#: Words without links from which an element counts as the main text of a page, and their share of those outside.
+MAIN_LEAST, MAIN_SHARE = 25, 0.1
 #: What the tree sees of a block.
 FEATURES = ["in_side", "in_main", "page_has_main", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after"]
 #: Labelled blocks the tree is fitted on: FEATURES, then 1 for main text.
@@ -93,6 +120,19 @@ LABELLED = """
 0 0 0 0  30 1.0  50 0.0  40 0.0  0
 0 0 0 0   8 0.9  60 0.0  80 0.0  0
 0 0 0 0   6 1.0  80 0.0  60 0.0  0
+0 0 0 0  90 0.0  95 0.0  85 0.0  1
+0 0 0 0  40 0.0 120 0.0   0 0.0  1
+0 0 0 0  15 0.0  90 0.0  80 0.0  1
+0 0 0 0   8 0.1 150 0.0 200 0.1  1
+0 0 0 0 200 0.0   4 1.0   6 1.0  1
+0 0 0 0 120 0.1 200 0.0   5 1.0  1
+0 0 1 0  40 0.0  30 0.0  35 0.0  0
+0 0 1 0  80 0.0  10 0.0  60 0.0  0
+0 0 1 0  12 0.0   5 0.0   0 0.0  0
+0 0 1 0  20 0.1  25 0.0  15 0.0  0
+0 0 1 1   3 0.0  20 0.0  40 0.0  0
+0 1 0 0   3 0.0  60 0.0  50 0.0  1
+0 1 0 0  20 0.0   4 1.0  90 0.0  1
 """
 
 
@@ -103,6 +143,54 @@ class Block(NamedTuple):
     side: bool
     main: bool
     heading: bool
+    #: Number of the outermost main element, 0 for none.
+    part: int = 0
+
+
+def _words(name: str) -> set[str]:
+    return set(re.split(r"[\s_-]+", _NEGATION.sub("", name.lower())))
+
+
+@lru_cache(maxsize=65536)
+def _reads(name: str) -> tuple[frozenset[str], bool, bool]:
+    """Side words of a name, whether it consists of such, and whether it names main text; side words win."""
+    words = _words(name) - {""}
+    main = bool(_MAIN_WORDS.search(name))
+    side = words & _SIDE_WORDS
+    if words & _OWN_HEADER:
+        side -= {"header"}
+    if main:
+        side -= {"widget"}
+        if _WRAP.search(name):
+            return frozenset(), False, False
+        if not side and (found := _MIXED.search(_NEGATION.sub("", name))):
+            side = {found[0].lower()}
+    whole = bool(side) and all(w in _SIDE_WORDS or w in _BOX_WORDS or w.isdigit() for w in words)
+    return frozenset(side), whole, main and not side
+
+
+def _places(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the names of an element say side matter, and main text. ``inside`` main text, names have to say more.
+
+    Ids are often the anchors of a text's own sections: there, only a whole name
+    of side words counts, as do weak words of a class. On elements that hold no
+    blocks only whole names count, and ids only where they name adverts and the like.
+    """
+    found = [(kind.lower(), *_reads(token)) for kind, value in _NAMES.findall(attributes) for token in value.strip("\"'").split()]
+    if not found:
+        return False, False
+    main = any(f[3] for f in found)
+    if name not in HOLDERS:
+        taken = _CELL_WORDS if name in _CELLS else _SIDE_WORDS - {"header", "notice", "alert"}
+        anchor = name in _LINES and name != "p" or name == "dt"
+        return any(whole and words & (taken if kind != "id" else taken & _STRONG) and not (kind == "id" and anchor) for kind, words, whole, _ in found), False
+    if name in ("html", "body", "main"):
+        return False, main
+    if main or name == "article":
+        over = _OVER_MAIN | {"menu"} if name in ("ul", "ol") else _OVER_MAIN
+        return any(whole and words & over for _, words, whole, _ in found), main
+    return any(
+        words and (whole or not (kind == "id" and (inside or name == "section") or inside and not words & _STRONG)) for kind, words, whole, _ in found), False
 
 
 class Token(NamedTuple):
@@ -159,17 +247,37 @@ def tokens(page: str) -> list[Token]:
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order: text between the tags that end a line, with what encloses it."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, int]] = []
+    count: Counter[str] = Counter()
     parts: list[str] = []
     side = main = heading = False
-    link, linked, at = 0, 0, 0
+    link, linked, at, part, parts_of = 0, 0, 0, 0, 0
+
+    def shut() -> str:
+        name = stack.pop()[0]
+        count[name] -= 1
+        return name
+
+    def reach(name: str, ends: set[str]) -> bool:
+        """Close the last open element of ``ends`` with all in it, if none that bounds ``name`` lies between."""
+        limit = set() if name in HOLDERS else _SCOPE.get(name, _ANY_SCOPE)
+        if not any(count[e] for e in ends):
+            return False
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in ends:
+                while len(stack) > k:
+                    shut()
+                return True
+            if stack[k][0] in limit:
+                return False
+        return False
 
     def flush() -> None:
         nonlocal linked
         tokens = "".join(parts).split()
         parts.clear()
         if tokens:
-            out.append(Block(" ".join(tokens), len(tokens), min(1.0, linked / len(tokens)), side, main, heading))
+            out.append(Block(" ".join(tokens), len(tokens), min(1.0, linked / len(tokens)), side, main, heading, part if main else 0))
         linked = 0
 
     def add(text: str) -> None:
@@ -202,32 +310,47 @@ def blocks(page: str) -> list[Block]:
             heading = not closing
         elif name not in INLINE:
             heading = False
-        if name not in HOLDERS:
+        if name in VOID and name != "hr":
             continue
+        while stack and stack[-1][0] in _LINES and not (closing and stack[-1][0] == name):
+            shut()
         if closing:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+            if count[name]:
+                reach(name, {name})
+        elif name != "hr" and not attributes.endswith("/"):
+            if name in _ENDS_OPEN:
+                while reach(name, _ENDS_OPEN[name]):
                     pass
-        elif not attributes.endswith("/"):
-            names = " ".join(x.strip("\"'") for x in _NAMES.findall(attributes))
-            into_main = name in ("article", "main") or bool(names and _MAIN_WORDS.search(names))
-            aside = name in _SIDE or name == "header" and not main or bool(_HIDDEN.search(attributes))
-            if names and not into_main and name not in ("html", "body"):
-                aside |= bool(_SIDE_WORDS.search(names))
-            elif names and name not in ("html", "body", "article", "main"):
-                aside |= bool(re.search(r"comment|sidebar|footer|related|promo|advert", names, re.I))
-            stack.append((name, side or aside, main or into_main))
-        side, main = stack[-1][1:] if stack else (False, False)
+            _, around, into, number = stack[-1] if stack else ("", False, False, 0)
+            named_side, named_main = _places(name, attributes, into)
+            aside = named_side or name in _SIDE or name == "header" and not into or name in HOLDERS and bool(_HIDDEN.search(attributes))
+            here = name in ("article", "main") or named_main
+            if here and not into:
+                parts_of += 1
+                number = parts_of
+            stack.append((name, around or aside, into or here, number))
+            count[name] += 1
+        _, side, main, part = stack[-1] if stack else ("", False, False, 0)
     add(page[at:])
     flush()
     return out
 
 
 def table_of(page: list[Block]) -> np.ndarray:
-    """FEATURES of every block; neighbours beyond the ends have no words."""
+    """FEATURES of every block; neighbours beyond the ends have no words.
+
+    A page has main text if an element named so holds enough words without links,
+    of its own or against what lies outside: else a small box named like main
+    text would cost an article in plain elements.
+    """
     words = np.array([0, *[b.words for b in page], 0], float)
     links = np.array([0, *[b.links for b in page], 0], float)
-    has = any(b.main and not b.side for b in page)
+    plain: Counter[int] = Counter()
+    for b in page:
+        if not b.side:
+            plain[b.part] += b.words * (1 - b.links)
+    outside = plain.pop(0, 0)
+    has = bool(plain) and (max(plain.values()) >= max(MAIN_LEAST, MAIN_SHARE * outside) or sum(plain.values()) >= max(1, outside))
     own = np.array([[b.side, b.main, has, b.heading] for b in page], float).reshape(-1, 4)
     return np.column_stack([own, words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:]])
 

@@ -42,6 +42,47 @@ def test_elements_without_text_end_where_they_should(tag):
     assert main_text(f"<article>{tag}<p>{LONG}</p><video>x</video><svg>y</svg><select>z</select><title>t</title><p>Last.</p></article>") == f"{LONG}\nLast."
 
 
+LINKS = "<a href=1>Home page</a> <a href=2>All the news</a> <a href=3>About us</a>"
+LONGER = " ".join([LONG] * 5)
+
+
+@pytest.mark.parametrize("box", ["main-menu", "main-nav", "cookie-content", "newsletter-content", "post-share", "content-top"])
+def test_article_in_plain_elements_stays_beside_a_box_with_a_main_word(box):
+    for text in (LONG, LONGER):
+        assert main_text(f"<div class={box}>{LINKS}</div><div><p>{text}</p><p>{text}</p><p>{text}</p></div>").replace("Home page All the news About us\n", "" if box == "content-top" else "-") == "\n".join([text] * 3)
+
+
+@pytest.mark.parametrize("box", ["div class=cookie-content", "div class='newsletter-content x'", "div id=post-comments", "article class=comment", "ul class='main nav'"])
+def test_side_words_win_in_a_name(box):
+    assert main_text(f"<{box}><li>{LONG}</li></{box.split()[0]}><div><p>{LONGER}</p></div>") == LONGER
+
+
+@pytest.mark.parametrize("start", [
+    "section id=side-effects", "section id=search-methods", "section id=legal-status", "div class=side-effects", "h2 id=search", "p class=notice", "div class=entry-header",
+    "div class='post category-legal tag-search'", "div class='content has-sidebar'", "div class='elementor-widget elementor-widget-theme-post-content'", "td class=comment", "li data-id=comment",
+])
+def test_own_sections_stay(start):
+    name = start.split()[0]
+    assert main_text(f"<article><p>{LONG}</p><{start}>{LONG}</{name}><p>Last.</p></article>") == f"{LONG}\n{LONG}\nLast."
+
+
+@pytest.mark.parametrize("start", [
+    "p class=advert", "li class=comment", "td class=ad", "blockquote class=comment", "h3 class=related-posts", "section id=comments", "div class=related-posts", "x-box class=advert", "p id=advert",
+])
+def test_side_names_are_read_on_all_blocks(start):
+    name = start.split()[0]
+    assert main_text(f"<article><p>{LONG}</p><{start}>{LONG}</{name}><p>Last.</p></article>") == f"{LONG}\nLast."
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p class=advert>buy<p>a b c<ul><li class=comment>x<ul><li>y</ul>z<li>d e f</ul>g h</article>", "a b c\nd e f\ng h"),
+    ("<article><table><tr><td class=ad>x<td>a b<tr><td>c d</table><h2 class=advert>x<p>e f</article>", "a b\nc d\ne f"),
+    ("<article><dl><dt>a<dd class=comment>x<dt>b</dl><div class=ad>x</p></li></td></div>c</article>", "a\nb\nc"),
+])
+def test_names_hold_to_where_elements_end(page, text):
+    assert main_text(page) == text
+
+
 def test_blocks_know_links():
     assert [(b.words, b.links) for b in blocks("<p>a <a>b c</a> d</p><p>x</p>")] == [(4, 0.5), (1, 0.0)]
 
