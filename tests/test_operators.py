@@ -368,6 +368,23 @@ def test_streams_resume_in_their_folder(spark, tmp_path):
     assert sorted(r["event_id"] for r in streams.ingest_once(stream(), f"{tmp_path}/i").collect()) == [1, 2]
 
 
+def test_late_events_are_kept_once_and_set_aside(spark, tmp_path):
+    schema = "event_id bigint, ts timestamp_ntz, job_id bigint, status string"
+    add = lambda *rows: spark.createDataFrame(rows, "event_id bigint, ts string, job_id bigint, status string").selectExpr(
+        "event_id", "CAST(ts AS timestamp_ntz) ts", "job_id", "status").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = lambda: streams.event_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, "*.parquet")
+    ids = lambda df: sorted(r["event_id"] for r in df.collect())
+    assert streams.late_events(spark, f"{tmp_path}/i") is None
+    add((1, "2024-01-01 12:00:00", 7, "running"), (2, "2024-01-01 08:00:00", 8, "completed"))
+    assert ids(streams.ingest_once(stream(), f"{tmp_path}/i")) == [1, 2] and ids(streams.late_events(spark, f"{tmp_path}/i")) == []
+    add((3, "2024-01-01 09:00:00", 8, "running"), (3, "2024-01-01 09:00:00", 8, "running"), (2, "2024-01-01 08:00:00", 8, "completed"), (4, "2024-01-01 11:30:00", 9, "pending"))
+    assert ids(streams.ingest_once(stream(), f"{tmp_path}/i")) == [1, 2, 3, 4] and ids(streams.late_events(spark, f"{tmp_path}/i")) == [3]
+    add((3, "2024-01-01 09:00:00", 8, "running"), (5, "2024-01-01 07:00:00", 9, "running"))
+    assert ids(streams.ingest_once(stream(), f"{tmp_path}/i")) == [1, 2, 3, 4, 5] and ids(streams.late_events(spark, f"{tmp_path}/i")) == [3, 5]
+    assert sorted(rows(streams.latest_status(stream(), f"{tmp_path}/s"))) == [(7, "running", False), (8, "completed", True), (9, "pending", False)]
+    assert not (tmp_path / "s" / "state" / "state").exists()  # no job is held in state
+
+
 def test_csv_folders_are_discovered(spark, tmp_path):
     real, synth = tmp_path / "real", tmp_path / "made"
     users = spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string")
