@@ -48,6 +48,26 @@ def mod97(span: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(code)), F.lit(0), add) == 1
 
 
+#: Characters of an IBAN by country, as registered.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """What begins like an IBAN, with as many characters as its country has in group 1; other countries may have 15 to 34.
+
+    Only the first four characters are consumed, so that a code that fails its
+    check hides no other that begins inside it.
+    """
+    known = "|".join(c for v in _IBAN_LENGTHS.values() for c in v.split())
+    shapes = [rf"(?:{v.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, v in _IBAN_LENGTHS.items()]
+    shapes.append(rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}")
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{'|'.join(shapes)})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
+
+
 def _size(span: Column, low: int, high: int) -> Column:
     return F.length(digits(span)).between(low, high)
 
@@ -61,6 +81,8 @@ class Kind(NamedTuple):
     score: float
     words: str = ""
     base: bool = True
+    #: Characters a match consumes if its span is group 1, which may reach further; 0 if it is the whole match.
+    head: int = 0
 
 
 KINDS = [
@@ -68,7 +90,7 @@ KINDS = [
     Kind("ip", _begin("0-9") + r"[0-9]++(?:\.[0-9]++){3}", lambda s: s.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.|$)){4}$"), ".", 0.6, r"\bip\b|address|host|server|login"),
     Kind("card", _begin("0-9") + r"[0-9](?:[ -]?[0-9])++", lambda s: _size(s, 14, 19) & luhn(s), "", 0.7, "card|visa|credit|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda s: _size(s, 10, 15), "+", 0.7, r"phone|\btel|call|mobile|\bfax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", lambda s: F.length(F.translate(s, " ", "")).between(15, 34) & mod97(s), "", 0.8, "iban|bank|konto|account|cuenta|compte", False),
+    Kind("iban", _iban(), lambda s: F.length(F.translate(s, " ", "")).between(15, 34) & mod97(s), "", 0.8, "iban|bank|konto|account|cuenta|compte", False, 4),
     Kind("ssn", r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])", lambda s: F.lit(True), "-", 0.3, r"\bssn\b|social.{1,3}security|tax", False),
 ]
 
@@ -78,23 +100,25 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _places(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
+def _places(text: Column, pattern: str, valid: Callable[[Column], Column], head: int = 0) -> Column:
     """Valid matches: array of (start, end, span).
 
     What lies between the matches and the matches themselves, in turn, give the
     places: a start is the length of all gaps so far and of all matches before.
     Sums run in blocks of BLOCK matches, so that texts with many take no square time.
     """
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("span"))
-    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["span"]), F.lit(0))
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1 if head else 0)).alias("span"))
+    long = lambda x: F.coalesce(F.length(x["span"]), F.lit(0))
+    taken = lambda x: F.when(x["span"].isNotNull(), head).otherwise(0) if head else long(x)
+    size = lambda x: F.length(x["gap"]) + taken(x)
     none = F.array().cast("array<struct<start:int,end:int,span:string>>")
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["span"]), F.lit(0))
+        end = begin + long(x)
         one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["span"].alias("span")))
         good = x["span"].isNotNull() & valid(x["span"])
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+        return F.struct((begin + taken(x)).alias("at"), F.when(good, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
     def block(part: Column, at: Column) -> Column:
         return F.aggregate(part, F.struct(at.alias("at"), none.alias("found")), add)["found"]
@@ -111,7 +135,7 @@ def _places(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Co
 
 def _spans(text: Column, kind: Kind, rank: int) -> Column:
     """Valid spans of one kind: array of (start, rank, kind, end, span, score, base)."""
-    found = _places(text, kind.pattern, kind.valid)
+    found = _places(text, kind.pattern, kind.valid, kind.head)
     around = lambda x: F.lower(F.concat(
         F.substring(text, F.greatest(x["start"] + 1 - CONTEXT, F.lit(1)), F.least(F.lit(CONTEXT), x["start"])), F.lit(" "), F.substring(text, x["end"] + 1, F.lit(CONTEXT))))
     score = lambda x: F.lit(kind.score) + F.when(around(x).rlike(kind.words), 0.3).otherwise(0.0)

@@ -51,5 +51,19 @@ def test_checksums_and_context(spark):
     assert found[2].spans == "ssn:5:16" and found[0].spans == "iban:8:35" and found[5].spans == "email:0:11"
 
 
+def test_ibans_end_where_their_country_says(spark):
+    spaced, plain = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    cases = [
+        (f"IBAN {spaced} BIC COBADEFFXXX", [spaced]), (f"{plain} EUR 120", [plain]), (f"{spaced} 100 GB82 WEST 1234 5698 7654 32 X", [spaced, "GB82 WEST 1234 5698 7654 32"]),
+        (f"NR12 {spaced} UND", [spaced]), (f"ES12 {spaced}", [spaced]), (f"{plain} {plain}", [plain, plain]), ("NO93 8601 1117 947 KTO", ["NO93 8601 1117 947"]),
+        (f"x{plain} {plain}EUR {plain[:-1]}1 A", []), ("FR14 2004 1010 0505 0001 3M02 606 PARIS", ["FR14 2004 1010 0505 0001 3M02 606"]), (f"é😀 {plain}\nABC " * 600, [plain] * 600),
+    ]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pii.find(docs).collect():
+        text, wanted = cases[r.doc_id]
+        found = [s for s in r.spans if s["kind"] == "iban"]
+        assert [s["span"] for s in found] == wanted == [text[s["start"]:s["end"]] for s in found], text[:80]
+
+
 def test_empty_table(nothing):
     assert pii.digest(pii.find(nothing)).count() == 0
