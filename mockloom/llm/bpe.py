@@ -206,9 +206,10 @@ class Transducer:
     def run(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, trace: np.ndarray | None = None) -> np.ndarray:
         """Token count of each piece ``data[begin:end]``; ``trace`` gets the last token at every byte.
 
-        Long pieces are cut in chunks. Each chunk is run from a guessed entry state,
-        which gives one entry of its state map; a scan along the piece composes the
-        maps, and chunks whose true entry is not in their map yet are run again.
+        Long pieces are cut in chunks. Each chunk is run from the entry state that a
+        run-in before it guesses; chunks whose entry differs from where the one before
+        left are run again from there, until all agree. At worst, in a piece that never
+        synchronises, that is one round for each chunk.
         """
         if self.filled > self.most:
             self._clear()
