@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mockloom.llm import decontaminate, html, idfile, lines, mixing, near, pii, quality, shards, sql, tokens
+from mockloom.llm import decontaminate, html, idfile, lines, manifest, manifest_sql, mixing, near, pii, quality, shards, sql, tokens
 from mockloom.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,6 +64,17 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaves = docs.select("doc_id", "source", manifest.digest(*fields, F.col("text")).alias("leaf"), manifest.digest(*fields, tampered).alias("shown"))
+    made = manifest.manifest(leaves)
+    folded = manifest.fold(F.col("row.shown"), F.col("witness"))
+    out = made.select("row.doc_id", "leaf", "subroot", "root", F.sha2(manifest.proof(F.col("witness")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
@@ -75,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_id_file": op8_id_file,
     "op9_decontaminate": op9_decontaminate,
     "op10_shards": op10_shards,
+    "op11_manifest": op11_manifest,
 }
-ORACLES: dict[str, str] = {"op3_near_dedup": sql.NEAR_DEDUP, "op4_line_dedup": sql.LINE_DEDUP, "op6_source_mix": sql.SOURCE_MIX}
+ORACLES: dict[str, str] = {"op3_near_dedup": sql.NEAR_DEDUP, "op4_line_dedup": sql.LINE_DEDUP, "op6_source_mix": sql.SOURCE_MIX, "op11_manifest": manifest_sql.MANIFEST}
