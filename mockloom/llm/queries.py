@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mockloom.llm import decontaminate, html, idfile, lines, manifest, manifest_sql, mixing, near, pii, quality, shards, sql, tokens
+from mockloom.llm import decontaminate, html, idfile, lines, manifest, manifest_sql, mixing, near, pii, quality, shards, simhash, sql, tokens
 from mockloom.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,6 +75,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), n=3).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
@@ -87,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_shards": op10_shards,
     "op11_manifest": op11_manifest,
+    "op12_simhash": op12_simhash,
 }
 ORACLES: dict[str, str] = {"op3_near_dedup": sql.NEAR_DEDUP, "op4_line_dedup": sql.LINE_DEDUP, "op6_source_mix": sql.SOURCE_MIX, "op11_manifest": manifest_sql.MANIFEST}
