@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mockloom.llm import decontaminate, html, idfile, lines, manifest, manifest_sql, mixing, near, pii, quality, shards, simhash, sql, tokens
+from mockloom.llm import decontaminate, html, idfile, lines, manifest, manifest_sql, mixing, near, pii, quality, shards, simhash, spelling, spelling_sql, sql, tokens
 from mockloom.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,6 +79,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), n=3).select("doc_id", "fingerprint", "component_id")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), drop=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_token_counts": op2_token_counts,
@@ -92,5 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shards": op10_shards,
     "op11_manifest": op11_manifest,
     "op12_simhash": op12_simhash,
+    "op13_spelling": op13_spelling,
 }
-ORACLES: dict[str, str] = {"op3_near_dedup": sql.NEAR_DEDUP, "op4_line_dedup": sql.LINE_DEDUP, "op6_source_mix": sql.SOURCE_MIX, "op11_manifest": manifest_sql.MANIFEST}
+ORACLES: dict[str, str] = {"op3_near_dedup": sql.NEAR_DEDUP, "op4_line_dedup": sql.LINE_DEDUP, "op6_source_mix": sql.SOURCE_MIX, "op11_manifest": manifest_sql.MANIFEST, "op13_spelling": spelling_sql.SPELLING}
