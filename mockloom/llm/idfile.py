@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -13,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mockloom.llm.batches import slices
-from mockloom.llm.split import Splitter
+from mockloom.llm.pieces import library
 from mockloom.llm.store import written
 from mockloom.llm.tokens import tokenizer_file
 
@@ -21,78 +19,6 @@ from mockloom.llm.tokens import tokenizer_file
 LIMIT = 16
 #: Ids between two checkpoints, and ids after which a block ends.
 STRETCH, BLOCK_IDS = 256, 1 << 18
-#: Pieces one worker remembers before it starts anew.
-KEPT_PIECES = 500_000
-
-
-class LibraryEncoder:
-    """Ids by the tokenizers library. A piece of the splitting pattern is encoded when first met and then remembered:
-    the library tokenizes each piece on its own, so the ids of a text are those of its pieces."""
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        added = self.library.get_added_tokens_decoder()
-        self.split = Splitter([(t.content, i) for i, t in added.items()])
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.begin, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.int32), 0
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        made = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        sizes = np.array([len(m) for m in made], np.int64)
-        need = self.used + int(sizes.sum())
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(need, len(self.flat)), np.int32)])
-        self.flat[self.used:need] = np.fromiter((i for m in made for i in m), np.int32, int(sizes.sum()))
-        first = len(self.known)
-        self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
-        self.begin = np.append(self.begin, self.used + np.cumsum(sizes))
-        self.used = need
-
-    def _numbers(self, raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Places of pieces among those known; new ones are learnt."""
-        pieces = [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        new = list({p for p in pieces if p not in self.known})
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-
-    def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in order, and the number of each text."""
-        if len(self.known) > KEPT_PIECES:
-            self._clear()
-        begin, _ = self.split(data, bounds)
-        raw, end = data.tobytes(), np.append(begin[1:], len(data)) if len(begin) else begin
-        at = np.empty(len(begin), np.int64)
-        short = (end - begin <= 8) & (not (data == 0).any())
-        # pieces of up to 8 bytes, most of them, are told apart as one integer
-        packed = np.zeros(int(short.sum()), np.uint64)
-        b, size = begin[short], (end - begin)[short]
-        for k in range(8):
-            more = np.flatnonzero(size > k)
-            packed[more] |= data[b[more] + k].astype(np.uint64) << np.uint64(8 * k)
-        _, first, same = np.unique(packed, return_index=True, return_inverse=True)
-        at[short] = self._numbers(raw, b[first], (b + size)[first])[same]
-        at[~short] = self._numbers(raw, begin[~short], end[~short])
-        count = self.begin[at + 1] - self.begin[at]
-        until = np.cumsum(count)
-        out = self.flat[np.repeat(self.begin[at] - (until - count), count) + np.arange(int(until[-1]) if len(until) else 0)]
-        text = np.searchsorted(bounds, begin, side="right") - 1
-        return out, np.bincount(text, weights=count, minlength=len(bounds) - 1).astype(np.int64)
-
-
-@lru_cache(maxsize=2)
-def library(path: str) -> LibraryEncoder:
-    """One for each file and worker."""
-    return LibraryEncoder(path)
-
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Lengths of the best prefix code with none above ``limit`` (package-merge). Counts are positive."""
