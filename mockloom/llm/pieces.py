@@ -21,7 +21,7 @@ _MIX = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 class Table:
     """Open-addressed table from pieces of up to SHORT bytes, as two integers, to runs of ids.
 
-    When it is full, pieces that were not met again since they came, or since it was last full, make room.
+    Pieces that were not met again make room for others when there are too many.
     """
 
     def __init__(self, most: int) -> None:
@@ -50,7 +50,7 @@ class Table:
     def add(self, low: np.ndarray, high: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         """Distinct pieces that are not there yet, and their ids one after the other."""
         while 2 * (self.filled + len(low)) > (1 << self.bits):
-            self._grow()
+            self._moved(np.flatnonzero(self.high), self.bits + 1, True)
         begin = self.used + np.cumsum(count) - count
         if (need := self.used + len(ids)) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros(max(len(self.ids), need - len(self.ids)), np.int32))
@@ -64,18 +64,20 @@ class Table:
             left = np.delete(left, first)
         self.filled += len(low)
 
-    def _grow(self) -> None:
-        full = 1 << self.bits > self.most
-        keep = np.flatnonzero((self.high != 0) & (self.met if full else True))
-        if full and 2 * len(keep) > self.filled:
-            keep = keep[:0]
-        low, high, count = self.low[keep], self.high[keep], self.count[keep]
+    def _moved(self, keep: np.ndarray, bits: int, met: bool) -> None:
+        """A table of its own size for the slots ``keep``."""
+        low, high, count, again = self.low[keep], self.high[keep], self.count[keep], self.met[keep]
         ids = self.ids[np.repeat(self.begin[keep] - (np.cumsum(count, dtype=np.int64) - count), count) + np.arange(int(count.sum(dtype=np.int64)))]
-        met = self.met[keep]
-        self._make(self.bits if full else self.bits + 1)
+        self._make(bits)
         self.add(low, high, ids, count)
-        if not full:
-            self.met[self.place(low, high)] = met
+        if met:
+            self.met[self.place(low, high)] = again
+
+    def make_room(self) -> None:
+        """Of a table with more than ``most`` pieces, keep those met again; none, if that is over half."""
+        if self.filled > self.most:
+            keep = np.flatnonzero(self.met)
+            self._moved(keep if 2 * len(keep) <= self.most else keep[:0], 10, False)
 
 
 class LibraryEncoder:
@@ -139,6 +141,9 @@ class LibraryEncoder:
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and the number of each text."""
+        self.short.make_room()
+        if len(self.long) > KEPT_LONG:
+            self.long.clear()
         begin, _ = self.split(data, bounds)
         raw, end = data.tobytes(), np.append(begin[1:], len(data)) if len(begin) else begin
         size = end - begin
@@ -150,8 +155,6 @@ class LibraryEncoder:
         count[short] = self.short.count[at]
         long_ = np.flatnonzero(size > SHORT)
         pieces = [raw[a:b] for a, b in zip(begin[long_].tolist(), end[long_].tolist(), strict=True)]
-        if len(self.long) > KEPT_LONG:
-            self.long.clear()
         new = list({p for p in pieces if p not in self.long})
         self.long.update(zip(new, self._encoded(new), strict=True))
         made = [self.long[p] for p in pieces]
