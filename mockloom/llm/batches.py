@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,19 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept between stages, and what one stage held at its peak is another's."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and where each begins and the last ends. Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mockloom.llm.batches import slices
+from mockloom.llm.batches import give_back, slices
 from mockloom.llm.pieces import library
 from mockloom.llm.store import written
 from mockloom.llm.tokens import tokenizer_file
@@ -129,6 +129,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None, kind: str) ->
                 cuts = np.append(0, np.cumsum(count)).tolist()
                 binary = pa.array([raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.column(0), binary], names=["doc_id", "ids"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, ids binary")
 
@@ -212,6 +213,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2
                     held, total = [], 0
         if held:
             yield block()
+        give_back()
 
     shape = "part int, block long, doc_ids array<long>, starts array<long>, sizes array<long>, offsets array<long>, bits binary"
     coded = rows.mapInArrow(encode, "doc_id long, n long, offsets array<long>, bits binary")
@@ -238,6 +240,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 cuts = np.append(0, np.cumsum(sizes)).tolist()
                 raw = [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([docs.values, pa.array(starts + before.as_py()), pa.array(raw, pa.binary())], names=["doc_id", "start", "ids"])
+        give_back()
 
     placed = blocks.join(F.broadcast(parts), "part").select("before", "doc_ids", "starts", "sizes", "offsets", "bits")
     return placed.mapInArrow(decode, "doc_id long, start long, ids binary")

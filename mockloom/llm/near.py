@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mockloom.llm.batches import slices
+from mockloom.llm.batches import give_back, slices
 from mockloom.llm.components import components
 from mockloom.llm.store import written
 from mockloom.llm.words import hashes, lowered, mixed, windows, words
@@ -28,6 +28,8 @@ _ADD = _RANDOM.integers(0, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 BUCKET_BLOCK = 512
 #: Hashes of one set taken in one go.
 BLOCK = 4096
+#: Hashes of the sets that are confirmed together, on each side; a larger set stands alone.
+SET_BLOCK = 1 << 19
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]:
@@ -77,6 +79,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 columns = [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1])]
                 columns += [pa.array([m[k] for m in made], pa.list_(pa.int64())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "bands", "sig"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>, sig array<long>")
 
@@ -140,31 +143,54 @@ def _candidates(percent: int, cut: float):
                 partners[int(x)] = ids[y].tolist()
                 for k in y.tolist():
                     partners.setdefault(k, [])
-        columns = [pa.array([ids[k] for k in partners], pa.int64()), pa.array(list(partners.values()), pa.list_(pa.int64()))]
-        group = [pa.array([rows.column(c)[0].as_py()] * len(partners), rows.column(c).type) for c in ("key", "i", "j")]
-        return pa.Table.from_arrays(group + columns, names=["key", "i", "j", "id", "partners"])
+        # members with partners, in blocks of SET_BLOCK hashes; two blocks at a time are confirmed
+        taken = sorted(partners)
+        part = dict(zip(taken, _parts(n[taken]).tolist(), strict=True))
+        at = {int(d): k for k, d in enumerate(ids) if k in part}
+        rows_: dict[tuple[int, int, int], list[int]] = {}
+        for x, others in partners.items():
+            for other in others:
+                y = at[other]
+                rows_.setdefault((part[x], part[y], x), []).append(other)
+                rows_.setdefault((part[x], part[y], y), [])
+        group = [pa.array([rows.column(c)[0].as_py()] * len(rows_), rows.column(c).type) for c in ("key", "i", "j")]
+        halves = [pa.array([r[k] for r in rows_], pa.int32()) for k in (0, 1)]
+        columns = [pa.array([ids[r[2]] for r in rows_], pa.int64()), pa.array(list(rows_.values()), pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(group + halves + columns, names=["key", "i", "j", "p", "q", "id", "partners"])
 
     return run
 
 
+def _parts(n: np.ndarray) -> np.ndarray:
+    """Number of each set's block: sets in turn up to SET_BLOCK hashes."""
+    out, number, held = np.zeros(len(n), np.int64), 0, 0
+    for k, size in enumerate(n.tolist()):
+        if held and held + size > SET_BLOCK:
+            number, held = number + 1, 0
+        out[k], held = number, held + size
+    return out
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    x, y = (x, y) if len(x) < len(y) else (y, x)
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+
+
 def _links(percent: int):
     """Partners in a group whose whole sets are similar enough."""
 
     def run(rows: pa.Table) -> pa.Table:
         ids = rows.column("id").to_pylist()
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
-        every, code = np.unique(np.concatenate(sets), return_inverse=True)
-        cuts = np.cumsum([0, *map(len, sets)])
-        at, here, found = {d: k for k, d in enumerate(ids)}, np.zeros(len(every), bool), []
+        at, found = {d: k for k, d in enumerate(ids)}, []
         for x, others in enumerate(rows.column("partners").to_pylist()):
-            if others:
-                here[code[cuts[x]:cuts[x + 1]]] = True
-                for other in others:
-                    y = at[other]
-                    both = int(here[code[cuts[y]:cuts[y + 1]]].sum())
-                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                        found.append((ids[x], other))
-                here[code[cuts[x]:cuts[x + 1]]] = False
+            for other in others:
+                y = at[other]
+                both = _shared(sets[x], sets[y])
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    found.append((ids[x], other))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
     return run
@@ -175,16 +201,16 @@ def _across(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
 
     ``members`` is (key, id, component). A bucket is cut in blocks of about
     BUCKET_BLOCK; two blocks at a time are compared by signature, and the lists
-    of possible partners are confirmed on the whole sets. No pair becomes a row
-    but a link, and no task holds more than two blocks.
+    of possible partners are confirmed on the whole sets, of SET_BLOCK hashes on
+    each side at a time. No pair becomes a row but a link, and no group holds more than two blocks.
     """
     stats = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("low"), F.max("component").alias("high"))
     several = written(stats.where("low < high").select("key", F.ceil(F.col("c") / BUCKET_BLOCK).cast("int").alias("blocks")), "near-several")
     rows = members.join(several, "key").join(classes.select("id", "n", "bands", "sig"), "id")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
-    maybe = rows.groupBy("key", "i", "j").applyInArrow(_candidates(percent, cut), "key long, i int, j int, id long, partners array<long>")
-    return written(maybe, "near-partners").join(sets, "id").groupBy("key", "i", "j").applyInArrow(_links(percent), "a long, b long")
+    maybe = rows.groupBy("key", "i", "j").applyInArrow(_candidates(percent, cut), "key long, i int, j int, p int, q int, id long, partners array<long>")
+    return written(maybe, "near-partners").join(sets, "id").groupBy("key", "i", "j", "p", "q").applyInArrow(_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,6 +249,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
             for rows, data, bounds in slices(batch, "text"):
                 sets = pa.array([s.tobytes() for s in shingle_sets(data, bounds, n)], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.column(0), sets], names=["id", "shingles"])
+        give_back()
 
     sets = written(source.join(wanted, "doc_id", "left_semi").mapInArrow(set_rows, "id long, shingles binary"), "near-sets")
 
@@ -244,11 +271,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns as they are; of kept rows that share an id, one.
+    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns as they are; of kept rows that share an id and a text, one.
 
-    Rows with a null id all stay.
+    Rows that share an id but not a text all stay, as do rows with a null id. Null and empty texts are the same text.
     """
     kept = near_duplicates(docs, n, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     held = docs.select(docs[id_col].cast("long").alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    one = held.join(kept, "_id", "left_semi").groupBy("_id").agg(F.min_by("doc", F.coalesce(F.col("doc")[text_col], F.lit(""))).alias("doc"))
+    same = F.sha2(F.coalesce(F.col("doc")[text_col], F.lit("")), 256).alias("_text")
+    one = held.join(kept, "_id", "left_semi").groupBy("_id", same).agg(F.min_by("doc", F.coalesce(F.col("doc")[text_col], F.lit(""))).alias("doc"))
     return one.select("doc.*").union(held.where("_id is null").select("doc.*"))

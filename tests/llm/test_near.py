@@ -64,6 +64,24 @@ def test_representatives_keep_columns(edges):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 7, 9, 10, 11, 12]
 
 
+def test_rows_of_one_id_with_different_texts_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (1, "one two three four five six"), (1, "a b c d e f g h"), (2, None), (2, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text or "") for r in near.representatives(docs).collect()) == [(1, "a b c d e f g h"), (1, "one two three four five six"), (2, "")]
+
+
+@pytest.mark.parametrize("most", [1, 100, 1 << 19])
+def test_sets_are_confirmed_in_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(near, "SET_BLOCK", most)
+    monkeypatch.setattr(near, "BUCKET_BLOCK", 8)
+    r = np.random.default_rng(9)
+    docs = []
+    for base in range(3):
+        words = [f"b{base}w{k}" for k in range(40)]
+        docs += [(100 * base + k, " ".join(np.where(r.random(40) < 0.06, f"x{base}{k}", words).tolist())) for k in range(40)]
+    got = near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), n=2).collect()
+    assert {d.doc_id: (d.n_shingles, d.component_id) for d in got} == brute(docs, 2)
+
+
 def test_estimate_follows_similarity(spark):
     r = np.random.default_rng(3)
     rows = []
