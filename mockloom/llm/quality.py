@@ -158,10 +158,16 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int]) -> Trees:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """FEATURES and labels of at most TRAIN_ROWS labelled documents, the first in hash order."""
-    known = labels.select(labels["doc_id"].alias("_id"), labels["quality"].alias("_y")).where("_id is not null and _y is not null").dropDuplicates(["_id"])
+    """FEATURES and labels of at most TRAIN_ROWS labelled documents of ``docs``, the first in hash order.
+
+    Labels of other documents are left out first, so a part of a corpus has as many
+    rows to fit on as its own labels allow. Of labels that contradict each other, and of repeated ids' texts, the smallest counts.
+    """
+    known = labels.select(labels["doc_id"].cast("long").alias("_id"), labels["quality"].alias("_y")).where("_id is not null and _y is not null")
+    here = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("text"))
+    known = known.groupBy("_id").agg(F.min("_y").alias("_y")).join(here.select("_id"), "_id", "left_semi")
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS)
-    source = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "text")
+    source = here.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +175,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
                 x = pa.array(list(statistics(data, bounds)[1]), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1).cast(pa.int32()), x], names=["id", "y", "x"])
 
-    found = source.mapInArrow(run, "id long, y int, x array<double>").dropDuplicates(["id"]).orderBy("id").collect()
+    found = source.mapInArrow(run, "id long, y int, x array<double>").orderBy("id").collect()
     return np.array([r.x for r in found]).reshape(len(found), len(FEATURES)), np.array([r.y for r in found], float)
 
 
