@@ -189,7 +189,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, radius: int = 3, id_col: str =
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     signed = written(fingerprints(source, n), "simhash-prints")
     classes = signed.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"))
-    variants = classes.select("print").mapInArrow(_variants(radius), "key long, print long")
+    # a given number of partitions, as Spark would merge these small rows into few before they grow
+    spread = classes.select("print").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print")
+    variants = spread.mapInArrow(_variants(radius), "key long, print long")
     members = written(variants.repartition("key").sortWithinPartitions("key", "print").mapInArrow(_met, "key long, print long, hub long"), "simhash-members")
     near = (F.col("print") != F.col("hub")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("hub"))) <= radius)
     linked = components(members.where(near).groupBy("print").agg(F.min("hub").alias("hub")).select("hub", "print"))
