@@ -31,6 +31,18 @@ def normal(seed, table: str, column: str, row: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
 
 
+def normals(seed, table: str, row: Column, count: int) -> list[Column]:
+    """Independent standard normals for one row: each 64-bit hash gives two. Faster than ``normal``, but no other engine has this hash."""
+    out = []
+    for k in range((count + 1) // 2):
+        h = F.xxhash64(F.lit(f"{seed}|{table}|{k}"), row)
+        u1 = (F.shiftrightunsigned(h, 32) + F.lit(1)) / F.lit(TWO_32 + 1.0)
+        angle = F.lit(6.283185307179586) * (h.bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(TWO_32))
+        radius = F.sqrt(F.lit(-2.0) * F.log(u1))
+        out += [radius * F.cos(angle), radius * F.sin(angle)]
+    return out[:count]
+
+
 def pick(words: list[str], seed, table: str, column: str, row: Column) -> Column:
     """One of the given words."""
     index = u32(seed, table, column, row) % F.lit(len(words)) + F.lit(1)

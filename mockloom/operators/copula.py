@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mockloom.functions import normal as gauss
-from mockloom.functions.rng import normal, uniform
+from mockloom.functions.rng import normals, uniform
 from mockloom.operators.fidelity import exact_quantiles, settled
 from mockloom.operators.generate import Draws
 from mockloom.operators.scan import dense_index, running_totals
 
 GRID = 32  # quantile steps per numeric column
-CELLS = 1 << 12  # slices of the unit interval by which a drawn share finds its value
+FINE = 512  # steps for columns of which no value between two known ones may appear
+BROADCAST = 10_000  # values of a text column up to which their stretches are sent to all tasks
 EDGE = 1e-6
 
 
@@ -88,20 +89,27 @@ class CopulaModel:
     nulls: dict[str, float]
     modelled: list[str]
     factor: np.ndarray
+    #: Columns whose grid points are drawn as they are.
+    fine: Sequence[str] = ()
 
     def sample(
         self, spark: SparkSession, n: int, seed: int | str = 42, partitions: int | None = None, keys: Mapping[str, Column] | None = None
     ) -> DataFrame:
         """``keys`` gives columns that are not drawn but computed from the row id ``_row`` (1, 2, ...)."""
-        row, keys = F.col("_row"), keys or {}
-        base = spark.range(1, n + 1, 1, partitions).withColumnRenamed("id", "_row")
-        draws = base.select("_row", *[normal(seed, "copula", c, row).alias(f"_g{i}") for i, c in enumerate(self.modelled)])
+        return self.draw(spark.range(1, n + 1, 1, partitions).withColumnRenamed("id", "_row"), seed, keys)
+
+    def draw(self, base: DataFrame, seed: int | str = 42, keys: Mapping[str, Column] | None = None, shifts: Mapping[str, Column] | None = None, name: str = "copula") -> DataFrame:
+        """One row for each of ``base``, numbered by its column ``_row``; ``keys`` and ``shifts``
+        are columns of ``base``. A shift is added to the normal score of a column."""
+        row, keys, shifts = F.col("_row"), keys or {}, shifts or {}
+        scores = normals(seed, name, row, len(self.modelled))
+        draws = base.select("*", *[g.alias(f"_g{i}") for i, g in enumerate(scores)])
         mixed = [
-            sum((F.col(f"_g{k}") * float(self.factor[i, k]) for k in range(i + 1) if self.factor[i, k]), F.lit(0.0)).alias(f"_z{i}")
-            for i in range(len(self.modelled))
+            sum((F.col(f"_g{k}") * float(self.factor[i, k]) for k in range(i + 1) if self.factor[i, k]), shifts.get(c, F.lit(0.0))).alias(f"_z{i}")
+            for i, c in enumerate(self.modelled)
         ]
         share = lambda z: F.least(F.greatest(gauss.cdf(z), F.lit(0.0)), F.lit(1.0 - 1e-12))
-        placed = draws.select("_row", *mixed).select("_row", *[share(F.col(f"_z{i}")).alias(f"_u{i}") for i in range(len(self.modelled))])
+        placed = draws.select(*base.columns, *mixed).select(*base.columns, *[share(F.col(f"_z{i}")).alias(f"_u{i}") for i in range(len(self.modelled))])
         for c in self.texts:
             if c not in keys:
                 placed = self._looked_up(placed, c)
@@ -112,18 +120,25 @@ class CopulaModel:
                 value = _restored(self._value(field), field)
                 rate = self.nulls.get(field.name, 0.0)
                 if rate > 0:
-                    value = F.when(uniform(seed, "copula-null", field.name, row) >= rate, value)
+                    value = F.when(uniform(seed, f"{name}-null", field.name, row) >= rate, value)
             out.append(value.cast(field.dataType).alias(field.name))
         return placed.select(*out)
 
     def _looked_up(self, placed: DataFrame, name: str) -> DataFrame:
-        """Add ``_t_<name>``: the value in whose stretch the drawn share lies, met by equal slices."""
+        """Add ``_t_<name>``: the value in whose stretch the drawn share lies, met by equal slices of [0, 1).
+
+        There are as many slices as values or more. Draws are spread evenly over
+        them, so a draw meets two or three stretches on average, however many values there are.
+        """
         u = F.col(f"_u{self.modelled.index(name)}")
         spans = self.shares.filter(F.col("column_name") == name)
-        cells = F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))
-        spans = spans.select(F.col("value").alias(f"_t_{name}"), "low", "high", F.explode(cells).alias("_cell"))
-        met = placed.withColumn("_cell", F.floor(u * CELLS)).join(spans, "_cell")
-        return met.filter((u >= F.col("low")) & (u < F.col("high"))).drop("_cell", "low", "high")
+        values = spans.count()
+        slices = 1 << max(values - 1, 1).bit_length()
+        cells = F.sequence(F.floor(F.col("low") * slices), F.least(F.floor(F.col("high") * slices), F.lit(slices - 1)))
+        spans = spans.select(F.col("value").alias(f"_t_{name}"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.explode(cells).alias("_cell"))
+        # never null, as Spark says by it: else it adds a filter that repeats the whole expression of the draw
+        met = placed.withColumn("_cell", F.coalesce(F.floor(u * slices), F.lit(0))).join(F.broadcast(spans) if values <= BROADCAST else spans, "_cell")
+        return met.filter((u >= F.col("_low")) & (u < F.col("_high"))).drop("_cell", "_low", "_high")
 
     def _value(self, field: T.StructField) -> Column:
         name = field.name
@@ -134,65 +149,91 @@ class CopulaModel:
         u, grid = F.col(f"_u{self.modelled.index(name)}"), self.grids[name]
         steps = len(grid) - 1
         points = F.array(*[F.lit(float(v)) for v in grid])
+        if name in self.fine:
+            return F.element_at(points, F.ceil(u * steps).cast("int") + 1)
         at = F.floor(u * steps).cast("int")
         low, high = F.element_at(points, at + 1), F.element_at(points, at + 2)
         return low + (high - low) * (u * steps - at)
 
 
-def fit(df: DataFrame, steps: int = GRID, skip: Sequence[str] = ()) -> CopulaModel:
-    """Fit marginals and correlation of all columns but those in ``skip``, which are sampled as null."""
+def fit(df: DataFrame, steps: int = GRID, skip: Sequence[str] = (), fine: Sequence[str] = ()) -> CopulaModel:
+    """Fit marginals and correlation of all columns but those in ``skip``, which are sampled as null.
+
+    Columns in ``fine`` get FINE steps, and no values between those known.
+    """
     fields = [f for f in df.schema if f.name not in skip]
     plain = df.select(*[_plain(f) for f in fields])
     numbers = [f.name for f in fields if _on_grid(f)]
     texts = [f.name for f in fields if not _on_grid(f)]
-    grids = {r["column_name"]: list(r["quantiles"]) for r in marginals(plain, numbers, steps).collect()} if numbers else {}
+    coarse = [c for c in numbers if c not in fine]
+    grids = {r["column_name"]: list(r["quantiles"]) for r in marginals(plain, coarse, steps).collect()} if coarse else {}
+    if fine:
+        probs = [i / FINE for i in range(FINE + 1)]
+        row = plain.agg(*[F.percentile_approx(c, probs, 100 * FINE).alias(c) for c in fine]).first()
+        grids |= {c: list(row[c]) for c in fine if row[c] is not None}
     nulls = null_rates(plain) if fields else {}
     texts = [c for c in texts if nulls[c] < 1.0 and plain.filter(F.col(c).isNotNull()).limit(1).count()]
     shares = settled(category_shares(plain, texts)) if texts else None
     modelled = [f.name for f in fields if f.name in grids or f.name in texts]
-    factor = np.eye(len(modelled))
+    model = CopulaModel(df.schema, grids, shares, texts, nulls, modelled, np.eye(len(modelled)), fine)
     if len(modelled) > 1:
-        factor = _factor(_score_correlation(plain, modelled, grids, shares, texts))
-    return CopulaModel(df.schema, grids, shares, texts, nulls, modelled, factor)
-
+        model.factor = _factor(correlation(*score_sums(model, df)))
+    return model
 
-def _score_correlation(df: DataFrame, modelled: list[str], grids: dict, shares: DataFrame | None, texts: list[str]) -> np.ndarray:
-    """Correlation of the normal scores over pairwise complete rows.
 
-    Each Arrow batch is scored with NumPy and leaves only its d x d sums, which
-    Spark adds up; rows never leave their task.
-    """
-    d = len(modelled)
-    spans = {c: np.asarray(grids[c], dtype=float) for c in modelled if c in grids}
-    for name in texts:  # a text stands for the middle of its stretch
-        middle = shares.filter(F.col("column_name") == name).select(F.col("value").alias(name), ((F.col("low") + F.col("high")) / 2).alias("_p"))
+def as_shares(model: CopulaModel, df: DataFrame, *keep: str) -> DataFrame:
+    """The modelled columns as numbers: those on a grid as they are, a text as the middle of its stretch. ``keep`` stays beside them."""
+    fields = {f.name: f for f in df.schema}
+    df = df.select(*[F.col(k).alias(f"_keep_{k}") for k in keep], *[_plain(fields[c]) for c in model.modelled])
+    for name in model.texts:
+        middle = model.shares.filter(F.col("column_name") == name).select(F.col("value").alias(name), ((F.col("low") + F.col("high")) / 2).alias("_p"))
         df = df.join(middle, name, "left").withColumn(name, F.col("_p")).drop("_p")
-    coefficients = (gauss.INV_A, gauss.INV_B, gauss.INV_C, gauss.INV_D)
-    edge = EDGE
+    return df.select(*[F.col(f"_keep_{k}").alias(k) for k in keep], *model.modelled)
 
-    def sums(batches):
-        import numpy
-        import pandas
 
-        a, b, c, e = coefficients
+def scorer(model: CopulaModel):
+    """Function of a Pandas frame of ``as_shares``: normal scores, a column for each modelled one, NaN where unknown."""
+    modelled, edge = list(model.modelled), EDGE
+    spans = {c: np.asarray(model.grids[c], dtype=float) for c in modelled if c in model.grids}
+    a, b, c, e = gauss.INV_A, gauss.INV_B, gauss.INV_C, gauss.INV_D
 
-        def inverse(p):
+    def scores(frame):
+        import numpy
+
+        z = numpy.full((len(frame), len(modelled)), numpy.nan)
+        for i, name in enumerate(modelled):
+            p = frame[name].to_numpy(dtype=float, na_value=numpy.nan)
+            if name in spans:
+                grid, x = spans[name], p
+                low, high = numpy.searchsorted(grid, x, "left"), numpy.searchsorted(grid, x, "right")
+                # a value that several grid points share stands in their middle
+                p = numpy.where(high > low, (low + high - 1) / 2, numpy.interp(x, grid, numpy.arange(len(grid)))) / (len(grid) - 1)
+                p[numpy.isnan(x)] = numpy.nan
+            p = numpy.clip(p, edge, 1 - edge)
             q = p - 0.5
             middle = numpy.polyval(a, q * q) * q / numpy.polyval(b, q * q)
             t = numpy.sqrt(-2 * numpy.log(numpy.minimum(p, 1 - p)))
             tail = numpy.polyval(c, t) / numpy.polyval(e, t)
-            return numpy.where(numpy.abs(q) <= 0.47575, middle, numpy.where(q < 0, tail, -tail))
+            z[:, i] = numpy.where(numpy.abs(q) <= 0.47575, middle, numpy.where(q < 0, tail, -tail))
+        return z
+
+    return scores
+
+
+def score_sums(model: CopulaModel, df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over pairwise complete rows: their number, and sums of the normal scores, of their squares and of their products.
+
+    Each Arrow batch is scored with NumPy and leaves only its d x d sums, which
+    Spark adds up; rows never leave their task.
+    """
+    d, scores = len(model.modelled), scorer(model)
+
+    def sums(batches):
+        import numpy
+        import pandas
 
         for frame in batches:
-            z = numpy.full((len(frame), d), numpy.nan)
-            for i, name in enumerate(modelled):
-                if name in spans:
-                    x = frame[name].to_numpy(dtype=float, na_value=numpy.nan)
-                    p = numpy.interp(x, spans[name], numpy.linspace(0, 1, len(spans[name])))
-                    p[numpy.isnan(x)] = numpy.nan
-                else:
-                    p = frame[name].to_numpy(dtype=float, na_value=numpy.nan)
-                z[:, i] = inverse(numpy.clip(p, edge, 1 - edge))
+            z = scores(frame)
             known = (~numpy.isnan(z)).astype(float)
             z = numpy.nan_to_num(z)
             parts = [known.T @ known, z.T @ known, (z * z).T @ known, z.T @ z]
@@ -200,11 +241,12 @@ def _score_correlation(df: DataFrame, modelled: list[str], grids: dict, shares:
                 {"cell": numpy.arange(d * d), **{k: m.ravel() for k, m in zip(("n", "s", "q", "x"), parts)}}
             )
 
-    partial = df.select(*modelled).mapInPandas(sums, "cell int, n double, s double, q double, x double")
+    partial = as_shares(model, df).mapInPandas(sums, "cell int, n double, s double, q double, x double")
     rows = partial.groupBy("cell").agg(*[F.sum(k).alias(k) for k in ("n", "s", "q", "x")]).orderBy("cell").collect()  # d x d rows
-    if not rows:
-        return np.eye(d)
-    n, s, q, x = (np.array([r[k] for r in rows]).reshape(d, d) for k in ("n", "s", "q", "x"))
+    return tuple(np.array([r[k] for r in rows] if rows else np.zeros(d * d)).reshape(d, d) for k in ("n", "s", "q", "x"))
+
+
+def correlation(n: np.ndarray, s: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
         spread = np.sqrt(n * q - s * s)
         r = (n * x - s * s.T) / (spread * spread.T)
