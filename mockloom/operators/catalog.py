@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mockloom.functions import typemaps
+from mockloom.operators.levels import levels
 from mockloom.operators.scan import dense_index, lookup_by_key
 
 FK_PATTERN = r"^FOREIGN_KEY_REFERENCES_([^.]+)\.([^.]+)$"
@@ -307,75 +308,18 @@ def fk_edges(attributes: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def generation_levels(schemas: DataFrame, *keep: str) -> DataFrame:
-    """Level of every table: parents come before children.
+def generation_levels(schemas: DataFrame, *keep: str, strict: bool = False) -> DataFrame:
+    """Level of every table: parents come before children (see ``levels``).
 
-    Worked out inside each document's row: tables whose known parents are all
-    placed are placed next, one level above their highest parent; when a cycle
-    leaves none, the smallest name is placed.
+    Tables of one document are told apart by name; unknown parents, and references of a table to itself, do not count.
     """
-    nodes = F.transform(
-        all_tables(F.col("databases")),
-        lambda t: F.struct(
-            t["name"].alias("name"),
-            F.array_distinct(
-                F.filter(
-                    F.transform(
-                        F.flatten(
-                            F.transform(
-                                F.coalesce(t.attributes, F.expr("array()")),
-                                lambda a: F.coalesce(a.constraints, F.array().cast("array<string>")),
-                            )
-                        ),
-                        lambda c: _reference(c, 1),
-                    ),
-                    lambda p: (p != "") & (p != t["name"]),
-                )
-            ).alias("parents"),
-        ),
-    )
-    start = F.struct(
-        F.array().cast("array<struct<name:string,level:int>>").alias("placed"),
-        F.array_distinct(F.transform(F.col("_nodes"), lambda n: n["name"])).alias("left"),
-    )
-
-    def step(state: Column, _: Column) -> Column:
-        free = F.array_distinct(
-            F.transform(
-                F.filter(
-                    F.col("_nodes"),
-                    lambda n: F.array_contains(state.left, n["name"])
-                    & ~F.exists(
-                        F.filter(F.col("_nodes"), lambda m: m["name"] == n["name"]),
-                        lambda m: F.arrays_overlap(m.parents, state.left),
-                    ),
-                ),
-                lambda n: n["name"],
-            )
-        )
-        ready = F.when((F.size(free) == 0) & (F.size(state.left) > 0), F.array(F.array_min(state.left))).otherwise(free)
-        level = lambda name: F.coalesce(
-            F.array_max(
-                F.transform(
-                    F.filter(
-                        state.placed,
-                        lambda p: F.exists(F.col("_nodes"), lambda n: (n["name"] == name) & F.array_contains(n.parents, p["name"])),
-                    ),
-                    lambda p: p.level + 1,
-                )
-            ),
-            F.lit(0),
-        )
-        return F.struct(
-            F.concat(state.placed, F.transform(ready, lambda r: F.struct(r.alias("name"), level(r).alias("level")))).alias("placed"),
-            F.array_except(state.left, ready).alias("left"),
-        )
-
-    prepared = schemas.select(*keep, F.coalesce(nodes, F.expr("array()")).alias("_nodes"))
-    rounds = F.when(F.size("_nodes") > 0, F.sequence(F.lit(1), F.size("_nodes"))).otherwise(F.array().cast("array<int>"))
-    done = prepared.select(*keep, F.aggregate(rounds, start, step, lambda s: s.placed).alias("_placed"))
-    # the outer form: a plain inline adds a size filter that is pushed down and works everything out twice
-    return done.select(*keep, F.inline_outer("_placed").alias("table_name", "level")).filter(F.col("table_name").isNotNull())
+    named = schemas.select(*keep, "databases", F.sha2(F.to_json("databases"), 256).alias("doc"))
+    documents = named.select("doc", "databases").dropDuplicates(["doc"])
+    nodes = explode_tables(documents, "doc").where("table_name is not null").select("doc", F.col("table_name").alias("name")).distinct()
+    edges = fk_edges(flatten(documents, "doc"), "doc").where("child != parent").select("doc", "child", "parent").distinct()
+    edges = edges.join(nodes.withColumnRenamed("name", "parent"), ["doc", "parent"], "left_semi")
+    out = levels(nodes, edges, strict)
+    return named.select(*keep, "doc").join(out, "doc").select(*keep, F.col("name").alias("table_name"), "level")
 
 
 def column_roles(attributes: DataFrame, *keep: str) -> DataFrame:

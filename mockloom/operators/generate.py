@@ -242,13 +242,26 @@ def generation_order(schema: Mapping, strict: bool = False) -> list[str]:
         ready = {t for t in left if not (parents[t] & left)}
         if strict and not ready:
             raise ValueError(f"foreign keys form a cycle among {', '.join(sorted(left))}")
-        ready = ready or {min(left)}
+        ready = ready or _cycle_heads(left, parents)
         for t in ready:
             level[t] = max((level[p] + 1 for p in parents[t] if p in level), default=0)
         left -= ready
     return sorted(tables, key=lambda t: (level[t], t))
 
 
+def _cycle_heads(left: set[str], parents: Mapping[str, set[str]]) -> set[str]:
+    """The smallest name of each cycle that nothing else leads into."""
+    above: dict[str, set[str]] = {}
+    for t in left:
+        seen, stack = set(), [t]
+        while stack:
+            new = (parents[stack.pop()] & left) - seen
+            seen |= new
+            stack += new
+        above[t] = seen
+    return {t for t in left if t == min(above[t], default=None) and all(t in above[p] for p in above[t])}
+
+
 class TableSet:
     """Generated tables of one schema document.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mockloom.functions.rng import uniform
+from mockloom.operators import dp
 
 
 def leakage_rate(real: DataFrame, synth: DataFrame) -> DataFrame:
@@ -68,27 +68,20 @@ def k_anonymity(df: DataFrame, k: int, quasi: list[str]) -> DataFrame:
 
 
 def dp_counts(
-    df: DataFrame, user: str, group: str, epsilon: float, max_groups: int, seed: int | str
+    df: DataFrame, user: str, group: str, epsilon: float, max_groups: int, seed: int | str, delta: float = 1e-6
 ) -> DataFrame:
-    """Users per group with Laplace noise of scale max_groups / epsilon.
+    """Users per group with Laplace noise of scale max_groups / epsilon, of groups whose noisy number reaches a threshold.
 
-    A user counts once per group and in at most ``max_groups`` groups, chosen by
-    hash order. Distinct (user, group) pairs are formed first, so the window of
-    a user holds no more rows than there are groups. Only the noisy number leaves;
-    ``seed`` must be kept secret, as the noise follows from it.
+    A user counts once per group and in at most ``max_groups`` groups. A group
+    of few users is not named at all, so that its presence tells nothing: for one
+    user that holds but with probability ``delta``. Only the noisy number leaves;
+    ``seed`` must be kept secret, as the noise follows from it. See ``dp`` for more
+    than counts and for a budget over several releases.
     """
-    pairs = df.select(F.col(user).alias("u"), F.col(group).alias("g")).distinct()
-    order = Window.partitionBy("u").orderBy(F.md5(F.concat_ws("|", F.col("u").cast("string"), F.col("g").cast("string"))))
-    kept = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_groups)
-    exact = kept.groupBy("g").agg(F.count(F.lit(1)).alias("bounded_users"))
-    centred = uniform(seed, "dp", group, F.col("g")) - 0.5
-    scale = max_groups / epsilon
-    # u = 0 would give log(0); the smallest positive step stands in
-    inner = F.greatest(F.lit(1.0) - F.abs(centred) * 2, F.lit(2.0**-32))
-    return exact.select(
-        F.col("g").alias("group_value"),
-        (F.col("bounded_users") - F.signum(centred) * scale * F.log(inner)).alias("noisy_users"),
-    )
+    exact = dp.bounded(df, user, group, max_groups).groupBy("g").agg(F.count(F.lit(1)).alias("bounded_users"))
+    noisy = F.col("bounded_users") + dp.laplace(max_groups / epsilon, seed, group, dp.name_of(F.col("g")))
+    out = exact.select(F.col("g").alias("group_value"), noisy.alias("noisy_users"))
+    return out.where(F.col("noisy_users") >= dp.threshold(epsilon, delta, max_groups))
 
 
 # fixed values: what counts as personal data, one pattern per class

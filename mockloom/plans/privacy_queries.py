@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mockloom.operators import nearest, privacy
+from mockloom.operators import dp, nearest, privacy
 from mockloom.plans.derive import (
     ACCOUNTS_PAIR, LINEITEM_PAIR, ORDERS_PAIR, accounts_pair, lineitem_pair, orders_pair, sql_uniform, table,
 )
@@ -123,15 +123,56 @@ def privacy_report(spark, sf_dir):
     return rounded(nearest.privacy_report(people.filter(~building), people.filter(building), synth, _BAL), 9)
 
 
+# The given tables have few users: a large delta and epsilon let some groups be named.
+_DELTA = 0.01
+
+
+def _noise_sql(what: str, scale: float, key: str = "g") -> str:
+    z = f"({sql_uniform(42, 'dp', what, key)} - 0.5)"
+    return f"(-sign({z}) * {scale!r} * ln(greatest(1 - abs({z}) * 2, pow(2.0, -32))))"
+
+
 @query(
     "dp_counts",
     f"""WITH pairs AS (SELECT DISTINCT user_id AS u, event_type AS g FROM events),
 kept AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY u ORDER BY md5(u || '|' || g)) <= 3),
-c AS (SELECT g, count(*) AS n, {sql_uniform(42, 'dp', 'event_type', 'g')} - 0.5 AS z FROM kept GROUP BY g)
-SELECT g AS group_value, round(n - sign(z) * (3 / 0.5) * ln(greatest(1 - abs(z) * 2, pow(2.0, -32))), 6) AS noisy_users FROM c""",
+c AS (SELECT g, count(*) + {_noise_sql('event_type', 6.0)} AS noisy FROM kept GROUP BY g)
+SELECT g AS group_value, round(noisy, 6) AS noisy_users FROM c WHERE noisy >= {dp.threshold(0.5, _DELTA, 3)!r}""",
 )
 def dp_counts(spark, sf_dir):
-    return rounded(privacy.dp_counts(table(spark, sf_dir, "events"), "user_id", "event_type", epsilon=0.5, max_groups=3, seed=42))
+    return rounded(privacy.dp_counts(table(spark, sf_dir, "events"), "user_id", "event_type", epsilon=0.5, max_groups=3, seed=42, delta=_DELTA))
+
+
+_BAND = "event_type || CASE WHEN value >= 250 THEN ' over 250' WHEN value >= 100 THEN ' over 100' ELSE '' END"
+_EPSILON, _GROUPS, _TOP = 24.0, 6, 400.0
+_PART = _EPSILON / 5  # users, sums, means and two quantiles
+
+
+def _quantile_sql(share: float) -> str:
+    key = "g || '|' || cell"
+    score = f"-abs(below - n * {share}) * {_PART / _GROUPS / 2!r} + ln(run) - ln(-ln(greatest({sql_uniform(42, 'dp', f'band#q{share}', key)}, pow(2.0, -33))))"
+    return f"""(SELECT g, (c.cell + floor({sql_uniform(42, 'dp', f'band#i{share}', 'g')} * c.run) + 1) * {_TOP / dp.CELLS!r} AS q FROM (
+ SELECT g, arg_max({{'cell': cell, 'run': run}}, score) AS c FROM (SELECT *, {score} AS score FROM (
+  SELECT g, cell, sum(n) OVER (PARTITION BY g ORDER BY cell) AS below, sum(n) OVER (PARTITION BY g) AS n, lead(cell, 1, {dp.CELLS}) OVER (PARTITION BY g ORDER BY cell) - cell AS run
+  FROM (SELECT g, cell, sum(n) AS n FROM (SELECT g, least(greatest(floor(a / {_TOP / dp.CELLS!r}), 0), {dp.CELLS - 1})::INT AS cell, 1 AS n FROM per
+   UNION ALL SELECT DISTINCT g, 0, 0 FROM per) GROUP BY g, cell))) GROUP BY g))"""
+
+
+@query(
+    "dp_release",
+    f"""WITH e AS (SELECT user_id AS u, {_BAND} AS g, value FROM events),
+per AS (SELECT * FROM (SELECT u, g, sum(value) AS s, avg(value) AS a FROM e GROUP BY u, g) QUALIFY row_number() OVER (PARTITION BY u ORDER BY md5(u || '|' || g), g) <= {_GROUPS}),
+t AS (SELECT g, count(*) + {_noise_sql('band#users', _GROUPS / _PART)} AS users, sum(least(s, {_TOP})) + {_noise_sql('band#sum', _GROUPS * _TOP / _PART)} AS total,
+  {_TOP / 2} + (sum(least(a, {_TOP}) - {_TOP / 2}) + {_noise_sql('band#off', 2 * _GROUPS * (_TOP / 2) / _PART)}) / greatest(1.0, count(a) + {_noise_sql('band#n', 2 * _GROUPS / _PART)}) AS mean
+  FROM per GROUP BY g)
+SELECT t.g AS group_value, round(users, 5) AS noisy_users, round(total, 5) AS noisy_sum, round(least(greatest(mean, 0), {_TOP}), 5) AS noisy_mean, round(m.q, 5) AS q50, round(h.q, 5) AS q90
+FROM t JOIN {_quantile_sql(0.5)} m USING (g) JOIN {_quantile_sql(0.9)} h USING (g) WHERE users >= {dp.threshold(_PART, _DELTA, _GROUPS)!r}""",
+)
+def dp_release(spark, sf_dir):
+    """Users, sums, means and quantiles of events by kind and size under one budget; kinds of few users are withheld."""
+    events = table(spark, sf_dir, "events").withColumn("band", F.expr(_BAND))
+    release = dp.Release("user_id", "band", "value", 0.0, _TOP, _GROUPS, (0.5, 0.9))
+    return rounded(release.run(events, dp.Ledger(_EPSILON, _DELTA), _EPSILON, _DELTA, 42), 5)
 
 
 def _pii_sql(of: str) -> str:
