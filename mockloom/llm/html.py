@@ -23,6 +23,8 @@ _TOKEN = re.compile(
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for name in RAW}
 _NAMES = re.compile(r"(?<![^\s\"'/])(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_UNFINISHED = re.compile(r"<[a-z/!?]", re.I)
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 #: Elements inside a line of text; all others begin and end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements without content.
@@ -59,80 +61,130 @@ _ENDS_OPEN = {
 }
 _SCOPE = {"li": {"ul", "ol", "menu", "table"}, "dt": {"dl", "table"}, "dd": {"dl", "table"}, **dict.fromkeys(_CELLS, {"table"})}
 _ANY_SCOPE = {"table", "td", "th"}
-#: Words without links from which an element counts as the main text of a page, and their share of those outside.
-MAIN_LEAST, MAIN_SHARE = 25, 0.1
-#: What the tree sees of a block.
-FEATURES = ["in_side", "in_main", "page_has_main", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after"]
-#: Labelled blocks the tree is fitted on: FEATURES, then 1 for main text.
+#: What the tree sees of a block. ``main_share`` is the part of the page's words without links, outside side matter, that stands in main elements.
+FEATURES = ["in_side", "in_main", "main_share", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after"]
+#: Labelled blocks the tree is fitted on: FEATURES, then 1 for main text. Of a missing neighbour both are 0.
 LABELLED = """
-1 0 1 0   5 1.0   4 1.0   6 1.0  0
-1 0 1 0  40 0.1   6 1.0  60 0.0  0
-1 1 1 0  30 0.0  80 0.0  20 0.0  0
-1 1 1 0   4 0.5  70 0.0   9 0.0  0
-1 1 1 1   2 0.0  50 0.0  15 0.0  0
-1 0 0 0  12 0.0   3 1.0  55 0.0  0
-1 0 0 0   3 1.0   0 0.0   4 1.0  0
-1 0 0 1   2 0.0   9 0.4  14 0.3  0
-1 0 0 0  25 0.0  44 0.0   0 0.0  0
-1 0 1 0  90 0.0  70 0.0   0 0.0  0
-0 1 1 1   6 0.0   0 0.0  70 0.0  1
-0 1 1 1   3 0.0  60 0.0  80 0.0  1
-0 1 1 0   1 0.0  30 0.0  25 0.0  1
-0 1 1 0   2 0.0   5 0.0   3 0.0  1
-0 1 1 0  80 0.0   8 0.0  60 0.0  1
-0 1 1 0  60 0.1  80 0.0   7 0.6  1
-0 1 1 0  15 0.4  50 0.0  40 0.0  1
-0 1 1 0   9 0.0   4 1.0   9 1.0  1
-0 1 1 0   4 1.0  30 0.1  30 0.0  1
-0 1 1 0   7 1.0  12 0.0   0 0.0  1
-0 1 1 0 200 0.0   0 0.0   0 0.0  1
-0 0 1 0   5 0.0   3 1.0  60 0.0  0
-0 0 1 0  14 0.0  90 0.0   4 1.0  0
-0 0 1 0  45 0.0  70 0.0   6 0.5  0
-0 0 1 1   4 0.0   5 1.0  50 0.0  0
-0 0 1 0   6 1.0   6 1.0   6 1.0  0
-0 0 1 0  30 0.6  10 1.0  10 1.0  0
-0 0 0 0  80 0.0  60 0.0  70 0.0  1
-0 0 0 0  60 0.1   3 1.0  80 0.0  1
-0 0 0 0  40 0.0  50 0.0   5 1.0  1
-0 0 0 0  25 0.2  30 0.0  35 0.0  1
-0 0 0 0  20 0.0   0 0.0   0 0.0  1
-0 0 0 0   4 0.0  60 0.0  55 0.0  1
-0 0 0 0   7 0.0  45 0.0  30 0.0  1
-0 0 0 1   5 0.0   4 1.0  60 0.0  1
-0 0 0 1   3 0.0  50 0.0  45 0.0  1
-0 0 0 0   5 1.0   4 1.0   6 1.0  0
-0 0 0 0   9 0.8   5 1.0   7 0.9  0
-0 0 0 0  16 0.7  12 0.6  14 0.8  0
-0 0 0 0   3 0.0   2 1.0   4 1.0  0
-0 0 0 0   4 0.0   0 0.0   3 1.0  0
-0 0 0 0   6 0.0   5 0.5   0 0.0  0
-0 0 0 0   5 0.0   3 0.0   4 0.0  0
-0 0 0 0  40 0.8  30 0.9  20 0.9  0
-0 0 0 0  12 0.0   0 0.0   0 0.0  1
-0 0 0 0  30 0.0  30 0.0  20 0.0  1
-0 0 0 0  22 0.0  40 0.0  12 0.0  1
-0 0 0 0  19 0.0  18 0.0  20 0.0  1
-0 0 0 0  12 0.0  40 0.0  30 0.0  1
-0 0 0 0  15 0.0  22 0.0   0 0.0  1
-0 0 0 0  14 0.1   3 1.0   5 1.0  1
-0 0 0 0  35 0.9  40 0.0  60 0.0  0
-0 0 0 0  30 1.0  50 0.0  40 0.0  0
-0 0 0 0   8 0.9  60 0.0  80 0.0  0
-0 0 0 0   6 1.0  80 0.0  60 0.0  0
-0 0 0 0  90 0.0  95 0.0  85 0.0  1
-0 0 0 0  40 0.0 120 0.0   0 0.0  1
-0 0 0 0  15 0.0  90 0.0  80 0.0  1
-0 0 0 0   8 0.1 150 0.0 200 0.1  1
-0 0 0 0 200 0.0   4 1.0   6 1.0  1
-0 0 0 0 120 0.1 200 0.0   5 1.0  1
-0 0 1 0  40 0.0  30 0.0  35 0.0  0
-0 0 1 0  80 0.0  10 0.0  60 0.0  0
-0 0 1 0  12 0.0   5 0.0   0 0.0  0
-0 0 1 0  20 0.1  25 0.0  15 0.0  0
-0 0 1 1   3 0.0  20 0.0  40 0.0  0
-0 1 0 0   3 0.0  60 0.0  50 0.0  1
-0 1 0 0  20 0.0   4 1.0  90 0.0  1
+1 0 0.9 0   5 1.0   4 1.0   6 1.0  0
+1 0 0.9 0  40 0.1   6 1.0  60 0.0  0
+1 1 0.9 0  30 0.0  80 0.0  20 0.0  0
+1 1 1.0 0   4 0.5  70 0.0   9 0.0  0
+1 1 1.0 1   2 0.0  50 0.0  15 0.0  0
+1 0 0.0 0  12 0.0   3 1.0  55 0.0  0
+1 0 0.0 0   3 1.0   0 0.0   4 1.0  0
+1 0 0.0 1   2 0.0   9 0.4  14 0.3  0
+1 0 0.0 0  25 0.0  44 0.0   0 0.0  0
+1 0 1.0 0  90 0.0  70 0.0   0 0.0  0
+1 0 0.0 0  16 0.0  40 0.0  30 0.0  0
+1 1 0.6 0   8 0.0   9 0.0   7 0.0  0
+0 1 1.0 1   6 0.0   0 0.0  70 0.0  1
+0 1 1.0 1   3 0.0  60 0.0  80 0.0  1
+0 1 0.9 0   1 0.0  30 0.0  25 0.0  1
+0 1 0.9 0   2 0.0   5 0.0   3 0.0  1
+0 1 0.4 0  80 0.0   8 0.0  60 0.0  1
+0 1 0.8 0  60 0.1  80 0.0   7 0.6  1
+0 1 1.0 0  15 0.4  50 0.0  40 0.0  1
+0 1 1.0 0   9 0.0   4 1.0   9 1.0  1
+0 1 0.7 0   4 1.0  30 0.1  30 0.0  1
+0 1 1.0 0   7 1.0  12 0.0   0 0.0  1
+0 1 1.0 0   5 1.0   9 0.0   6 1.0  1
+0 1 0.9 0   6 1.0   5 1.0  40 0.0  1
+0 1 1.0 0   4 1.0   5 1.0   3 1.0  1
+0 1 0.9 0   6 1.0   6 1.0   7 1.0  1
+0 1 0.8 0   9 0.9   3 1.0   8 0.9  1
+0 1 1.0 0  12 0.8   7 0.9  10 1.0  1
+0 1 1.0 0 200 0.0   0 0.0   0 0.0  1
+0 1 0.3 0   5 0.0  20 0.0   9 0.2  1
+0 1 0.9 1   2 0.0   5 1.0  40 0.0  1
+0 1 1.0 0   6 0.0   4 1.0  12 0.0  1
+0 1 0.8 0   3 0.0   4 1.0   5 0.9  1
+0 1 1.0 0  20 0.0   6 1.0   0 0.0  1
+0 1 0.9 0   1 0.0   5 1.0   0 0.0  1
+0 1 0.9 0   4 0.1   9 0.8   8 1.0  1
+0 1 1.0 1   2 0.0   6 1.0   7 0.2  1
+0 1 0.5 0   8 0.0   3 1.0   3 1.0  1
+0 0 1.0 0   5 0.0   3 1.0  60 0.0  0
+0 0 0.9 0  14 0.0  90 0.0   4 1.0  0
+0 0 0.8 0  45 0.0  70 0.0   6 0.5  0
+0 0 0.9 1   4 0.0   5 1.0  50 0.0  0
+0 0 1.0 0   6 1.0   6 1.0   6 1.0  0
+0 0 0.7 0  30 0.6  10 1.0  10 1.0  0
+0 0 0.5 0  40 0.0  30 0.0  35 0.0  0
+0 0 0.4 0  80 0.0  10 0.0  60 0.0  0
+0 0 0.3 0  12 0.0   5 0.0   0 0.0  0
+0 0 0.2 0  20 0.1  25 0.0  15 0.0  0
+0 0 0.2 1   3 0.0  20 0.0  40 0.0  0
+0 0 0.9 0   7 0.0   8 0.0   6 0.0  0
+0 0 0.0 0  80 0.0  60 0.0  70 0.0  1
+0 0 0.0 0  60 0.1   3 1.0  80 0.0  1
+0 0 0.0 0  40 0.0  50 0.0   5 1.0  1
+0 0 0.0 0  25 0.2  30 0.0  35 0.0  1
+0 0 0.0 0  20 0.0   0 0.0   0 0.0  1
+0 0 0.1 0   4 0.0  60 0.0  55 0.0  1
+0 0 0.0 0   7 0.0  45 0.0  30 0.0  1
+0 0 0.0 1   5 0.0   4 1.0  60 0.0  1
+0 0 0.0 1   3 0.0  50 0.0  45 0.0  1
+0 0 0.0 0   2 0.0   0 0.0  14 0.0  1
+0 0 0.0 0   2 0.0   3 0.0   3 0.0  1
+0 0 0.0 0   3 0.0   2 0.0   2 0.0  1
+0 0 0.0 0   1 0.0   4 0.0  12 0.0  1
+0 0 0.0 0   2 0.0  11 0.0   0 0.0  1
+0 0 0.0 0   2 0.0  16 0.0   5 1.0  1
+0 0 0.0 0   3 0.0   4 1.0   2 0.0  1
+0 0 0.0 1   2 0.0   6 1.0   9 0.0  1
+0 0 0.0 0   6 0.3   5 0.0  30 0.0  1
+0 0 0.0 0   4 0.5  20 0.0  12 0.0  1
+0 0 0.0 0   8 0.4  12 0.0   0 0.0  1
+0 0 0.0 0   6 0.5   9 1.0  18 0.0  1
+0 0 0.1 0   5 0.6  33 0.1   7 0.0  1
+0 0 0.0 0  12 0.6   8 0.1   9 0.1  1
+0 0 0.0 0   5 1.0   4 1.0   6 1.0  0
+0 0 0.0 0   9 0.8   5 1.0   7 0.9  0
+0 0 0.0 0  16 0.7  12 0.6  14 0.8  0
+0 0 0.1 0   3 1.0   0 0.0   4 1.0  0
+0 0 0.0 0   4 1.0   6 1.0   0 0.0  0
+0 0 0.0 0   3 0.0   2 1.0   4 1.0  0
+0 0 0.0 0   6 0.0   3 1.0   9 1.0  0
+0 0 0.0 1   2 0.0   5 0.9   6 1.0  0
+0 0 0.0 0  12 0.0   4 1.0   3 0.9  0
+0 0 0.0 0   9 0.3   6 1.0   5 1.0  0
+0 0 0.0 0  25 0.2   7 0.9   8 1.0  0
+0 0 0.0 0   5 0.0   5 0.8   0 0.0  0
+0 0 0.0 0   6 0.0   7 1.0   0 0.0  0
+0 0 0.0 0   4 0.1   3 0.9   0 0.0  0
+0 0 0.0 0  40 0.8  30 0.9  20 0.9  0
+0 0 0.0 0  35 0.9  40 0.0  60 0.0  0
+0 0 0.0 0  30 1.0  50 0.0  40 0.0  0
+0 0 0.1 0   8 0.9  60 0.0  80 0.0  0
+0 0 0.0 0   6 1.0  80 0.0  60 0.0  0
+0 0 0.0 0   7 1.0   9 0.0   6 0.0  0
+0 0 0.0 0  12 0.0   0 0.0   0 0.0  1
+0 0 0.0 0  12 0.0  40 0.0  30 0.0  1
+0 0 0.0 0  15 0.0  22 0.0   0 0.0  1
+0 0 0.0 0  90 0.0  95 0.0  85 0.0  1
+0 0 0.0 0   8 0.1 150 0.0 200 0.1  1
+0 0 0.0 0 200 0.0   4 1.0   6 1.0  1
+0 0 0.0 0 120 0.1 200 0.0   5 1.0  1
+0 0 0.0 0 150 0.0   5 1.0   0 0.0  1
+0 0 0.0 0  60 0.0   6 1.0   9 1.0  1
+0 0 0.0 0  45 0.1   3 0.9   4 1.0  1
+0 0 0.0 0   3 0.0  20 1.0  25 1.0  0
+0 0 0.0 0   6 0.0  15 0.9  40 1.0  0
+0 0 0.0 0   1 0.0   5 1.0  14 0.9  0
+0 0 0.1 0   9 0.1  30 1.0   9 1.0  0
+0 0 0.0 0   2 0.0   5 1.0   3 0.0  1
+0 0 0.0 0   4 0.0   9 1.0   1 0.0  1
+0 0 0.0 0   3 0.0   4 1.0   6 0.1  1
+0 0 0.1 0   1 0.0  12 1.0   2 0.0  1
+0 0 0.0 0   7 0.2  25 0.9   5 0.2  1
+0 0 0.0 0  40 0.0   4 1.0   4 0.0  1
+0 0 0.0 0   4 0.0   6 0.0  12 1.0  1
+0 0 0.0 0   2 0.0   3 0.1   5 1.0  1
+0 0 0.0 0   2 0.0   5 1.0   0 0.0  0
+0 0 0.0 0   9 0.0  12 0.9   0 0.0  0
+0 1 0.0 0   3 0.0  60 0.0  50 0.0  1
+0 1 0.1 0  20 0.0   4 1.0  90 0.0  1
+0 1 0.0 0   6 0.0   5 1.0  70 0.0  1
 """
 
 
@@ -143,8 +195,6 @@ class Block(NamedTuple):
     side: bool
     main: bool
     heading: bool
-    #: Number of the outermost main element, 0 for none.
-    part: int = 0
 
 
 def _words(name: str) -> set[str]:
@@ -245,13 +295,17 @@ def tokens(page: str) -> list[Token]:
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order: text between the tags that end a line, with what encloses it."""
+    """Text blocks of a page in order: text between the tags that end a line, with what encloses it.
+
+    A link goes on through the blocks that stand inside it; elements that say they are not shown have no text.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []
+    stack: list[tuple[str, bool, bool]] = []
     count: Counter[str] = Counter()
     parts: list[str] = []
     side = main = heading = False
-    link, linked, at, part, parts_of = 0, 0, 0, 0, 0
+    link, open_ended, linked, at = False, False, 0, 0
+    veil = ["", 0]  # an inline element that is not shown, and how deep it is nested in itself
 
     def shut() -> str:
         name = stack.pop()[0]
@@ -277,18 +331,20 @@ def blocks(page: str) -> list[Block]:
         tokens = "".join(parts).split()
         parts.clear()
         if tokens:
-            out.append(Block(" ".join(tokens), len(tokens), min(1.0, linked / len(tokens)), side, main, heading, part if main else 0))
+            out.append(Block(" ".join(tokens), len(tokens), min(1.0, linked / len(tokens)), side, main, heading))
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not veil[1]:
             text = html.unescape(text)
             parts.append(text)
             if link:
                 linked += len(text.split())
 
-    for start, end, name, closing, attributes in tokens(page):
+    found = tokens(page)
+    closed = _closed_links(found)
+    for k, (start, end, name, closing, attributes) in enumerate(found):
         add(page[at:start])
         at = end
         if not name:
@@ -299,13 +355,19 @@ def blocks(page: str) -> list[Block]:
         if name == "br":
             parts.append(" ")
             continue
-        if name == "a":
-            link = 0 if closing else 1
-            continue
         if name in INLINE:
+            if name == "a":
+                link, open_ended = not closing, k not in closed
+            if closing:
+                veil[1] -= name == veil[0] and veil[1] > 0
+            elif veil[1]:
+                veil[1] += name == veil[0]
+            elif name not in VOID and _UNSEEN.search(attributes):
+                veil = [name, 1]
             continue
         flush()
-        link = 0
+        veil[1] = 0
+        link = link and not open_ended
         if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             heading = not closing
         elif name not in INLINE:
@@ -321,41 +383,45 @@ def blocks(page: str) -> list[Block]:
             if name in _ENDS_OPEN:
                 while reach(name, _ENDS_OPEN[name]):
                     pass
-            _, around, into, number = stack[-1] if stack else ("", False, False, 0)
+            _, around, into = stack[-1] if stack else ("", False, False)
             named_side, named_main = _places(name, attributes, into)
-            aside = named_side or name in _SIDE or name == "header" and not into or name in HOLDERS and bool(_HIDDEN.search(attributes))
-            here = name in ("article", "main") or named_main
-            if here and not into:
-                parts_of += 1
-                number = parts_of
-            stack.append((name, around or aside, into or here, number))
+            aside = named_side or name in _SIDE or name == "header" and not into or bool((_HIDDEN if name in HOLDERS else _UNSEEN).search(attributes))
+            stack.append((name, around or aside, into or name in ("article", "main") or named_main))
             count[name] += 1
-        _, side, main, part = stack[-1] if stack else ("", False, False, 0)
-    add(page[at:])
+        _, side, main = stack[-1] if stack else ("", False, False)
+    rest = page[at:]
+    unfinished = _UNFINISHED.search(rest)
+    add(rest[:unfinished.start()] if unfinished else rest)
     flush()
     return out
 
 
+def _closed_links(found: list[Token]) -> set[int]:
+    """Places of start tags of links whose end tag comes before the next link: such a link goes on through blocks."""
+    out, last = set(), None
+    for k, t in enumerate(found):
+        if t.name == "a":
+            if t.closing and last is not None:
+                out.add(last)
+            last = None if t.closing else k
+    return out
+
+
 def table_of(page: list[Block]) -> np.ndarray:
     """FEATURES of every block; neighbours beyond the ends have no words.
 
-    A page has main text if an element named so holds enough words without links,
-    of its own or against what lies outside: else a small box named like main
-    text would cost an article in plain elements.
+    A small box named like main text has a small share of the page's words, so
+    the tree can tell it from an element that holds the article.
     """
     words = np.array([0, *[b.words for b in page], 0], float)
     links = np.array([0, *[b.links for b in page], 0], float)
-    plain: Counter[int] = Counter()
-    for b in page:
-        if not b.side:
-            plain[b.part] += b.words * (1 - b.links)
-    outside = plain.pop(0, 0)
-    has = bool(plain) and (max(plain.values()) >= max(MAIN_LEAST, MAIN_SHARE * outside) or sum(plain.values()) >= max(1, outside))
-    own = np.array([[b.side, b.main, has, b.heading] for b in page], float).reshape(-1, 4)
+    plain = [(b.words * (1 - b.links), b.main) for b in page if not b.side]
+    share = sum(w for w, main in plain if main) / max(sum(w for w, _ in plain), 1e-9)
+    own = np.array([[b.side, b.main, share, b.heading] for b in page], float).reshape(-1, 4)
     return np.column_stack([own, words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:]])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple | bool:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple | bool:
     """Decision tree by Gini gain: (feature, threshold, low branch, high branch), or the class."""
     if depth == 0 or y.min() == y.max():
         return bool(y.mean() >= 0.5)
@@ -403,7 +469,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null and empty pages give an empty text. Broken markup is read as far as it
     goes: closing tags without an opening one are ignored, open elements end with
     what encloses them. Repeated pages and null ids are kept as rows; an empty table gives no rows. No
-    page is cut short, but what follows a RAW element without end tag belongs to it, as in browsers.
+    page is cut short, but what follows a RAW element without end tag belongs to it, and a tag that the page's end leaves unfinished is none of its text, as in browsers.
     """
     source = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
 

@@ -1,9 +1,11 @@
 import html
 import re
 
+import numpy as np
 import pytest
 
-from mockloom.llm.html import EMBEDDED, blocks, extract, main_text
+from mockloom.llm import html as module
+from mockloom.llm.html import EMBEDDED, FEATURES, LABELLED, blocks, decide, extract, grow, main_text, table_of, tree
 
 LONG = "Some long paragraph of text that goes on and on for many words in the article body to be kept."
 
@@ -93,3 +95,88 @@ def test_nulls_repeats_and_empty_table(spark):
     got = {(r.page_id, r.url): r for r in extract(pages).collect()}
     assert got[1, None].text == "" and got[1, "u"].n_chars == 0 and got[None, "u"].text == LONG and got[2, "u"].n_chars == 59_999
     assert extract(spark.createDataFrame([], schema)).count() == 0
+
+
+RECIPE = ["Pancakes", "Soft and quick.", "2 eggs", "200 g flour", "300 ml milk", "salt", "Mix all of it in a bowl and let it rest for a while before you bake.", "Then stir."]
+RECIPE_PAGE = "<div><h2>{}</h2><p>{}</p><ul><li>{}</li><li>{}</li><li>{}</li><li>{}</li></ul><p>{}</p><p>{}</p></div>".format(*RECIPE)
+MENU = "<div><a href=1>Home</a></div><div><a href=2>News of the day</a></div><div><a href=3>About us</a></div>"
+CARDS = "<a href=x><h3>Other story</h3><p>Short teaser text here</p></a>" * 3
+
+
+@pytest.mark.parametrize("page", [RECIPE_PAGE, MENU + RECIPE_PAGE, MENU + RECIPE_PAGE + MENU, RECIPE_PAGE + MENU, MENU + RECIPE_PAGE + MENU + "<p>Imprint and terms</p>", RECIPE_PAGE + CARDS])
+def test_short_blocks_of_plain_elements_stay(page):
+    assert main_text(page) == "\n".join(RECIPE)
+
+
+def test_links_go_on_through_blocks():
+    assert [b.links for b in blocks(CARDS)] == [1.0] * 6
+    assert main_text(f"<article><p>{LONG}</p></article>{CARDS}") == LONG
+    assert [b.links for b in blocks("<p><a href=1>open link<p>plain text<p>more")] == [1.0, 0.0, 0.0]
+    assert [b.links for b in blocks("<p><a href=1>a<p>b <a href=2>c</a>")] == [1.0, 0.5]
+
+
+def test_lists_of_links_in_an_article_stay():
+    items = "".join(f"<li><a href={k}>Source number {k}</a></li>" for k in range(6))
+    assert main_text(f"<article><p>{LONG}</p><h2>Sources</h2><ul>{items}</ul></article>") == "\n".join([LONG, "Sources", *[f"Source number {k}" for k in range(6)]])
+
+
+def test_unseen_elements_have_no_text():
+    page = "<p>Seen <span hidden>not</span> text <span style='display:none'>no <span>no</span> no</span>end</p><p hidden>gone</p><li style='display: none'>gone</li><p>Last <i hidden>x<p>Seen again"
+    assert [b.text for b in blocks(page) if not b.side] == ["Seen text end", "Last", "Seen again"]
+
+
+def test_neighbours_decide():
+    """A short block is kept or goes by its neighbours alone, and the fitted tree looks at them."""
+    row = dict(zip(FEATURES, [0, 0, 0.0, 0, 3, 0.0, 5, 0.0, 4, 0.0]))
+    verdict = lambda **k: decide(tree(), np.array([(row | k)[f] for f in FEATURES], float))
+    assert verdict() and verdict(links_before=1.0) and verdict(links_after=1.0) and not verdict(links_before=1.0, links_after=1.0)
+    rows = np.array([line.split() for line in LABELLED.strip().splitlines()], float)
+    rng, changed = np.random.default_rng(0), 0
+    for _ in range(20):
+        mixed = rows[:, :-1].copy()
+        mixed[:, 6:] = mixed[rng.permutation(len(rows)), 6:]
+        changed += sum(decide(tree(), r) != bool(y) for r, y in zip(mixed, rows[:, -1]))
+    assert changed > 20
+
+
+def test_tree_by_a_second_reading():
+    """Every split is the best one, found by counting in plain loops, and every labelled block falls into a leaf of its class."""
+    rows = [tuple(map(float, line.split())) for line in LABELLED.strip().splitlines()]
+
+    def impurity(part):
+        good = sum(r[-1] for r in part)
+        return good * (len(part) - good) / len(part) if part else 0.0
+
+    def check(node, part):
+        if isinstance(node, bool):
+            assert len({r[-1] for r in part}) == 1 and node == bool(part[0][-1])
+            return
+        gains = {}
+        for f in range(len(FEATURES)):
+            values = sorted({r[f] for r in part})
+            for a, b in zip(values, values[1:]):
+                t = (a + b) / 2
+                gains[f, t] = impurity(part) - impurity([r for r in part if r[f] <= t]) - impurity([r for r in part if r[f] > t])
+        assert gains[node[0], node[1]] >= max(gains.values()) - 1e-9
+        check(node[2], [r for r in part if r[node[0]] <= node[1]])
+        check(node[3], [r for r in part if r[node[0]] > node[1]])
+
+    check(tree(), rows)
+    a = np.array(rows)
+    assert grow(a[:, :-1], a[:, -1]) == tree()
+
+
+def test_verdicts_against_a_walk_by_hand(spark):
+    """The blocks of whole pages, classified by reading the tree as nested conditions."""
+    def source(node, depth=1):
+        pad = "    " * depth
+        if isinstance(node, bool):
+            return f"{pad}return {node}\n"
+        return f"{pad}if r[{node[0]}] <= {float(node[1])!r}:\n{source(node[2], depth + 1)}{pad}else:\n{source(node[3], depth + 1)}"
+
+    scope = {}
+    exec("def by_hand(r):\n" + source(tree()), scope)  # noqa: S102
+    for row in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(40).collect():
+        found = blocks(row.html)
+        assert main_text(row.html) == "\n".join(b.text for b, r in zip(found, table_of(found).tolist()) if scope["by_hand"](r))
+    assert not hasattr(module, "MAIN_LEAST")
