@@ -1,4 +1,4 @@
-"""Distance to the closest record, exact, without comparing all pairs.
+"""Distance to the closest record, exact or by random projections, without comparing all pairs.
 
 Real points are sorted along a space-filling curve and packed: 64 neighbours
 make a node with tight bounds, 64 nodes make the next one, and so on, whatever
@@ -6,18 +6,28 @@ the density of the data. The search walks down the levels for all synthetic
 points at once. A node whose bounds lie farther away than a point already
 found is dropped, so a point meets a handful of nodes per level, however many
 records there are.
+
+Columns may be numbers or text. Numbers are scaled to [0, 1] and differ by
+their distance, texts by 0 or 1; with ``nulls`` a null equals a null and differs from all else by 1.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mockloom.operators.scan import dense_index
+from mockloom.operators.scan import dense_index, lookup_by_key
 
 FANOUT = 64
+#: Coordinate of a null.
+NULL = -1.0
+#: Random rotations of an approximate search, and real points before and after a synthetic one that it is compared with in each.
+ROTATIONS, REACH = 2, 48
 
 
 Bounds = list[tuple[float, float]]
@@ -40,10 +50,63 @@ def _scaled(df: DataFrame, cols: list[str], bounds: Bounds) -> DataFrame:
     return complete.select(*[at(i).alias(f"x{i}") for i in range(len(cols))])
 
 
+def text_columns(df: DataFrame, cols: list[str]) -> list[str]:
+    return [c for c in cols if isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType))]
+
+
+def mixed_points(real: DataFrame, synth: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame, list[bool]]:
+    """Both tables as coordinates x0.., nulls as NULL, and which of them are text.
+
+    A text's coordinate is its place among all texts of the column, so that texts
+    that stand together in a node cover a short stretch.
+    """
+    texts = text_columns(real, cols)
+    numbers = [c for c in cols if c not in texts]
+    bounds = dict(zip(numbers, common_bounds([real, synth], numbers), strict=True)) if numbers else {}
+    sides = [df.select(*[F.col(c).cast("string" if c in texts else "double").alias(f"x{i}") for i, c in enumerate(cols)]) for df in (real, synth)]
+    for i, c in enumerate(cols):
+        if c in texts:
+            words = dense_index(sides[0].select(f"x{i}").union(sides[1].select(f"x{i}")).dropna().distinct(), [f"x{i}"], "_place")
+            size = max(words.count(), 1)
+            codes = words.select(f"x{i}", ((F.col("_place") + 0.5) / size).alias("_code"))
+            sides = [_coded(df, codes, f"x{i}") for df in sides]
+        else:
+            low, high = bounds[c]
+            at = (F.col(f"x{i}") - low) / (high - low) if low is not None and high > low else F.lit(0.0)
+            sides = [df.withColumn(f"x{i}", F.when(F.col(f"x{i}").isNull() | F.isnan(f"x{i}"), NULL).otherwise(at)) for df in sides]
+    xs = [f"x{i}" for i in range(len(cols))]
+    return sides[0].select(*xs), sides[1].select(*xs), [c in texts for c in cols]
+
+
+def _coded(df: DataFrame, codes: DataFrame, name: str) -> DataFrame:
+    found = lookup_by_key(df.where(F.col(name).isNotNull()), codes, [name]).withColumn(name, F.col("_code")).drop("_code")
+    return found.unionByName(df.where(F.col(name).isNull()).withColumn(name, F.lit(NULL)))
+
+
+def apart(x: Column, y: Column, text: bool) -> Column:
+    """How far two coordinates are apart."""
+    if text:
+        return F.when(x == y, 0.0).otherwise(1.0)
+    return F.when((x < 0) & (y < 0), 0.0).when((x < 0) | (y < 0), 1.0).otherwise(F.abs(x - y))
+
+
+def outside(x: Column, low: Column, high: Column, text: bool) -> Column:
+    """A lower bound of how far a coordinate is from any of a stretch that may hold nulls."""
+    if text:
+        return F.when((x < low) | (x > high), 1.0).otherwise(0.0)
+    known = F.greatest(F.when(low < 0, 0.0).otherwise(low - x), x - high, F.lit(0.0))
+    return F.when(x < 0, F.when(low < 0, 0.0).otherwise(1.0)).when(high < 0, 1.0).otherwise(known)
+
+
 def _curve(d: int) -> Column:
+    return _curve_of([f"x{i}" for i in range(d)])
+
+
+def _curve_of(columns: list[str]) -> Column:
     """Position on a Z-order curve; only the packing quality depends on it."""
+    d = len(columns)
     bits = max(1, min(31, 62 // d))
-    grid = [F.least(F.floor(F.col(f"x{i}") * float(2**bits)), F.lit(2**bits - 1)) for i in range(min(d, 62))]
+    grid = [F.greatest(F.lit(0).cast("bigint"), F.least(F.floor(F.col(c) * float(2**bits)), F.lit(2**bits - 1))) for c in columns[:62]]
     parts = [
         F.shiftleft(F.shiftright(g, b).bitwiseAND(F.lit(1).cast("bigint")), b * len(grid) + i)
         for b in range(bits)
@@ -80,17 +143,22 @@ def _packed(points: DataFrame, d: int) -> tuple[DataFrame, int]:
     return nodes.checkpoint(), size
 
 
-def closest(real: DataFrame, synth: DataFrame, cols: list[str], bounds: Bounds | None = None) -> DataFrame:
+def closest(real: DataFrame, synth: DataFrame, cols: list[str], bounds: Bounds | None = None, nulls: bool = False) -> DataFrame:
     """Distinct scaled synthetic points (x0..) with their row count and distance to the nearest real point.
 
-    Columns are scaled to [0, 1] over both tables, or over ``bounds``. Rows
-    with a null in any column have no distance and are left out.
+    Columns are scaled to [0, 1] over both tables, or over ``bounds`` (numbers
+    only). Without ``nulls``, rows with a null in any column have no distance and are left out.
     """
     d = len(cols)
-    bounds = common_bounds([real, synth], cols) if bounds is None else bounds
     xs = [f"x{i}" for i in range(d)]
-    tree, size = _packed(_scaled(real, cols, bounds), d)
-    points = _scaled(synth, cols, bounds).groupBy(*xs).agg(F.count(F.lit(1)).alias("weight"))
+    if nulls or text_columns(real, cols):
+        known = (lambda df: df) if nulls else (lambda df: df.dropna(subset=cols))
+        left, right, kinds = mixed_points(known(real), known(synth), cols)
+    else:
+        bounds = common_bounds([real, synth], cols) if bounds is None else bounds
+        left, right, kinds = _scaled(real, cols, bounds), _scaled(synth, cols, bounds), [False] * d
+    tree, size = _packed(left, d)
+    points = right.groupBy(*xs).agg(F.count(F.lit(1)).alias("weight"))
     if size == 0:
         return points.withColumn("distance", F.lit(None).cast("double"))
     # few bytes but much to compute: a fixed count keeps AQE from merging the tasks
@@ -100,8 +168,8 @@ def closest(real: DataFrame, synth: DataFrame, cols: list[str], bounds: Bounds |
         height += 1
 
     square = lambda parts: reduce(lambda a, b: a + b, [p * p for p in parts])
-    bound = square([F.greatest(F.col(f"lo{i}") - F.col(x), F.lit(0.0), F.col(x) - F.col(f"hi{i}")) for i, x in enumerate(xs)])
-    reach = square([F.col(x) - F.col(f"p{i}") for i, x in enumerate(xs)])
+    bound = square([outside(F.col(x), F.col(f"lo{i}"), F.col(f"hi{i}"), kinds[i]) for i, x in enumerate(xs)])
+    reach = square([apart(F.col(x), F.col(f"p{i}"), kinds[i]) for i, x in enumerate(xs)])
 
     def visit(front: DataFrame, h: int, *keep: str) -> DataFrame:
         """One row per child of the nodes at hand; one join at every height."""
@@ -127,6 +195,90 @@ def closest(real: DataFrame, synth: DataFrame, cols: list[str], bounds: Bounds |
     return visit(front, 1).groupBy(*xs, "weight").agg(F.sqrt(F.min("reach")).alias("distance"))
 
 
+def _beside(kinds: list[bool], reach: int):
+    """Least distance of each synthetic row to the ``reach`` real rows before and after it; rows come sorted."""
+    text = np.array(kinds)
+
+    def least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        missing = (x < 0) != (y < 0)
+        gap = np.where(text, x != y, np.where(missing, 1.0, np.where(x < 0, 0.0, np.abs(x - y))))
+        return np.sqrt((gap * gap).sum(axis=-1))
+
+    def run(batches):
+        held = None
+
+        def done(rows: np.ndarray, last: bool) -> tuple[pa.RecordBatch, np.ndarray]:
+            """Distances of the rows that have seen enough real ones, and the rows that later ones still need."""
+            real = np.flatnonzero(rows[:, 0] > 0)
+            before = np.cumsum(rows[:, 0] > 0)
+            ready = (rows[:, 0] == 0) & (last | (before + reach <= len(real)))
+            at = np.flatnonzero(ready)
+            best = np.full(len(at), np.inf)
+            for start in range(0, len(at) if len(real) else 0, 1024):
+                part = at[start:start + 1024]
+                near = np.clip(before[part][:, None] + np.arange(-reach, reach), 0, len(real) - 1)
+                best[start:start + 1024] = least(rows[part][:, None, 2:], rows[real[near]][:, :, 2:]).min(axis=1)
+            out = pa.RecordBatch.from_arrays([*[pa.array(rows[at, k]) for k in range(2, rows.shape[1])], pa.array(rows[at, 1].astype(np.int64)), pa.array(best)],
+                                             names=[*[f"x{i}" for i in range(len(kinds))], "weight", "distance"])
+            waiting = np.flatnonzero((rows[:, 0] == 0) & ~ready)
+            first = before[waiting[0]] if len(waiting) else before[-1]
+            keep = real[max(0, first - reach)] if len(real) else (waiting[0] if len(waiting) else len(rows))
+            rest = np.arange(len(rows)) >= keep
+            rest[at] = False
+            return out, rows[rest]
+
+        for batch in batches:
+            rows = np.column_stack([np.asarray(c, float) for c in batch.columns])
+            if not len(rows):
+                continue
+            out, held = done(rows if held is None else np.concatenate([held, rows]), False)
+            yield out
+        if held is not None and len(held):
+            yield done(held, True)[0]
+
+    return run
+
+
+def closest_projected(
+    real: DataFrame, synth: DataFrame, cols: list[str], nulls: bool = True, rotations: int = ROTATIONS, reach: int = REACH, seed: int = 7
+) -> DataFrame:
+    """Like ``closest``, but approximate: distances are those of a near record, mostly the nearest.
+
+    The points of both tables are sorted by what they share (texts, and which
+    numbers are null), and within that along a space-filling curve of random projections of their
+    numbers; then again with each column left out in turn, as a point's nearest record may
+    differ from it in one; and all that ``rotations`` times. Each synthetic point is compared
+    with the ``reach`` real ones before and after it, which takes one sort and one pass for each turn and a bounded number
+    of rows at a time, in any number of columns. Distances are never too small; without real rows they are null.
+    """
+    known = (lambda df: df) if nulls else (lambda df: df.dropna(subset=cols))
+    left, right, kinds = mixed_points(known(real), known(synth), cols)
+    d = len(cols)
+    xs = [f"x{i}" for i in range(d)]
+    both = left.distinct().select(F.lit(1.0).alias("real"), F.lit(0.0).alias("weight"), *xs)
+    both = both.unionByName(right.groupBy(*xs).agg(F.count(F.lit(1)).cast("double").alias("weight")).withColumn("real", F.lit(0.0))).checkpoint()
+    rng, found = np.random.default_rng(seed), None
+    # what two points share or not: texts, and whether a number is null
+    shared = [F.col(x) if text else F.col(x) < 0 for x, text in zip(xs, kinds, strict=True)]
+    for r, out in ((r, out) for r in range(rotations) for out in (None, *range(d))):
+        kept = [c for i, c in enumerate(shared) if i != out]
+        numbers = [x for i, x in enumerate(xs) if not kinds[i] and i != out]
+        m = len(numbers)
+        turn, shift = np.linalg.qr(rng.normal(size=(m, m)))[0] if m else None, rng.random(m)
+        turned = [sum(F.greatest(F.col(x), F.lit(0.0)) * float(turn[i, j]) for j, x in enumerate(numbers)) for i in range(m)]
+        # turned coordinates lie between the negative and the positive diagonal
+        room = 2 * m**0.5 + 1
+        placed = both.select("real", "weight", *xs, F.xxhash64(F.lit(f"{r} {out}"), *kept).alias("_cell"),
+                             *[((t + m**0.5 + float(s)) / room).alias(f"_t{i}") for i, (t, s) in enumerate(zip(turned, shift, strict=True))])
+        curve = _curve_of([f"_t{i}" for i in range(m)]) if m else F.lit(0)
+        ordered = placed.select("real", "weight", *xs, "_cell", curve.alias("_curve"))
+        ordered = ordered.repartitionByRange("_cell", "_curve", *xs).sortWithinPartitions("_cell", "_curve", *xs)
+        near = ordered.select("real", "weight", *xs).mapInArrow(_beside(kinds, reach), ", ".join([*[f"{x} double" for x in xs], "weight bigint", "distance double"]))
+        found = near if found is None else found.unionByName(near)
+    out = found.groupBy(*xs, "weight").agg(F.min("distance").alias("distance"))
+    return out.withColumn("distance", F.when(F.col("distance") < float("inf"), F.col("distance")))
+
+
 def dcr_summary(distances: DataFrame) -> DataFrame:
     """Weighted mean, smallest distance and share of exact copies."""
     w = F.col("weight")
