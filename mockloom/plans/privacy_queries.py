@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mockloom.operators import dp, nearest, privacy
+from mockloom.operators import dp, mondrian, nearest, privacy
 from mockloom.plans.derive import (
     ACCOUNTS_PAIR, LINEITEM_PAIR, ORDERS_PAIR, accounts_pair, lineitem_pair, orders_pair, sql_uniform, table,
 )
@@ -64,6 +65,32 @@ def k_anonymity_generalised(spark, sf_dir):
     return kept.groupBy("band", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "k_anonymity_mondrian",
+    """SELECT count(*) AS rows, 0 AS rows_outside_their_box, 0 AS rows_in_small_boxes, true AS even_boxes, true AS loses_less_than_fixed_bands FROM customer""",
+)
+def k_anonymity_mondrian(spark, sf_dir):
+    """Boxes found by splits at medians: every row stays and lies in its box, no box is small, and less is given away than by bands of fixed width."""
+    people, quasi, k = table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey", "c_mktsegment"], 6
+    made = mondrian.anonymise(people, k, quasi).join(people.select("c_custkey", *quasi), "c_custkey")
+    new = [f"{c}_{e}" for c in quasi for e in ("low", "high", "null")]
+    inside = [F.coalesce((F.col(c) >= F.col(f"{c}_low")) & (F.col(c) <= F.col(f"{c}_high")), F.col(f"{c}_null")) for c in quasi]
+    boxes = made.groupBy(*new).agg(F.count(F.lit(1)).alias("n"), F.count_if(~(inside[0] & inside[1] & inside[2])).alias("outside"))
+    sums = boxes.agg(
+        F.sum("n").alias("rows"), F.sum("outside").alias("rows_outside_their_box"), F.coalesce(F.sum(F.when(F.col("n") < k, F.col("n"))), F.lit(0)).alias("rows_in_small_boxes"),
+        (F.avg("n") < 3 * k).alias("even_boxes"))
+    cells, sizes = mondrian.boxes_of(people, k, quasi)
+    own = mondrian.loss(cells, "box", sizes).withColumnRenamed("loss", "own")
+    # bands of a thousand and segments; what is in groups under k is suppressed and counts as lost
+    band = F.floor(F.col("c_acctbal") / 1000).alias("band")
+    fixed = cells.select("n", *[f"c{i}" for i in range(3)], band, "c_mktsegment", F.floor(F.col("c_nationkey") / 5).alias("region"))
+    kept = fixed.withColumn("all", F.sum("n").over(Window.partitionBy("band", "c_mktsegment", "region")))
+    share = kept.agg((F.sum(F.when(F.col("all") >= k, F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    given = mondrian.loss(kept.where(F.col("all") >= k), ["band", "c_mktsegment", "region"], sizes).join(share)
+    less = own.join(given).select((F.col("own") < F.coalesce("loss", F.lit(0.0)) * F.col("share") + (1 - F.col("share"))).alias("loses_less_than_fixed_bands"))
+    return sums.join(less)
+
+
 def _scaled_sql(cols: list[str]) -> str:
     """Distinct scaled points r and weighted points s of the pair."""
     bounds = ", ".join(f"min({c}) AS lo{i}, max({c}) AS hi{i}" for i, c in enumerate(cols))
