@@ -85,3 +85,11 @@ def test_judge_and_good(spark, documents, labels, edges, nothing):
     assert quality.good(edges, labels).columns == edges.columns
     assert quality.judge(nothing, labels).count() == 0
     assert {r.kept == (not r.base_failed) for r in quality.judge(edges, labels.limit(0)).collect()} == {True}
+
+
+def test_labels_are_chosen_among_those_of_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 20)
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(10)] + [(3, "another text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)] + [(4, 1), (5, None)], "doc_id long, quality int")
+    x, y = quality.training_rows(docs, labels, "doc_id", "text")
+    assert len(x) == 10 and sorted(y.tolist()) == [0.0] * 5 + [1.0] * 5
