@@ -380,3 +380,22 @@ def prior_sample(spark, sf_dir):
     ).distinct()
     drawn = gen.sample_priors(ids(spark, sf_dir, "customer"), "id", priors, SEED)
     return drawn.select("id", "column_name", F.round("value", 6).alias("value"))
+
+
+_CUSTOM = {"databases": [{"tables": [{"name": "clients", "attributes": [
+    {"name": "id", "type": "BIGINT", "constraints": ["PRIMARY_KEY"]}, {"name": "code", "type": "VARCHAR"}, {"name": "region", "type": "INT"}, {"name": "state", "type": "ENUM"}]}]}]}
+
+
+@query(
+    "gen_custom",
+    f"""SELECT c_custkey AS id, 'C-' || lpad(c_custkey::VARCHAR, 8, '0') AS code, c_custkey % 7 AS region, {sql_pick(voc.ENUM_VALUES, 42, 'clients', 'state', 'c_custkey')} AS state
+FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS c_custkey FROM customer)""",
+)
+def gen_custom(spark, sf_dir):
+    """One row for each customer, two of the columns by generators of the caller's own."""
+    own = {
+        "clients.code": lambda row: F.concat(F.lit("C-"), F.lpad(row.cast("string"), 8, "0")),
+        "clients.region": lambda row: row % 7,
+    }
+    rows = table(spark, sf_dir, "customer").count()
+    return gen.TableSet(spark, _CUSTOM, {"clients": rows}, SEED, custom=own).table("clients")
