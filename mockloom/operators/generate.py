@@ -352,7 +352,10 @@ def plan_rows(tables: DataFrame, overrides: DataFrame, default_rows: int = 10, s
 
 
 def sample_priors(ids: DataFrame, row_id: str, priors: DataFrame, seed=42) -> DataFrame:
-    """One value per row and prior (column_name, dist_type, p1, p2); the result holds every row with every prior."""
+    """One value per row and prior (column_name, dist_type, p1, p2); the result holds every row with every prior.
+
+    A kind that is not known is an error when the rows are made.
+    """
     key = F.concat_ws("|", "column_name", F.col(row_id).cast("string"))
     z = normal(seed, "prior", "z", key)
     u = uniform(seed, "prior", "u", key)
@@ -362,6 +365,7 @@ def sample_priors(ids: DataFrame, row_id: str, priors: DataFrame, seed=42) -> Da
         .when(kind == "log-normal", F.exp(p1 + p2 * z))
         .when(kind == "uniform", p1 + (p2 - p1) * u)
         .when(kind == "exponential", -F.log(F.lit(1.0) - u) / p1)
+        .otherwise(F.raise_error(F.concat(F.lit("no such distribution: "), F.coalesce("dist_type", F.lit("null")))).cast("double"))
     )
     pairs = ids.select(row_id).crossJoin(priors.select("column_name", "dist_type", "p1", "p2"))
     return pairs.select(row_id, "column_name", value.alias("value"))

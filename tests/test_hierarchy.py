@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mockloom.operators import copula, fidelity, hierarchy
+from mockloom.operators import copula, fidelity, generate, hierarchy
 from mockloom.plans import flows
 
 A = lambda n, t, *c: {"name": n, "type": t, "constraints": list(c)}
@@ -102,3 +102,12 @@ def test_unique_strings_are_looked_up_in_linear_time(spark):
     made = copula.fit(real).sample(spark, 20_000)
     assert made.count() == 20_000 and made.join(real, "name", "left_anti").count() == 0
     assert made.select("name").distinct().count() > 12_000
+
+
+def test_unknown_priors_are_refused(spark):
+    ids = spark.range(3).withColumnRenamed("id", "row")
+    known = spark.createDataFrame([("a", "Normal", 1.0, 0.0)], "column_name string, dist_type string, p1 double, p2 double")
+    assert {r["value"] for r in generate.sample_priors(ids, "row", known).collect()} == {1.0}
+    for kind in ("gamma", None):
+        with pytest.raises(Exception, match="no such distribution"):
+            generate.sample_priors(ids, "row", known.withColumn("dist_type", F.lit(kind))).collect()
