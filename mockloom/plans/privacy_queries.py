@@ -71,7 +71,7 @@ def k_anonymity_generalised(spark, sf_dir):
 )
 def k_anonymity_mondrian(spark, sf_dir):
     """Boxes found by splits at medians: every row stays and lies in its box, no box is small, and less is given away than by bands of fixed width."""
-    people, quasi, k = table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey", "c_mktsegment"], 6
+    people, quasi, k = table(spark, sf_dir, "customer"), ["c_acctbal", "c_nationkey", "c_mktsegment"], 40
     made = mondrian.anonymise(people, k, quasi).join(people.select("c_custkey", *quasi), "c_custkey")
     new = [f"{c}_{e}" for c in quasi for e in ("low", "high", "null")]
     inside = [F.coalesce((F.col(c) >= F.col(f"{c}_low")) & (F.col(c) <= F.col(f"{c}_high")), F.col(f"{c}_null")) for c in quasi]
