@@ -6,12 +6,14 @@ is replayed, so at-least-once delivery has the effect of exactly-once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mockloom.operators.jobs import TERMINAL, success_rate
+from mockloom.streaming.batches import run_batches
+from mockloom.streaming.ingest import compact, ingest_once, late_events
+
+__all__ = ["compact", "event_stream", "ingest_once", "late_events", "latest_status", "running_stats"]
 
 
 def event_stream(spark: SparkSession, directory: str, schema, pattern: str) -> DataFrame:
@@ -20,28 +22,6 @@ def event_stream(spark: SparkSession, directory: str, schema, pattern: str) -> D
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(stream: DataFrame, mode: str, root: str, write: Callable[[DataFrame, int], None] | None = None) -> str:
-    """Process what is available and return the folder of batch outputs.
-
-    ``root`` belongs to the caller. A later run with the same folder goes on
-    where the last one ended, also after a crash. ``write`` has to overwrite
-    what an earlier try of the same batch has left.
-    """
-
-    def plain(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{root}/state")
-        .trigger(availableNow=True)
-        .foreachBatch(write or plain)
-        .start()
-    )
-    query.awaitTermination()
-    return f"{root}/out"
-
-
 def _status_aggregates():
     at = F.struct("ts", "event_id")
     final = F.col("status").isin(*TERMINAL)
@@ -61,7 +41,7 @@ def latest_status(events: DataFrame, root: str) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.groupBy("job_id").agg(*_status_aggregates()).write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    path = _run(events, "append", root, write)
+    path = run_batches(events, "append", root, write)
     folded = events.sparkSession.read.parquet(path).groupBy("job_id").agg(
         F.min("ended").alias("ended"), F.max("latest").alias("latest")
     )
@@ -70,58 +50,9 @@ def latest_status(events: DataFrame, root: str) -> DataFrame:
     )
 
 
-def _kept(spark: SparkSession, root: str, folders: tuple[str, ...] = ("out", "late")) -> DataFrame | None:
-    """Rows of all batches in ``folders``, with their batch; None before the first."""
-    found = None
-    for path in (spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}") for folder in folders):
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            rows = spark.read.parquet(path.toString())
-            found = rows if found is None else found.unionByName(rows)
-    return found
-
-
-def late_events(spark: SparkSession, root: str) -> DataFrame | None:
-    """Events that ``ingest_once`` kept although they came behind the watermark; None before its first batch."""
-    late = _kept(spark, root, ("late",))
-    return None if late is None else late.drop("batch")
-
-
-def ingest_once(events: DataFrame, root: str, key: str = "event_id", delay: str = "1 hour") -> DataFrame:
-    """Events delivered at least once, each kept once, however late.
-
-    An event more than ``delay`` older than the newest one of earlier batches goes
-    to a side table (``late_events``) and is part of the result. Each batch is held
-    against the keys of all earlier ones, which are read, not kept in state;
-    those of a small batch are broadcast, so that earlier keys are not shuffled.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        watermark = F.lit(None).cast("timestamp")
-        earlier = _kept(spark, root) if batch_id else None
-        if earlier is not None:
-            earlier = earlier.filter(F.col("batch") < batch_id)
-            newest = earlier.agg(F.unix_micros(F.max("ts") - F.expr(f"INTERVAL {delay}"))).first()[0]
-            watermark = F.timestamp_micros(F.lit(newest).cast("long"))
-            same = lambda x, y: F.col(f"{x}.{key}").eqNullSafe(F.col(f"{y}.{key}"))
-            seen = earlier.select(key).alias("seen").join(batch.select(key).alias("new"), same("seen", "new"), "left_semi")
-            fresh = fresh.alias("new").join(seen.alias("old"), same("new", "old"), "left_anti")
-        late = F.coalesce(F.col("ts") < watermark, F.lit(False))
-        fresh = fresh.withColumn("late", late).persist()
-        try:
-            for folder, rows in (("late", fresh.filter("late")), ("out", fresh.filter("NOT late"))):
-                rows.drop("late").write.mode("overwrite").parquet(f"{root}/{folder}/batch={batch_id}")
-        finally:
-            fresh.unpersist()
-
-    _run(events, "append", root, write)
-    return _kept(events.sparkSession, root).drop("batch")
-
-
 def running_stats(events: DataFrame, root: str) -> DataFrame:
     """Events per status with the success rate, from the last complete result."""
-    path = _run(events.groupBy("status").agg(F.count(F.lit(1)).alias("n")), "complete", root)
+    path = run_batches(events.groupBy("status").agg(F.count(F.lit(1)).alias("n")), "complete", root)
     results = events.sparkSession.read.parquet(path)
     newest = results.agg(F.max("batch")).scalar()
     counts = results.filter(F.col("batch") == newest)
