@@ -11,6 +11,7 @@ from mockloom.plans.generation_queries import STAR
 from mockloom.plans.registry import query
 from mockloom.session import scratch_path
 from mockloom.streaming import jobs as streams
+from mockloom.streaming import queue
 
 # --- jobs from orders, updates and logs from events -----------------------------------------
 
@@ -187,3 +188,26 @@ def stream_ingest_dedup(spark, sf_dir):
 )
 def stream_job_stats(spark, sf_dir):
     return streams.running_stats(_events(spark, sf_dir), scratch_path(spark, "job-stats"))
+
+
+def _bill(job: dict) -> dict:
+    """Handler of the queue's jobs: refuses accounts in debt."""
+    if job["balance"] < 0:
+        raise ValueError("in debt")
+    return {"cents": round(job["balance"] * 100)}
+
+
+@query(
+    "stream_job_queue",
+    """SELECT 'supplier_' || s_suppkey AS message, CASE WHEN s_acctbal < 0 THEN 2 ELSE 1 END::INT AS attempt, CASE WHEN s_acctbal < 0 THEN 'dead' ELSE 'done' END AS status,
+ CASE WHEN s_acctbal >= 0 THEN '{"cents": ' || round(s_acctbal * 100)::BIGINT || '}' END AS result, CASE WHEN s_acctbal < 0 THEN 'ValueError: in debt' END AS error FROM supplier""",
+)
+def stream_job_queue(spark, sf_dir):
+    """A job for each supplier; two rounds, so that those in debt fail twice and are set aside."""
+    jobs = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("job_id"), F.col("s_acctbal").alias("balance")
+    )
+    root = scratch_path(spark, "queue")
+    queue.enqueue(jobs, f"{root}/queue")
+    queue.work_off(spark, f"{root}/queue", f"{root}/work", _bill, attempts=2)
+    return queue.work_off(spark, f"{root}/queue", f"{root}/work", _bill, attempts=2)

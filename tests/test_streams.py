@@ -5,6 +5,7 @@ import glob
 import pytest
 
 from mockloom.streaming import jobs as streams
+from mockloom.streaming import queue
 
 EVENT = "event_id bigint, ts string, job_id bigint, status string"
 
@@ -77,3 +78,70 @@ def test_empty_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     assert ids(streams.ingest_once(source(spark, f"{tmp_path}/in"), f"{tmp_path}/i")) == []
     assert streams.late_events(spark, f"{tmp_path}/i") is None and streams.compact(spark, f"{tmp_path}/i") is None
+
+
+# --- work that is acknowledged after it is done ---------------------------------------------------
+
+
+def state(df):
+    return sorted((r["message"], r["attempt"], r["status"], r["result"]) for r in df.collect())
+
+
+def test_failed_work_stays_in_the_queue(spark, tmp_path):
+    line, root = f"{tmp_path}/queue", f"{tmp_path}/work"
+    done, broken = f"{tmp_path}/ran", tmp_path / "broken"
+    broken.write_text("yes")
+
+    def handler(job):
+        with open(done, "a") as f:
+            f.write(f"{job['job_id']}\n")
+        if job["n"] is not None and job["n"] < 0:
+            raise ValueError("negative")
+        if job["job_id"] == "b" and broken.exists():
+            raise OSError("not reachable")
+        return {"twice": (job["n"] or 0) * 2} if "n" in job else None
+
+    jobs = spark.createDataFrame([("a", 1), ("b", 2), ("c", -3), ("c", -3)], "job_id string, n int")
+    assert queue.enqueue(jobs, line) == 3
+    assert queue.enqueue(jobs, line) == 3  # replaced, not added
+    (tmp_path / "queue" / "waiting" / "odd.json").write_text("[1")
+    names = lambda kind: sorted(p.name for p in (tmp_path / "queue" / kind).glob("*.json"))
+    first = queue.work_off(spark, line, root, handler, attempts=3)
+    assert state(first) == [("a", 1, "done", '{"twice": 2}'), ("b", 1, "failed", None), ("c", 1, "failed", None), ("odd", 1, "failed", None)]
+    assert names("waiting") == ["b.json", "c.json", "odd.json"] and names("settled") == ["a.json"]
+
+    broken.unlink()
+    queue.enqueue(spark.createDataFrame([("a", 9), ("d", 4)], "job_id string, n int"), line)  # a is settled
+    second = queue.work_off(spark, line, root, handler, attempts=3)
+    assert state(second)[:2] == [("a", 1, "done", '{"twice": 2}'), ("b", 2, "done", '{"twice": 4}')] and state(second)[3] == ("d", 1, "done", '{"twice": 8}')
+    third = queue.work_off(spark, line, root, handler, attempts=3)
+    assert [r[:3] for r in state(third)] == [("a", 1, "done"), ("b", 2, "done"), ("c", 3, "dead"), ("d", 1, "done"), ("odd", 3, "dead")]
+    assert names("waiting") == []
+    ran = open(done).read().split()
+    assert {k: ran.count(k) for k in "abcd"} == {"a": 1, "b": 2, "c": 3, "d": 1}
+    assert state(queue.work_off(spark, line, root, handler)) == state(third) and open(done).read().split() == ran
+
+
+def test_a_round_that_was_not_noted_only_acknowledges(spark, tmp_path):
+    line, root, ran = f"{tmp_path}/queue", f"{tmp_path}/work", f"{tmp_path}/ran"
+
+    def handler(job):
+        with open(ran, "a") as f:
+            f.write("x")
+        return job["n"]
+
+    queue.enqueue(spark.createDataFrame([("a", 1), ("b", 2)], "job_id string, n int"), line)
+    queue.work_off(spark, line, root, handler)
+    # as if the driver had been lost after the outcomes were written, before all messages were settled
+    (tmp_path / "queue" / "settled" / "b.json").rename(tmp_path / "queue" / "waiting" / "b.json")
+    for name in ("0", ".0.crc"):
+        (tmp_path / "work" / "state" / "commits" / name).unlink()
+    assert state(queue.work_off(spark, line, root, handler)) == [("a", 1, "done", "1"), ("b", 1, "done", "2")]
+    assert open(ran).read() == "xx" and not list((tmp_path / "queue" / "waiting").glob("*.json"))
+
+
+def test_names_of_messages(spark, tmp_path):
+    for name in ("x/y", "", None, ".hidden"):
+        with pytest.raises(Exception, match="not a name"):
+            queue.enqueue(spark.createDataFrame([(name, 1)], "job_id string, n int"), f"{tmp_path}/queue")
+    assert queue.work_off(spark, f"{tmp_path}/none", f"{tmp_path}/work", lambda job: 1).collect() == []
