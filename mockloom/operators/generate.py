@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mockloom.functions import priors as draw
 from mockloom.functions import vocabulary as voc
 from mockloom.functions.rng import normal, pick, u32, uniform
 from mockloom.functions.typemaps import FK_TAG, KEY_TAGS, STRATEGY
@@ -354,18 +356,44 @@ def plan_rows(tables: DataFrame, overrides: DataFrame, default_rows: int = 10, s
 def sample_priors(ids: DataFrame, row_id: str, priors: DataFrame, seed=42) -> DataFrame:
     """One value per row and prior (column_name, dist_type, p1, p2); the result holds every row with every prior.
 
-    A kind that is not known is an error when the rows are made.
+    | dist_type | parameters |
+    | --- | --- |
+    | normal, log-normal | mean and deviation (of the logarithm) |
+    | uniform | bounds |
+    | exponential | rate |
+    | gamma | shape, scale |
+    | beta | both shapes |
+    | poisson | mean |
+    | truncated normal | mean, deviation, and bounds in ``p3`` and ``p4`` (null: none) |
+    | categorical | shares in ``weights`` (array); the value is an index from 0 |
+
+    ``p3``, ``p4`` and ``weights`` may be missing. A kind that is not known, or parameters
+    outside a kind's range, are an error when the rows are made.
     """
     key = F.concat_ws("|", "column_name", F.col(row_id).cast("string"))
     z = normal(seed, "prior", "z", key)
     u = uniform(seed, "prior", "u", key)
-    p1, p2, kind = F.col("p1"), F.col("p2"), F.lower("dist_type")
+    p1, p2, p3, p4, weights, kind = F.col("p1"), F.col("p2"), F.col("p3"), F.col("p4"), F.col("weights"), F.lower("dist_type")
+    positive = lambda *ps: reduce(lambda a, b: a & b, [F.coalesce((p > 0) & (p < float("inf")), F.lit(False)) for p in ps])
+    low, high = F.coalesce(p3, F.lit(float("-inf"))), F.coalesce(p4, F.lit(float("inf")))
+    shares = F.coalesce(F.forall("weights", lambda w: F.coalesce((w >= 0) & (w < float("inf")), F.lit(False))) & F.exists("weights", lambda w: w > 0), F.lit(False))
+    name = F.coalesce("dist_type", F.lit("null"))
+
+    def within(fits: Column, value: Column) -> Column:
+        return F.when(fits, value).otherwise(F.raise_error(F.concat(F.lit("parameters out of range: "), name)).cast("double"))
+
     value = (
         F.when(kind == "normal", p1 + p2 * z)
         .when(kind == "log-normal", F.exp(p1 + p2 * z))
         .when(kind == "uniform", p1 + (p2 - p1) * u)
         .when(kind == "exponential", -F.log(F.lit(1.0) - u) / p1)
-        .otherwise(F.raise_error(F.concat(F.lit("no such distribution: "), F.coalesce("dist_type", F.lit("null")))).cast("double"))
+        .when(kind == "gamma", within(positive(p1, p2), draw.gamma(seed, "gamma", key, p1) * p2))
+        .when(kind == "beta", within(positive(p1, p2), draw.beta(seed, key, p1, p2)))
+        .when(kind == "poisson", within(positive(p1), draw.poisson(seed, key, p1)))
+        .when(kind == "truncated normal", within(positive(p2) & p1.isNotNull() & (low < high), draw.truncated_normal(seed, key, p1, p2, p3, p4)))
+        .when(kind == "categorical", within(shares, draw.categorical(seed, key, weights)))
+        .otherwise(F.raise_error(F.concat(F.lit("no such distribution: "), name)).cast("double"))
     )
-    pairs = ids.select(row_id).crossJoin(priors.select("column_name", "dist_type", "p1", "p2"))
+    spare = {c: F.lit(None).cast(t) for c, t in (("p3", "double"), ("p4", "double"), ("weights", "array<double>")) if c not in priors.columns}
+    pairs = ids.select(row_id).crossJoin(priors.withColumns(spare).select("column_name", "dist_type", "p1", "p2", "p3", "p4", "weights"))
     return pairs.select(row_id, "column_name", value.alias("value"))

@@ -382,6 +382,59 @@ def prior_sample(spark, sf_dir):
     return drawn.select("id", "column_name", F.round("value", 6).alias("value"))
 
 
+# Priors fitted to orders; both engines round the parameters, so that they agree on every bit.
+def _try(stream: str) -> str:
+    return f"(({sql_u32(SEED, 'prior', stream, 'key')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def _try_normal(stream: str) -> str:
+    return f"(sqrt(-2.0::DOUBLE * ln({_try(stream + '#r')})) * cos(6.283185307179586::DOUBLE * {_try(stream + '#w')}))"
+
+
+@query(
+    "prior_rejection",
+    f"""WITH {ids_sql('customer')}, total AS (SELECT avg(o_totalprice) / 1000 AS m, var_samp(o_totalprice) / 1e6 AS v, count(*) / count(DISTINCT o_custkey) AS a FROM orders),
+fitted AS (SELECT round(m * m / v, 3) AS shape, round(v / m, 3) AS scale, round(m, 3) AS mean, round(sqrt(v), 3) AS dev, round(a * 10, 3) AS rate FROM total),
+shares AS (SELECT list(n ORDER BY s) AS w FROM (SELECT o_orderstatus AS s, count(*)::DOUBLE AS n FROM orders GROUP BY 1)),
+tries AS (SELECT id, t FROM ids, (SELECT unnest(range(64)) AS t)),
+g AS (SELECT id, t, shape - 1.0::DOUBLE / 3 AS d, scale, {_try_normal('gamma')} AS x, {_try('gamma#u')} AS u FROM (SELECT *, 'gamma|' || id || '|' || t AS key FROM tries), fitted),
+gv AS (SELECT *, (1.0 + 1.0 / sqrt(d * 9.0) * x) ** 3.0 AS v FROM g),
+b AS (SELECT id, t, rate, sqrt(rate) * 2.53::DOUBLE + 0.931::DOUBLE AS b, {_try('poisson#w')} - 0.5 AS w, {_try('poisson#v')} AS v FROM (SELECT *, 'poisson|' || id || '|' || t AS key FROM tries), fitted),
+ba AS (SELECT *, b * 0.02483::DOUBLE - 0.059::DOUBLE AS a, 0.5 - abs(w) AS us FROM b),
+bk AS (SELECT *, floor((a * 2.0 / us + b) * w + rate + 0.43::DOUBLE) AS k FROM ba),
+bj AS (SELECT id, t, k, CASE WHEN us >= 0.07 AND v <= 0.9277::DOUBLE - 3.6224::DOUBLE / (b - 2) THEN true WHEN k < 0 OR (us < 0.013 AND v > us) THEN false
+   ELSE ln(v) + ln(1.1239::DOUBLE + 1.1328::DOUBLE / (b - 3.4::DOUBLE)) - ln(a / (us * us) + b) <= k * ln(rate) - rate - lgamma(CASE WHEN k < 0 THEN 1 ELSE k + 1 END) END AS fits FROM bk),
+n AS (SELECT id, t, mean, dev, {_try_normal('truncated')} AS z FROM (SELECT *, 'truncated|' || id || '|' || t AS key FROM tries), fitted),
+c AS (SELECT id, w, {_try('categorical')} * list_sum(w) AS goal FROM (SELECT *, 'categorical|' || id AS key FROM ids), shares)
+SELECT id, 'gamma' AS column_name, round(arg_min(d * v * scale, t), 5) AS value FROM gv
+ WHERE v > 0 AND ln(u) < x * x * 0.5 + d - d * v + d * CASE WHEN v > 0 THEN ln(v) END GROUP BY id
+UNION ALL SELECT id, 'poisson', arg_min(k, t) FROM bj WHERE fits GROUP BY id
+UNION ALL SELECT id, 'truncated', round(arg_min(mean + dev * z, t), 5) FROM n WHERE z >= (0 - mean) / dev AND z <= (3 * mean - mean) / dev GROUP BY id
+UNION ALL SELECT id, 'categorical', CASE WHEN goal <= w[1] THEN 0 WHEN goal <= w[1] + w[2] THEN 1 ELSE 2 END FROM c""",
+)
+def prior_rejection(spark, sf_dir):
+    """Rejection-sampled values for every customer, from priors whose parameters are those of all orders."""
+    orders = table(spark, sf_dir, "orders")
+    m, v = F.col("m"), F.col("v")
+    fitted = orders.agg(
+        (F.avg("o_totalprice") / 1000).alias("m"), (F.var_samp("o_totalprice") / 1e6).alias("v"), (F.count(F.lit(1)) / F.countDistinct("o_custkey")).alias("a")
+    ).select(F.round(m * m / v, 3).alias("shape"), F.round(v / m, 3).alias("scale"), F.round(m, 3).alias("mean"), F.round(F.sqrt(v), 3).alias("dev"), F.round(F.col("a") * 10, 3).alias("rate"))
+    shares = orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("o_orderstatus", "n"))), lambda s: s["n"]).alias("weights")
+    )
+    none = F.lit(None).cast("double")
+    row = lambda name, kind, p1, p2=none, p3=none, p4=none: F.struct(
+        F.lit(name).alias("column_name"), F.lit(kind).alias("dist_type"), p1.alias("p1"), p2.alias("p2"), p3.alias("p3"), p4.alias("p4"))
+    mean, dev = F.col("mean"), F.col("dev")
+    kinds = fitted.select(F.inline(F.array(
+        row("gamma", "gamma", F.col("shape"), F.col("scale")), row("poisson", "poisson", F.col("rate")),
+        row("truncated", "truncated normal", mean, dev, F.lit(0.0), mean * 3), row("categorical", "categorical", none),
+    )))
+    drawn = gen.sample_priors(ids(spark, sf_dir, "customer"), "id", kinds.crossJoin(shares), SEED)
+    places = F.when(F.col("column_name").isin("gamma", "truncated"), F.round("value", 5)).otherwise(F.col("value"))
+    return drawn.select("id", "column_name", places.alias("value"))
+
+
 _CUSTOM = {"databases": [{"tables": [{"name": "clients", "attributes": [
     {"name": "id", "type": "BIGINT", "constraints": ["PRIMARY_KEY"]}, {"name": "code", "type": "VARCHAR"}, {"name": "region", "type": "INT"}, {"name": "state", "type": "ENUM"}]}]}]}
 

@@ -108,6 +108,6 @@ def test_unknown_priors_are_refused(spark):
     ids = spark.range(3).withColumnRenamed("id", "row")
     known = spark.createDataFrame([("a", "Normal", 1.0, 0.0)], "column_name string, dist_type string, p1 double, p2 double")
     assert {r["value"] for r in generate.sample_priors(ids, "row", known).collect()} == {1.0}
-    for kind in ("gamma", None):
+    for kind in ("weibull", None):
         with pytest.raises(Exception, match="no such distribution"):
             generate.sample_priors(ids, "row", known.withColumn("dist_type", F.lit(kind))).collect()
