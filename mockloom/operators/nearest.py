@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mockloom.operators.scan import dense_index, lookup_by_key
+from mockloom.operators.scan import dense_index, lookup_by_key, running_totals
 
 FANOUT = 64
 #: Coordinate of a null.
@@ -54,8 +54,8 @@ def text_columns(df: DataFrame, cols: list[str]) -> list[str]:
     return [c for c in cols if isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType))]
 
 
-def mixed_points(real: DataFrame, synth: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame, list[bool]]:
-    """Both tables as coordinates x0.., nulls as NULL, and which of them are text.
+def mixed_points(real: DataFrame, synth: DataFrame, cols: list[str], *keep: str) -> tuple[DataFrame, DataFrame, list[bool]]:
+    """Both tables as coordinates x0.., nulls as NULL, and which of them are text; the second with the columns to ``keep`` as well.
 
     A text's coordinate is its place among all texts of the column, so that texts
     that stand together in a node cover a short stretch.
@@ -63,7 +63,7 @@ def mixed_points(real: DataFrame, synth: DataFrame, cols: list[str]) -> tuple[Da
     texts = text_columns(real, cols)
     numbers = [c for c in cols if c not in texts]
     bounds = dict(zip(numbers, common_bounds([real, synth], numbers), strict=True)) if numbers else {}
-    sides = [df.select(*[F.col(c).cast("string" if c in texts else "double").alias(f"x{i}") for i, c in enumerate(cols)]) for df in (real, synth)]
+    sides = [df.select(*[F.col(c).cast("string" if c in texts else "double").alias(f"x{i}") for i, c in enumerate(cols)], *more) for df, more in ((real, ()), (synth, keep))]
     for i, c in enumerate(cols):
         if c in texts:
             words = dense_index(sides[0].select(f"x{i}").union(sides[1].select(f"x{i}")).dropna().distinct(), [f"x{i}"], "_place")
@@ -75,7 +75,7 @@ def mixed_points(real: DataFrame, synth: DataFrame, cols: list[str]) -> tuple[Da
             at = (F.col(f"x{i}") - low) / (high - low) if low is not None and high > low else F.lit(0.0)
             sides = [df.withColumn(f"x{i}", F.when(F.col(f"x{i}").isNull() | F.isnan(f"x{i}"), NULL).otherwise(at)) for df in sides]
     xs = [f"x{i}" for i in range(len(cols))]
-    return sides[0].select(*xs), sides[1].select(*xs), [c in texts for c in cols]
+    return sides[0].select(*xs), sides[1].select(*xs, *keep), [c in texts for c in cols]
 
 
 def _coded(df: DataFrame, codes: DataFrame, name: str) -> DataFrame:
@@ -157,12 +157,18 @@ def closest(real: DataFrame, synth: DataFrame, cols: list[str], bounds: Bounds |
     else:
         bounds = common_bounds([real, synth], cols) if bounds is None else bounds
         left, right, kinds = _scaled(real, cols, bounds), _scaled(synth, cols, bounds), [False] * d
+    return _nearest(left, right.groupBy(*xs).agg(F.count(F.lit(1)).alias("weight")), kinds)
+
+
+def _nearest(left: DataFrame, points: DataFrame, kinds: list[bool]) -> DataFrame:
+    """The points, distinct coordinates with a ``weight`` of any type, with the distance to the nearest of ``left``; null if there is none."""
+    d = len(kinds)
+    xs = [f"x{i}" for i in range(d)]
     tree, size = _packed(left, d)
-    points = right.groupBy(*xs).agg(F.count(F.lit(1)).alias("weight"))
     if size == 0:
         return points.withColumn("distance", F.lit(None).cast("double"))
     # few bytes but much to compute: a fixed count keeps AQE from merging the tasks
-    points = points.repartition(int(real.sparkSession.conf.get("spark.sql.shuffle.partitions")), *xs)
+    points = points.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *xs)
     height = 1
     while size > FANOUT**height:
         height += 1
@@ -308,3 +314,36 @@ def privacy_report(train: DataFrame, holdout: DataFrame, synth: DataFrame, cols:
         (F.col("dcr_score") < 0.01) | (excess > 0.2), "medium"
     ).otherwise("low")
     return scored.withColumn("risk_level", level)
+
+
+def membership_attack(train: DataFrame, holdout: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:
+    """How well the distance to the closest synthetic record tells rows of the training data from held-out ones.
+
+    One row: ``members`` and ``others`` (rows of either side), ``auc`` (chance that a member lies
+    nearer to the synthetic data than a held-out row, ties counted half), its ``std_error`` after DeLong (null under two rows a side),
+    ``advantage`` (largest gap between the shares of members and of others within any one distance) and ``z``, the
+    standard errors that ``auc`` lies above one half (null if the error is 0). Without rows on a side, or without synthetic rows, figures are null.
+
+    Columns may be numbers, texts and nulls as in ``closest``. Distances count as equal to nine
+    places. The ranks come from running sums over counts by distance, so no side is sorted in one task.
+    """
+    flagged = train.select(*cols, F.lit(1).alias("_member")).unionByName(holdout.select(*cols, F.lit(0).alias("_member")))
+    left, right, kinds = mixed_points(synth, flagged, cols, "_member")
+    xs = [f"x{i}" for i in range(len(cols))]
+    sides = F.struct(F.sum("_member").alias("m"), F.sum(1 - F.col("_member")).alias("o"))
+    near = _nearest(left, right.groupBy(*xs).agg(sides.alias("weight")), kinds)
+    at = near.groupBy(F.lit(0).alias("all"), F.round("distance", 9).alias("distance")).agg(F.sum("weight.m").alias("m"), F.sum("weight.o").alias("o"))
+    ranked = running_totals(at, "all", "distance", ["m", "o"])
+    m, o, ms, os = (F.col(c).cast("double") for c in ("m", "o", "all_m", "all_o"))
+    # share of the other side that a row of this distance beats
+    by_member = F.try_divide(os - F.col("cum_o") + o / 2, os)
+    by_other = F.try_divide(F.col("cum_m") - m / 2, ms)
+    spread = lambda n, v: F.try_divide(F.sum(n * v * v) - F.try_divide(F.sum(n * v) * F.sum(n * v), F.sum(n)), F.sum(n) - 1)
+    error = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(spread(m, by_member), F.sum(m)) + F.try_divide(spread(o, by_other), F.sum(o))))
+    known = spread(m, by_member).isNotNull() & spread(o, by_other).isNotNull()
+    gap = F.try_divide(F.col("cum_m"), ms) - F.try_divide(F.col("cum_o"), os)
+    scored = ranked.agg(
+        F.try_divide(F.sum(m * by_member), F.sum(m)).alias("auc"), F.when(known, error).alias("std_error"), F.max(gap).alias("advantage"),
+    ).withColumn("z", F.try_divide(F.col("auc") - 0.5, "std_error"))
+    sizes = flagged.agg(F.coalesce(F.sum("_member"), F.lit(0)).alias("members"), F.coalesce(F.sum(1 - F.col("_member")), F.lit(0)).alias("others"))
+    return sizes.crossJoin(scored)  # one row each

@@ -150,6 +150,43 @@ def privacy_report(spark, sf_dir):
     return rounded(nearest.privacy_report(people.filter(~building), people.filter(building), synth, _BAL), 9)
 
 
+def _attack_sql(kind: str, made: str) -> str:
+    gap = lambda p: f"min((m.x - {p}.x) ** 2 + (m.y - {p}.y) ** 2)"
+    return f"""SELECT '{kind}' AS synthetic, count(*) FILTER (member) AS members, count(*) FILTER (NOT member) AS others, round(avg(v) FILTER (member), 9) AS auc,
+ round(sqrt(var_samp(v) FILTER (member) / count(*) FILTER (member) + var_samp(v) FILTER (NOT member) / count(*) FILTER (NOT member)), 9) AS std_error, round(max(gap), 9) AS advantage FROM (
+ SELECT member, CASE WHEN member THEN (os - cum_o + o / 2) / os ELSE (cum_m - m / 2) / ms END AS v, cum_m / ms - cum_o / os AS gap FROM (
+  SELECT member, sum((member)::INT) OVER w AS cum_m, sum((NOT member)::INT) OVER w AS cum_o, sum((member)::INT) OVER t AS m, sum((NOT member)::INT) OVER t AS o,
+   sum((member)::INT) OVER () AS ms, sum((NOT member)::INT) OVER () AS os
+  FROM (SELECT p.member, round(sqrt(near), 9) AS d FROM p JOIN (SELECT m.x, m.y, {gap('s')} AS near FROM (SELECT DISTINCT x, y FROM ({made[1]})) m, (SELECT DISTINCT x, y FROM ({made[0]})) s GROUP BY ALL) n
+    ON n.x = (p.nation - {made[2]}) / ({made[3]} - {made[2]}) AND n.y = (p.balance - {made[4]}) / ({made[5]} - {made[4]}))
+  WINDOW w AS (ORDER BY d), t AS (PARTITION BY d)))"""
+
+
+def _attacked(kind: str, synth: str) -> str:
+    """Scaling over the people and the synthetic rows, then the attack."""
+    both = f"(SELECT nation, balance FROM p UNION ALL SELECT nation, balance FROM {synth})"
+    low = {f"{f}{c}": f"(SELECT {f}({c}) FROM {both})" for c in ("nation", "balance") for f in ("min", "max")}
+    bounds = [low["minnation"], low["maxnation"], low["minbalance"], low["maxbalance"]]
+    place = lambda t: f"SELECT (nation - {bounds[0]}) / ({bounds[1]} - {bounds[0]}) AS x, (balance - {bounds[2]}) / ({bounds[3]} - {bounds[2]}) AS y FROM {t}"
+    return _attack_sql(kind, [place(synth), place("p"), *bounds])
+
+
+@query(
+    "membership_attack",
+    f"""WITH p AS (SELECT c_nationkey::DOUBLE AS nation, c_acctbal AS balance, c_mktsegment <> 'BUILDING' AS member FROM customer),
+free AS (SELECT s_nationkey::DOUBLE AS nation, s_acctbal AS balance FROM supplier), copied AS (SELECT nation, balance FROM p WHERE member)
+{_attacked('independent', 'free')} UNION ALL {_attacked('copied', 'copied')}""",
+)
+def membership_attack(spark, sf_dir):
+    """The attack on suppliers' accounts as synthetic customers, which know no customer, and on copies of the training data."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), "c_mktsegment")
+    building = F.col("c_mktsegment") == "BUILDING"
+    train, holdout = people.filter(~building), people.filter(building)
+    runs = [nearest.membership_attack(train, holdout, synth, _BAL).select(F.lit(kind).alias("synthetic"), "members", "others", "auc", "std_error", "advantage")
+            for kind, synth in (("independent", accounts_pair(spark, sf_dir)[1]), ("copied", train))]
+    return rounded(runs[0].unionByName(runs[1]), 9)
+
+
 # --- closest record over numbers, texts and nulls ----------------------------------------------
 
 _MIXED = ["o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,51 @@ def test_nothing_to_be_near(spark):
     for search in (nearest.closest, nearest.closest_projected):
         assert search(some.limit(0), some, ["a", "kind"], nulls=True).where("distance is not null").count() == 0
         assert search(some, some.limit(0), ["a", "kind"], nulls=True).count() == 0
+
+
+# --- membership inference -------------------------------------------------------------------------
+
+
+def attack_by_pairs(spark, train, holdout, synth):
+    """AUC and DeLong's error by comparing every member with every held-out row; columns: a number, a text."""
+    top = [x for rows_ in (train, holdout, synth) for x, _ in rows_ if x is not None]
+    low, high = min(top), max(top)
+
+    def apart(a, b):
+        x = 0.0 if a[0] is None and b[0] is None else 1.0 if a[0] is None or b[0] is None else abs(a[0] - b[0]) / (high - low)
+        return x * x + (a[1] != b[1])
+
+    near = lambda r: round(min(apart(r, s) for s in synth) ** 0.5, 9)
+    m, o = np.array([near(r) for r in train]), np.array([near(r) for r in holdout])
+    wins = (m[:, None] < o[None, :]) + 0.5 * (m[:, None] == o[None, :])
+    error = (wins.mean(axis=1).var(ddof=1) / len(m) + wins.mean(axis=0).var(ddof=1) / len(o)) ** 0.5
+    gap = max((m <= d).mean() - (o <= d).mean() for d in np.concatenate([m, o]))
+    return wins.mean(), error, gap
+
+
+def test_membership_attack(spark):
+    rng = np.random.default_rng(5)
+    schema = "x double, t string"
+    rows_of = lambda n: [(None if rng.random() < 0.05 else float(round(rng.normal(), 2)), "abc"[rng.integers(3)] if rng.random() < 0.9 else None) for _ in range(n)]
+    train, holdout, other = rows_of(150), rows_of(130), rows_of(60)
+    frame = lambda rs: spark.createDataFrame(rs, schema)
+    noisy = [(None if x is None else x + float(rng.normal()) * 1e-4, t) for x, t in train]
+    for synth in (other, noisy, train[:75] + other):
+        got = nearest.membership_attack(frame(train), frame(holdout), frame(synth), ["x", "t"]).first()
+        want = attack_by_pairs(spark, train, holdout, synth)
+        assert (got["members"], got["others"]) == (150, 130)
+        assert np.allclose([got["auc"], got["std_error"], got["advantage"]], want, atol=1e-8), (got, want)
+        assert np.isclose(got["z"], (want[0] - 0.5) / want[1])
+
+
+def test_membership_attack_of_extremes(spark):
+    wide = lambda lo, n, step=1.0: spark.range(n).selectExpr(f"{lo} + id * {step} AS x", "'a' AS t")
+    sure = nearest.membership_attack(wide(0, 40), wide(0.5, 40), wide(0, 40), ["x", "t"]).first()
+    assert sure["auc"] == 1.0 and sure["advantage"] == 1.0 and sure["std_error"] == 0.0 and sure["z"] is None
+    same = nearest.membership_attack(wide(0, 40), wide(0, 40), wide(0, 3), ["x", "t"]).first()
+    assert abs(same["auc"] - 0.5) < 1e-12 and same["advantage"] == 0.0
+    none = wide(0, 0)
+    assert nearest.membership_attack(none, wide(0, 4), wide(0, 4), ["x", "t"]).first()[:3] == (0, 4, None)
+    assert nearest.membership_attack(wide(0, 4), none, wide(0, 4), ["x", "t"]).first()["auc"] is None
+    assert nearest.membership_attack(wide(0, 4), wide(0, 4), none, ["x", "t"]).first()["auc"] is None
+    assert nearest.membership_attack(wide(0, 1), wide(2, 1), wide(0, 1), ["x", "t"]).first()[2:4] == (1.0, None)
