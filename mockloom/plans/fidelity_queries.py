@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mockloom.operators import fidelity as fid
+from mockloom.operators import sketches
 from mockloom.plans.derive import (
     ACCOUNTS_PAIR, LINEITEM_PAIR, ORDERS_PAIR, accounts_pair, lineitem_pair, orders_pair, table,
 )
 from mockloom.plans.registry import query
+from mockloom.session import scratch_path
 
 # --- SQL building blocks ------------------------------------------------------------
 
@@ -114,6 +116,28 @@ def ks_stat(spark, sf_dir):
     return rounded(fid.ks_statistic(*accounts_pair(spark, sf_dir), ["nation", "balance"]), 9)
 
 
+_SKETCHED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query(
+    "ks_sketched",
+    f"WITH {LINEITEM_PAIR}, {sql_ks(_SKETCHED)} SELECT column_name, round(statistic, 9) AS statistic, n_real, n_synth FROM ks",
+)
+def ks_sketched(spark, sf_dir):
+    """KS from sketches filed batch by batch (the lines of one number): the exact statistic where the sketched one is within the stated error."""
+    sides, kept = lineitem_pair(spark, sf_dir), []
+    numbers = sorted(r[0] for r in sides[0].union(sides[1]).select("l_linenumber").distinct().collect())  # at most 7
+    for side in sides:
+        store = scratch_path(spark, "sketches")
+        for n in numbers:
+            sketches.append_sketch(side.filter(F.col("l_linenumber") == n), _SKETCHED, store, n)
+        kept.append(sketches.merged(spark, store))
+    exact = fid.ks_statistic(*sides, _SKETCHED).select("column_name", F.col("statistic").alias("exact"))
+    near = F.abs(F.col("statistic") - F.col("exact")) <= sketches.ks_error()
+    both = sketches.sketched_ks(*kept).join(exact, "column_name").withColumn("statistic", F.when(near, F.col("exact")).otherwise(F.col("statistic")))
+    return rounded(both.drop("exact"), 9)
+
+
 @query(
     "chi2_test",
     f"WITH {ORDERS_PAIR}, {sql_categories(ORDER_TEXTS)} SELECT column_name, round(chi2_statistic, 6) AS chi2_statistic, degrees_of_freedom FROM chi",
