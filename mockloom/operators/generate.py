@@ -382,18 +382,28 @@ def sample_priors(ids: DataFrame, row_id: str, priors: DataFrame, seed=42) -> Da
     def within(fits: Column, value: Column) -> Column:
         return F.when(fits, value).otherwise(F.raise_error(F.concat(F.lit("parameters out of range: "), name)).cast("double"))
 
-    value = (
+    refused = F.raise_error(F.concat(F.lit("no such distribution: "), name)).cast("double")
+    closed = (
         F.when(kind == "normal", p1 + p2 * z)
         .when(kind == "log-normal", F.exp(p1 + p2 * z))
         .when(kind == "uniform", p1 + (p2 - p1) * u)
         .when(kind == "exponential", -F.log(F.lit(1.0) - u) / p1)
-        .when(kind == "gamma", within(positive(p1, p2), draw.gamma(seed, "gamma", key, p1) * p2))
+        .otherwise(refused)
+    )
+    tried = (
+        F.when(kind == "gamma", within(positive(p1, p2), draw.gamma(seed, "gamma", key, p1) * p2))
         .when(kind == "beta", within(positive(p1, p2), draw.beta(seed, key, p1, p2)))
         .when(kind == "poisson", within(positive(p1), draw.poisson(seed, key, p1)))
         .when(kind == "truncated normal", within(positive(p2) & p1.isNotNull() & (low < high), draw.truncated_normal(seed, key, p1, p2, p3, p4)))
         .when(kind == "categorical", within(shares, draw.categorical(seed, key, weights)))
-        .otherwise(F.raise_error(F.concat(F.lit("no such distribution: "), name)).cast("double"))
+        .otherwise(refused)
     )
     spare = {c: F.lit(None).cast(t) for c, t in (("p3", "double"), ("p4", "double"), ("weights", "array<double>")) if c not in priors.columns}
-    pairs = ids.select(row_id).crossJoin(priors.withColumns(spare).select("column_name", "dist_type", "p1", "p2", "p3", "p4", "weights"))
-    return pairs.select(row_id, "column_name", value.alias("value"))
+    listed = priors.withColumns(spare).select("column_name", "dist_type", "p1", "p2", "p3", "p4", "weights")
+    by_tries = F.coalesce(kind.isin("gamma", "beta", "poisson", "truncated normal", "categorical"), F.lit(False))
+    # apart, so that closed forms keep their compact generated code
+    parts = [
+        ids.select(row_id).crossJoin(listed.filter(which)).select(row_id, "column_name", value.alias("value"))
+        for which, value in ((~by_tries, closed), (by_tries, tried))
+    ]
+    return parts[0].unionByName(parts[1])
