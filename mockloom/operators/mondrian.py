@@ -1,6 +1,7 @@
 """k-anonymity that finds its own generalisation: boxes of at least k rows by splits at exact medians (Mondrian).
 
-All boxes are split at once, one level after the other. Only distinct
+All boxes are split at once, one level after the other; boxes of few
+combinations are split to the end in one task each. Only distinct
 combinations of the quasi-identifiers with their numbers of rows are handled, each column as the
 place of its values in order, so numbers, times and texts are treated alike.
 """
@@ -10,6 +11,8 @@ from __future__ import annotations
 from functools import reduce
 from math import ceil, log
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from mockloom.operators.scan import dense_index, lookup_by_key
 
 #: Parts of a stretch of places counted in one pass of the search for medians.
 PARTS = 256
+#: Combinations of a box up to which one task makes all its splits.
+TASK = 10_000
 
 
 def _coded(df: DataFrame, quasi: list[str]) -> tuple[DataFrame, list[int]]:
@@ -59,6 +64,39 @@ def _medians(cells: DataFrame, boxes: DataFrame, d: int, most: int) -> DataFrame
     return boxes
 
 
+def _split_up(k: int, sizes: list[int]):
+    """All splits of one box of few combinations, by the rules of ``boxes_of``."""
+    d, full = len(sizes), [max(s - 1, 1) for s in sizes]
+
+    def run(table: pa.Table) -> pa.Table:
+        n = table["n"].to_numpy()
+        c = [table[f"c{i}"].to_numpy() for i in range(d)]
+        names, waiting = np.empty(len(n), object), [(np.arange(len(n)), table["box"][0].as_py())]
+        while waiting:
+            at, box = waiting.pop()
+            m, right = n[at], None
+            rows = m.sum()
+            widths = [(c[i][at].max() - c[i][at].min()) / full[i] for i in range(d)]
+            for i in sorted(range(d), key=lambda i: (-widths[i], i)) if rows >= 2 * k else ():
+                if widths[i] <= 0:
+                    break
+                v = c[i][at]
+                order = np.argsort(v, kind="stable")
+                median = v[order[np.searchsorted(2 * np.cumsum(m[order]), rows)]]
+                behind, before = m[v <= median].sum(), m[v < median].sum()
+                behind, before = min(behind, rows - behind), min(before, rows - before)
+                if max(behind, before) >= k:
+                    right = v > median if behind >= before else v >= median
+                    break
+            if right is None:
+                names[at] = box
+            else:
+                waiting += [(at[~right], box + "0"), (at[right], box + "1")]
+        return table.set_column(table.schema.get_field_index("box"), "box", pa.array(names, pa.string()))
+
+    return run
+
+
 def boxes_of(df: DataFrame, k: int, quasi: list[str]) -> tuple[DataFrame, list[int]]:
     """(quasi.., n, c0.., box) of every distinct combination, and the number of places of each column.
 
@@ -71,12 +109,12 @@ def boxes_of(df: DataFrame, k: int, quasi: list[str]) -> tuple[DataFrame, list[i
     live, done = cells.withColumns({"box": F.lit("r"), "tried": F.lit(0)}), []
     while True:
         ends = [f(f"c{i}").alias(f"{name}{i}") for i in range(d) for f, name in ((F.min, "lo"), (F.max, "hi"))]
-        stats = live.groupBy("box", "tried").agg(F.sum("n").alias("rows"), *ends)
+        stats = live.groupBy("box", "tried").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("cells"), *ends)
         widths = [F.struct(((F.col(f"hi{i}") - F.col(f"lo{i}")) / max(sizes[i] - 1, 1)).alias("width"), F.lit(-i).alias("dim")) for i in range(d)]
         ranked = F.filter(F.sort_array(F.array(*widths), asc=False), lambda w: w["width"] > 0)
         dim = -F.get(ranked, F.col("tried"))["dim"]
         pick = lambda name: F.element_at(F.array(*[F.col(f"{name}{i}") for i in range(d)]), F.col("dim") + 1)
-        open_ = stats.withColumn("dim", dim).where((F.col("rows") >= 2 * k) & F.col("dim").isNotNull())
+        open_ = stats.withColumn("dim", dim).where((F.col("cells") > TASK) & (F.col("rows") >= 2 * k) & F.col("dim").isNotNull())
         open_ = settled(open_.select("box", "dim", "rows", pick("lo").alias("lo"), pick("hi").alias("hi")))
         done.append(live.join(open_.select("box"), "box", "left_anti"))
         if open_.isEmpty():
@@ -93,7 +131,12 @@ def boxes_of(df: DataFrame, k: int, quasi: list[str]) -> tuple[DataFrame, list[i
         live = settled(moved.select(
             *cells.columns, F.when(F.col("fits"), F.concat("box", F.when(right, "1").otherwise("0"))).otherwise(F.col("box")).alias("box"),
             F.when(F.col("fits"), 0).otherwise(F.col("tried") + 1).alias("tried")))
-    return reduce(lambda a, b: a.unionByName(b), done).drop("tried"), sizes
+    few = reduce(lambda a, b: a.unionByName(b), done).drop("tried")
+    final = few.groupBy("box").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") > TASK).select("box")
+    # a larger box that came this far cannot be split
+    small = few.join(final, "box", "left_anti").select(few.columns)
+    split = small.groupBy("box").applyInArrow(_split_up(k, sizes), small.schema)
+    return settled(split.unionByName(few.join(final, "box", "left_semi"))), sizes
 
 
 def loss(cells: DataFrame, group: str | list[str], sizes: list[int]) -> DataFrame:
@@ -111,8 +154,7 @@ def anonymise(df: DataFrame, k: int, quasi: list[str]) -> DataFrame:
     more. A table of fewer than ``k`` rows cannot be released: no row is returned. Nulls stand before all
     values; ``<name>_null`` says whether a box holds any.
     """
-    cells, _ = boxes_of(df, k, quasi)
-    cells = settled(cells.select(*quasi, "n", "box"))
+    cells = boxes_of(df, k, quasi)[0].select(*quasi, "n", "box")
     ends = [e for c in quasi for e in (F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high"), F.bool_or(F.col(c).isNull()).alias(f"{c}_null"))]
     shown = cells.groupBy("box").agg(F.sum("n").alias("_rows"), *ends).where(F.col("_rows") >= k).drop("_rows")
     of_cell = lookup_by_key(cells.select(*quasi, "box"), shown, ["box"]).drop("box")

@@ -49,6 +49,28 @@ def test_against_plain_splits(spark, monkeypatch, seed, parts, k):
     assert {frozenset(v) for v in found.values()} == plain([(places[0][row[1]], places[1][row[2]]) for row in rows], k)
 
 
+@pytest.mark.parametrize("task", [0, 30, 10_000])
+def test_boxes_split_in_one_task_are_the_same(spark, monkeypatch, task):
+    monkeypatch.setattr(mondrian, "TASK", task)
+    r = random.Random(9)
+    rows = [(int(r.gauss(0, 1) ** 2 * 40), r.randint(0, 6)) for _ in range(700)]
+    cells, _ = mondrian.boxes_of(spark.createDataFrame(rows, "v int, w int"), 12, ["v", "w"])
+    of = {(c["v"], c["w"]): c["box"] for c in cells.collect()}
+    found = defaultdict(set)
+    for j, row in enumerate(rows):
+        found[of[row]].add(j)
+    places = [{v: j + 1 for j, v in enumerate(sorted({row[i] for row in rows}))} for i in (0, 1)]
+    assert set(map(frozenset, found.values())) == plain([(places[0][v], places[1][w]) for v, w in rows], 12)
+
+
+def test_small_boxes_take_one_pass(spark, monkeypatch):
+    """Rounds over the whole table are those of large boxes only."""
+    rounds = []
+    monkeypatch.setattr(mondrian, "_medians", lambda *a, f=mondrian._medians: rounds.append(1) or f(*a))
+    cells, _ = mondrian.boxes_of(spark.range(3000).selectExpr("id AS v", "id * 7919 % 3000 AS w"), 5, ["v", "w"])
+    assert cells.select("box").distinct().count() > 256 and not rounds
+
+
 def test_rows_and_columns(spark):
     r = random.Random(4)
     rows = [(j, r.randint(0, 50), r.choice(["x", "y", None])) for j in range(120)]
