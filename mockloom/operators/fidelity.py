@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mockloom.functions.tests_math import chi2_pvalue, ks_pvalue
-from mockloom.operators.scan import lookup_by_key, running_totals
-from mockloom.session import shared_dir
+from mockloom.operators.scan import lookup_by_key, running_totals, settled
 
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -78,12 +77,6 @@ def value_counts(real: DataFrame, synth: DataFrame, cols: list[str], as_text: bo
     )
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder once, for results that several later steps read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _empty(spark, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

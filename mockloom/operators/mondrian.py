@@ -22,7 +22,7 @@ from mockloom.operators.scan import dense_index, lookup_by_key
 #: Parts of a stretch of places counted in one pass of the search for medians.
 PARTS = 256
 #: Combinations of a box up to which one task makes all its splits.
-TASK = 10_000
+TASK = 20_000
 
 
 def _coded(df: DataFrame, quasi: list[str]) -> tuple[DataFrame, list[int]]:

@@ -7,7 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mockloom.session import parallelism, shared_dir
+from mockloom.session import parallelism, scratch_path, shared_dir
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Written to the shared folder once, for results that several later steps read.
+
+    Files are read back without the constraints of the plan that made them. A checkpoint
+    keeps those, and in rounds that each settle the last one's rows they multiply, so that the
+    driver plans for minutes what takes seconds to run.
+    """
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running_totals(counts: DataFrame, group: str, order: str, measures: list[str]) -> DataFrame:
@@ -65,12 +77,11 @@ def _count_below(df: DataFrame, cuts: str, value: str, slices: int, name: str) -
 def dense_index(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """0-based position of every row in the given total order, without one global window.
 
-    The range-sorted rows are written to the checkpoint folder once, so the
+    The range-sorted rows are written to the shared folder once, so the
     partition layout the positions rest on cannot change under a retry. The
     broadcast side has one row per partition.
     """
-    shared_dir(df.sparkSession)
-    placed = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    placed = settled(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_at"), 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

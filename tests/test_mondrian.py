@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from mockloom.operators import mondrian
+from mockloom.operators.scan import settled
 
 
 def plain(rows, k):
@@ -71,6 +72,14 @@ def test_small_boxes_take_one_pass(spark, monkeypatch):
     assert cells.select("box").distinct().count() > 256 and not rounds
 
 
+def test_settled_rows_carry_no_plan(spark):
+    """Rounds are planned in a time that does not grow from one to the next."""
+    df = spark.range(10).selectExpr("id", "id % 3 AS v", "cast(null AS string) AS t").where("v >= 0")
+    kept = settled(df)
+    assert len(kept.inputFiles()) > 0 and kept.dtypes == df.dtypes and sorted(r["id"] for r in kept.collect()) == list(range(10))
+    assert settled(df.limit(0)).count() == 0 and settled(df.limit(0)).columns == df.columns
+
+
 def test_rows_and_columns(spark):
     r = random.Random(4)
     rows = [(j, r.randint(0, 50), r.choice(["x", "y", None])) for j in range(120)]
