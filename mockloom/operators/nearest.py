@@ -1,11 +1,10 @@
 """Distance to the closest record, exact or by random projections, without comparing all pairs.
 
-Real points are sorted along a space-filling curve and packed: 64 neighbours
-make a node with tight bounds, 64 nodes make the next one, and so on, whatever
-the density of the data. The search walks down the levels for all synthetic
-points at once. A node whose bounds lie farther away than a point already
-found is dropped, so a point meets a handful of nodes per level, however many
-records there are.
+Real points are sorted along a space-filling curve and cut into blocks, and each
+block into leaves, all with tight bounds, whatever the density of the data. A synthetic
+point is searched in the block it lies in, then in those whose bounds lie nearer than
+the point already found, which are few, however many records there are. One task
+holds one block and a bounded number of the points that ask for it.
 
 Columns may be numbers or text. Numbers are scaled to [0, 1] and differ by
 their distance, texts by 0 or 1; with ``nulls`` a null equals a null and differs from all else by 1.
@@ -21,9 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mockloom.operators.scan import dense_index, lookup_by_key, running_totals
+from mockloom.operators.scan import dense_index, lookup_by_key, running_totals, settled
 
-FANOUT = 64
+#: Real points of a block and of a leaf in it, and synthetic points that meet a block in one task.
+BLOCK, LEAF, ASKED = 16_384, 64, 100_000
+#: Sets of columns with nulls whose points are searched apart.
+PATTERNS = 4
 #: Coordinate of a null.
 NULL = -1.0
 #: Random rotations of an approximate search, and real points before and after a synthetic one that it is compared with in each.
@@ -115,32 +117,75 @@ def _curve_of(columns: list[str]) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
-def _packed(points: DataFrame, d: int) -> tuple[DataFrame, int]:
-    """Nodes (height, node, children) over the distinct points, and the number of points.
+def _homed(points: DataFrame, starts: np.ndarray) -> DataFrame:
+    """The points with the block whose stretch of the curve they lie on."""
+    def run(batches):
+        for batch in batches:
+            at = np.searchsorted(starts, batch.column("_curve").to_numpy(), "right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.maximum(at, 0).astype(np.int32))], names=[*batch.schema.names, "block"])
 
-    A child has a number, its bounds and one of its points; the children of
-    height 1 are points themselves.
-    """
-    xs, lows, highs, picks = ([f"{k}{i}" for i in range(d)] for k in ("x", "lo", "hi", "p"))
-    filed = points.distinct().withColumn("_curve", _curve(d))
-    ranked = dense_index(filed, ["_curve", *xs], "child")
-    size = ranked.count()
-    level = ranked.select(
-        "child", *[F.col(x).alias(a) for x, a in zip(xs, lows)], *[F.col(x).alias(a) for x, a in zip(xs, highs)], *[F.col(x).alias(a) for x, a in zip(xs, picks)]
-    )
-    height, nodes = 0, None
-    while height == 0 or size > FANOUT**height:
-        height += 1
-        packed = level.groupBy(F.floor(F.col("child") / FANOUT).alias("node")).agg(
-            F.collect_list(F.struct("child", *lows, *highs, *picks)).alias("children"),  # at most FANOUT
-            *[F.min(a).alias(a) for a in lows],
-            *[F.max(a).alias(a) for a in highs],
-            F.min_by(F.struct(*picks), "child").alias("_pick"),
-        )
-        part = packed.select(F.lit(height).alias("height"), "node", "children")
-        nodes = part if nodes is None else nodes.unionByName(part)
-        level = packed.select(F.col("node").alias("child"), *lows, *highs, "_pick.*")
-    return nodes.checkpoint(), size
+    return points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("block", T.IntegerType())]))
+
+
+def _searched(kinds: list[bool], lows: np.ndarray, highs: np.ndarray, first: bool):
+    """Least squared distance of synthetic points to the real ones of a block; the ``first`` time also the other blocks that may hold nearer ones."""
+    d, leaf_rows = len(kinds), LEAF
+    xs = [f"x{i}" for i in range(d)]
+
+    def gaps(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Squares of ``outside`` added up over the last axis; of ``apart`` where ``low`` is ``high``."""
+        total = 0.0
+        for i, text in enumerate(kinds):
+            a, lo, hi = x[..., i], low[..., i], high[..., i]
+            if text:
+                total = total + ((a < lo) | (a > hi))
+                continue
+            known = np.maximum(np.maximum(np.where(lo < 0, 0.0, lo - a), a - hi), 0.0)
+            gap = np.where(a < 0, np.where(lo < 0, 0.0, 1.0), np.where(hi < 0, 1.0, known))
+            total = total + gap * gap
+        return total
+
+    def others(x: np.ndarray, best: np.ndarray, block: int) -> list[np.ndarray]:
+        # blocks out of reach of all points at hand are left out first; nulls and texts reach everywhere
+        gap = 0.0
+        for i, text in enumerate(kinds):
+            if not text and (x[:, i] >= 0).all():
+                side = np.where(lows[:, i] < 0, 0.0, np.maximum(np.maximum(lows[:, i] - x[:, i].max(), x[:, i].min() - highs[:, i]), 0.0))
+                gap = gap + side * side
+        near = np.flatnonzero((gap < best.max()) & (np.arange(len(lows)) != block))
+        open_ = gaps(x[:, None], lows[near][None], highs[near][None]) < best[:, None]
+        return [near[o] for o in open_]
+
+    def run(key, real: pa.Table, asked: pa.Table) -> pa.Table:
+        order = np.argsort(real["_place"].to_numpy())
+        order = np.concatenate([order, np.repeat(order[-1:], -len(order) % leaf_rows)])
+        leaves = np.column_stack([real[x].to_numpy()[order] for x in xs]).reshape(-1, leaf_rows, d)
+        low, high = leaves.min(axis=1), leaves.max(axis=1)
+        asked = asked.sort_by("_curve")
+        x = np.column_stack([asked[c].to_numpy() for c in xs])
+        best = np.full(len(x), np.inf) if first else asked["best"].to_numpy().copy()
+        more = []
+        for at in range(0, len(x), 256):
+            part, least = x[at:at + 256], best[at:at + 256]
+            bound = gaps(part[:, None], low[None], high[None])
+            for _ in range(2):  # the two most promising leaves, then all that could hold something as close
+                leaf = bound.argmin(axis=1)
+                points = leaves[leaf]
+                np.minimum(least, gaps(part[:, None], points, points).min(axis=1), out=least)
+                bound[np.arange(len(part)), leaf] = np.inf
+            who, leaf = np.nonzero(bound < least[:, None])
+            for k in range(0, len(who), 4096):
+                w, points = who[k:k + 4096], leaves[leaf[k:k + 4096]]
+                np.minimum.at(least, w, gaps(part[w][:, None], points, points).min(axis=1))
+            if first:
+                more += others(part, least, key[0].as_py())
+        columns = [*[asked[c] for c in xs], asked["weight"], asked["_curve"], pa.array(best)]
+        if first:
+            ends = np.cumsum([0, *map(len, more)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([[], *more]).astype(np.int32))))
+        return pa.Table.from_arrays(columns, names=[*xs, "weight", "_curve", "best", *(["more"] if first else [])])
+
+    return run
 
 
 def closest(real: DataFrame, synth: DataFrame, cols: list[str], bounds: Bounds | None = None, nulls: bool = False) -> DataFrame:
@@ -161,44 +206,52 @@ def closest(real: DataFrame, synth: DataFrame, cols: list[str], bounds: Bounds |
 
 
 def _nearest(left: DataFrame, points: DataFrame, kinds: list[bool]) -> DataFrame:
-    """The points, distinct coordinates with a ``weight`` of any type, with the distance to the nearest of ``left``; null if there is none."""
+    """The points, distinct coordinates with a ``weight`` of any type, with the distance to the nearest of ``left``; null if there is none.
+
+    To a point whose number is null it only matters whether a real one's is. So points with nulls in
+    the same columns, if there are many such, are held against real points without the values of these columns.
+    """
+    xs = [f"x{i}" for i in range(len(kinds))]
+    nulls = reduce(lambda a, b: a + b, [F.when(F.col(x) < 0, 2**i).otherwise(0) for i, x in enumerate(xs) if not kinds[i] and i < 62], F.lit(0)).cast("bigint")
+    points = settled(points.withColumn("_nulls", nulls))
+    patterns = [r["_nulls"] for r in points.where("_nulls > 0").groupBy("_nulls").count().orderBy(F.desc("count"), "_nulls").limit(PATTERNS).collect()]
+    found = _nearest_of(left, points.where(~F.col("_nulls").isin(patterns)).drop("_nulls"), kinds)
+    for p in patterns:
+        bare = left.select(*[F.when(F.col(x) < 0, F.col(x)).otherwise(0.0).alias(x) if not kinds[i] and p >> i & 1 else F.col(x) for i, x in enumerate(xs)])
+        found = found.unionByName(_nearest_of(bare, points.where(F.col("_nulls") == p).drop("_nulls"), kinds))
+    return found
+
+
+def _nearest_of(left: DataFrame, points: DataFrame, kinds: list[bool]) -> DataFrame:
+    """Real points in blocks along the curve; a block and the points that ask for it meet in one task.
+
+    A point asks first the block it lies in, then those that could hold something nearer. A block that many ask is handed to several tasks.
+    """
     d = len(kinds)
     xs = [f"x{i}" for i in range(d)]
-    tree, size = _packed(left, d)
-    if size == 0:
+    ranked = dense_index(left.distinct().withColumn("_curve", _curve(d)), ["_curve", *xs], "_place")
+    blocks = ranked.withColumn("block", F.floor(F.col("_place") / BLOCK).cast("int"))
+    ends = [f(x).alias(f"{k}{i}") for i, x in enumerate(xs) for f, k in ((F.min, "lo"), (F.max, "hi"))]
+    bounds = blocks.groupBy("block").agg(F.min("_curve").alias("start"), *ends).orderBy("block").collect()  # a row for BLOCK points
+    if not bounds:
         return points.withColumn("distance", F.lit(None).cast("double"))
-    # few bytes but much to compute: a fixed count keeps AQE from merging the tasks
-    points = points.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *xs)
-    height = 1
-    while size > FANOUT**height:
-        height += 1
-
-    square = lambda parts: reduce(lambda a, b: a + b, [p * p for p in parts])
-    bound = square([outside(F.col(x), F.col(f"lo{i}"), F.col(f"hi{i}"), kinds[i]) for i, x in enumerate(xs)])
-    reach = square([apart(F.col(x), F.col(f"p{i}"), kinds[i]) for i, x in enumerate(xs)])
-
-    def visit(front: DataFrame, h: int, *keep: str) -> DataFrame:
-        """One row per child of the nodes at hand; one join at every height."""
-        here = tree.filter(F.col("height") == h).select("node", "children")
-        met = front.join(here, "node")  # Spark broadcasts a level whose measured bytes allow it
-        return met.select(*xs, "weight", *keep, F.inline("children")).withColumns({"bound": bound, "reach": reach})
-
-    root = F.lit(0).cast("bigint")
-    # First walk: straight down to one promising leaf, for a first distance. Rows
-    # stay partitioned by point, so the groupings below need no shuffle of their own.
-    front = points.withColumn("node", root)
-    for h in range(height, 1, -1):
-        front = visit(front, h).groupBy(*xs, "weight").agg(F.min_by("child", "bound").alias("node"))
-    front = visit(front, 1).groupBy(*xs, "weight").agg(F.min("reach").alias("best")).withColumn("node", root)
-
-    # Second walk: into every node that could hold something as close. The node of
-    # the best point so far always qualifies, so every point reaches a leaf.
-    own = Window.partitionBy(*xs, "weight")
-    for h in range(height, 1, -1):
-        kept = visit(front, h, "best").filter(F.col("bound") <= F.col("best"))
-        tighter = kept.withColumn("best", F.least("best", F.min("reach").over(own)))
-        front = tighter.filter(F.col("bound") <= F.col("best")).select(*xs, "weight", "best", F.col("child").alias("node"))
-    return visit(front, 1).groupBy(*xs, "weight").agg(F.sqrt(F.min("reach")).alias("distance"))
+    lows, highs = (np.array([[r[f"{k}{i}"] for i in range(d)] for r in bounds], dtype=float) for k in ("lo", "hi"))
+    real = blocks.select("block", "_place", *xs)
+
+    def search(asked: DataFrame, first: bool) -> DataFrame:
+        shares = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("_shares"))
+        asked = asked.join(F.broadcast(shares), "block").withColumn("_share", F.pmod(F.xxhash64(*xs), F.col("_shares")).cast("int")).drop("_shares")
+        held = real.join(F.broadcast(shares), "block").select(*real.columns, F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"))
+        schema = T.StructType([*[asked.schema[c] for c in (*xs, "weight", "_curve")], T.StructField("best", T.DoubleType()),
+                               *([T.StructField("more", T.ArrayType(T.IntegerType()))] if first else [])])
+        return held.groupBy("block", "_share").cogroup(asked.groupBy("block", "_share")).applyInArrow(_searched(kinds, lows, highs, first), schema)
+
+    home = settled(_homed(points.select(*xs, "weight", _curve(d).alias("_curve")), np.array([r["start"] for r in bounds])))
+    near = settled(search(home, True))
+    rest = near.where(F.size("more") > 0).select(*xs, "weight", "_curve", "best", F.explode("more").alias("block"))
+    both = near.where(F.size("more") == 0).select(*xs, "weight", "best")
+    nearer = search(rest, False).groupBy(*xs, "weight").agg(F.min("best").alias("best"))
+    return both.unionByName(nearer).withColumn("distance", F.sqrt("best")).drop("best")
 
 
 def _beside(kinds: list[bool], reach: int):

@@ -45,6 +45,15 @@ def test_exact_search_over_numbers_texts_and_nulls(spark, n):
     assert distances(got) == pytest.approx(brute(real, synth), abs=1e-9)
 
 
+def test_points_meet_blocks_in_bounded_groups(spark, monkeypatch):
+    """Many blocks, several tasks for one block, points of one null set apart and others not."""
+    for name, size in (("BLOCK", 48), ("LEAF", 8), ("ASKED", 20), ("PATTERNS", 1)):
+        monkeypatch.setattr(nearest, name, size)
+    real, synth = people(3, 500), people(4, 200)
+    got = nearest.closest(spark.createDataFrame(real, SCHEMA), spark.createDataFrame(synth, SCHEMA), ["a", "kind", "b", "flag"], nulls=True)
+    assert distances(got) == pytest.approx(brute(real, synth), abs=1e-9)
+
+
 def test_projected_search_finds_most_and_never_less(spark):
     real, synth = people(5, 3000), people(6, 1500)
     frames = spark.createDataFrame(real, SCHEMA).repartition(5), spark.createDataFrame(synth, SCHEMA)
