@@ -9,7 +9,7 @@ matrix reach the driver.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mockloom.functions import normal as gauss
-from mockloom.functions.rng import normals, uniform
+from mockloom.functions.rng import normal_bits, normals_of, uniform
 from mockloom.operators.fidelity import exact_quantiles, settled
 from mockloom.operators.generate import Draws
 from mockloom.operators.scan import dense_index, running_totals
@@ -91,6 +91,8 @@ class CopulaModel:
     factor: np.ndarray
     #: Columns whose grid points are drawn as they are.
     fine: Sequence[str] = ()
+    #: Number of values of each column of ``texts``.
+    values: Mapping[str, int] = field(default_factory=dict)
 
     def sample(
         self, spark: SparkSession, n: int, seed: int | str = 42, partitions: int | None = None, keys: Mapping[str, Column] | None = None
@@ -101,17 +103,16 @@ class CopulaModel:
     def draw(self, base: DataFrame, seed: int | str = 42, keys: Mapping[str, Column] | None = None, shifts: Mapping[str, Column] | None = None, name: str = "copula") -> DataFrame:
         """One row for each of ``base``, numbered by its column ``_row``; ``keys`` and ``shifts``
         are columns of ``base``. A shift is added to the normal score of a column."""
-        row, keys, shifts = F.col("_row"), keys or {}, shifts or {}
-        scores = normals(seed, name, row, len(self.modelled))
-        draws = base.select("*", *[g.alias(f"_g{i}") for i, g in enumerate(scores)])
-        mixed = [
-            sum((F.col(f"_g{k}") * float(self.factor[i, k]) for k in range(i + 1) if self.factor[i, k]), shifts.get(c, F.lit(0.0))).alias(f"_z{i}")
-            for i, c in enumerate(self.modelled)
-        ]
-        share = lambda z: F.least(F.greatest(gauss.cdf(z), F.lit(0.0)), F.lit(1.0 - 1e-12))
-        placed = draws.select(*base.columns, *mixed).select(*base.columns, *[share(F.col(f"_z{i}")).alias(f"_u{i}") for i in range(len(self.modelled))])
-        for c in self.texts:
-            if c not in keys:
+        row, keys = F.col("_row"), keys or {}
+        shifts = {self.modelled.index(c): shift for c, shift in (shifts or {}).items()}
+        bits = normal_bits(seed, name, row, len(self.modelled))
+        given = base.select("*", *[h.alias(f"_h{k}") for k, h in enumerate(bits)], *[shift.cast("double").alias(f"_s{i}") for i, shift in shifts.items()])
+        wanted = [(i, c) for i, c in enumerate(self.modelled) if c not in keys]
+        kept = len(base.columns)
+        schema = T.StructType([*base.schema.fields, *[T.StructField(f"_u{i}" if c in self.texts else f"_v{i}", T.DoubleType()) for i, c in wanted]])
+        placed = given.mapInArrow(self._drawer(kept, len(bits), list(shifts), wanted), schema)
+        for _, c in wanted:
+            if c in self.texts:
                 placed = self._looked_up(placed, c)
         out = []
         for field in self.schema:
@@ -124,6 +125,43 @@ class CopulaModel:
             out.append(value.cast(field.dataType).alias(field.name))
         return placed.select(*out)
 
+    def _drawer(self, kept: int, hashes: int, shifted: list[int], wanted: list[tuple[int, str]]):
+        """Function of Arrow batches with ``kept`` columns, hashes and shifts: the kept ones, the share in [0, 1) of each text and the value on each grid.
+
+        As one Spark expression this is a method that Java never compiles, so that each row takes ten times as long.
+        """
+        d, factor, fine = len(self.modelled), np.asarray(self.factor, dtype=float), set(self.fine)
+        grids = {i: np.asarray(self.grids[c], dtype=float) for i, c in wanted if c in self.grids and c not in self.texts}
+        points = {i: c in fine for i, c in wanted}
+        normals, cdf = normals_of(d), gauss.cdf_of()
+
+        def draw(batches):
+            import numpy
+            import pyarrow
+
+            for batch in batches:
+                column = lambda k: batch.column(k).to_numpy(zero_copy_only=False)
+                scores = normals([column(kept + k) for k in range(hashes)])
+                out = []
+                for i, _ in wanted:
+                    z = column(kept + hashes + shifted.index(i)) if i in shifted else numpy.zeros(batch.num_rows)
+                    for k in range(i + 1):
+                        if factor[i, k]:
+                            z = z + scores[k] * factor[i, k]
+                    u = numpy.minimum(numpy.maximum(cdf(z), 0.0), 1.0 - 1e-12)
+                    if i in grids:
+                        grid, x = grids[i], u * (len(grids[i]) - 1)
+                        if points[i]:
+                            u = grid[numpy.ceil(x).astype(int)]
+                        else:
+                            at = numpy.floor(x).astype(int)
+                            u = grid[at] + (grid[at + 1] - grid[at]) * (x - at)
+                    out.append(pyarrow.array(u))
+                names = [*batch.schema.names[:kept], *[f"_v{i}" if i in grids else f"_u{i}" for i, _ in wanted]]
+                yield pyarrow.RecordBatch.from_arrays([*batch.columns[:kept], *out], names=names)
+
+        return draw
+
     def _looked_up(self, placed: DataFrame, name: str) -> DataFrame:
         """Add ``_t_<name>``: the value in whose stretch the drawn share lies, met by equal slices of [0, 1).
 
@@ -132,7 +170,7 @@ class CopulaModel:
         """
         u = F.col(f"_u{self.modelled.index(name)}")
         spans = self.shares.filter(F.col("column_name") == name)
-        values = spans.count()
+        values = self.values[name]
         slices = 1 << max(values - 1, 1).bit_length()
         cells = F.sequence(F.floor(F.col("low") * slices), F.least(F.floor(F.col("high") * slices), F.lit(slices - 1)))
         spans = spans.select(F.col("value").alias(f"_t_{name}"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.explode(cells).alias("_cell"))
@@ -146,14 +184,7 @@ class CopulaModel:
             return F.col(f"_t_{name}")
         if name not in self.grids:
             return F.lit(None)
-        u, grid = F.col(f"_u{self.modelled.index(name)}"), self.grids[name]
-        steps = len(grid) - 1
-        points = F.array(*[F.lit(float(v)) for v in grid])
-        if name in self.fine:
-            return F.element_at(points, F.ceil(u * steps).cast("int") + 1)
-        at = F.floor(u * steps).cast("int")
-        low, high = F.element_at(points, at + 1), F.element_at(points, at + 2)
-        return low + (high - low) * (u * steps - at)
+        return F.col(f"_v{self.modelled.index(name)}")
 
 
 def fit(df: DataFrame, steps: int = GRID, skip: Sequence[str] = (), fine: Sequence[str] = ()) -> CopulaModel:
@@ -174,8 +205,9 @@ def fit(df: DataFrame, steps: int = GRID, skip: Sequence[str] = (), fine: Sequen
     nulls = null_rates(plain) if fields else {}
     texts = [c for c in texts if nulls[c] < 1.0 and plain.filter(F.col(c).isNotNull()).limit(1).count()]
     shares = settled(category_shares(plain, texts)) if texts else None
+    values = {r["column_name"]: r["count"] for r in shares.groupBy("column_name").count().collect()} if texts else {}
     modelled = [f.name for f in fields if f.name in grids or f.name in texts]
-    model = CopulaModel(df.schema, grids, shares, texts, nulls, modelled, np.eye(len(modelled)), fine)
+    model = CopulaModel(df.schema, grids, shares, texts, nulls, modelled, np.eye(len(modelled)), fine, values)
     if len(modelled) > 1:
         model.factor = _factor(correlation(*score_sums(model, df)))
     return model
@@ -185,8 +217,11 @@ def as_shares(model: CopulaModel, df: DataFrame, *keep: str) -> DataFrame:
     """The modelled columns as numbers: those on a grid as they are, a text as the middle of its stretch. ``keep`` stays beside them."""
     fields = {f.name: f for f in df.schema}
     df = df.select(*[F.col(k).alias(f"_keep_{k}") for k in keep], *[_plain(fields[c]) for c in model.modelled])
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name in model.texts:
         middle = model.shares.filter(F.col("column_name") == name).select(F.col("value").alias(name), ((F.col("low") + F.col("high")) / 2).alias("_p"))
+        # rows are never dealt out by a column of few values; by one of many, an exchange of the join's own lets Spark split a frequent value
+        middle = F.broadcast(middle) if model.values[name] <= BROADCAST else middle.repartition(slices)
         df = df.join(middle, name, "left").withColumn(name, F.col("_p")).drop("_p")
     return df.select(*[F.col(f"_keep_{k}").alias(k) for k in keep], *model.modelled)
 
