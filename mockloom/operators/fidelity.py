@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,6 +178,31 @@ def exact_quantiles(counts: DataFrame, group: str, order: str, measure: str, pro
     )
 
 
+def medians(df: DataFrame, cols: list[str], room: float = 0.002) -> DataFrame:
+    """(column_name, median) of numeric columns: the mean of the two middle values, nulls left out.
+
+    Approximate quantiles around the middle tell which values need counting; what lies below them is
+    only counted. A column whose middle is not between them has all its values counted.
+    """
+    plain = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    near = plain.agg(*[F.percentile_approx(f"c{i}", [0.5 - room, 0.5 + room], 10_000).alias(f"c{i}") for i in range(len(cols))]).first()
+    spans = {i: near[f"c{i}"] for i in range(len(cols)) if near[f"c{i}"]}
+    if not spans:
+        return _empty(df.sparkSession, "column_name string, median double")
+    below = lambda c, x: F.count_if(F.col(c) < F.lit(x))
+    row = plain.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in spans], *[below(f"c{i}", low).alias(f"b{i}") for i, (low, _) in spans.items()], *[F.count_if(F.col(f"c{i}") <= F.lit(high)).alias(f"t{i}") for i, (_, high) in spans.items()]).first()
+    first = {i: (row[f"n{i}"] + 1) // 2 for i in spans}  # places of the two middle values, from 1
+    second = {i: row[f"n{i}"] // 2 + 1 for i in spans}
+    inside = {i: row[f"b{i}"] < first[i] and second[i] <= row[f"t{i}"] for i in spans}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(F.col(f"c{i}").between(*map(F.lit, spans[i])) if inside[i] else F.lit(True), F.col(f"c{i}")).alias("value")) for i in spans])
+    counts = plain.select(F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("_v")).select(F.col("_v.i").cast("string").alias("i"), "_v.value").groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+    steps = running_totals(counts, "i", "value", ["n"])
+    at = lambda places: F.get(F.array(*[F.lit(places.get(i, 0) - (row[f"b{i}"] if inside.get(i) else 0)).cast("bigint") for i in range(len(cols))]), F.col("i").cast("int"))
+    reach = lambda places: F.min(F.when(F.col("cum_n") >= at(places), F.col("value")))
+    found = steps.groupBy("i").agg((0.5 * reach(first) + 0.5 * reach(second)).alias("median"))
+    return found.select(F.get(F.array(*[F.lit(c) for c in cols]), F.col("i").cast("int")).alias("column_name"), "median")
+
+
 # --- category columns ---------------------------------------------------------
 
 
@@ -275,31 +302,77 @@ def column_shapes(real: DataFrame, synth: DataFrame, csv_semantics: bool = True)
 # --- correlation --------------------------------------------------------------
 
 
-def _pearson(a: Column, b: Column) -> Column:
-    """Pairwise-complete Pearson coefficient; null where a side is constant."""
-    left, right = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    coefficient = F.try_divide(F.covar_samp(left, right), F.stddev_samp(left) * F.stddev_samp(right))
-    return F.when(_varies(left) & _varies(right), coefficient)
-
-
-def _varies(c: Column) -> Column:
-    """Whether a column has two values; merged variances of a constant need not be exactly zero."""
-    return F.min(c) < F.max(c)
+def _pair_sums(d: int):
+    """Function of Pandas frames of ``d`` numeric columns: a row for each pair of columns."""
+
+    def merged(one, two):
+        """Pairwise numbers, means, squares and products about the means, and ranges of two disjoint sets of rows together."""
+        n, m, q, c, low, high = one
+        n2, m2, q2, c2, low2, high2 = two
+        whole, step = np.maximum(n + n2, 1), m2 - m
+        part = n * n2 / whole
+        return n + n2, m + step * n2 / whole, q + q2 + step * step * part, c + c2 + step * step.T * part, np.minimum(low, low2), np.maximum(high, high2)
+
+    def comoments(frame):
+        """Those of one batch: matrices with a row for each column and a column for each other that has to be known beside it."""
+        x = frame.to_numpy(dtype=float, na_value=np.nan)
+        known = ~np.isnan(x)
+        kept = known.astype(float)
+        shift = np.where(known, x, 0.0).sum(axis=0) / np.maximum(kept.sum(axis=0), 1)
+        z = np.where(known, x - shift, 0.0)
+        n, s = kept.T @ kept, z.T @ kept
+        m = s / np.maximum(n, 1)
+        low, high = (np.repeat(r[:, None], len(r), axis=1) for r in (np.where(known, x, np.inf).min(axis=0), np.where(known, x, -np.inf).max(axis=0)))
+        if not known.all():
+            for j in range(x.shape[1]):  # only rows in which both are known
+                both = known & known[:, [j]]
+                low[:, j], high[:, j] = np.where(both, x, np.inf).min(axis=0), np.where(both, x, -np.inf).max(axis=0)
+        return n, np.where(n > 0, m + shift[:, None], 0.0), (z * z).T @ kept - s * m, z.T @ z - s * m.T, low, high
+
+    def sums(batches):
+        whole = None
+        for frame in batches:
+            if len(frame):
+                whole = comoments(frame) if whole is None else merged(whole, comoments(frame))
+        if whole is not None:
+            n, m, q, c, low, high = whole
+            i, j = np.triu_indices(d)
+            yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "m": m[i, j], "o": m[j, i], "q": q[i, j], "r": q[j, i], "c": c[i, j],
+                                "low": low[i, j], "high": high[i, j], "low2": low[j, i], "high2": high[j, i]})
+
+    return sums
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Long matrix (col_a, col_b, corr) from one aggregation over the table."""
-    clean = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
-    pairs = list(combinations(cols, 2))
-    row = clean.agg(
-        *[_pearson(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
-        *[_varies(F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)],
+    """Long matrix (col_a, col_b, corr) of pairwise-complete Pearson coefficients from one pass over the table; null where a side is constant.
+
+    Each task adds up matrices of its Arrow batches and leaves a row for each pair. As aggregates
+    of Spark, three for each pair, the pass is one method too long for Java to compile.
+    """
+    clean = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    d = len(cols)
+    kinds = ", ".join(["i int, j int", *[f"{k} double" for k in ("n", "m", "o", "q", "r", "c", "low", "high", "low2", "high2")]])
+    # a row for each task and pair
+    parts = clean.mapInPandas(_pair_sums(d), kinds).groupBy("i", "j").agg(
+        F.collect_list(F.struct("n", "m", "o", "q", "r", "c")).alias("parts"),
+        ((F.min("low") < F.max("high")) & (F.min("low2") < F.max("high2"))).alias("vary"),
     )
-    cell = lambda a, b, v: F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), v.alias("corr"))
-    cells = [cell(a, b, F.col(f"p{i}")) for i, (a, b) in enumerate(pairs)]
-    cells += [cell(b, a, F.col(f"p{i}")) for i, (a, b) in enumerate(pairs)]
-    cells += [cell(c, c, F.when(F.col(f"s{i}"), F.lit(1.0))) for i, c in enumerate(cols)]
-    return row.select(F.inline(F.array(*cells)))
+    added = lambda of: F.aggregate("parts", F.lit(0.0), lambda s, p: s + of(p))
+    mean = lambda k: F.try_divide(added(lambda p: p["n"] * p[k]), added(lambda p: p["n"]))
+    about = parts.withColumn("a", mean("m")).withColumn("b", mean("o"))
+    a, b = F.col("a"), F.col("b")
+    spread = lambda q, m, at: F.sqrt(added(lambda p: p[q] + p["n"] * (p[m] - at) * (p[m] - at)))
+    product = added(lambda p: p["c"] + p["n"] * (p["m"] - a) * (p["o"] - b))
+    coefficient = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.try_divide(product, spread("q", "m", a) * spread("r", "o", b)))
+    found = about.select("i", "j", F.when(F.col("vary"), coefficient).alias("corr"))
+    names = F.array(*[F.lit(c) for c in cols])
+    name = lambda k: F.get(names, F.col(k))
+    pair = lambda x, y: F.struct(name(x).alias("col_a"), name(y).alias("col_b"))
+    sides = F.explode(F.when(F.col("i") == F.col("j"), F.array(pair("i", "j"))).otherwise(F.array(pair("i", "j"), pair("j", "i"))))
+    cells = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("i")).select("i", F.explode(F.sequence(F.col("i"), F.lit(d - 1))).alias("j"))
+    # a table without rows has its pairs too
+    every = cells.select(F.col("i").cast("int"), F.col("j").cast("int")).join(F.broadcast(found), ["i", "j"], "left")
+    return every.select(sides.alias("_of"), "corr").select("_of.col_a", "_of.col_b", "corr")
 
 
 def correlation_difference(real: DataFrame, synth: DataFrame, cols: list[str] | None = None) -> DataFrame:

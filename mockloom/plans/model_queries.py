@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mockloom.functions.typemaps import FK_TAG
 from mockloom.operators import catalog as cat
 from mockloom.operators import copula
-from mockloom.operators.fidelity import audit_quality, correlation_difference, fk_orphans, ks_statistic, pk_duplicates, settled
+from mockloom.operators.fidelity import audit_quality, correlation_difference, fk_orphans, ks_statistic, medians, pk_duplicates, settled
 from mockloom.plans import flows
 from mockloom.plans.catalog_queries import SCHEMAS, schemas
 from mockloom.plans.derive import sql_u32, table
@@ -69,7 +69,8 @@ def copula_sample(spark, sf_dir):
         real, made = _synthetic(spark, sf_dir, name)
         texts = [c for c, t in real.dtypes if t == "string"]
         long = lambda df, side: df.select(F.lit(1).cast("int").alias(side), *texts).unpivot([side], texts, "column_name", "value")
-        both = long(real, "r").unionByName(long(made, "m"), allowMissingColumns=True).groupBy("column_name", "value").agg(F.sum("r").alias("r"), F.sum("m").alias("m"))
+        # a row for each value: kept once, read by the sums and by the shares
+        both = settled(long(real, "r").unionByName(long(made, "m"), allowMissingColumns=True).groupBy("column_name", "value").agg(F.sum("r").alias("r"), F.sum("m").alias("m")))
         sums = both.groupBy("column_name").agg(F.sum("r").alias("all_r"), F.sum("m").alias("all_m"))
         shares = both.join(F.broadcast(sums), "column_name")  # a row for each text column
         p, q = F.coalesce("r", F.lit(0)) / F.col("all_r"), F.coalesce("m", F.lit(0)) / F.col("all_m")
@@ -97,11 +98,13 @@ def copula_fidelity(spark, sf_dir):
     for name, cols in numbers.items():
         real, made = _synthetic(spark, sf_dir, name)
         pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-        measures = lambda df: df.agg(
-            *[F.percentile(c, 0.5).alias(c) for c in cols], *[F.stddev(c).alias(f"spread {c}") for c in cols], *[F.corr(a, b).alias(f"{a} {b}") for a, b in pairs])
-        both = measures(real).select(F.struct("*").alias("r")).join(measures(made).select(F.struct("*").alias("m")))
-        value = lambda k, room: F.struct(F.lit(k).alias("measure"), near_real(F.col("m")[k], F.col("r")[k], room).alias("value"))
-        cells = [value(c, 0.1 * F.col("r")[f"spread {c}"]) for c in cols] + [value(f"{a} {b}", F.lit(0.06)) for a, b in pairs]
+        made = settled(made)
+        spreads = lambda df: df.agg(*[F.stddev(c).alias(f"spread {c}") for c in cols], *[F.corr(a, b).alias(f"{a} {b}") for a, b in pairs])
+        middles = lambda df: medians(df, cols).groupBy().pivot("column_name", cols).agg(F.first("median"))  # a row for each column
+        both = reduce(lambda a, b: a.join(b), [
+            measure(df).select(F.struct("*").alias(f"{side}{k}")) for k, measure in (("s", spreads), ("m", middles)) for side, df in (("r", real), ("m", made))])
+        value = lambda k, side, room: F.struct(F.lit(k).alias("measure"), near_real(F.col(f"m{side}")[k], F.col(f"r{side}")[k], room).alias("value"))
+        cells = [value(c, "m", 0.1 * F.col("rs")[f"spread {c}"]) for c in cols] + [value(f"{a} {b}", "s", F.lit(0.06)) for a, b in pairs]
         parts.append(both.select(F.lit(name).alias("table_name"), F.inline(F.array(*cells))))
         for measure, worst, bound in (
                 ("largest shape distance", audit_quality(real, made, csv_semantics=False).agg(F.max("score").alias("value")), 0.05),

@@ -498,3 +498,77 @@ def test_copula_of_times_and_many_values(spark):
 
 def test_plugins_are_listed():
     assert copula.plugins() == ["copula"]
+
+
+def test_ddl_files_are_dealt_out_before_they_are_read(spark):
+    corpus = spark.range(200).coalesce(1).select(F.col("id").cast("string").alias("path"), F.concat(F.lit("USE d;\nCREATE TABLE t"), "id", F.lit(" (a INT);\n")).alias("value"))
+    found = ddl.statements(corpus)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("RepartitionByExpression")  # upper steps come first: the texts are cut in many tasks
+    assert found.filter("used = 'd'").count() == 400
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_ddl_brackets_beyond_one_pattern(spark, strict):
+    deep = "(" * 9 + "1, 2" + ")" * 9
+    texts = [f"CREATE TABLE t (a INT,\n b DECIMAL{deep} DEFAULT {deep},\n c ENUM('(',')') , , d INT)", "CREATE TABLE t (a INT, b INT", "CREATE TABLE t (a INT, b CHAR(3) DEFAULT ')', c INT) x (d INT)"]
+    got = ddl.attributes(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, value string"), strict)
+    names = {r["path"]: r["n"] for r in got.groupBy("path").agg(F.sort_array(F.collect_list("column_name")).alias("n")).collect()}
+    assert names == {"0": ["a", "b", "c", "d"], "2": ["a", "b", "c"]}
+    if not strict:
+        b = got.filter("path = '0' and column_name = 'b'").first()
+        assert b["default_value"] == deep and b["type_params"] == deep[1:-1].replace(", ", ",")
+
+
+def test_middles_of_columns(spark):
+    rng = random.Random(3)
+    data = [(rng.gauss(0, 1), rng.choice([1, 1, 1, 2]), None if rng.random() < 0.3 else rng.randint(0, 10**6), None) for _ in range(5001)]
+    df = spark.createDataFrame(data, "a double, b int, c bigint, d double")
+    wanted = df.agg(*[F.percentile(c, 0.5).alias(c) for c in "abc"]).first().asDict()
+    for room in (0.002, 1e-7):  # the second leaves the middle out, so that whole columns are counted
+        assert {r["column_name"]: r["median"] for r in fidelity.medians(df, ["a", "b", "c", "d"], room).collect()} == wanted
+    plan = fidelity.medians(df, ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan  # never all values of a column in one task
+
+
+def test_correlations_add_up_over_tasks(spark):
+    rng = random.Random(5)
+    data = [(1e9 + i, 1e9 + i + rng.gauss(0, 50), None if i % 3 else float(i * i), 7.0, None if i % 3 == 0 else 1.0 * i) for i in range(900)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, e double").repartition(5)
+    pairs = {(r["col_a"], r["col_b"]): r["corr"] for r in fidelity.correlation_matrix(df, list("abcde")).collect()}
+    import numpy as np
+
+    x = np.array([[np.nan if v is None else v for v in r] for r in data])
+    for i, j in ((0, 1), (0, 2), (1, 2), (0, 4)):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert abs(pairs["abcde"[i], "abcde"[j]] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9
+        assert pairs["abcde"[i], "abcde"[j]] == pairs["abcde"[j], "abcde"[i]]
+    assert len(pairs) == 25 and pairs["a", "a"] == 1.0 and pairs["d", "d"] is None and pairs["a", "d"] is None and pairs["c", "e"] is None
+    empty = fidelity.correlation_matrix(df.limit(0), ["a", "b"]).collect()
+    assert len(empty) == 4 and all(r["corr"] is None for r in empty)
+
+
+def test_few_texts_never_deal_out_the_rows(spark):
+    real = spark.range(3000).select((F.col("id") % 2).cast("string").alias("side"), (F.col("id") % 97).cast("double").alias("x"))
+    model = copula.fit(real)
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = copula.as_shares(model, real)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_drawing_is_one_function_of_batches(spark):
+    model = copula.fit(spark.range(500).select(F.col("id").cast("double").alias("x"), (F.col("id") % 5).alias("k"), (F.col("id") % 3).cast("string").alias("t")))
+    plan = model.sample(spark, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "cos(" not in plan.lower()  # as a Spark expression too long a method for Java to compile
+    from mockloom.functions import normal as gauss
+    from mockloom.functions import rng as draws
+
+    ids = spark.range(50).withColumnRenamed("id", "row")
+    rows_ = ids.select(*[n.alias(f"n{i}") for i, n in enumerate(draws.normals(1, "t", F.col("row"), 3))], gauss.cdf(draws.normals(1, "t", F.col("row"), 1)[0]).alias("p"),
+                       *[b.alias(f"b{i}") for i, b in enumerate(draws.normal_bits(1, "t", F.col("row"), 3))]).toPandas()
+    made = draws.normals_of(3)([rows_["b0"].to_numpy(), rows_["b1"].to_numpy()])
+    assert all(abs(made[i] - rows_[f"n{i}"]).max() < 1e-12 for i in range(3)) and abs(gauss.cdf_of()(made[0]) - rows_["p"]).max() < 1e-12
