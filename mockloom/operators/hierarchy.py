@@ -95,19 +95,17 @@ def augment(edge: Edge, model: copula.CopulaModel, children: DataFrame) -> tuple
     names = [f"z{i}" for i in range(d)]
 
     def score(batches):
-        import numpy
         import pandas
 
         for frame in batches:
             z = pandas.DataFrame(scores(frame), columns=names)
-            z = z.astype(object).where(~numpy.isnan(z), None)
             z.insert(0, "_fk", frame["_fk"].to_numpy())
             yield z
 
     keyed = children.where(F.col(edge.fk).isNotNull())
     kind = children.schema[edge.fk].dataType.simpleString()
     scored = copula.as_shares(model, keyed.withColumn("_fk", F.col(edge.fk)), "_fk").mapInPandas(score, ", ".join([f"_fk {kind}", *[f"{z} double" for z in names]]))
-    means = [F.avg(z).alias(z) for z in names]
+    means = [F.avg(F.when(~F.isnan(z), F.col(z))).alias(z) for z in names]  # NaN where unknown
     per = settled(scored.groupBy("_fk").agg(F.count(F.lit(1)).alias("_n"), *means))
     n, s, _, x = copula.score_sums(model, keyed)
     with np.errstate(divide="ignore", invalid="ignore"):
