@@ -1,10 +1,10 @@
 """Distance to the closest record, exact or by random projections, without comparing all pairs.
 
-Real points are sorted along a space-filling curve and cut into blocks, and each
-block into leaves, all with tight bounds, whatever the density of the data. A synthetic
+Real points are cut into blocks along a space-filling curve, where a sample of them
+says, and each block into leaves, all with tight bounds, whatever the density of the data. A synthetic
 point is searched in the block it lies in, then in those whose bounds lie nearer than
 the point already found, which are few, however many records there are. One task
-holds one block and a bounded number of the points that ask for it.
+holds a few blocks and a bounded number of the points that ask for each. Points are kept and moved packed.
 
 Columns may be numbers or text. Numbers are scaled to [0, 1] and differ by
 their distance, texts by 0 or 1; with ``nulls`` a null equals a null and differs from all else by 1.
@@ -20,12 +20,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mockloom.operators.scan import dense_index, lookup_by_key, running_totals, settled
+from mockloom.operators.packs import packed, point_tools, unpacked
+from mockloom.operators.scan import dense_index, discard, lookup_by_key, running_totals, settled
 
-#: Real points of a block and of a leaf in it, and synthetic points that meet a block in one task.
+#: Real points of a block (about) and of a leaf in it, and synthetic points that meet a block in one task (about).
 BLOCK, LEAF, ASKED = 16_384, 64, 100_000
-#: Sets of columns with nulls whose points are searched apart.
+#: Points of a block in the sample that tells where to cut, and blocks of a task at most.
+SEEN, TOGETHER = 32, 32
+#: Sets of columns without a value to compare whose points are searched apart.
 PATTERNS = 4
+#: Values of a text column up to which they are sent to all tasks.
+WORDS = 10_000
+#: Points of both tables in one task of an approximate search (about).
+BESIDE = 400_000
 #: Coordinate of a null.
 NULL = -1.0
 #: Random rotations of an approximate search, and real points before and after a synthetic one that it is compared with in each.
@@ -56,8 +63,9 @@ def text_columns(df: DataFrame, cols: list[str]) -> list[str]:
     return [c for c in cols if isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType))]
 
 
-def mixed_points(real: DataFrame, synth: DataFrame, cols: list[str], *keep: str) -> tuple[DataFrame, DataFrame, list[bool]]:
-    """Both tables as coordinates x0.., nulls as NULL, and which of them are text; the second with the columns to ``keep`` as well.
+def mixed_points(real: DataFrame, synth: DataFrame, cols: list[str], *keep: str) -> tuple[DataFrame, DataFrame, list[bool], list[dict[int, np.ndarray]]]:
+    """Both tables as coordinates x0.., nulls as NULL, which of them are text, and of columns with few texts the coordinates
+    of all and of those that no real row has; the second table with the columns to ``keep`` as well.
 
     A text's coordinate is its place among all texts of the column, so that texts
     that stand together in a node cover a short stretch.
@@ -66,192 +74,373 @@ def mixed_points(real: DataFrame, synth: DataFrame, cols: list[str], *keep: str)
     numbers = [c for c in cols if c not in texts]
     bounds = dict(zip(numbers, common_bounds([real, synth], numbers), strict=True)) if numbers else {}
     sides = [df.select(*[F.col(c).cast("string" if c in texts else "double").alias(f"x{i}") for i, c in enumerate(cols)], *more) for df, more in ((real, ()), (synth, keep))]
+    words = [{}, {}]
     for i, c in enumerate(cols):
         if c in texts:
-            words = dense_index(sides[0].select(f"x{i}").union(sides[1].select(f"x{i}")).dropna().distinct(), [f"x{i}"], "_place")
-            size = max(words.count(), 1)
-            codes = words.select(f"x{i}", ((F.col("_place") + 0.5) / size).alias("_code"))
-            sides = [_coded(df, codes, f"x{i}") for df in sides]
+            both = sides[0].select(f"x{i}", F.lit(True).alias("_real")).union(sides[1].select(f"x{i}", F.lit(False))).dropna()
+            placed = dense_index(both.groupBy(f"x{i}").agg(F.max("_real").alias("_real")), [f"x{i}"], "_place")
+            size = max(placed.count(), 1)
+            codes = placed.select(f"x{i}", ((F.col("_place") + 0.5) / size).alias("_code"), "_real")
+            if size <= WORDS:
+                rows = codes.select("_code", "_real").orderBy("_code").collect()
+                words[0][i], words[1][i] = (np.array([r["_code"] for r in rows if not (seen and r["_real"])], dtype=float) for seen in (False, True))
+            sides = [_coded(df, codes.drop("_real"), f"x{i}", size <= WORDS) for df in sides]
         else:
             low, high = bounds[c]
             at = (F.col(f"x{i}") - low) / (high - low) if low is not None and high > low else F.lit(0.0)
             sides = [df.withColumn(f"x{i}", F.when(F.col(f"x{i}").isNull() | F.isnan(f"x{i}"), NULL).otherwise(at)) for df in sides]
     xs = [f"x{i}" for i in range(len(cols))]
-    return sides[0].select(*xs), sides[1].select(*xs, *keep), [c in texts for c in cols]
+    return sides[0].select(*xs), sides[1].select(*xs, *keep), [c in texts for c in cols], words
 
 
-def _coded(df: DataFrame, codes: DataFrame, name: str) -> DataFrame:
+def _coded(df: DataFrame, codes: DataFrame, name: str, few: bool) -> DataFrame:
+    if few:
+        return df.join(F.broadcast(codes), name, "left").withColumn(name, F.coalesce("_code", F.lit(NULL))).drop("_code")
     found = lookup_by_key(df.where(F.col(name).isNotNull()), codes, [name]).withColumn(name, F.col("_code")).drop("_code")
     return found.unionByName(df.where(F.col(name).isNull()).withColumn(name, F.lit(NULL)))
 
 
-def apart(x: Column, y: Column, text: bool) -> Column:
-    """How far two coordinates are apart."""
-    if text:
-        return F.when(x == y, 0.0).otherwise(1.0)
-    return F.when((x < 0) & (y < 0), 0.0).when((x < 0) | (y < 0), 1.0).otherwise(F.abs(x - y))
-
-
-def outside(x: Column, low: Column, high: Column, text: bool) -> Column:
-    """A lower bound of how far a coordinate is from any of a stretch that may hold nulls."""
-    if text:
-        return F.when((x < low) | (x > high), 1.0).otherwise(0.0)
-    known = F.greatest(F.when(low < 0, 0.0).otherwise(low - x), x - high, F.lit(0.0))
-    return F.when(x < 0, F.when(low < 0, 0.0).otherwise(1.0)).when(high < 0, 1.0).otherwise(known)
-
-
-def _curve(d: int) -> Column:
-    return _curve_of([f"x{i}" for i in range(d)])
-
-
-def _curve_of(columns: list[str]) -> Column:
-    """Position on a Z-order curve; only the packing quality depends on it."""
-    d = len(columns)
-    bits = max(1, min(31, 62 // d))
-    grid = [F.greatest(F.lit(0).cast("bigint"), F.least(F.floor(F.col(c) * float(2**bits)), F.lit(2**bits - 1))) for c in columns[:62]]
-    parts = [
-        F.shiftleft(F.shiftright(g, b).bitwiseAND(F.lit(1).cast("bigint")), b * len(grid) + i)
-        for b in range(bits)
-        for i, g in enumerate(grid)
-    ]
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
-
-
-def _homed(points: DataFrame, starts: np.ndarray) -> DataFrame:
-    """The points with the block whose stretch of the curve they lie on."""
-    def run(batches):
-        for batch in batches:
-            at = np.searchsorted(starts, batch.column("_curve").to_numpy(), "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.maximum(at, 0).astype(np.int32))], names=[*batch.schema.names, "block"])
-
-    return points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("block", T.IntegerType())]))
-
-
-def _searched(kinds: list[bool], lows: np.ndarray, highs: np.ndarray, first: bool):
-    """Least squared distance of synthetic points to the real ones of a block; the ``first`` time also the other blocks that may hold nearer ones."""
-    d, leaf_rows = len(kinds), LEAF
-    xs = [f"x{i}" for i in range(d)]
-
-    def gaps(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Squares of ``outside`` added up over the last axis; of ``apart`` where ``low`` is ``high``."""
-        total = 0.0
-        for i, text in enumerate(kinds):
-            a, lo, hi = x[..., i], low[..., i], high[..., i]
-            if text:
-                total = total + ((a < lo) | (a > hi))
-                continue
-            known = np.maximum(np.maximum(np.where(lo < 0, 0.0, lo - a), a - hi), 0.0)
-            gap = np.where(a < 0, np.where(lo < 0, 0.0, 1.0), np.where(hi < 0, 1.0, known))
-            total = total + gap * gap
-        return total
-
-    def others(x: np.ndarray, best: np.ndarray, block: int) -> list[np.ndarray]:
-        # blocks out of reach of all points at hand are left out first; nulls and texts reach everywhere
-        gap = 0.0
-        for i, text in enumerate(kinds):
-            if not text and (x[:, i] >= 0).all():
-                side = np.where(lows[:, i] < 0, 0.0, np.maximum(np.maximum(lows[:, i] - x[:, i].max(), x[:, i].min() - highs[:, i]), 0.0))
-                gap = gap + side * side
-        near = np.flatnonzero((gap < best.max()) & (np.arange(len(lows)) != block))
-        open_ = gaps(x[:, None], lows[near][None], highs[near][None]) < best[:, None]
-        return [near[o] for o in open_]
-
-    def run(key, real: pa.Table, asked: pa.Table) -> pa.Table:
-        order = np.argsort(real["_place"].to_numpy())
-        order = np.concatenate([order, np.repeat(order[-1:], -len(order) % leaf_rows)])
-        leaves = np.column_stack([real[x].to_numpy()[order] for x in xs]).reshape(-1, leaf_rows, d)
-        low, high = leaves.min(axis=1), leaves.max(axis=1)
-        asked = asked.sort_by("_curve")
-        x = np.column_stack([asked[c].to_numpy() for c in xs])
-        best = np.full(len(x), np.inf) if first else asked["best"].to_numpy().copy()
-        more = []
-        for at in range(0, len(x), 256):
-            part, least = x[at:at + 256], best[at:at + 256]
-            bound = gaps(part[:, None], low[None], high[None])
-            for _ in range(2):  # the two most promising leaves, then all that could hold something as close
-                leaf = bound.argmin(axis=1)
-                points = leaves[leaf]
-                np.minimum(least, gaps(part[:, None], points, points).min(axis=1), out=least)
-                bound[np.arange(len(part)), leaf] = np.inf
-            who, leaf = np.nonzero(bound < least[:, None])
-            for k in range(0, len(who), 4096):
-                w, points = who[k:k + 4096], leaves[leaf[k:k + 4096]]
-                np.minimum.at(least, w, gaps(part[w][:, None], points, points).min(axis=1))
-            if first:
-                more += others(part, least, key[0].as_py())
-        columns = [*[asked[c] for c in xs], asked["weight"], asked["_curve"], pa.array(best)]
-        if first:
-            ends = np.cumsum([0, *map(len, more)]).astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([[], *more]).astype(np.int32))))
-        return pa.Table.from_arrays(columns, names=[*xs, "weight", "_curve", "best", *(["more"] if first else [])])
-
-    return run
-
-
 def closest(real: DataFrame, synth: DataFrame, cols: list[str], bounds: Bounds | None = None, nulls: bool = False) -> DataFrame:
     """Distinct scaled synthetic points (x0..) with their row count and distance to the nearest real point.
 
     Columns are scaled to [0, 1] over both tables, or over ``bounds`` (numbers
     only). Without ``nulls``, rows with a null in any column have no distance and are left out.
     """
-    d = len(cols)
-    xs = [f"x{i}" for i in range(d)]
     if nulls or text_columns(real, cols):
         known = (lambda df: df) if nulls else (lambda df: df.dropna(subset=cols))
-        left, right, kinds = mixed_points(known(real), known(synth), cols)
+        left, right, kinds, words = mixed_points(known(real), known(synth), cols)
     else:
         bounds = common_bounds([real, synth], cols) if bounds is None else bounds
-        left, right, kinds = _scaled(real, cols, bounds), _scaled(synth, cols, bounds), [False] * d
-    return _nearest(left, right.groupBy(*xs).agg(F.count(F.lit(1)).alias("weight")), kinds)
+        left, right, kinds, words = _scaled(real, cols, bounds), _scaled(synth, cols, bounds), [False] * len(cols), []
+    return _nearest(left, right.withColumn("weight", F.lit(1)), kinds, words, ["weight"])
 
 
-def _nearest(left: DataFrame, points: DataFrame, kinds: list[bool]) -> DataFrame:
-    """The points, distinct coordinates with a ``weight`` of any type, with the distance to the nearest of ``left``; null if there is none.
+def _tree(sample: list[np.ndarray], kinds: list[bool], most: int) -> tuple[np.ndarray, ...]:
+    """Halves of a sample, cut where it is widest, down to ``most`` points: column and value of each cut, its two sides, and the block of an end.
 
-    To a point whose number is null it only matters whether a real one's is. So points with nulls in
-    the same columns, if there are many such, are held against real points without the values of these columns.
+    Boxes of such blocks lie apart, so that few points are near to more than one. Sides with and without nulls and texts of few values come first.
     """
-    xs = [f"x{i}" for i in range(len(kinds))]
-    nulls = reduce(lambda a, b: a + b, [F.when(F.col(x) < 0, 2**i).otherwise(0) for i, x in enumerate(xs) if not kinds[i] and i < 62], F.lit(0)).cast("bigint")
-    points = settled(points.withColumn("_nulls", nulls))
-    patterns = [r["_nulls"] for r in points.where("_nulls > 0").groupBy("_nulls").count().orderBy(F.desc("count"), "_nulls").limit(PATTERNS).collect()]
-    found = _nearest_of(left, points.where(~F.col("_nulls").isin(patterns)).drop("_nulls"), kinds)
-    for p in patterns:
-        bare = left.select(*[F.when(F.col(x) < 0, F.col(x)).otherwise(0.0).alias(x) if not kinds[i] and p >> i & 1 else F.col(x) for i, x in enumerate(xs)])
-        found = found.unionByName(_nearest_of(bare, points.where(F.col("_nulls") == p).drop("_nulls"), kinds))
-    return found
-
+    def width(i: int, x: np.ndarray) -> float:
+        low, high = x.min(), x.max()
+        return 0.0 if low == high else 2 * min(1.0, 64 / len(np.unique(x))) if kinds[i] else 2.0 if low < 0 else high - low
+
+    nodes, todo, blocks = [[0, 0.0, 0, 0, 0]], [(0, np.arange(len(sample[0])))], 0
+    while todo:
+        at, rows = todo.pop()
+        widths = [width(i, x[rows]) for i, x in enumerate(sample)] if len(rows) > most else [0.0]
+        if not max(widths) > 0:
+            nodes[at] = [0, np.inf, at, at, blocks]
+            blocks += 1
+            continue
+        i = int(np.argmax(widths))
+        x = sample[i][rows]
+        cut = np.partition(x, len(x) // 2)[len(x) // 2]
+        if not kinds[i] and x.min() < 0:
+            cut = x[x >= 0].min()
+        elif cut == x.min():
+            cut = x[x > cut].min()
+        nodes[at] = [i, cut, len(nodes), len(nodes) + 1, 0]
+        todo += [(len(nodes) + k, rows[side]) for k, side in enumerate((x < cut, x >= cut))]
+        nodes += [[0, 0.0, 0, 0, 0], [0, 0.0, 0, 0, 0]]
+    column, cut, low, high, block = zip(*nodes, strict=True)
+    return np.array(column), np.array(cut, float), np.array([low, high]), np.array(block)
+
+
+def _homing(tools, patterns: list[int], trees: list[tuple], first: np.ndarray):
+    """Functions that give points their blocks. A block lies in one of the spaces that are searched apart, one for each of ``patterns``."""
+    def block(bare: list[np.ndarray], space: int) -> np.ndarray:
+        column, cut, sides, ends = trees[space]
+        x, rows = np.stack(bare), np.arange(len(bare[0]))
+        at = np.zeros(len(rows), np.int64)
+        while True:
+            below = sides[(x[column[at], rows] >= cut[at]).astype(np.int64), at]
+            if (below == at).all():
+                return first[space] + ends[at]
+            at = below
+
+    def home(xs: list[np.ndarray]) -> np.ndarray:
+        found, out = tools.pattern(xs), block(xs, 0)
+        for space, p in enumerate(patterns[1:], 1):
+            own = np.flatnonzero(found == p)
+            if len(own):
+                out[own] = block(tools.bare([x[own] for x in xs], p), space)
+        return out
+
+    return block, home
+
+
+def _packing(tools):
+    """Function of points and their slots: a packed row for each of the ``parts`` tasks that some of the points go to."""
+    def rows(slot: np.ndarray, columns: list[np.ndarray], side: int, parts: int) -> pa.RecordBatch:
+        order = np.lexsort((tools.curve(columns[:tools.d]), slot, slot % parts))
+        slot, columns = slot[order], [c[order] for c in columns]
+        part = slot % parts
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(at[1:], len(part))
+        data = [tools.pack([slot[a:b].astype(np.int32), *[c[a:b] for c in columns]]) for a, b in zip(at, ends, strict=True)]
+        numbers = [pa.array(c.astype(np.int32)) for c in (part[at], np.full(len(at), side), ends - at)]
+        return pa.RecordBatch.from_arrays([*numbers, pa.array(data, pa.binary())], names=["part", "side", "n", "data"])
+
+    return rows
+
+
+_DEALT = "part int, side int, n int, data binary"
+
+
+def _search(tools, leaf_rows: int, types: str, patterns: list[int], first: np.ndarray, block_of: np.ndarray, lows: list[np.ndarray], highs: list[np.ndarray]):
+    """Functions that hold the points of a task against the real ones of the blocks they ask for.
+
+    ``types`` has letters for the weights. ``block_of`` gives the block of each slot. Least distances are squared.
+    """
+    d = tools.d
 
-def _nearest_of(left: DataFrame, points: DataFrame, kinds: list[bool]) -> DataFrame:
-    """Real points in blocks along the curve; a block and the points that ask for it meet in one task.
+    def nearest(xs: list[np.ndarray], at: np.ndarray, real: list[np.ndarray], best: np.ndarray):
+        """Lowers ``best`` of points along the curve, where ``at`` is their place, by the real points of a block; yields which were done."""
+        where = tools.curve(real)
+        order = np.argsort(where, kind="stable")
+        order = np.concatenate([order, np.repeat(order[-1:], -len(order) % leaf_rows)])
+        starts = where[order[::leaf_rows]]
+        leaves = [x[order].reshape(-1, leaf_rows) for x in real]
+        low, high = [x.min(axis=1) for x in leaves], [x.max(axis=1) for x in leaves]
 
-    A point asks first the block it lies in, then those that could hold something nearer. A block that many ask is handed to several tasks.
+        def held(who: np.ndarray, leaf: np.ndarray) -> None:
+            for k in range(0, len(who), 4096):
+                w, some = who[k:k + 4096], [x[leaf[k:k + 4096]] for x in leaves]
+                np.minimum.at(best, w, tools.gaps([x[w][:, None] for x in xs], some, some).min(axis=1))
+
+        for a in range(0, len(at), 128):
+            who = np.arange(a, min(a + 128, len(at)))
+            part = [x[who] for x in xs]
+            own = np.maximum(np.searchsorted(starts, at[who], "right") - 1, 0)
+            held(who, own)
+            near = np.flatnonzero(tools.reach(part, low, high) < best[who].max())
+            if len(near):
+                bound = tools.gaps([x[:, None] for x in part], [x[near] for x in low], [x[near] for x in high])
+                bound[own[:, None] == near[None]] = np.inf
+                # the most promising leaf, then all that could hold something as close
+                leaf = bound.argmin(axis=1)
+                some = np.flatnonzero(bound[np.arange(len(who)), leaf] < best[who])
+                held(who[some], near[leaf[some]])
+                bound[some, leaf[some]] = np.inf
+                some, leaf = np.nonzero(bound < best[who][:, None])
+                held(who[some], near[leaf])
+            yield who, part
+
+    def read(batches, asked: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        sides = [[], []]
+        for batch in batches:
+            side, n = batch.column("side").to_numpy(), batch.column("n").to_numpy()
+            for k in range(batch.num_rows):
+                sides[side[k]].append(tools.unpack(batch.column("data")[k].as_buffer(), int(n[k]), "i" + "d" * d + (asked if side[k] else "")))
+        return [[np.concatenate(c) for c in zip(*side, strict=True)] for side in sides]
+
+    def met(real: list[np.ndarray], asked: list[np.ndarray]):
+        """For each slot: its block, the space of the block, its real points, and the places of those that ask."""
+        order = [np.argsort(side[0], kind="stable") if side else np.zeros(0, int) for side in (real, asked)]
+        slots = [side[0][o] if side else np.zeros(0, np.int32) for side, o in zip((real, asked), order, strict=True)]
+        for slot in np.unique(slots[1]):
+            (a, b), (c, e) = (np.searchsorted(s, [slot, slot + 1]) for s in slots)
+            held, block = order[0][a:b], int(block_of[slot])
+            yield block, int(np.searchsorted(first, block, "right")) - 1, [x[held] for x in real[1:]] if real else [np.zeros(0)] * d, order[1][c:e]
+
+    def others(part: list[np.ndarray], best: np.ndarray, block: int, space: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = first[space], first[space + 1]
+        lo, hi = [x[a:b] for x in lows], [x[a:b] for x in highs]
+        near = np.flatnonzero(tools.reach(part, lo, hi) < best.max())
+        near = near[near != block - a]
+        open_ = tools.gaps([x[:, None] for x in part], [x[near] for x in lo], [x[near] for x in hi]) < best[:, None]
+        return open_.sum(axis=1), (a + near)[np.nonzero(open_)[1]]
+
+    def at_home(batches):
+        """Points with their weights added up and their least distance at home, packed; those that other blocks may be nearer to apart, with the blocks."""
+        real, asked = read(batches, types)
+        held = []
+
+        def rows():
+            xs, best, n, more = ([np.concatenate(c) for c in zip(*[h[0] for h in held], strict=True)], *[np.concatenate([h[k] for h in held]) for k in (1, 2, 3)])
+            out = []
+            for open_, chosen in ((False, np.flatnonzero(n == 0)), (True, np.flatnonzero(n))):
+                if len(chosen):
+                    columns = [*[x[chosen] for x in xs], best[chosen], *([n[chosen].astype(np.int32)] if open_ else [])]
+                    out.append({"open": open_, "n": len(chosen), "data": tools.pack(columns), "m": len(more) if open_ else 0, "more": tools.pack([more]) if open_ else b""})
+            held.clear()
+            return pa.RecordBatch.from_pylist(out, schema=pa.schema([("open", pa.bool_()), ("n", pa.int32()), ("data", pa.binary()), ("m", pa.int32()), ("more", pa.binary())]))
+
+        size = many = 0
+        for block, space, points, who in met(real, asked):
+            columns = [c[who] for c in asked[1:]]
+            at = tools.curve(tools.bare(columns[:d], patterns[space]))
+            order = np.lexsort((*columns[:d], at))
+            columns, at = [c[order] for c in columns], at[order]
+            new = np.flatnonzero(tools.firsts(columns[:d]))
+            columns, at = [*[c[new] for c in columns[:d]], *[np.add.reduceat(w, new) for w in columns[d:]]], at[new]
+            best = np.full(len(new), np.inf)
+            if not len(points[0]):
+                raise ValueError(f"block {block} has no real points")
+            for k, part in nearest(columns[:d], at, points, best):
+                n, more = others(part, best[k], block, space)
+                held.append(([c[k] for c in columns], best[k], n, more.astype(np.int32)))
+                size, many = size + len(k), many + len(more)
+                if size > 50_000 or many > 1_000_000:
+                    yield rows()
+                    size = many = 0
+        if held:
+            yield rows()
+
+    def elsewhere(batches):
+        """Least distances of points at home and in one more block, as rows."""
+        real, asked = read(batches, types + "d")
+        for _, space, points, who in met(real, asked):
+            columns = [c[who] for c in asked[1:]]
+            at = tools.curve(tools.bare(columns[:d], patterns[space]))
+            order = np.argsort(at, kind="stable")
+            columns, at = [c[order] for c in columns], at[order]
+            for _ in nearest(columns[:d], at, points, columns[-1]):
+                pass
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f"c{i}" for i in range(len(columns))])
+
+    return at_home, elsewhere
+
+
+def _tasks(spark, slots: int) -> int:
+    return max(1, min(slots, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-slots // TOGETHER))))
+
+
+def _slots(asked: np.ndarray, idle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Into how many slots each block goes (``idle`` if no points ask for it), the number of its first, and the block of each slot."""
+    shares = np.maximum(idle, -(-asked // ASKED))
+    return shares, np.cumsum(shares) - shares, np.repeat(np.arange(len(shares)), shares)
+
+
+def _sample(sides: list[tuple[DataFrame, str]], tools, step: int) -> list[np.ndarray]:
+    """About one of ``step`` distinct points of packed tables, on the driver: a few for each block."""
+    out = []
+    for df, types in sides:
+        def some(batches, types=types):
+            for _, _, columns in tools.rows_of(batches, types):
+                chosen = np.flatnonzero(tools.hashed(columns[:tools.d]) % np.uint64(step) == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(c[chosen]) for c in columns[:tools.d]], names=[f"x{i}" for i in range(tools.d)])
+
+        rows = df.mapInArrow(some, ", ".join(f"x{i} double" for i in range(tools.d))).distinct().toArrow()
+        out.append(np.column_stack([c.to_numpy() for c in rows.columns]).reshape(-1, tools.d))
+    return out
+
+
+def _nearest(left: DataFrame, points: DataFrame, kinds: list[bool], words: list[dict[int, np.ndarray]], weights: list[str]) -> DataFrame:
+    """The distinct points with their ``weights`` added up and the distance to the nearest of ``left``; null if there is none.
+
+    Real points go to the tasks of their blocks, and points to the block they lie in; then points that could have something
+    nearer elsewhere, and real points again, to the blocks these ask for. A block that many ask is handed to several tasks.
+
+    To a point whose number is null it only matters whether a real one's is; one whose text no real row has is as far
+    from all of them. So points that share such columns, if there are many, are held against real points without the values of these columns.
     """
-    d = len(kinds)
+    spark, d, tools = left.sparkSession, len(kinds), point_tools(kinds, *words)
     xs = [f"x{i}" for i in range(d)]
-    ranked = dense_index(left.distinct().withColumn("_curve", _curve(d)), ["_curve", *xs], "_place")
-    blocks = ranked.withColumn("block", F.floor(F.col("_place") / BLOCK).cast("int"))
-    ends = [f(x).alias(f"{k}{i}") for i, x in enumerate(xs) for f, k in ((F.min, "lo"), (F.max, "hi"))]
-    bounds = blocks.groupBy("block").agg(F.min("_curve").alias("start"), *ends).orderBy("block").collect()  # a row for BLOCK points
-    if not bounds:
-        return points.withColumn("distance", F.lit(None).cast("double"))
-    lows, highs = (np.array([[r[f"{k}{i}"] for i in range(d)] for r in bounds], dtype=float) for k in ("lo", "hi"))
-    real = blocks.select("block", "_place", *xs)
-
-    def search(asked: DataFrame, first: bool) -> DataFrame:
-        shares = asked.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("_shares"))
-        asked = asked.join(F.broadcast(shares), "block").withColumn("_share", F.pmod(F.xxhash64(*xs), F.col("_shares")).cast("int")).drop("_shares")
-        held = real.join(F.broadcast(shares), "block").select(*real.columns, F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"))
-        schema = T.StructType([*[asked.schema[c] for c in (*xs, "weight", "_curve")], T.StructField("best", T.DoubleType()),
-                               *([T.StructField("more", T.ArrayType(T.IntegerType()))] if first else [])])
-        return held.groupBy("block", "_share").cogroup(asked.groupBy("block", "_share")).applyInArrow(_searched(kinds, lows, highs, first), schema)
-
-    home = settled(_homed(points.select(*xs, "weight", _curve(d).alias("_curve")), np.array([r["start"] for r in bounds])))
-    near = settled(search(home, True))
-    rest = near.where(F.size("more") > 0).select(*xs, "weight", "_curve", "best", F.explode("more").alias("block"))
-    both = near.where(F.size("more") == 0).select(*xs, "weight", "best")
-    nearer = search(rest, False).groupBy(*xs, "weight").agg(F.min("best").alias("best"))
-    return both.unionByName(nearer).withColumn("distance", F.sqrt("best")).drop("best")
+    whole = ", ".join([*[f"{x} double" for x in xs], *[f"{w} bigint" for w in weights]])
+    types, letters = "d" * d + "q" * len(weights), "q" * len(weights)
+    real, asked = settled(packed(left, kinds, []), True), settled(packed(points, kinds, weights), True)
+    step = max(1, BLOCK // SEEN)
+    known, seen = _sample([(real, "d" * d), (asked, types)], tools, step)
+    found, n = np.unique(tools.pattern(list(seen.T)), return_counts=True)
+    patterns = [0, *[p for _, p in sorted((-k, p) for k, p in zip(n.tolist(), found.tolist(), strict=True) if p)[:PATTERNS]]]
+    trees = [_tree(tools.thinned(tools.bare([np.ascontiguousarray(x) for x in known.T], p), [])[0], kinds, max(1, BLOCK // step)) if len(known) else _tree([np.zeros(1)] * d, kinds, 1) for p in patterns]
+    first = np.cumsum([0, *[t[-1].max() + 1 for t in trees]])  # block of each space, and their number
+    block, home = _homing(tools, patterns, trees, first)
+
+    def bounds(batches):
+        low, high = (np.full((d, first[-1]), end) for end in (np.inf, -np.inf))
+        for _, _, columns in tools.rows_of(batches, "d" * d):
+            for space, p in enumerate(patterns):
+                bare = tools.bare(columns, p)
+                at = block(bare, space)
+                for i in range(d):
+                    np.minimum.at(low[i], at, bare[i])
+                    np.maximum.at(high[i], at, bare[i])
+        used = np.flatnonzero(low[0] < np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(x[used]) for x in (*low, *high)]], names=names)
+
+    names = ["block", *[f"lo{i}" for i in range(d)], *[f"hi{i}" for i in range(d)]]
+    ends = real.mapInArrow(bounds, ", ".join(["block int", *[f"{n} double" for n in names[1:]]]))
+    ends = ends.groupBy("block").agg(*[F.min(n).alias(n) for n in names[1:d + 1]], *[F.max(n).alias(n) for n in names[d + 1:]]).toArrow()  # a row for BLOCK points
+    if not ends.num_rows:
+        every = unpacked(asked, kinds, types, whole).groupBy(*xs).agg(*[F.sum(w).alias(w) for w in weights])
+        return every.withColumn("distance", F.lit(None).cast("double"))
+    lows, highs = ([np.full(first[-1], end) for _ in range(d)] for end in (np.inf, -np.inf))
+    for i in range(d):
+        lows[i][ends["block"].to_numpy()], highs[i][ends["block"].to_numpy()] = ends[f"lo{i}"].to_numpy(), ends[f"hi{i}"].to_numpy()
+
+    rows_for, share = _packing(tools), lambda columns: (tools.hashed(columns[:d]) >> np.uint64(20)).astype(np.int64)
+
+    def dealt(shares: np.ndarray, begin: np.ndarray, parts: int):
+        def run(batches):
+            for _, _, columns in tools.rows_of(batches, "d" * d):
+                for space, p in enumerate(patterns):
+                    bare = tools.thinned(tools.bare(columns, p), [])[0] if p else columns
+                    at = block(bare, space)
+                    copies = shares[at]
+                    who = np.repeat(np.arange(len(at)), copies)
+                    if len(who):
+                        yield rows_for((begin[at] - np.cumsum(copies) + copies)[who] + np.arange(len(who)), [x[who] for x in bare], 0, parts)
+
+        return run
+
+    # at home
+    shares, begin, block_of = _slots(np.bincount(home(list(seen.T)), minlength=first[-1]) * step, 1)
+    parts = _tasks(spark, len(block_of))
+
+    def homed(batches, shares=shares, begin=begin, parts=parts):
+        for _, _, columns in tools.rows_of(batches, types):
+            at = home(columns[:d])
+            yield rows_for(begin[at] + share(columns) % shares[at], columns, 1, parts)
+
+    met = real.mapInArrow(dealt(shares, begin, parts), _DEALT).unionByName(asked.mapInArrow(homed, _DEALT)).repartitionById(parts, "part")
+    at_home, _ = _search(tools, LEAF, letters, patterns, first, block_of, lows, highs)
+    near = settled(met.mapInArrow(at_home, "open boolean, n int, data binary, m int, more binary"), True)
+    discard(asked)
+    done = unpacked(near.where("not open"), kinds, types + "d", whole + ", best double")
+
+    # elsewhere
+    def wanted(batches):
+        total = np.zeros(first[-1], np.int64)
+        for _, _, (more,) in tools.rows_of(batches, "i", "more", "m"):
+            total += np.bincount(more, minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["block", "n"])
+
+    total, asks = np.zeros(first[-1], np.int64), near.where("open").mapInArrow(wanted, "block int, n bigint").groupBy("block").agg(F.sum("n").alias("n")).toArrow()
+    total[asks["block"].to_numpy()] = asks["n"].to_numpy()
+    if total.any():
+        shares, begin, block_of = _slots(total, 0)
+        parts = _tasks(spark, len(block_of))
+
+        def sent(batches):
+            for batch, k, columns in tools.rows_of(batches, types + "di"):
+                more, = tools.unpack(batch.column("more")[k].as_buffer(), batch.column("m")[k].as_py(), "i")
+                who = np.repeat(np.arange(len(columns[0])), columns[-1])
+                for a in range(0, len(who), 200_000):
+                    w, at = who[a:a + 200_000], more[a:a + 200_000]
+                    yield rows_for(begin[at] + share(columns)[w] % shares[at], [c[w] for c in columns[:-1]], 1, parts)
+
+        met = real.mapInArrow(dealt(shares, begin, parts), _DEALT).unionByName(near.where("open").mapInArrow(sent, _DEALT)).repartitionById(parts, "part")
+        _, elsewhere = _search(tools, LEAF, letters, patterns, first, block_of, lows, highs)
+        rows = met.mapInArrow(elsewhere, ", ".join([*[f"c{i} double" for i in range(d)], *[f"c{d + i} bigint" for i in range(len(weights))], f"c{d + len(weights)} double"]))
+        rows = rows.toDF(*xs, *weights, "best")
+        done = done.unionByName(rows.groupBy(*xs, *weights).agg(F.min("best").alias("best")))
+    return done.withColumn("distance", F.sqrt("best")).drop("best")
+
+
+def _curve_of(columns: list[str]) -> Column:
+    """Position on a Z-order curve; only the packing quality depends on it."""
+    d = len(columns)
+    bits = max(1, min(31, 62 // d))
+    grid = [F.greatest(F.lit(0).cast("bigint"), F.least(F.floor(F.col(c) * float(2**bits)), F.lit(2**bits - 1))) for c in columns[:62]]
+    parts = [
+        F.shiftleft(F.shiftright(g, b).bitwiseAND(F.lit(1).cast("bigint")), b * len(grid) + i)
+        for b in range(bits)
+        for i, g in enumerate(grid)
+    ]
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
 def _beside(kinds: list[bool], reach: int):
@@ -311,7 +500,7 @@ def closest_projected(
     of rows at a time, in any number of columns. Distances are never too small; without real rows they are null.
     """
     known = (lambda df: df) if nulls else (lambda df: df.dropna(subset=cols))
-    left, right, kinds = mixed_points(known(real), known(synth), cols)
+    left, right, kinds, _ = mixed_points(known(real), known(synth), cols)
     d = len(cols)
     xs = [f"x{i}" for i in range(d)]
     both = left.distinct().select(F.lit(1.0).alias("real"), F.lit(0.0).alias("weight"), *xs)
@@ -381,11 +570,9 @@ def membership_attack(train: DataFrame, holdout: DataFrame, synth: DataFrame, co
     places. The ranks come from running sums over counts by distance, so no side is sorted in one task.
     """
     flagged = train.select(*cols, F.lit(1).alias("_member")).unionByName(holdout.select(*cols, F.lit(0).alias("_member")))
-    left, right, kinds = mixed_points(synth, flagged, cols, "_member")
-    xs = [f"x{i}" for i in range(len(cols))]
-    sides = F.struct(F.sum("_member").alias("m"), F.sum(1 - F.col("_member")).alias("o"))
-    near = _nearest(left, right.groupBy(*xs).agg(sides.alias("weight")), kinds)
-    at = near.groupBy(F.lit(0).alias("all"), F.round("distance", 9).alias("distance")).agg(F.sum("weight.m").alias("m"), F.sum("weight.o").alias("o"))
+    left, right, kinds, words = mixed_points(synth, flagged, cols, "_member")
+    near = _nearest(left, right.withColumn("m", F.col("_member")).withColumn("o", 1 - F.col("_member")), kinds, words, ["m", "o"])
+    at = near.groupBy(F.lit(0).alias("all"), F.round("distance", 9).alias("distance")).agg(F.sum("m").alias("m"), F.sum("o").alias("o"))
     ranked = running_totals(at, "all", "distance", ["m", "o"])
     m, o, ms, os = (F.col(c).cast("double") for c in ("m", "o", "all_m", "all_o"))
     # share of the other side that a row of this distance beats

@@ -10,16 +10,37 @@ from pyspark.sql import functions as F
 from mockloom.session import parallelism, scratch_path, shared_dir
 
 
-def settled(df: DataFrame) -> DataFrame:
+#: Setting by which Spark drops the shuffles of a query when it has ended.
+DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, drop: bool = False) -> DataFrame:
     """Written to the shared folder once, for results that several later steps read.
 
     Files are read back without the constraints of the plan that made them. A checkpoint
     keeps those, and in rounds that each settle the last one's rows they multiply, so that the
-    driver plans for minutes what takes seconds to run.
+    driver plans for minutes what takes seconds to run. With ``drop`` the shuffles of the writing
+    are deleted as soon as it has ended; otherwise they stay until Java collects their plan.
     """
-    path = scratch_path(df.sparkSession, "settled")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "settled")
+    before = spark.conf.get(DROP, None)
+    if drop:
+        spark.conf.set(DROP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop:
+            spark.conf.unset(DROP) if before is None else spark.conf.set(DROP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``settled`` table that no later step reads."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name)).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def running_totals(counts: DataFrame, group: str, order: str, measures: list[str]) -> DataFrame:

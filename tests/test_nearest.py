@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mockloom.operators import nearest
+from mockloom.operators.scan import settled
 
 SCHEMA = "a double, kind string, b int, flag boolean"
 
@@ -54,6 +55,44 @@ def test_points_meet_blocks_in_bounded_groups(spark, monkeypatch):
     assert distances(got) == pytest.approx(brute(real, synth), abs=1e-9)
 
 
+def shuffled(spark):
+    """Bytes of the shuffles that lie on disk, by file."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_")}
+
+
+def test_shuffles_of_the_steps_are_gone_before_the_result_is_read(spark):
+    sides = [spark.range(20_000).select(F.rand(seed).alias("a"), F.rand(seed + 1).alias("b"), F.expr("array('u', 'v', null)[id % 3]").alias("kind")) for seed in (1, 5)]
+    before = shuffled(spark)
+    search = nearest.closest(*sides, ["a", "b", "kind"], nulls=True)
+    assert sum(n for name, n in shuffled(spark).items() if name not in before) < 100_000
+    assert search.count() == 20_000
+
+
+def test_texts_that_no_real_row_has(spark, monkeypatch):
+    """Many blocks, texts and nulls of one side only, points that come often."""
+    for name, size in (("BLOCK", 48), ("LEAF", 8), ("ASKED", 20)):
+        monkeypatch.setattr(nearest, name, size)
+    real, synth = [r for r in people(8, 600) if r[1] is not None and "x" not in r[1]], people(9, 200) * 3
+    search = nearest.closest(*[spark.createDataFrame(rows, SCHEMA) for rows in (real, synth)], ["a", "kind", "b", "flag"], nulls=True)
+    assert distances(search) == pytest.approx(brute(real, synth), abs=1e-9)
+    assert search.count() == search.select("x0", "x1", "x2", "x3").distinct().count()
+
+
+def test_blocks_cut_by_halves_are_asked_by_few_points(spark, monkeypatch):
+    """Points that have to ask elsewhere are those at the edges of blocks, not most of them."""
+    monkeypatch.setattr(nearest, "BLOCK", 500)
+    rng = np.random.default_rng(2)
+    rows = [[(float(a), float(b), "uvw"[k]) for a, b, k in zip(rng.random(6000), rng.random(6000), rng.integers(0, 3, 6000))] for _ in range(2)]
+    frames = [spark.createDataFrame(r, "a double, b double, kind string") for r in rows]
+    kept = []
+    monkeypatch.setattr(nearest, "settled", lambda *a: kept.append(settled(*a)) or kept[-1])
+    nearest.closest(*frames, ["a", "b", "kind"], nulls=True)
+    asked = sum(r["n"] for near in kept if "open" in near.columns for r in near.where("open").collect())
+    assert 0 < asked < 2400
+
+
 def test_projected_search_finds_most_and_never_less(spark):
     real, synth = people(5, 3000), people(6, 1500)
     frames = spark.createDataFrame(real, SCHEMA).repartition(5), spark.createDataFrame(synth, SCHEMA)
