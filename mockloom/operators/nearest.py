@@ -31,8 +31,8 @@ SEEN, TOGETHER = 32, 32
 PATTERNS = 4
 #: Values of a text column up to which they are sent to all tasks.
 WORDS = 10_000
-#: Points of both tables in one task of an approximate search (about).
-BESIDE = 400_000
+#: Points of both tables in one task of an approximate search (about), and up to which there is no second one.
+BESIDE, ALONE = 400_000, 20_000
 #: Coordinate of a null.
 NULL = -1.0
 #: Random rotations of an approximate search, and real points before and after a synthetic one that it is compared with in each.
@@ -226,14 +226,6 @@ def _search(tools, leaf_rows: int, types: str, patterns: list[int], first: np.nd
                 held(who[some], near[leaf])
             yield who, part
 
-    def read(batches, asked: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        sides = [[], []]
-        for batch in batches:
-            side, n = batch.column("side").to_numpy(), batch.column("n").to_numpy()
-            for k in range(batch.num_rows):
-                sides[side[k]].append(tools.unpack(batch.column("data")[k].as_buffer(), int(n[k]), "i" + "d" * d + (asked if side[k] else "")))
-        return [[np.concatenate(c) for c in zip(*side, strict=True)] for side in sides]
-
     def met(real: list[np.ndarray], asked: list[np.ndarray]):
         """For each slot: its block, the space of the block, its real points, and the places of those that ask."""
         order = [np.argsort(side[0], kind="stable") if side else np.zeros(0, int) for side in (real, asked)]
@@ -253,7 +245,7 @@ def _search(tools, leaf_rows: int, types: str, patterns: list[int], first: np.nd
 
     def at_home(batches):
         """Points with their weights added up and their least distance at home, packed; those that other blocks may be nearer to apart, with the blocks."""
-        real, asked = read(batches, types)
+        real, asked = tools.read(batches, types)
         held = []
 
         def rows():
@@ -289,7 +281,7 @@ def _search(tools, leaf_rows: int, types: str, patterns: list[int], first: np.nd
 
     def elsewhere(batches):
         """Least distances of points at home and in one more block, as rows."""
-        real, asked = read(batches, types + "d")
+        real, asked = tools.read(batches, types + "d")
         for _, space, points, who in met(real, asked):
             columns = [c[who] for c in asked[1:]]
             at = tools.curve(tools.bare(columns[:d], patterns[space]))
@@ -430,61 +422,66 @@ def _nearest(left: DataFrame, points: DataFrame, kinds: list[bool], words: list[
     return done.withColumn("distance", F.sqrt("best")).drop("best")
 
 
-def _curve_of(columns: list[str]) -> Column:
-    """Position on a Z-order curve; only the packing quality depends on it."""
-    d = len(columns)
-    bits = max(1, min(31, 62 // d))
-    grid = [F.greatest(F.lit(0).cast("bigint"), F.least(F.floor(F.col(c) * float(2**bits)), F.lit(2**bits - 1))) for c in columns[:62]]
-    parts = [
-        F.shiftleft(F.shiftright(g, b).bitwiseAND(F.lit(1).cast("bigint")), b * len(grid) + i)
-        for b in range(bits)
-        for i, g in enumerate(grid)
-    ]
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
-
-
-def _beside(kinds: list[bool], reach: int):
-    """Least distance of each synthetic row to the ``reach`` real rows before and after it; rows come sorted."""
-    text = np.array(kinds)
-
-    def least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        missing = (x < 0) != (y < 0)
-        gap = np.where(text, x != y, np.where(missing, 1.0, np.where(x < 0, 0.0, np.abs(x - y))))
-        return np.sqrt((gap * gap).sum(axis=-1))
-
-    def run(batches):
-        held = None
-
-        def done(rows: np.ndarray, last: bool) -> tuple[pa.RecordBatch, np.ndarray]:
-            """Distances of the rows that have seen enough real ones, and the rows that later ones still need."""
-            real = np.flatnonzero(rows[:, 0] > 0)
-            before = np.cumsum(rows[:, 0] > 0)
-            ready = (rows[:, 0] == 0) & (last | (before + reach <= len(real)))
-            at = np.flatnonzero(ready)
-            best = np.full(len(at), np.inf)
-            for start in range(0, len(at) if len(real) else 0, 1024):
-                part = at[start:start + 1024]
-                near = np.clip(before[part][:, None] + np.arange(-reach, reach), 0, len(real) - 1)
-                best[start:start + 1024] = least(rows[part][:, None, 2:], rows[real[near]][:, :, 2:]).min(axis=1)
-            out = pa.RecordBatch.from_arrays([*[pa.array(rows[at, k]) for k in range(2, rows.shape[1])], pa.array(rows[at, 1].astype(np.int64)), pa.array(best)],
-                                             names=[*[f"x{i}" for i in range(len(kinds))], "weight", "distance"])
-            waiting = np.flatnonzero((rows[:, 0] == 0) & ~ready)
-            first = before[waiting[0]] if len(waiting) else before[-1]
-            keep = real[max(0, first - reach)] if len(real) else (waiting[0] if len(waiting) else len(rows))
-            rest = np.arange(len(rows)) >= keep
-            rest[at] = False
-            return out, rows[rest]
-
-        for batch in batches:
-            rows = np.column_stack([np.asarray(c, float) for c in batch.columns])
-            if not len(rows):
-                continue
-            out, held = done(rows if held is None else np.concatenate([held, rows]), False)
-            yield out
-        if held is not None and len(held):
-            yield done(held, True)[0]
-
-    return run
+def _turned(tools, kinds: list[bool], out: int | None, turn: np.ndarray, shift: np.ndarray):
+    """Function of points: what they are sorted by in one turn, the first last."""
+    d, numbers = tools.d, [i for i, text in enumerate(kinds) if not text and i != out]
+    room = 2 * len(numbers)**0.5 + 1
+
+    def keys(xs: list[np.ndarray]) -> list[np.ndarray]:
+        # what two points share or not: texts, and whether a number is null
+        shared = [x if kinds[i] else (x < 0).astype(float) for i, x in enumerate(xs) if i != out]
+        cell = tools.hashed(shared) if shared else np.zeros(len(xs[0]), np.uint64)
+        if not numbers:
+            return [*xs[::-1], cell]
+        # turned coordinates lie between the negative and the positive diagonal
+        turned = turn @ np.stack([np.maximum(xs[i], 0.0) for i in numbers])
+        return [*xs[::-1], tools.zorder(list((turned + len(numbers)**0.5 + shift[:, None]) / room), 62), cell]
+
+    return keys
+
+
+def _beside(tools, reach: int, keys, cuts: list[np.ndarray], parts: int):
+    """Functions of one turn: rows for the tasks between ``cuts``, and least distance of each synthetic point to the ``reach`` real ones before and after it."""
+    d, rows_for = tools.d, _packing(tools)
+
+    def dealt(side: int, types: str):
+        def run(batches):
+            for _, _, columns in tools.rows_of(batches, types):
+                xs, n = [c + 0.0 for c in columns[:d]], len(cuts[0])
+                order = np.lexsort([np.concatenate(k) for k in zip(cuts, keys(xs), strict=True)])  # a cut comes before rows like it
+                slot = np.empty(len(order), np.int64)
+                slot[order] = np.cumsum(order < n)
+                if side and types == "d" * d + "q":
+                    columns = [*columns, np.full(len(xs[0]), np.inf)]
+                yield rows_for(slot[n:], columns, side, parts)
+
+        return run
+
+    def search(batches):
+        real, asked = tools.read(batches, "qd")
+        if not asked:
+            return
+        real, asked = (real[1:] if real else [np.zeros(0)] * d), asked[1:]
+        n = len(real[0])
+        order = np.lexsort(keys([np.concatenate(c) for c in zip(real, asked[:d], strict=True)]))
+        known = order[order < n]
+        new = tools.firsts([x[known] for x in real])
+        place = np.zeros(len(order), np.int64)
+        place[order < n] = new
+        before = np.cumsum(place)[order >= n]
+        real, asked = [x[known[new]] for x in real], [c[order[order >= n] - n] for c in asked]
+        first = np.flatnonzero(tools.firsts(asked[:d]))
+        xs, weight, best, before = [x[first] for x in asked[:d]], np.add.reduceat(asked[d], first), np.minimum.reduceat(asked[d + 1], first), before[first]
+        if n:
+            beside = [np.lib.stride_tricks.sliding_window_view(np.pad(x, reach, mode="edge"), 2 * reach) for x in real]
+            for a in range(0, len(first), 2048):
+                some = [w[before[a:a + 2048]] for w in beside]
+                best[a:a + 2048] = np.minimum(best[a:a + 2048], tools.gaps([x[a:a + 2048, None] for x in xs], some, some).min(axis=1))
+        for a in range(0, len(first), 100_000):
+            columns = [c[a:a + 100_000] for c in (*xs, weight, best)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(columns[0])], pa.int32()), pa.array([tools.pack(columns)], pa.binary())], names=["n", "data"])
+
+    return dealt, search
 
 
 def closest_projected(
@@ -496,35 +493,33 @@ def closest_projected(
     numbers are null), and within that along a space-filling curve of random projections of their
     numbers; then again with each column left out in turn, as a point's nearest record may
     differ from it in one; and all that ``rotations`` times. Each synthetic point is compared
-    with the ``reach`` real ones before and after it, which takes one sort and one pass for each turn and a bounded number
-    of rows at a time, in any number of columns. Distances are never too small; without real rows they are null.
+    with the ``reach`` real ones before and after it. One turn follows the other and leaves the least distances so far, so that
+    the disk holds the rows of one turn only; a task holds the points between two cuts that a sample
+    on the driver suggests, in any number of columns. Distances are never too small; without real rows they are null.
     """
     known = (lambda df: df) if nulls else (lambda df: df.dropna(subset=cols))
     left, right, kinds, _ = mixed_points(known(real), known(synth), cols)
-    d = len(cols)
-    xs = [f"x{i}" for i in range(d)]
-    both = left.distinct().select(F.lit(1.0).alias("real"), F.lit(0.0).alias("weight"), *xs)
-    both = both.unionByName(right.groupBy(*xs).agg(F.count(F.lit(1)).cast("double").alias("weight")).withColumn("real", F.lit(0.0))).checkpoint()
-    rng, found = np.random.default_rng(seed), None
-    # what two points share or not: texts, and whether a number is null
-    shared = [F.col(x) if text else F.col(x) < 0 for x, text in zip(xs, kinds, strict=True)]
-    for r, out in ((r, out) for r in range(rotations) for out in (None, *range(d))):
-        kept = [c for i, c in enumerate(shared) if i != out]
-        numbers = [x for i, x in enumerate(xs) if not kinds[i] and i != out]
-        m = len(numbers)
-        turn, shift = np.linalg.qr(rng.normal(size=(m, m)))[0] if m else None, rng.random(m)
-        turned = [sum(F.greatest(F.col(x), F.lit(0.0)) * float(turn[i, j]) for j, x in enumerate(numbers)) for i in range(m)]
-        # turned coordinates lie between the negative and the positive diagonal
-        room = 2 * m**0.5 + 1
-        placed = both.select("real", "weight", *xs, F.xxhash64(F.lit(f"{r} {out}"), *kept).alias("_cell"),
-                             *[((t + m**0.5 + float(s)) / room).alias(f"_t{i}") for i, (t, s) in enumerate(zip(turned, shift, strict=True))])
-        curve = _curve_of([f"_t{i}" for i in range(m)]) if m else F.lit(0)
-        ordered = placed.select("real", "weight", *xs, "_cell", curve.alias("_curve"))
-        ordered = ordered.repartitionByRange("_cell", "_curve", *xs).sortWithinPartitions("_cell", "_curve", *xs)
-        near = ordered.select("real", "weight", *xs).mapInArrow(_beside(kinds, reach), ", ".join([*[f"{x} double" for x in xs], "weight bigint", "distance double"]))
-        found = near if found is None else found.unionByName(near)
-    out = found.groupBy(*xs, "weight").agg(F.min("distance").alias("distance"))
-    return out.withColumn("distance", F.when(F.col("distance") < float("inf"), F.col("distance")))
+    d, tools = len(cols), point_tools(kinds)
+    held, asked = settled(packed(left, kinds, []), True), settled(packed(right.withColumn("weight", F.lit(1)), kinds, ["weight"]), True)
+    step, types = max(1, BLOCK // SEEN), "d" * d + "q"
+    seen = [np.ascontiguousarray(x) for x in np.concatenate(_sample([(held, "d" * d), (asked, types)], tools, step)).T]
+    size = len(seen[0]) * step
+    parts = max(1, min(max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BESIDE)), size // ALONE))
+    rng = np.random.default_rng(seed)
+    for out in (out for _ in range(rotations) for out in (None, *range(d))):
+        m = sum(not text and i != out for i, text in enumerate(kinds))
+        turn, shift = np.linalg.qr(rng.normal(size=(m, m)))[0] if m else np.zeros((0, 0)), rng.random(m)
+        keys = _turned(tools, kinds, out, turn, shift)
+        marks = keys(seen)
+        at = np.lexsort(marks)[len(seen[0]) * np.arange(1, parts) // parts]
+        dealt, search = _beside(tools, reach, keys, [k[at] for k in marks], parts)
+        rows = held.mapInArrow(dealt(0, "d" * d), _DEALT).unionByName(asked.mapInArrow(dealt(1, types), _DEALT)).repartitionById(parts, "part")
+        nearer, types = settled(rows.mapInArrow(search, "n int, data binary"), True), "d" * d + "qd"
+        discard(asked)
+        asked = nearer
+    discard(held)
+    found = unpacked(asked, kinds, types, ", ".join([*[f"x{i} double" for i in range(d)], "weight bigint", "distance double"]))
+    return found.withColumn("distance", F.when(F.col("distance") < float("inf"), F.sqrt("distance")))
 
 
 def dcr_summary(distances: DataFrame) -> DataFrame:

@@ -49,6 +49,15 @@ def point_tools(kinds: list[bool], words: dict[int, np.ndarray] | None = None, u
                 if sizes[k]:
                     yield batch, k, unpack(batch.column(data)[k].as_buffer(), int(sizes[k]), types)
 
+    def read(batches, asked: str) -> list[list[np.ndarray]]:
+        """Slots and points of a task, of the real table (side 0) and of the other, with more columns of the types ``asked``; nothing for a side without rows."""
+        sides = [[], []]
+        for batch in batches:
+            side, n = batch.column("side").to_numpy(), batch.column("n").to_numpy()
+            for k in range(batch.num_rows):
+                sides[side[k]].append(unpack(batch.column("data")[k].as_buffer(), int(n[k]), "i" + "d" * d + (asked if side[k] else "")))
+        return [[np.concatenate(c) for c in zip(*side, strict=True)] for side in sides]
+
     def gathered(batches, most: int):
         """Columns of plain batches, so many rows together."""
         held, size = [], 0

@@ -105,6 +105,29 @@ def test_projected_search_finds_most_and_never_less(spark):
     assert rows == 1500 and points == exact.count() and recall >= 0.9 and low == 0
 
 
+def test_turns_leave_no_sorts_on_disk(spark):
+    sides = [spark.range(10_000).select(F.rand(seed).alias("a"), F.rand(seed + 1).alias("b"), F.expr("array('u', 'v', null)[id % 3]").alias("kind")) for seed in (1, 5)]
+    before = shuffled(spark)
+    search = nearest.closest_projected(*sides, ["a", "b", "kind"])
+    assert search.count() == 10_000
+    assert sum(n for name, n in shuffled(spark).items() if name not in before) < 100_000
+
+
+def test_projected_search_in_many_tasks(spark, monkeypatch):
+    """Points that come often, blocks smaller than the sample's, columns without numbers."""
+    for name, size in (("BLOCK", 32), ("BESIDE", 300), ("ALONE", 300)):
+        monkeypatch.setattr(nearest, name, size)
+    real, synth = people(5, 1000) * 2, people(6, 400) * 3
+    frames = [spark.createDataFrame(rows, SCHEMA).repartition(3) for rows in (real, synth)]
+    for columns in (["a", "kind", "b", "flag"], ["kind", "flag"]):
+        xs = [f"x{i}" for i in range(len(columns))]
+        exact = nearest.closest(*frames, columns, nulls=True).select(*xs, F.col("distance").alias("exact"))
+        both = nearest.closest_projected(*frames, columns).join(exact, xs)
+        rows, points, recall, low = both.agg(
+            F.sum("weight"), F.count(F.lit(1)), F.avg((F.col("distance") <= F.col("exact") + 1e-9).cast("double")), F.count_if(F.col("distance") < F.col("exact") - 1e-9)).first()
+        assert rows == 1200 and points == exact.count() and recall >= 0.8 and low == 0
+
+
 def test_nothing_to_be_near(spark):
     some = spark.createDataFrame(people(1, 5), SCHEMA)
     for search in (nearest.closest, nearest.closest_projected):
