@@ -8,6 +8,7 @@ matrix reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -19,9 +20,10 @@ from pyspark.sql import types as T
 
 from mockloom.functions import normal as gauss
 from mockloom.functions.rng import normal_bits, normals_of, uniform
-from mockloom.operators.fidelity import exact_quantiles, settled
+from mockloom.operators.fidelity import settled
 from mockloom.operators.generate import Draws
 from mockloom.operators.scan import dense_index, running_totals
+from mockloom.operators.slices import Slices, local_rows, values_at
 
 GRID = 32  # quantile steps per numeric column
 FINE = 512  # steps for columns of which no value between two known ones may appear
@@ -58,9 +60,11 @@ def _restored(value: Column, field: T.StructField) -> Column:
 
 def marginals(df: DataFrame, cols: list[str], steps: int = GRID) -> DataFrame:
     """Exact quantiles of numeric columns at 0, 1/steps, ..., 1."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "column_name", "value")
-    counts = long.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    return exact_quantiles(counts, "column_name", "value", "n", [i / steps for i in range(steps + 1)])
+    slices = Slices([df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])])
+    sizes = [int(c.sum()) for c in slices.counts]
+    ranks = [np.array([max(1, math.ceil(i / steps * n)) for i in range(steps + 1 if n else 0)], dtype=np.int64) for n in sizes]
+    rows = [(c, *found) for c, *found in zip(cols, values_at(slices, ranks), sizes, strict=True) if found[1]]
+    return local_rows(df.sparkSession, rows, "column_name string, quantiles array<double>, n_values bigint")
 
 
 def null_rates(df: DataFrame) -> dict[str, float]:

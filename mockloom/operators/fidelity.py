@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from mockloom.functions.tests_math import chi2_pvalue, ks_pvalue
 from mockloom.operators.scan import lookup_by_key, running_totals, settled
+from mockloom.operators.slices import Slices, largest_gaps, local_rows, values_at
 
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -106,6 +107,13 @@ def ks_statistic(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFram
     )
 
 
+def _ks_largest(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:
+    """The same figures at once, from counts between cuts: only values between the cuts where the gap may be largest are sorted."""
+    both = Slices([df.select(*[_number(df, c).alias(f"c{i}") for i, c in enumerate(cols)]) for df in (real, synth)])
+    rows = [(c, *found) for c, found in zip(cols, largest_gaps(both), strict=True) if found[1] or found[2]]
+    return local_rows(real.sparkSession, rows, "column_name string, statistic double, n_real bigint, n_synth bigint")
+
+
 def _verdict(frame: DataFrame) -> DataFrame:
     alike = F.col("p_value") > 0.05
     # fixed values: the two readings of a test
@@ -178,12 +186,15 @@ def exact_quantiles(counts: DataFrame, group: str, order: str, measure: str, pro
     )
 
 
-def medians(df: DataFrame, cols: list[str], room: float = 0.002) -> DataFrame:
+def medians(df: DataFrame, cols: list[str], room: float = 0.002, at_once: bool = False) -> DataFrame:
     """(column_name, median) of numeric columns: the mean of the two middle values, nulls left out.
 
     Approximate quantiles around the middle tell which values need counting; what lies below them is
-    only counted. A column whose middle is not between them has all its values counted.
+    only counted. A column whose middle is not between them has all its values counted. With ``at_once`` Python tasks
+    count between cuts, and the medians are known now.
     """
+    if at_once:
+        return _medians_at_once(df, cols)
     plain = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     near = plain.agg(*[F.percentile_approx(f"c{i}", [0.5 - room, 0.5 + room], 10_000).alias(f"c{i}") for i in range(len(cols))]).first()
     spans = {i: near[f"c{i}"] for i in range(len(cols)) if near[f"c{i}"]}
@@ -203,6 +214,15 @@ def medians(df: DataFrame, cols: list[str], room: float = 0.002) -> DataFrame:
     return found.select(F.get(F.array(*[F.lit(c) for c in cols]), F.col("i").cast("int")).alias("column_name"), "median")
 
 
+def _medians_at_once(df: DataFrame, cols: list[str]) -> DataFrame:
+    plain = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    sizes, slices = plain.agg(*[F.count(c).alias(c) for c in plain.columns]).first(), Slices([plain])
+    middle = [[(n + 1) // 2, n // 2 + 1] if n else [] for n in sizes]
+    found = values_at(slices, [np.array([r for r in m if r <= c.sum()], dtype=np.int64) for m, c in zip(middle, slices.counts, strict=True)])
+    whole = [(c, [*v, *[float("nan")] * (len(m) - len(v))]) for c, m, v in zip(cols, middle, found, strict=True) if m]  # NaN stands above all numbers
+    return local_rows(df.sparkSession, [(c, 0.5 * v[0] + 0.5 * v[1]) for c, v in whole], "column_name string, median double")
+
+
 # --- category columns ---------------------------------------------------------
 
 
@@ -264,8 +284,11 @@ def tvd(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:
 # --- audits -------------------------------------------------------------------
 
 
-def audit_quality(real: DataFrame, synth: DataFrame, csv_semantics: bool = True) -> DataFrame:
-    """Distance per common column (TVD for text, KS otherwise) and the overall score 1 - mean."""
+def audit_quality(real: DataFrame, synth: DataFrame, csv_semantics: bool = True, at_once: bool = False) -> DataFrame:
+    """Distance per common column (TVD for text, KS otherwise) and the overall score 1 - mean.
+
+    With ``at_once`` the KS distances are computed now, in Python tasks that move few values, instead of in the plan by a sort of all.
+    """
     text = text_columns(real, synth, csv_semantics)
     other = [c for c in common_columns(real, synth) if c not in text]
     textual = (T.StringType, *TEMPORAL) if csv_semantics else (T.StringType,)
@@ -276,7 +299,7 @@ def audit_quality(real: DataFrame, synth: DataFrame, csv_semantics: bool = True)
         parts.append(tvd(real, synth, text).select("column_name", F.lit("TVD").alias("metric"), F.col("tvd").alias("score")))
     if numeric:
         parts.append(
-            ks_statistic(real, synth, numeric).select(
+            (_ks_largest if at_once else ks_statistic)(real, synth, numeric).select(
                 "column_name", F.lit("KS-Stat").alias("metric"), F.col("statistic").alias("score")
             )
         )

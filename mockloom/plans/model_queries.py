@@ -100,14 +100,14 @@ def copula_fidelity(spark, sf_dir):
         pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
         made = settled(made)
         spreads = lambda df: df.agg(*[F.stddev(c).alias(f"spread {c}") for c in cols], *[F.corr(a, b).alias(f"{a} {b}") for a, b in pairs])
-        middles = lambda df: medians(df, cols).groupBy().pivot("column_name", cols).agg(F.first("median"))  # a row for each column
+        middles = lambda df: medians(df, cols, at_once=True).groupBy().pivot("column_name", cols).agg(F.first("median"))  # a row for each column
         both = reduce(lambda a, b: a.join(b), [
             measure(df).select(F.struct("*").alias(f"{side}{k}")) for k, measure in (("s", spreads), ("m", middles)) for side, df in (("r", real), ("m", made))])
         value = lambda k, side, room: F.struct(F.lit(k).alias("measure"), near_real(F.col(f"m{side}")[k], F.col(f"r{side}")[k], room).alias("value"))
         cells = [value(c, "m", 0.1 * F.col("rs")[f"spread {c}"]) for c in cols] + [value(f"{a} {b}", "s", F.lit(0.06)) for a, b in pairs]
         parts.append(both.select(F.lit(name).alias("table_name"), F.inline(F.array(*cells))))
         for measure, worst, bound in (
-                ("largest shape distance", audit_quality(real, made, csv_semantics=False).agg(F.max("score").alias("value")), 0.05),
+                ("largest shape distance", audit_quality(real, made, csv_semantics=False, at_once=True).agg(F.max("score").alias("value")), 0.05),
                 ("largest correlation difference", correlation_difference(real, made).agg(F.max("diff").alias("value")), 0.06)):
             parts.append(worst.select(F.lit(name).alias("table_name"), F.lit(measure).alias("measure"), near_real(F.col("value"), F.lit(0.0), bound).alias("value")))
     return _all_hold(parts).withColumn("value", F.round("value", 6))
